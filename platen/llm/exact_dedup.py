@@ -30,7 +30,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256).alias("text_sha256")))
     merged = rows.groupBy((F.spark_partition_id() % MERGE_GROUPS).alias("part")).agg(F.expr(f"approx_top_k_accumulate(text_sha256, {counters})").alias("seen"))
-    top = merged.agg(F.expr(f"approx_top_k_combine(seen, {counters})").alias("seen")).select(F.expr(f"approx_top_k_estimate(seen, {max_heavy})").alias("top"))
+    top = merged.groupBy((F.col("part") * 0).alias("all")).agg(F.expr(f"approx_top_k_combine(seen, {counters})").alias("seen")).select(F.expr(f"approx_top_k_estimate(seen, {max_heavy})").alias("top"))
     named = top.select(F.explode("top").alias("t")).select(F.col("t.item").alias("text_sha256"))
     sized = rows.join(F.broadcast(named), "text_sha256").groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     heavy = cut(sized.where("group_size > 1"))
