@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from platen.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from platen.llm.packing import op2_best_fit_packing
+from platen.llm.simhash_dedup import op7_simhash_near_dedup
 from platen.llm.url_filters import op10_url_filters
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_url_filters": op10_url_filters,
 }
