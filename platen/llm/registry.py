@@ -5,12 +5,14 @@ from __future__ import annotations
 from platen.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from platen.llm.language_id import op6_language_id
 from platen.llm.packing import op2_best_fit_packing
+from platen.llm.quality import op3_quality
 from platen.llm.simhash_dedup import op7_simhash_near_dedup
 from platen.llm.toxicity import op9_toxicity
 from platen.llm.url_filters import op10_url_filters
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_quality": op3_quality,
     "op6_language_id": op6_language_id,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
