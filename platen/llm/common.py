@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,3 +50,9 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
         seen = now
     roots = e.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root").union(e.select("v", F.col("v").alias("root")).distinct())
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of what no DataFrame refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -7,10 +7,12 @@ from platen.llm.language_id import op6_language_id
 from platen.llm.packing import op2_best_fit_packing
 from platen.llm.quality import op3_quality
 from platen.llm.simhash_dedup import op7_simhash_near_dedup
+from platen.llm.suffix_dedup import op1_suffix_dedup
 from platen.llm.toxicity import op9_toxicity
 from platen.llm.url_filters import op10_url_filters
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality": op3_quality,
     "op6_language_id": op6_language_id,
