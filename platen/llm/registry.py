@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from platen.llm.byte_bpe import op5_byte_bpe
 from platen.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from platen.llm.fingerprints import op4_fingerprints
 from platen.llm.language_id import op6_language_id
 from platen.llm.packing import op2_best_fit_packing
 from platen.llm.quality import op3_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality": op3_quality,
+    "op4_fingerprints": op4_fingerprints,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_language_id": op6_language_id,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
