@@ -98,8 +98,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     """docs (doc, text) -> (doc, places): the runs of windows of each document that start earlier in the corpus."""
     spark = docs.sparkSession
     rows = docs.mapInArrow(parsed, "key long, phrase long, doc long, place long")
-    often = rows.groupBy("key").agg(F.count("*").alias("seen")).where("seen > 1")
+    # Counts are cut off before each join to them: only a join of two shuffles can be split where a key is frequent.
+    often = cut(rows.groupBy("key").agg(F.count("*").alias("seen")).where("seen > 1"))
+    release(spark)
     shared = cut(rows.join(often, "key"))
+    del often
     release(spark)
 
     dictionary = cut(shared.groupBy("key", "phrase").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("copies"), F.max("seen").alias("seen")))
@@ -112,16 +115,21 @@ def repeats(docs: DataFrame) -> DataFrame:
     classes = cut(docs.join(differing, "doc").select("doc", "text", "at").mapInArrow(classed, "core long, doc long, place long, before int, ends binary"))
     del differing
     release(spark)
-    alike = classes.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+    alike = cut(classes.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
+    classes = cut(classes.join(alike, "core"))
+    del alike
+    release(spark)
     # The window with k bytes before the shared ones differs from others of its class in STEP - 1 bytes of the ends alone.
-    window = classes.join(alike, "core").select("core", "doc", "place", "ends", F.posexplode(F.sequence("before", F.col("before") - F.shiftright("place", 7).bitwiseAND(127).cast("int") + 1, F.lit(-1))).alias("k", "left"))
+    window = classes.select("core", "doc", "place", "ends", F.posexplode(F.sequence("before", F.col("before") - F.shiftright("place", 7).bitwiseAND(127).cast("int") + 1, F.lit(-1))).alias("k", "left"))
     start = F.col("place").bitwiseAND(F.lit((0x7FFF << 48) | (((1 << 34) - 1) << 14))) + F.shiftleft(F.col("k").cast("long"), 14)
     window = window.select("core", F.xxhash64(F.substring("ends", F.lit(STEP) - F.col("left"), F.lit(STEP - 1)), "left").alias("end"), "doc", start.alias("start"))
     order = window.groupBy("core", "end").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    part = window.join(order.select("core", "end", "first"), ["core", "end"]).where(F.struct("doc", "start") != F.col("first"))
+    order = cut(order.select("core", "end", F.col("first.doc").alias("first_doc"), F.col("first.start").alias("first_start")))
+    release(spark)
+    part = window.join(order, ["core", "end"]).where("doc != first_doc OR start != first_start")
     part = part.select("doc", (F.col("start") + (1 << 7)).alias("place"))
     found = cut(whole.union(part).groupBy("doc").agg(F.collect_list("place").alias("places")))
-    del classes, window, whole
+    del classes, window, whole, order, part
     release(spark)
     return found
 
