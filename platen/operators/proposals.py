@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platen.functions.expr import containment, iou
+from platen.functions.expr import containment, iou, settled
 
 MIN_SCORE, IOU, CONTAINED, MOST_GROUPS, SEED_IOU = 0.80, 0.45, 0.75, 16, 0.8
 
@@ -76,9 +76,10 @@ def alternatives(groups: DataFrame, most: int | None = 3) -> DataFrame:
 def choose_alternative(groups: DataFrame, choice: Column) -> DataFrame:
     """Swaps the chosen alternative (1 and up; null or out of range: none) with the primary; other places stay."""
     k = F.when((choice >= 1) & (choice <= F.size("choices")), choice.cast("int"))
-    chosen = F.element_at("choices", k)
-    swapped = F.transform("choices", lambda x, i: F.when(i + 1 == k, F.col("primary_id")).otherwise(x))
-    return groups.select("scan_id", "group_no", F.coalesce(chosen, F.col("primary_id")).alias("primary_id"), F.when(k.isNotNull(), swapped).otherwise(F.col("choices")).alias("choices"))
+    g = settled(groups, k=k)
+    g = settled(g, chosen=F.coalesce(F.get("choices", F.col("k") - 1), F.col("primary_id")))
+    swapped = F.transform("choices", lambda x: F.when(x == F.col("chosen"), F.col("primary_id")).otherwise(x))
+    return g.withColumn("choices", swapped).select("scan_id", "group_no", "chosen", "choices").withColumnRenamed("chosen", "primary_id")
 
 
 def cycle_alternatives(groups: DataFrame) -> DataFrame:
