@@ -1 +1,101 @@
-"""Queries."""
+"""Queries on edge statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from platen.functions.expr import tidy
+from platen.operators import edges
+from platen.plans.register import query
+
+T6 = "floor(({}) * 1e6 + 0.5) / 1e6"
+
+
+def samples(v):
+    """Sides of five hundred documents' worth of samples: scans share a side's samples by their number."""
+    return v("edge_samples").withColumn("scan_id", F.col("scan_id") % 97)
+
+
+_S = "s AS (SELECT scan_id % 97 AS scan_id, side, off, slope, t, gr, gg, gb, ok FROM edge_samples)"
+_SCORES = "scores AS (SELECT scan_id, side, off, slope, sqrt(avg(gr) * avg(gr) + avg(gg) * avg(gg) + avg(gb) * avg(gb)) AS score, count(*) AS n FROM s WHERE ok GROUP BY ALL)"
+
+
+@query("ft2_line_scores", f"WITH {_S}, {_SCORES} SELECT scan_id, side, off, slope, {T6.format('score')} AS score, n FROM scores")
+def _(v):
+    return edges.line_scores(samples(v)).withColumn("score", tidy("score"))
+
+
+_NOISE = "noise AS (SELECT scan_id, side, CASE WHEN count(*) < 50 THEN 1e9 ELSE sqrt(var_pop(gr) + var_pop(gg) + var_pop(gb)) / sqrt(count(DISTINCT t)) END AS noise FROM s WHERE ok GROUP BY ALL)"
+
+
+@query("ft3_edge_noise", f"WITH {_S}, {_NOISE} SELECT scan_id, side, {T6.format('noise')} AS noise FROM noise")
+def _(v):
+    return edges.edge_noise(samples(v)).withColumn("noise", tidy("noise"))
+
+
+_MED = ", ".join(f"quantile_cont({c}, 0.5) FILTER (WHERE ok AND {s}off >= 1 AND {s}off <= 6) AS {c}{k}" for k, s in (("o", ""), ("i", "-")) for c in ("gr", "gg", "gb"))
+
+
+@query("ft4_step_size", f"""WITH {_S}, m AS (SELECT scan_id, side, t, {_MED} FROM s GROUP BY ALL), d AS (SELECT *, sqrt((gro - gri) ** 2 + (ggo - ggi) ** 2 + (gbo - gbi) ** 2) AS d FROM m)
+ SELECT scan_id, side, {T6.format('CASE WHEN count(d) > 0.3 * count(*) THEN quantile_cont(d, 0.5) END')} AS step FROM d GROUP BY ALL""")
+def _(v):
+    return edges.step_size(samples(v)).withColumn("step", tidy("step"))
+
+
+_CANDS = """r AS (SELECT *, dense_rank() OVER (PARTITION BY scan_id, side ORDER BY off) AS io, dense_rank() OVER (PARTITION BY scan_id, side ORDER BY slope) AS isl, max(score) OVER (PARTITION BY scan_id, side) AS best FROM scores),
+ cands AS (SELECT p.scan_id, p.side, p.off, p.slope, p.score FROM r p JOIN noise n ON n.scan_id = p.scan_id AND n.side = p.side WHERE p.score >= 0.3 * p.best AND p.score >= 1 AND p.score >= 6 * least(n.noise, p.best / 18)
+ AND p.score >= (SELECT max(q.score) FROM r q WHERE q.scan_id = p.scan_id AND q.side = p.side AND abs(q.io - p.io) <= 2 AND abs(q.isl - p.isl) <= 2))"""
+
+
+@query("ft5_edge_candidates", f"WITH {_S}, {_SCORES}, {_NOISE}, {_CANDS} SELECT scan_id, side, off, slope, {T6.format('score')} AS score FROM cands")
+def _(v):
+    s = samples(v)
+    return edges.edge_candidates(edges.line_scores(s), edges.edge_noise(s)).withColumn("score", tidy("score"))
+
+
+@query("ft6_refine_line")
+def _(v):
+    s = samples(v).where("ok").select("scan_id", "side", "t", (F.col("off") + F.col("slope") * F.col("t")).alias("v"))
+    return edges.refine_line(s).select("scan_id", "side", *(tidy(c).alias(c) for c in ("a", "b", "sd")))
+
+
+_BEST = "best AS (SELECT scan_id, side, t, max(sqrt(gr * gr + gg * gg + gb * gb)) AS g FROM s WHERE ok GROUP BY ALL), p90 AS (SELECT scan_id, side, quantile_cont(g, 0.9) AS p, count(*) AS n FROM best GROUP BY ALL)"
+
+
+@query("ft7_continuity", f"WITH {_S}, {_BEST} SELECT b.scan_id, b.side, CASE WHEN any_value(n) < 20 THEN 1 ELSE avg((g >= p / 3)::int) END::double AS continuity FROM best b JOIN p90 q ON q.scan_id = b.scan_id AND q.side = b.side GROUP BY ALL")
+def _(v):
+    return edges.continuity(samples(v))
+
+
+@query("ft9_judge_edges", """WITH b AS (SELECT l_orderkey AS scan_id, cand_id, (pk % 40)::double AS distance, (sk % 20) / 100.0::double AS density_in, (pk % 15) / 100.0::double AS density_out, CASE WHEN pk % 4 = 0 THEN NULL ELSE (sk % 40)::double END AS step, (pk % 10) / 10.0::double AS continuity FROM lines)
+ SELECT scan_id, cand_id, (distance < 18 AND abs(density_in - density_out) < 0.05) OR (density_in > 0.1 AND density_out < 0.02 AND distance < 18) OR coalesce(step < 12, false) AS internal, continuity < 0.5 AS broken FROM b""")
+def _(v):
+    pk, sk = F.col("pk"), F.col("sk")
+    b = v("lines").select(F.col("l_orderkey").alias("scan_id"), "cand_id", (pk % 40).cast("double").alias("distance"), (sk % 20 / 100.0).alias("density_in"), (pk % 15 / 100.0).alias("density_out"), F.when(pk % 4 != 0, (sk % 40).cast("double")).alias("step"), (pk % 10 / 10.0).alias("continuity"))
+    return edges.judge_edges(b).select("scan_id", "cand_id", "internal", "broken")
+
+
+@query("ft10_pick_cluster", f"""WITH {_S}, {_SCORES}, l AS (SELECT *, coalesce((off - lag(off) OVER w > 1.5)::int, 0) AS new FROM scores WINDOW w AS (PARTITION BY scan_id, side ORDER BY off, slope)),
+ c AS (SELECT *, sum(new) OVER (PARTITION BY scan_id, side ORDER BY off, slope ROWS UNBOUNDED PRECEDING) AS cluster FROM l),
+ e AS (SELECT scan_id, side, cluster, min(abs(off)) AS near, first(off ORDER BY score DESC, off, slope) AS off, max(score) AS score FROM c GROUP BY ALL)
+ SELECT scan_id, side, first(off ORDER BY near, cluster) AS off, {T6.format('first(score ORDER BY near, cluster)')} AS score FROM e GROUP BY ALL""")
+def _(v):
+    return edges.pick_cluster(edges.line_scores(samples(v)), 1.5).withColumn("score", tidy("score"))
+
+
+@query("ft11_side_decision", """WITH s AS (SELECT l_orderkey AS scan_id, cand_id, pk % 60 AS samples, CASE WHEN pk % 3 = 0 THEN NULL ELSE (pk % 41 - 20) * 0.5::double END AS near_off, sk % 5 = 0 AS near_broken, CASE WHEN sk % 2 = 0 THEN NULL ELSE (sk % 61 - 30)::double END AS far_off FROM lines),
+ k AS (SELECT *, CASE WHEN samples < 20 THEN 0 WHEN near_off IS NOT NULL AND NOT near_broken THEN 2 WHEN near_off IS NOT NULL THEN 1 WHEN far_off IS NOT NULL THEN 3 ELSE 0 END AS kind FROM s)
+ SELECT scan_id, cand_id, kind, CASE kind WHEN 2 THEN near_off WHEN 3 THEN far_off ELSE 0 END::double AS off FROM k""")
+def _(v):
+    pk, sk = F.col("pk"), F.col("sk")
+    s = v("lines").select(F.col("l_orderkey").alias("scan_id"), "cand_id", (pk % 60).alias("samples"), F.when(pk % 3 != 0, (pk % 41 - 20) * 0.5).alias("near_off"), (sk % 5 == 0).alias("near_broken"), F.when(sk % 2 != 0, (sk % 61 - 30).cast("double")).alias("far_off"))
+    return edges.side_decision(s).select("scan_id", "cand_id", "kind", "off")
+
+
+@query("ft12_meet", f"""WITH l AS (SELECT vec_id AS scan_id, 10 + vec_id % 5::double AS a0, (vec_id % 7 - 3) * 0.01::double AS b0, 90 + vec_id % 4::double AS a1, (vec_id % 5 - 2) * 0.02::double AS b1, 80 + vec_id % 3::double AS a2, (vec_id % 3 - 1) * 0.03::double AS b2, 5 + vec_id % 6::double AS a3, (vec_id % 9 - 4) * 0.01::double AS b3 FROM embeddings)
+ SELECT scan_id, {T6.format('a3 + b3 * (a0 + b0 * a3) / (1 - b0 * b3)')} AS x0, {T6.format('(a0 + b0 * a3) / (1 - b0 * b3)')} AS y0, {T6.format('a1 + b1 * (a2 + b2 * a1) / (1 - b2 * b1)')} AS x2, {T6.format('(a2 + b2 * a1) / (1 - b2 * b1)')} AS y2 FROM l""")
+def _(v):
+    k = F.col("vec_id")
+    ab = [(10 + k % 5, (k % 7 - 3) * 0.01), (90 + k % 4, (k % 5 - 2) * 0.02), (80 + k % 3, (k % 3 - 1) * 0.03), (5 + k % 6, (k % 9 - 4) * 0.01)]
+    lines = v("embeddings").select(k.alias("scan_id"), F.inline(F.array(*(F.struct(F.lit(i).alias("side"), a.cast("double").alias("a"), b.alias("b")) for i, (a, b) in enumerate(ab)))))
+    return edges.meet(lines).select("scan_id", *(tidy(c).alias(c) for c in ("x0", "y0", "x2", "y2")))

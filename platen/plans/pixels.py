@@ -1 +1,129 @@
-"""Queries."""
+"""Queries on rasters: the text of each document as a grey image of 80 columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from platen.functions.expr import tidy
+from platen.operators import pixels
+from platen.plans.register import query
+
+WIDTH = 80
+T6, T3 = "floor(({}) * 1e6 + 0.5) / 1e6", "floor(({}) * 1e3 + 0.5) / 1e3"
+_TALL = "tall AS (SELECT *, max(y) OVER (PARTITION BY scan_id) + 1 AS height FROM pixels)"
+
+
+def tall(v):
+    rows = v("documents").select(F.col("doc_id").alias("scan_id"), F.floor((F.length("text") + WIDTH - 1) / WIDTH).cast("int").alias("height"))
+    return v("pixels").join(rows, "scan_id")
+
+
+@query("ra1_luminance", f"SELECT scan_id, y, x, {T6.format('0.299 * v + 0.587 * ((v * 7) % 256) + 0.114 * ((v * 13) % 256)')} AS grey, ((4899 * v + 9617 * ((v * 7) % 256) + 1868 * ((v * 13) % 256) + 8192)::int >> 14)::int AS whole FROM pixels")
+def _(v):
+    p = v("pixels").select("scan_id", "y", "x", F.col("v").alias("r"), (F.col("v") * 7 % 256).alias("g"), (F.col("v") * 13 % 256).alias("b"))
+    return p.select("scan_id", "y", "x", tidy(pixels.luminance()).alias("grey"), pixels.luminance(True).alias("whole"))
+
+
+_MEAN = """rowsum AS (SELECT *, sum(v) OVER r AS rs, count(*) OVER r AS rn FROM tall WINDOW r AS (PARTITION BY scan_id, y ORDER BY x RANGE BETWEEN 15 PRECEDING AND 15 FOLLOWING)),
+ means AS (SELECT *, sum(rs) OVER c / (sum(rn) OVER c)::double AS mean FROM rowsum WINDOW c AS (PARTITION BY scan_id, x ORDER BY y RANGE BETWEEN 15 PRECEDING AND 15 FOLLOWING))"""
+
+
+@query("ra2_box_mean", f"WITH {_TALL}, {_MEAN} SELECT scan_id, y, x, {T6.format('mean')} AS mean FROM means")
+def _(v):
+    return pixels.box_mean(v("pixels")).select("scan_id", "y", "x", tidy("mean").alias("mean"))
+
+
+@query("ra3_ink_points", f"WITH {_TALL}, {_MEAN} SELECT scan_id, y, x FROM means WHERE x >= 0.08 * 80 AND x < 0.92 * 80 AND y >= 0.08 * height AND y < 0.92 * height AND v < mean - 15")
+def _(v):
+    return pixels.ink_points(tall(v), WIDTH).drop("height")
+
+
+@query("ra4_estimate_skew")
+def _(v):
+    return pixels.estimate_skew(pixels.ink_points(tall(v), WIDTH), WIDTH)
+
+
+_PROFILE = f"""d AS (SELECT *, abs(lead(v) OVER r - lag(v) OVER r) AS d FROM tall WINDOW r AS (PARTITION BY scan_id, y ORDER BY x)),
+ profiles AS (SELECT scan_id, x, sum(d)::bigint AS profile FROM d WHERE d IS NOT NULL AND y >= floor(height / 4) AND y < floor(height * 3 / 4) GROUP BY ALL)"""
+
+
+@query("ra5_gradient_profiles", f"WITH {_TALL}, {_PROFILE} SELECT * FROM profiles")
+def _(v):
+    return pixels.gradient_profiles(tall(v))
+
+
+@query("ra6_snap_edges", f"""WITH {_TALL}, {_PROFILE}, typical AS (SELECT scan_id, list_sort(list(profile))[len(list(profile)) // 2 + 1] AS typical FROM profiles WHERE profile > 0 GROUP BY 1),
+ sides AS (SELECT doc_id AS scan_id, 'left' AS side, (10 + doc_id % 9)::int AS position, 9 AS out_, 1.8 AS in_ FROM documents UNION ALL SELECT doc_id, 'right', (60 + doc_id % 11)::int, 1.8, 9 FROM documents),
+ best AS (SELECT s.scan_id, s.side, first(p.x ORDER BY p.profile DESC, p.x) AS bx, max(p.profile) AS bp FROM sides s JOIN profiles p ON p.scan_id = s.scan_id AND p.x >= s.position - s.out_ AND p.x <= s.position + s.in_ GROUP BY ALL)
+ SELECT s.scan_id, s.side, CASE WHEN bp > coalesce(typical, 1) * 1.2 THEN bx ELSE position END::int AS snapped FROM sides s LEFT JOIN best b ON b.scan_id = s.scan_id AND b.side = s.side LEFT JOIN typical t ON t.scan_id = s.scan_id""")
+def _(v):
+    d = v("documents").select(F.col("doc_id").alias("scan_id"))
+    s = d.select("scan_id", F.lit("left").alias("side"), (10 + F.col("scan_id") % 9).cast("int").alias("position")).union(d.select("scan_id", F.lit("right"), (60 + F.col("scan_id") % 11).cast("int")))
+    return pixels.snap_edges(pixels.gradient_profiles(tall(v)), s.withColumn("span", F.lit(9.0)), WIDTH, 1.2)
+
+
+def _blur(axis, other, source, out):
+    from math import exp
+
+    raw = [exp(-k * k / 2) for k in range(-3, 4)]
+    at = lambda k: "v" if k == 0 else f"coalesce(lead(v, {k}) OVER w, last_value(v) OVER e)" if k > 0 else f"coalesce(lag(v, {-k}) OVER w, first_value(v) OVER e)"
+    total = " + ".join(f"{repr(raw[k + 3] / sum(raw))}::double * {at(k)}" for k in range(-3, 4))
+    return f"{out} AS (SELECT scan_id, y, x, 0.0 + {total} AS v FROM {source} WINDOW w AS (PARTITION BY scan_id, {other} ORDER BY {axis}), e AS (PARTITION BY scan_id, {other} ORDER BY {axis} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+
+
+@query("ra9_gaussian_blur", f"WITH {_blur('x', 'y', '(SELECT * FROM pixels)', 'across')}, {_blur('y', 'x', 'across', 'down')} SELECT scan_id, y, x, {T6.format('v')} AS v FROM down")
+def _(v):
+    return pixels.gaussian_blur(v("pixels")).select("scan_id", "y", "x", tidy("v").alias("v"))
+
+
+@query("ra10_sobel", f"""WITH a AS (SELECT *, lead(v) OVER r - lag(v) OVER r AS dx, lag(v) OVER r + 2 * v + lead(v) OVER r AS sx FROM pixels WINDOW r AS (PARTITION BY scan_id, y ORDER BY x)),
+ b AS (SELECT *, lag(dx) OVER c + 2 * dx + lead(dx) OVER c AS gx, lead(sx) OVER c - lag(sx) OVER c AS gy FROM a WINDOW c AS (PARTITION BY scan_id, x ORDER BY y)) SELECT scan_id, y, x, {T6.format('coalesce(sqrt((gx * gx + gy * gy)::double), 0)')} AS magnitude FROM b""")
+def _(v):
+    return pixels.sobel(v("pixels")).select("scan_id", "y", "x", tidy("magnitude").alias("magnitude"))
+
+
+_STRETCH = """h AS (SELECT scan_id, v, count(*) AS n FROM pixels GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY scan_id ORDER BY v) AS up, sum(n) OVER (PARTITION BY scan_id ORDER BY v DESC) AS down, sum(n) OVER (PARTITION BY scan_id) AS total FROM h),
+ e AS (SELECT scan_id, min(v) FILTER (WHERE up >= 0.01 * total) AS low, greatest(max(v) FILTER (WHERE down >= 0.005 * total), min(v) FILTER (WHERE up >= 0.01 * total) + 1) AS high FROM c GROUP BY 1),
+ stretched AS (SELECT p.scan_id, p.y, p.x, least(greatest(floor((p.v - low) * 255 / (high - low)::double + 0.5), 0), 255)::int AS v FROM pixels p JOIN e ON e.scan_id = p.scan_id)"""
+
+
+@query("ra18_white_stretch", f"WITH {_STRETCH} SELECT * FROM stretched")
+def _(v):
+    return pixels.white_stretch(v("pixels"))
+
+
+@query("ra25_changed_fraction", f"WITH {_STRETCH} SELECT p.scan_id, avg((p.v <> s.v)::int) AS changed FROM pixels p JOIN stretched s ON s.scan_id = p.scan_id AND s.y = p.y AND s.x = p.x GROUP BY 1")
+def _(v):
+    return pixels.changed_fraction(v("pixels"), pixels.white_stretch(v("pixels")))
+
+
+@query("ra28_round_corners", f"""WITH {_TALL}, o AS (SELECT *, greatest(0, 6 - (x + 0.5), x + 0.5 - 74) AS dx, greatest(0, 6 - (y + 0.5), y + 0.5 - (height - 6)) AS dy FROM tall),
+ a AS (SELECT *, CASE WHEN dx > 0 AND dy > 0 THEN least(greatest(0.5 - (sqrt((dx * dx + dy * dy)::double) - 6), 0), 1) ELSE 1 END AS alpha FROM o) SELECT scan_id, y, x, {T6.format('v * alpha + 255 * (1 - alpha)')} AS v FROM a""")
+def _(v):
+    return pixels.round_corners(tall(v), WIDTH, 6.0).select("scan_id", "y", "x", tidy("v").alias("v"))
+
+
+@query("ra29_compose_page", f"WITH {_TALL} SELECT scan_id, (y + floor((height + 21 - height) / 2))::int AS y, (x + 10)::int AS x, v FROM tall WHERE v < 255")
+def _(v):
+    return pixels.compose_page(tall(v), WIDTH, WIDTH + 20, F.col("height") + 21)
+
+
+@query("tr10_downscale", f"""WITH s AS (SELECT *, y * 0.4::double AS ya, (y + 1) * 0.4::double AS yb, x * 0.4::double AS xa, (x + 1) * 0.4::double AS xb FROM pixels), t AS (SELECT s.*, ty.t AS ty, tx.t AS tx FROM s, range(3) a(i), range(3) b(j), LATERAL (SELECT floor(ya)::int + i AS t) ty, LATERAL (SELECT floor(xa)::int + j AS t) tx WHERE ty.t < yb - 1e-9 AND tx.t < xb - 1e-9),
+ w AS (SELECT *, (least(xb, tx + 1) - greatest(xa, tx)) * (least(yb, ty + 1) - greatest(ya, ty)) AS k FROM t) SELECT scan_id, ty AS y, tx AS x, {T3.format('sum(v * k) / sum(k)')} AS v FROM w GROUP BY ALL""")
+def _(v):
+    return pixels.downscale(v("pixels"), WIDTH, 32).withColumn("v", tidy("v", 3))
+
+
+_A = "radians(scan_id % 7 - 3)"
+_U, _Wy = f"(39.5 + (x - 39.5) * cos({_A}) + (y - (height - 1) / 2.0::double) * sin({_A}))", f"((height - 1) / 2.0::double - (x - 39.5) * sin({_A}) + (y - (height - 1) / 2.0::double) * cos({_A}))"
+
+
+@query("tr5_rotate_fine")
+def _(v):
+    return pixels.rotate_fine(tall(v), F.col("scan_id") % 7 - 3, WIDTH).withColumn("v", tidy("v", 3))
+
+
+@query("tr13_valid_footprint")
+def _(v):
+    t = tall(v)
+    return t.groupBy("scan_id").agg(F.sum(pixels.valid_footprint(WIDTH, F.col("scan_id") % 7 - 3).cast("long")).alias("valid"), F.count("*").alias("n"))
