@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platen.sources.checkpoints import checkpointed
+
 KEY = ("scan_id", "side")
 
 
@@ -47,14 +49,18 @@ def edge_candidates(scores: DataFrame, noise: DataFrame, reach: int = 2, relativ
 
 
 def refine_line(points: DataFrame, rounds: int = 4, least: int = 4) -> DataFrame:
-    """(scan_id, side, a, b, sd): least squares of v on t, dropping in each round what is over 2.5 robust deviations off (0.3 at least)."""
+    """(scan_id, side, a, b, sd): least squares of v on t, dropping in each round what is over 2.5 robust deviations off (0.3 at least).
+
+    Each round is cut off from the last, whose points it uses three times.
+    """
+    checkpointed(points.sparkSession)
     p = points.select(*KEY, "t", "v")
     line = None
     for _ in range(rounds):
         line = p.groupBy(*KEY).agg(F.regr_slope("v", "t").alias("b"), F.regr_intercept("v", "t").alias("a"), F.count("*").alias("n")).where(F.col("n") >= least)
         off = p.select(*KEY, "t", "v").join(line, [*KEY]).withColumn("off", F.abs(F.col("v") - F.col("a") - F.coalesce("b", F.lit(0.0)) * F.col("t")))
         sd = off.groupBy(*KEY).agg(F.greatest(1.4826 * F.median("off"), F.lit(0.3)).alias("sd"))
-        p = off.join(sd, [*KEY]).where(F.col("off") < 2.5 * F.col("sd")).select(*KEY, "t", "v", "sd")
+        p = off.join(sd, [*KEY]).where(F.col("off") < 2.5 * F.col("sd")).select(*KEY, "t", "v", "sd").checkpoint()
     return line.join(p.groupBy(*KEY).agg(F.first("sd").alias("sd")), [*KEY]).select(*KEY, "a", "b", "sd")
 
 

@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 from platen.functions.expr import round0, settled
 from platen.functions.skew import skew_of
 
-ROW, COLUMN = Window.partitionBy("scan_id", "y").orderBy("x"), Window.partitionBy("scan_id", "x").orderBy("y")
+
+def along_row():
+    return Window.partitionBy("scan_id", "y").orderBy("x")
+
+
+def along_column():
+    return Window.partitionBy("scan_id", "x").orderBy("y")
+
 
 
 def luminance(exact: bool = False) -> Column:
@@ -24,8 +31,8 @@ def luminance(exact: bool = False) -> Column:
 
 def box_mean(pixels: DataFrame, r: int = 15) -> DataFrame:
     """Adds mean of v over the (2r+1) square, clipped at the border: sums and counts in two window passes."""
-    p = pixels.withColumn("rs", F.sum("v").over(ROW.rangeBetween(-r, r))).withColumn("rn", F.count("*").over(ROW.rangeBetween(-r, r)))
-    return p.withColumn("mean", F.sum("rs").over(COLUMN.rangeBetween(-r, r)) / F.sum("rn").over(COLUMN.rangeBetween(-r, r))).drop("rs", "rn")
+    p = pixels.withColumn("rs", F.sum("v").over(along_row().rangeBetween(-r, r))).withColumn("rn", F.count("*").over(along_row().rangeBetween(-r, r)))
+    return p.withColumn("mean", F.sum("rs").over(along_column().rangeBetween(-r, r)) / F.sum("rn").over(along_column().rangeBetween(-r, r))).drop("rs", "rn")
 
 
 def ink_points(pixels: DataFrame, width: int, inset: float = 0.08, darker: float = 15.0) -> DataFrame:
@@ -48,7 +55,7 @@ def estimate_skew(ink: DataFrame, width: int) -> DataFrame:
 
 def gradient_profiles(pixels: DataFrame) -> DataFrame:
     """(scan_id, x, profile): per column the summed difference of its neighbours over the middle half of the rows. height is a column."""
-    d = F.abs(F.lead("v").over(ROW) - F.lag("v").over(ROW))
+    d = F.abs(F.lead("v").over(along_row()) - F.lag("v").over(along_row()))
     middle = (F.col("y") >= F.floor(F.col("height") / 4)) & (F.col("y") < F.floor(F.col("height") * 3 / 4))
     return pixels.withColumn("d", d).where(middle & F.col("d").isNotNull()).groupBy("scan_id", "x").agg(F.sum("d").alias("profile"))
 
@@ -75,16 +82,16 @@ def gaussian_blur(pixels: DataFrame, sigma: float = 1.0, radius: int = 3) -> Dat
         return sum((taps[k + radius] * at(k) for k in range(-radius, radius + 1)), F.lit(0.0))
 
     every = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return pixels.withColumn("v", along(ROW, every(ROW))).withColumn("v", along(COLUMN, every(COLUMN)))
+    return pixels.withColumn("v", along(along_row(), every(along_row()))).withColumn("v", along(along_column(), every(along_column())))
 
 
 def sobel(pixels: DataFrame) -> DataFrame:
     """Adds magnitude; 0 where a neighbour is missing."""
     side = lambda w, c: (F.lag(c).over(w), F.lead(c).over(w))
-    p = pixels.withColumns(dict(zip(("l", "r"), side(ROW, "v"), strict=True)))
+    p = pixels.withColumns(dict(zip(("l", "r"), side(along_row(), "v"), strict=True)))
     p = p.withColumn("dx", F.col("r") - F.col("l")).withColumn("sx", F.col("l") + 2 * F.col("v") + F.col("r"))
-    up, down = side(COLUMN, "dx")
-    top, bottom = side(COLUMN, "sx")
+    up, down = side(along_column(), "dx")
+    top, bottom = side(along_column(), "sx")
     p = p.withColumn("gx", up + 2 * F.col("dx") + down).withColumn("gy", bottom - top)
     return p.withColumn("magnitude", F.coalesce(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")), F.lit(0.0))).drop("l", "r", "dx", "sx", "gx", "gy")
 
