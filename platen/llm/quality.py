@@ -174,9 +174,9 @@ def trained(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, per_class:
     sample, counts = labelled_sample(docs, labels, "quality", per_class)
     rows = pooled_rows(sample.select("doc_id", "label", "text"), vectors).collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["pooled"])))
-    x = np.array([np.frombuffer(r["pooled"], np.float32) for r in rows]).reshape(len(rows), -1)
+    x = np.array([np.frombuffer(r["pooled"], np.float32) for r in rows]).reshape(len(rows), 2 * DIM + 1)
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    return fit(x if len(rows) else np.zeros((0, 2 * DIM + 1), np.float32), np.array([r["label"] for r in rows]), prior)
+    return fit(x, np.array([r["label"] for r in rows]), prior)
 
 
 def scores(docs: DataFrame, vectors: np.ndarray, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,7 +187,7 @@ def scores(docs: DataFrame, vectors: np.ndarray, network: Network, id_col: str =
         memory = BoundedMemory(bucket)
         v, net = shared.value
         for b in batches:
-            x = np.array([pooled(t, v, memory) for t in b.column(2).to_pylist()]).reshape(b.num_rows, -1)
+            x = np.array([pooled(t, v, memory) for t in b.column(2).to_pylist()]).reshape(b.num_rows, 2 * DIM + 1)
             p = net.probabilities(x) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p.astype(np.float64), pa.float64())], ["doc_id", "held_out", "score"])
 

