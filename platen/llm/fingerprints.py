@@ -62,7 +62,7 @@ def dealt(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     slices = SLICES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select("doc_id")
-    cuts = np.unique(np.array(ids.agg(F.percentile_approx("doc_id", [k / slices for k in range(1, slices)], 100 * slices)).first()[0] or [], np.int64))
+    cuts = np.unique(np.array(ids.agg(F.percentile_approx("doc_id", [k / slices for k in range(1, slices)], 10 * slices)).first()[0] or [], np.int64))
 
     def tops_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tops: dict[int, int] = {}
