@@ -34,17 +34,22 @@ def step_size(samples: DataFrame, gap: float = 1.0, width: float = 5.0, share: f
     return m.groupBy(*KEY).agg(F.when(F.count("d") > share * F.count("*"), F.median("d")).alias("step"))
 
 
-def edge_candidates(scores: DataFrame, noise: DataFrame, reach: int = 2, relative: float = 0.3) -> DataFrame:
-    """Lines that are the best among `reach` slopes and offsets either way, of a fair share of the side's best, and over the noise. The offsets' and slopes' grids are ranked, so that neighbours are rows."""
+def edge_candidates(scores: DataFrame, noise: DataFrame, places: DataFrame, covered: float = 0.4, relative: float = 0.5, reach: float = 1.5) -> DataFrame:
+    """(scan_id, side, off, slope, score): lines that no other within `reach` offsets and two slopes beats, of a share of the side's best, over the noise and 1.
+
+    places (scan_id, side, places): how many places a side was sampled at; a line seen at under `covered` of them scores 0. The noise counts for
+    no more than a third of the median over offsets of the best score there.
+    """
     side = Window.partitionBy(*KEY)
-    s = scores.withColumn("io", F.dense_rank().over(side.orderBy("off"))).withColumn("isl", F.dense_rank().over(side.orderBy("slope"))).withColumn("best", F.max("score").over(side))
-    near = F.max("score").over(Window.partitionBy(*KEY, "off").orderBy("isl").rangeBetween(-reach, reach))
-    s = s.withColumn("m", near)
+    s = scores.join(places, [*KEY]).withColumn("score", F.when(F.col("n") < covered * F.col("places"), 0.0).otherwise(F.col("score")))
+    s = s.withColumn("isl", F.dense_rank().over(side.orderBy("slope"))).withColumn("best", F.max("score").over(side)).select(*KEY, "off", "slope", "score", "isl", "best")
+    typical = s.groupBy(*KEY, "off").agg(F.max("score").alias("m")).groupBy(*KEY).agg(F.greatest(F.median("m"), F.lit(1e-6)).alias("typical"))
+    floor = noise.join(typical, [*KEY]).select(*KEY, F.least("noise", F.col("typical") / 3).alias("floor"))
     p, q = s.alias("p"), s.alias("q")
-    around = (F.col("p.scan_id") == F.col("q.scan_id")) & (F.col("p.side") == F.col("q.side")) & (F.abs(F.col("p.io") - F.col("q.io")) <= reach) & (F.abs(F.col("p.isl") - F.col("q.isl")) <= reach)
+    around = (F.col("p.scan_id") == F.col("q.scan_id")) & (F.col("p.side") == F.col("q.side")) & (F.abs(F.col("p.off") - F.col("q.off")) <= reach) & (F.abs(F.col("p.isl") - F.col("q.isl")) <= 2)
     top = p.join(q, around).groupBy("p.scan_id", "p.side", "p.off", "p.slope").agg(F.max("q.score").alias("top"))
-    j = s.join(top, [*KEY, "off", "slope"]).join(noise, [*KEY])
-    good = (F.col("score") >= F.col("top")) & (F.col("score") >= relative * F.col("best")) & (F.col("score") >= 1) & (F.col("score") >= 6 * F.least(F.col("noise"), F.col("best") / 18))
+    j = s.join(top, [*KEY, "off", "slope"]).join(floor, [*KEY])
+    good = (F.col("score") > 0) & (F.col("score") >= F.col("top")) & (F.col("score") >= relative * F.col("best")) & (F.col("score") >= 1) & (F.col("score") >= 6 * F.col("floor"))
     return j.where(good).select(*KEY, "off", "slope", "score")
 
 
@@ -72,12 +77,22 @@ def continuity(samples: DataFrame, least: int = 20) -> DataFrame:
     return j.select(*KEY, F.when(F.col("n") < least, 1.0).otherwise(F.col("c")).alias("continuity"))
 
 
-def judge_edges(bands: DataFrame) -> DataFrame:
-    """Adds internal (an edge within the document) and broken to edges with the colour distance, print densities and step across them, and their continuity."""
-    same_paper = (F.col("distance") < 18) & (F.abs(F.col("density_in") - F.col("density_out")) < 0.05)
-    text_block = (F.col("density_in") > 0.1) & (F.col("density_out") < 0.02) & (F.col("distance") < 18)
-    crease = F.coalesce(F.col("step") < 12, F.lit(False))
-    return bands.withColumn("internal", same_paper | text_block | crease).withColumn("broken", F.col("continuity") < 0.5)
+def judge_edges(bands: DataFrame, gap: float = 3.0) -> DataFrame:
+    """Adds internal (a line within the document) and broken (internal for being patchy alone) to candidate lines.
+
+    Columns: across (the frame's size), model_gap (how near the model's outline comes to the frame), to_border (of the line), past (print density from the
+    line to the frame), beyond and inside (densities in bands on either side), distance (of those bands' colours), close_out, close_in (densities
+    right beside it) and plain_distance (of the plain colours there), step, continuity. What isn't known is null.
+    """
+    low, high = (lambda a, b: F.least(a, b)), (lambda a, b: F.greatest(a, b))
+    d, b, i = F.col("distance"), F.col("beyond"), F.col("inside")
+    cut_off = (F.col("model_gap") <= F.greatest(1.5 * F.col("across") / 256, F.lit(4.0))) & (F.col("to_border") >= gap + 1) & (F.col("past") >= 0.1)
+    print_line = (d < 18) & (low(b, i) >= 0.02) & (F.abs(b - i) < 0.66 * high(b, i))
+    block = (high(F.col("close_in"), F.col("close_out")) >= 0.1) & (low(F.col("close_in"), F.col("close_out")) < 0.03) & (F.col("plain_distance") < 25)
+    crease = (d < 12) & (high(b, i) < 0.02) & (F.coalesce("step", F.lit(99.0)) < 12)
+    no = lambda c: F.coalesce(c, F.lit(False))
+    judged = no(cut_off) | (no(F.col("to_border") >= gap + 4) & b.isNotNull() & i.isNotNull() & (no(print_line) | no(block) | no(crease)))
+    return bands.withColumn("rule", judged).withColumn("broken", ~F.col("rule") & (F.col("continuity") < 0.5)).withColumn("internal", F.col("rule") | F.col("broken")).drop("rule")
 
 
 def pick_cluster(candidates: DataFrame, gap: float = 6.0) -> DataFrame:

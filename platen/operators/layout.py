@@ -146,10 +146,11 @@ def sheet_facts(items: DataFrame) -> DataFrame:
     return items.groupBy("sheet_id").agg(F.count("*").alias("items"), F.count_distinct(size).alias("sizes")).withColumn("each", F.col("sizes") == 1)
 
 
-def describe_detection(quads: DataFrame) -> DataFrame:
-    """Adds text from how many sides were measured (n_measured), card and skew."""
-    sides = F.when(F.col("card"), "card, all edges measured").when(F.col("n_measured") == 4, "all edges measured").when(F.col("n_measured") == 0, "whole page").otherwise(F.concat(F.col("n_measured").cast("string"), F.lit(" of 4 edges measured")))
-    return quads.withColumn("text", F.concat(sides, F.when(F.abs("skew") >= 0.05, F.format_string(", turned %.1f degrees", "skew")).otherwise("")))
+def describe_detection(results: DataFrame) -> DataFrame:
+    """Adds text of a detection: a card, the whole photo, or a document squared up or not with n_measured of its sides measured; and its skew from 0.05 degrees up."""
+    sides = F.concat(F.lit(", "), F.col("n_measured").cast("string"), F.lit(" of 4 edges measured"))
+    found = F.when(F.col("card"), "card, squared up").when(F.col("whole"), "whole photo kept").otherwise(F.concat(F.when(F.col("fitted"), "document, squared up").otherwise("document"), sides))
+    return results.withColumn("text", F.concat(found, F.when(F.abs("skew") >= 0.05, F.format_string(", turned %.1f degrees", F.abs("skew"))).otherwise("")))
 
 
 def preset_height(fit, typed_w, preset_w, preset_h) -> Column:

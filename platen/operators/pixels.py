@@ -157,3 +157,69 @@ def round_corners(pixels: DataFrame, width: int, radius: float) -> DataFrame:
 def compose_page(content: DataFrame, width: int, page_w: int, page_h: Column) -> DataFrame:
     """The content's pixels that are not white, centred on a page: all else of the page is white and has no row."""
     return content.where("v < 255").select("scan_id", (F.col("y") + F.floor((page_h - F.col("height")) / 2)).cast("int").alias("y"), (F.col("x") + (page_w - width) // 2).cast("int").alias("x"), "v")
+
+
+def median9(pixels: DataFrame, r: int = 4) -> DataFrame:
+    """Adds median of v over the (2r+1) square, the border's values going on outside it: nine values along each row, then nine such lists down each column."""
+
+    def along(w, what: str) -> list[Column]:
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return [F.coalesce(F.lag(what, k).over(w), F.first(what).over(whole)) for k in range(r, 0, -1)] + [F.col(what)] + [F.coalesce(F.lead(what, k).over(w), F.last(what).over(whole)) for k in range(1, r + 1)]
+
+    p = pixels.withColumn("near", F.array(*along(along_row(), "v")))
+    middle = (2 * r + 1) ** 2 // 2 + 1
+    return p.withColumn("median", F.element_at(F.sort_array(F.concat(*along(along_column(), "near"))), middle)).drop("near")
+
+
+def print_map(pixels: DataFrame, valid: Column, apart: float = 28) -> DataFrame:
+    """(scan_id, y, x, v): 2 where it is no photo, 1 where a pixel stands out from the median around it, else 0."""
+    return median9(pixels).select("scan_id", "y", "x", F.when(~valid, 2).when(F.abs(F.col("v") - F.col("median")) > apart, 1).otherwise(0).alias("v"))
+
+
+def clahe(pixels: DataFrame, width: int, clip: float = 2.0, tiles: int = 8) -> DataFrame:
+    """(scan_id, y, x, v): contrast evened out with clipped histograms of tiles x tiles, blended between the four nearest tiles. height is a column.
+
+    A tile's table is worked out for the values that its scan has, and pixels meet it by an equi-join.
+    """
+    size = lambda n: F.ceil(n / tiles)
+    p = settled(pixels, tw=size(F.lit(width)).cast("int"), th=size(F.col("height")).cast("int"))
+    p = settled(p, tx=F.floor(F.col("x") / F.col("tw")).cast("int"), ty=F.floor(F.col("y") / F.col("th")).cast("int"))
+    bins = p.groupBy("scan_id", "ty", "tx", "v").agg(F.count("*").alias("c"))
+    n = bins.groupBy("scan_id", "ty", "tx").agg(F.sum("c").alias("n"))
+    bins = bins.join(n, ["scan_id", "ty", "tx"]).withColumn("limit", F.greatest(clip * F.col("n") / 256, F.lit(1.0)))
+    excess = bins.groupBy("scan_id", "ty", "tx").agg(F.sum(F.greatest(F.col("c") - F.col("limit"), F.lit(0.0))).alias("excess"), F.first("n").alias("n"))
+    grid = excess.join(bins.select("scan_id", "v").distinct(), "scan_id").join(bins.select("scan_id", "ty", "tx", "v", F.least("c", "limit").alias("kept")), ["scan_id", "ty", "tx", "v"], "left")
+    up = Window.partitionBy("scan_id", "ty", "tx").orderBy("v")
+    table = grid.select("scan_id", "ty", "tx", "v", ((F.sum(F.coalesce("kept", F.lit(0.0))).over(up) + F.col("excess") * (F.col("v") + 1) / 256) * 255 / F.col("n")).alias("to"))
+    last = p.groupBy("scan_id").agg(F.max("tx").alias("mx"), F.max("ty").alias("my"))
+    q = settled(p.join(last, "scan_id"), fx=(F.col("x") + 0.5) / F.col("tw") - 0.5, fy=(F.col("y") + 0.5) / F.col("th") - 0.5)
+    q = settled(q, ax=F.floor("fx"), ay=F.floor("fy"))
+    wx, wy = F.col("fx") - F.col("ax"), F.col("fy") - F.col("ay")
+    at = lambda a, i, m: F.least(F.greatest(F.col(a) + i, F.lit(0)), F.col(m)).cast("int")
+    four = F.array(*(F.struct(at("ax", i, "mx").alias("tx"), at("ay", j, "my").alias("ty"), ((wx if i else 1 - wx) * (wy if j else 1 - wy)).alias("k")) for i in (0, 1) for j in (0, 1)))
+    near = q.select("scan_id", "y", "x", "v", F.inline(four))
+    # A tile that the last, short row leaves out has no table: the others share its weight.
+    j = near.join(table, ["scan_id", "ty", "tx", "v"]).groupBy("scan_id", "y", "x").agg((F.sum(F.col("k") * F.col("to")) / F.sum("k")).alias("v"))
+    return j
+
+
+def energy_map(pixels: DataFrame) -> DataFrame:
+    """(scan_id, y, x, v): blurred edge energy of each scan on 0..255: the sum of both gradients' sizes over a 31 x 31 neighbourhood."""
+    b = gaussian_blur(pixels)
+    g = b.withColumn("v", F.coalesce(F.abs(F.lead("v").over(along_row()) - F.lag("v").over(along_row())), F.lit(0.0)) + F.coalesce(F.abs(F.lead("v").over(along_column()) - F.lag("v").over(along_column())), F.lit(0.0)))
+    m, scan = box_mean(g), Window.partitionBy("scan_id")
+    low, high = F.min("mean").over(scan), F.max("mean").over(scan)
+    return m.withColumn("e", F.coalesce(F.try_divide((F.col("mean") - low) * 255, high - low), F.lit(0.0))).select("scan_id", "y", "x", F.col("e").alias("v"))
+
+
+def extract_rotated(pixels: DataFrame, rects: DataFrame) -> DataFrame:
+    """(scan_id, y, x, v): the straightened crop of each scan's rectangle (cx, cy, w, h in pixels, angle), white outside the frame: each target takes its four source neighbours."""
+    r = settled(rects, ow=F.greatest(F.lit(1), round0("w")).cast("int"), oh=F.greatest(F.lit(1), round0("h")).cast("int"), c=F.cos(F.radians("angle")), s=F.sin(F.radians("angle")))
+    t = r.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("oh") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("ow") - 1)))
+    dx, dy = F.col("x") - (F.col("ow") - 1) / 2, F.col("y") - (F.col("oh") - 1) / 2
+    t = settled(t, u=F.col("cx") + dx * F.col("c") - dy * F.col("s"), q=F.col("cy") + dx * F.col("s") + dy * F.col("c"))
+    t = settled(t, u0=F.floor("u"), q0=F.floor("q"))
+    fx, fy = F.col("u") - F.col("u0"), F.col("q") - F.col("q0")
+    four = F.array(*(F.struct((F.col("u0") + i).cast("int").alias("sx"), (F.col("q0") + j).cast("int").alias("sy"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("k")) for i in (0, 1) for j in (0, 1)))
+    src = pixels.select("scan_id", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
+    return t.select("scan_id", "y", "x", F.inline(four)).where("k > 0").join(src, ["scan_id", "sy", "sx"], "left").groupBy("scan_id", "y", "x").agg(F.sum(F.col("k") * F.coalesce("v", F.lit(255))).alias("v"))

@@ -133,3 +133,36 @@ def size_class(sizes: DataFrame, classes: DataFrame) -> DataFrame:
     """(class, n): how many sizes fall in each class's ranges of millimetres."""
     inside = F.col("long_mm").between(F.col("long_low"), F.col("long_high")) & F.col("short_mm").between(F.col("short_low"), F.col("short_high"))
     return sizes.join(F.broadcast(classes), inside).groupBy("class").agg(F.count("*").alias("n"))
+
+
+def clean_rectangle(shapes: DataFrame) -> DataFrame:
+    """(scan_id, mask_id): of scans whose best-scored mask is not like a document, the largest that could be a whole one, the first of equals."""
+    best = shapes.groupBy("scan_id").agg(F.max_by("document_like", F.struct("score", -F.col("mask_id"))).alias("like"), F.max_by("mask_id", F.when(F.col("whole_like"), F.struct("area", -F.col("mask_id")))).alias("mask_id"))
+    return best.where(~F.col("like") & F.col("mask_id").isNotNull()).select("scan_id", "mask_id")
+
+
+def prefer_whole(winners: DataFrame, candidates: DataFrame, slack: float = 0.01, larger: float = 1.15) -> DataFrame:
+    """(scan_id, cand_id, method): the largest candidate that holds a scan's winner, is clearly larger and doesn't go on beyond its box; else the whole page if print goes on beyond the winner; else the winner.
+
+    Both have the box x0, y0, x1, y1, its area and beyond.
+    """
+    w, c = winners.alias("w"), candidates.alias("c")
+    holds = (F.col("c.scan_id") == F.col("w.scan_id")) & (F.col("c.area") > larger * F.col("w.area")) & (F.col("c.x0") <= F.col("w.x0") + slack) & (F.col("c.y0") <= F.col("w.y0") + slack) & (F.col("c.x1") >= F.col("w.x1") - slack) & (F.col("c.y1") >= F.col("w.y1") - slack) & ~F.col("c.beyond")
+    wholes = w.join(c, holds).groupBy("w.scan_id").agg(F.max_by("c.cand_id", F.struct("c.area", -F.col("c.cand_id"))).alias("whole_id"))
+    j = winners.join(wholes, "scan_id", "left")
+    page = F.col("whole_id").isNull() & F.col("beyond")
+    return j.select("scan_id", F.when(~page, F.coalesce("whole_id", "cand_id")).alias("cand_id"), F.when(page, "page").otherwise("vote").alias("method"))
+
+
+def detection_result(scans: DataFrame, ring: DataFrame, clean: DataFrame, vote: DataFrame) -> DataFrame:
+    """(scan_id, mask_id, method) by the first that applies: a document-like best mask, grown if a larger one adds printed ring; a clean rectangle; the vote; the best mask; the whole page.
+
+    scans: scan_id, best_id, best_like (both null: the frame gave no shape). ring, clean, vote: scan_id and mask_id (null in vote: the page).
+    """
+    r, c = ring.select("scan_id", F.col("mask_id").alias("ring_id")), clean.select("scan_id", F.col("mask_id").alias("clean_id"))
+    v = vote.select("scan_id", F.col("mask_id").alias("vote_id"), F.lit(True).alias("voted"))
+    j = scans.join(r, "scan_id", "left").join(c, "scan_id", "left").join(v, "scan_id", "left")
+    like = F.coalesce("best_like", F.lit(False))
+    mask = F.when(like, F.coalesce("ring_id", "best_id")).when(F.col("clean_id").isNotNull(), F.col("clean_id")).when(F.col("voted"), F.col("vote_id")).otherwise(F.col("best_id"))
+    method = F.when(like | F.col("clean_id").isNotNull(), "frame").when(F.col("voted"), F.when(F.col("vote_id").isNull(), "page").otherwise("vote")).when(F.col("best_id").isNull(), "page").otherwise("frame")
+    return j.select("scan_id", mask.alias("mask_id"), method.alias("method"))

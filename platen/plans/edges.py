@@ -42,15 +42,24 @@ def _(v):
     return edges.step_size(samples(v)).withColumn("step", tidy("step"))
 
 
-_CANDS = """r AS (SELECT *, dense_rank() OVER (PARTITION BY scan_id, side ORDER BY off) AS io, dense_rank() OVER (PARTITION BY scan_id, side ORDER BY slope) AS isl, max(score) OVER (PARTITION BY scan_id, side) AS best FROM scores),
- cands AS (SELECT p.scan_id, p.side, p.off, p.slope, p.score FROM r p JOIN noise n ON n.scan_id = p.scan_id AND n.side = p.side WHERE p.score >= 0.3 * p.best AND p.score >= 1 AND p.score >= 6 * least(n.noise, p.best / 18)
- AND p.score >= (SELECT max(q.score) FROM r q WHERE q.scan_id = p.scan_id AND q.side = p.side AND abs(q.io - p.io) <= 2 AND abs(q.isl - p.isl) <= 2))"""
+_CANDS = """r AS (SELECT *, dense_rank() OVER (PARTITION BY scan_id, side ORDER BY slope) AS isl, max(score) OVER (PARTITION BY scan_id, side) AS best FROM
+  (SELECT scan_id, side, off, slope, CASE WHEN n < 0.03 * places THEN 0 ELSE score END AS score FROM scores JOIN (SELECT scan_id, side, count(DISTINCT t) AS places FROM s GROUP BY ALL) USING (scan_id, side))),
+ typical AS (SELECT scan_id, side, greatest(quantile_cont(m, 0.5), 1e-6) AS typical FROM (SELECT scan_id, side, off, max(score) AS m FROM r GROUP BY ALL) GROUP BY ALL),
+ cands AS (SELECT p.scan_id, p.side, p.off, p.slope, p.score FROM r p JOIN noise n ON n.scan_id = p.scan_id AND n.side = p.side JOIN typical t ON t.scan_id = p.scan_id AND t.side = p.side
+ WHERE p.score > 0 AND p.score >= 0.5 * p.best AND p.score >= 1 AND p.score >= 6 * least(n.noise, t.typical / 3)
+ AND p.score >= (SELECT max(q.score) FROM r q WHERE q.scan_id = p.scan_id AND q.side = p.side AND abs(q.off - p.off) <= 1.5 AND abs(q.isl - p.isl) <= 2))"""
 
 
-@query("ft5_edge_candidates", f"WITH {_S}, {_SCORES}, {_NOISE}, {_CANDS} SELECT scan_id, side, off, slope, {T6.format('score')} AS score FROM cands")
+_S5 = "s AS (SELECT scan_id % 97 AS scan_id, side, off, slope, t, gr * k AS gr, gg * k AS gg, gb * k AS gb, ok FROM (SELECT *, CASE WHEN abs(off) <= 0.5 THEN 5 ELSE 1 END AS k FROM edge_samples))"
+
+
+@query("ft5_edge_candidates", f"WITH {_S5}, {_SCORES}, {_NOISE}, {_CANDS} SELECT scan_id, side, off, slope, {T6.format('score')} AS score FROM cands")
 def _(v):
-    s = samples(v)
-    return edges.edge_candidates(edges.line_scores(s), edges.edge_noise(s)).withColumn("score", tidy("score"))
+    """The derived samples have no edge and put few places on a line: gradients near offset 0 are raised, and the share that must be covered is small."""
+    k = F.when(F.abs("off") <= 0.5, 5).otherwise(1)
+    s = samples(v).withColumns({c: F.col(c) * k for c in ("gr", "gg", "gb")})
+    places = s.groupBy("scan_id", "side").agg(F.count_distinct("t").alias("places"))
+    return edges.edge_candidates(edges.line_scores(s), edges.edge_noise(s), places, covered=0.03).withColumn("score", tidy("score"))
 
 
 @query("ft6_refine_line")
@@ -67,11 +76,16 @@ def _(v):
     return edges.continuity(samples(v))
 
 
-@query("ft9_judge_edges", """WITH b AS (SELECT l_orderkey AS scan_id, cand_id, (pk % 40)::double AS distance, (sk % 20) / 100.0::double AS density_in, (pk % 15) / 100.0::double AS density_out, CASE WHEN pk % 4 = 0 THEN NULL ELSE (sk % 40)::double END AS step, (pk % 10) / 10.0::double AS continuity FROM lines)
- SELECT scan_id, cand_id, (distance < 18 AND abs(density_in - density_out) < 0.05) OR (density_in > 0.1 AND density_out < 0.02 AND distance < 18) OR coalesce(step < 12, false) AS internal, continuity < 0.5 AS broken FROM b""")
+@query("ft9_judge_edges", """WITH b AS (SELECT l_orderkey AS scan_id, cand_id, 1000.0::double AS across, (pk % 23)::double AS model_gap, (sk % 31)::double AS to_border, (pk % 17) / 50.0::double AS past, (pk % 40)::double AS distance,
+ CASE WHEN pk % 9 = 0 THEN NULL ELSE (sk % 20) / 100.0::double END AS beyond, (pk % 15) / 100.0::double AS inside, (pk % 19) / 100.0::double AS close_in, (sk % 16) / 100.0::double AS close_out, (sk % 45)::double AS plain_distance,
+ CASE WHEN pk % 4 = 0 THEN NULL ELSE (sk % 40)::double END AS step, (pk % 10) / 10.0::double AS continuity FROM lines),
+ r AS (SELECT *, coalesce(model_gap <= greatest(1.5 * across / 256, 4) AND to_border >= 4 AND past >= 0.1, false) OR (to_border >= 7 AND beyond IS NOT NULL AND
+ ((distance < 18 AND least(beyond, inside) >= 0.02 AND abs(beyond - inside) < 0.66 * greatest(beyond, inside)) OR (greatest(close_in, close_out) >= 0.1 AND least(close_in, close_out) < 0.03 AND plain_distance < 25)
+ OR (distance < 12 AND greatest(beyond, inside) < 0.02 AND coalesce(step, 99) < 12))) AS rule FROM b) SELECT scan_id, cand_id, rule OR continuity < 0.5 AS internal, NOT rule AND continuity < 0.5 AS broken FROM r""")
 def _(v):
     pk, sk = F.col("pk"), F.col("sk")
-    b = v("lines").select(F.col("l_orderkey").alias("scan_id"), "cand_id", (pk % 40).cast("double").alias("distance"), (sk % 20 / 100.0).alias("density_in"), (pk % 15 / 100.0).alias("density_out"), F.when(pk % 4 != 0, (sk % 40).cast("double")).alias("step"), (pk % 10 / 10.0).alias("continuity"))
+    real = {"across": F.lit(1000.0), "model_gap": pk % 23, "to_border": sk % 31, "past": pk % 17 / 50.0, "distance": pk % 40, "beyond": F.when(pk % 9 != 0, sk % 20 / 100.0), "inside": pk % 15 / 100.0, "close_in": pk % 19 / 100.0, "close_out": sk % 16 / 100.0, "plain_distance": sk % 45, "step": F.when(pk % 4 != 0, sk % 40), "continuity": pk % 10 / 10.0}
+    b = v("lines").select(F.col("l_orderkey").alias("scan_id"), "cand_id", *(c.cast("double").alias(n) for n, c in real.items()))
     return edges.judge_edges(b).select("scan_id", "cand_id", "internal", "broken")
 
 

@@ -34,14 +34,18 @@ def _(v):
 
 
 @query("st4_transfer_rate", f"""WITH l AS (SELECT run_id, event_id, ts, ms AS loaded, 500.0::double AS total, first_value(ts) OVER r AS t0, first_value(ms) OVER r AS b0 FROM progress WINDOW r AS (PARTITION BY run_id ORDER BY ts, event_id)),
- e AS (SELECT *, (epoch_us(ts) - epoch_us(t0)) / 1e6 AS s FROM l), q AS (SELECT *, CASE WHEN s >= 0.8 AND loaded > b0 THEN (loaded - b0) / s END AS r FROM e)
+ e AS (SELECT *, (epoch_us(ts) - epoch_us(t0)) / 1e6 AS s FROM l), q AS (SELECT *, CASE WHEN s > 0.8 AND loaded > b0 THEN (loaded - b0) / s END AS r FROM e)
  SELECT run_id, event_id, {T6.format('r * 1e3')} AS rate, CASE WHEN r IS NOT NULL THEN floor((total - loaded) / r + 0.5) END AS eta FROM q""")
 def _(v):
     l = state.transfer_rate(v("progress").withColumn("loaded", F.col("ms")).withColumn("total", F.lit(500.0)))  # noqa: E741
     return l.select("run_id", "event_id", tidy(F.col("rate") * 1e3).alias("rate"), F.floor(F.col("eta") + 0.5).cast("double").alias("eta"))
 
 
-@query("st5_step_state")
+@query("st5_step_state", """WITH RECURSIVE o AS (SELECT run_id, event_id % 5 AS step, event_id % 11 = 0 AS failed, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY run_id) AS n FROM progress),
+ f AS (SELECT run_id, 0::bigint AS k, n, ['pending', 'pending', 'pending', 'pending', 'pending'] AS s FROM o WHERE k = 1 UNION ALL
+ SELECT o.run_id, o.k, o.n, CASE WHEN o.failed THEN list_transform(f.s, lambda old: CASE WHEN old = 'active' THEN 'failed' ELSE old END) WHEN f.s[o.step + 1] = 'pending' THEN
+ list_transform(f.s, lambda old, i: CASE WHEN i = o.step + 1 THEN 'active' WHEN i <= o.step AND old = 'pending' THEN 'dropped' WHEN i <= o.step AND old = 'active' THEN 'done' ELSE old END) ELSE f.s END
+ FROM f JOIN o ON o.run_id = f.run_id AND o.k = f.k + 1) SELECT run_id, (generate_subscripts(s, 1) - 1)::int AS step, unnest(s) AS state FROM f WHERE k = n""")
 def _(v):
     p = v("progress").withColumn("step", (F.col("event_id") % 5).cast("int")).withColumn("failed", F.col("event_id") % 11 == 0)
     return state.step_state(p, 5)
@@ -90,7 +94,7 @@ def _(v):
     return state.edit_invalidation(e)
 
 
-@query("st13_format_progress", """SELECT event_id, format('{:.1f} s, ', floor(ms * 100 / 100 + 0.5) / 10) || CASE WHEN event_id * 40000 / 1e6 >= 10 THEN format('{:.0f} MB', floor(event_id * 40000 / 1e6 + 0.5)) ELSE format('{:.1f} MB', floor(event_id * 40000 / 1e6 * 10 + 0.5) / 10) END AS text FROM progress""")
+@query("st13_format_progress", """SELECT event_id, format('{:d} s, ', floor(ms * 100 / 1000 + 0.5)::bigint) || CASE WHEN event_id * 40000 / 1e6 >= 10 THEN format('{:.0f} MB', floor(event_id * 40000 / 1e6 + 0.5)) ELSE format('{:.1f} MB', floor(event_id * 40000 / 1e6 * 10 + 0.5) / 10) END AS text FROM progress""")
 def _(v):
     return v("progress").select("event_id", state.progress_text(F.col("ms") * 100, F.col("event_id") * 40000).alias("text"))
 
@@ -194,7 +198,7 @@ def _(v):
 
 
 @query("src8_vote_prompts", """WITH p AS (SELECT 0 AS prompt_id, 'box' AS kind, 0.1::double AS x0, 0.1::double AS y0, 0.9::double AS x1, 0.9::double AS y1 UNION ALL SELECT 1, 'box', 0.2, 0.2, 0.8, 0.8
- UNION ALL SELECT (2 + i * 3 + j)::int, 'point', (j + 1) / 4.0::double, (i + 1) / 4.0::double, NULL, NULL FROM range(3) a(i), range(3) b(j)) SELECT scan_id, p.* FROM scans, p""")
+ UNION ALL SELECT (2 + i * 3 + j)::int, 'point', (j + 0.5::double) / 3, (i + 0.5::double) / 3, NULL, NULL FROM range(3) a(i), range(3) b(j)) SELECT scan_id, p.* FROM scans, p""")
 def _(v):
     return scans.with_prompts(v("scans").select("scan_id"), scans.vote_prompts(v.spark))
 

@@ -135,10 +135,11 @@ def _(v):
     return layout.sheet_facts(layout.natural_sizes(tray(v)).withColumnsRenamed({"nat_w": "w", "nat_h": "h"}))
 
 
-@query("ly11_describe_detection", """WITH d AS (SELECT scan_id, cand_id, kind_min = 3 AS card, (kind_min + cand_id) % 5 AS n, (cand_id % 9 - 4) / 10.0::double AS skew FROM quads) SELECT scan_id, cand_id,
- CASE WHEN card THEN 'card, all edges measured' WHEN n = 4 THEN 'all edges measured' WHEN n = 0 THEN 'whole page' ELSE n || ' of 4 edges measured' END || CASE WHEN abs(skew) >= 0.05 THEN format(', turned {:.1f} degrees', skew) ELSE '' END AS text FROM d""")
+@query("ly11_describe_detection", """WITH d AS (SELECT scan_id, cand_id, kind_min = 3 AS card, whole, cand_id % 2 = 0 AS fitted, (kind_min + cand_id) % 5 AS n, (cand_id % 9 - 4) / 10.0::double AS skew FROM quads) SELECT scan_id, cand_id,
+ CASE WHEN card THEN 'card, squared up' WHEN whole THEN 'whole photo kept' ELSE CASE WHEN fitted THEN 'document, squared up' ELSE 'document' END || ', ' || n || ' of 4 edges measured' END
+ || CASE WHEN abs(skew) >= 0.05 THEN format(', turned {:.1f} degrees', abs(skew)) ELSE '' END AS text FROM d""")
 def _(v):
-    q = v("quads").select("scan_id", "cand_id", (F.col("kind_min") == 3).alias("card"), ((F.col("kind_min") + F.col("cand_id")) % 5).alias("n_measured"), ((F.col("cand_id") % 9 - 4) / 10.0).alias("skew"))
+    q = v("quads").select("scan_id", "cand_id", "whole", (F.col("kind_min") == 3).alias("card"), (F.col("cand_id") % 2 == 0).alias("fitted"), ((F.col("kind_min") + F.col("cand_id")) % 5).alias("n_measured"), ((F.col("cand_id") % 9 - 4) / 10.0).alias("skew"))
     return layout.describe_detection(q).select("scan_id", "cand_id", "text")
 
 

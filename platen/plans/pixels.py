@@ -118,12 +118,60 @@ _A = "radians(scan_id % 7 - 3)"
 _U, _Wy = f"(39.5 + (x - 39.5) * cos({_A}) + (y - (height - 1) / 2.0::double) * sin({_A}))", f"((height - 1) / 2.0::double - (x - 39.5) * sin({_A}) + (y - (height - 1) / 2.0::double) * cos({_A}))"
 
 
-@query("tr5_rotate_fine")
+_FOUR = """n AS (SELECT scan_id, y, x, floor(u)::int + i.i AS sx, floor(w)::int + j.j AS sy, CASE WHEN i.i = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END * CASE WHEN j.j = 1 THEN w - floor(w) ELSE 1 - (w - floor(w)) END AS k FROM t, range(2) i(i), range(2) j(j)),
+ r AS (SELECT n.scan_id, n.y, n.x, sum(k * coalesce(p.v, 255)) AS v FROM n LEFT JOIN pixels p ON p.scan_id = n.scan_id AND p.x = n.sx AND p.y = n.sy WHERE k > 0 GROUP BY ALL)"""
+
+
+@query("tr5_rotate_fine", f"WITH {_TALL}, t AS (SELECT scan_id, y, x, {_U} AS u, {_Wy} AS w FROM tall), {_FOUR} SELECT scan_id, y, x, {T3.format('v')} AS v FROM r")
 def _(v):
     return pixels.rotate_fine(tall(v), F.col("scan_id") % 7 - 3, WIDTH).withColumn("v", tidy("v", 3))
 
 
+@query("tr8_extract_rotated", f"""WITH rects AS (SELECT doc_id AS scan_id, 40.0::double AS cx, 10.0 + doc_id % 5::double AS cy, 30.0 + doc_id % 7::double AS w, 11.0 + doc_id % 4::double AS h, radians(doc_id % 31 - 15) AS a FROM documents),
+ t0 AS (SELECT r.*, x.x, y.y, x.x - (w - 1) / 2 AS dx, y.y - (h - 1) / 2 AS dy FROM rects r, range(40) x(x), range(20) y(y) WHERE x.x < r.w AND y.y < r.h), t AS (SELECT scan_id, y, x, cx + dx * cos(a) - dy * sin(a) AS u, cy + dx * sin(a) + dy * cos(a) AS w FROM t0), {_FOUR}
+ SELECT scan_id, y, x, {T3.format('v')} AS v FROM r""")
+def _(v):
+    k = F.col("doc_id")
+    r = v("documents").select(k.alias("scan_id"), F.lit(40.0).alias("cx"), (10.0 + k % 5).alias("cy"), (30.0 + k % 7).alias("w"), (11.0 + k % 4).alias("h"), (k % 31 - 15).alias("angle"))
+    return pixels.extract_rotated(v("pixels"), r).withColumn("v", tidy("v", 3))
+
+
 @query("tr13_valid_footprint")
 def _(v):
     t = tall(v)
     return t.groupBy("scan_id").agg(F.sum(pixels.valid_footprint(WIDTH, F.col("scan_id") % 7 - 3).cast("long")).alias("valid"), F.count("*").alias("n"))
+
+
+def _list9(what, axis, other, out, source):
+    at = lambda k: what if k == 0 else f"coalesce(lag({what}, {-k}) OVER w, first_value({what}) OVER e)" if k < 0 else f"coalesce(lead({what}, {k}) OVER w, last_value({what}) OVER e)"
+    parts = ", ".join(at(k) for k in range(-4, 5))
+    made = f"[{parts}]" if what == "v" else "list_concat(" * 8 + at(-4) + "".join(f", {at(k)})" for k in range(-3, 5))
+    return f"{out} AS (SELECT scan_id, y, x, v, {made} AS {'near' if what == 'v' else 'around'} FROM {source} WINDOW w AS (PARTITION BY scan_id, {other} ORDER BY {axis}), e AS (PARTITION BY scan_id, {other} ORDER BY {axis} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+
+
+_MEDIAN = f"{_list9('v', 'x', 'y', 'along', '(SELECT * FROM pixels)')}, {_list9('near', 'y', 'x', 'square', 'along')}, medians AS (SELECT scan_id, y, x, v, list_sort(around)[41] AS median FROM square)"
+
+
+@query("ra12_median9", f"WITH {_MEDIAN} SELECT scan_id, y, x, median FROM medians")
+def _(v):
+    return pixels.median9(v("pixels")).select("scan_id", "y", "x", "median")
+
+
+@query("ra13_print_map", f"WITH {_MEDIAN} SELECT scan_id, y, x, CASE WHEN x < 4 OR x > 75 THEN 2 WHEN abs(v - median) > 28 THEN 1 ELSE 0 END AS v FROM medians")
+def _(v):
+    return pixels.print_map(v("pixels"), F.col("x").between(4, 75))
+
+
+@query("ra17_clahe", f"""WITH {_TALL}, p AS (SELECT *, 10 AS tw, ceil(height / 8.0)::int AS th FROM tall), q AS (SELECT *, floor(x / tw)::int AS tx, floor(y / th)::int AS ty FROM p), b0 AS (SELECT scan_id, ty, tx, v, count(*) AS c FROM q GROUP BY ALL),
+ b AS (SELECT *, sum(c) OVER w AS n, greatest(2.0::double * sum(c) OVER w / 256, 1) AS lim FROM b0 WINDOW w AS (PARTITION BY scan_id, ty, tx)), e AS (SELECT scan_id, ty, tx, sum(greatest(c - lim, 0)) AS excess, any_value(n) AS n FROM b GROUP BY ALL),
+ g AS (SELECT e.*, d.v, coalesce(least(b.c, b.lim), 0) AS kept FROM e JOIN (SELECT DISTINCT scan_id, v FROM b0) d ON d.scan_id = e.scan_id LEFT JOIN b ON b.scan_id = e.scan_id AND b.ty = e.ty AND b.tx = e.tx AND b.v = d.v),
+ l AS (SELECT scan_id, ty, tx, v, (sum(kept) OVER (PARTITION BY scan_id, ty, tx ORDER BY v) + excess * (v + 1) / 256) * 255 / n AS goes FROM g), f AS (SELECT *, (x + 0.5::double) / tw - 0.5 AS fx, (y + 0.5::double) / th - 0.5 AS fy, max(tx) OVER (PARTITION BY scan_id) AS mx, max(ty) OVER (PARTITION BY scan_id) AS my FROM q),
+ o AS (SELECT scan_id, y, x, v, least(greatest(floor(fx)::int + i.i, 0), mx)::int AS tx, least(greatest(floor(fy)::int + j.j, 0), my)::int AS ty, CASE WHEN i.i = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END * CASE WHEN j.j = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END AS k FROM f, range(2) i(i), range(2) j(j))
+ SELECT o.scan_id, o.y, o.x, floor(sum(k * goes) / sum(k) * 1e3 + 0.37) / 1e3 AS v FROM o JOIN l ON l.scan_id = o.scan_id AND l.ty = o.ty AND l.tx = o.tx AND l.v = o.v GROUP BY ALL""")
+def _(v):
+    return pixels.clahe(tall(v), WIDTH).withColumn("v", F.floor(F.col("v") * 1e3 + 0.37) / 1e3)
+
+
+@query("ra7_energy_map")
+def _(v):
+    return pixels.energy_map(v("pixels")).withColumn("v", tidy("v", 3))

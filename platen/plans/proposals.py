@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from platen.functions.expr import tidy
-from platen.operators import proposals, scale
+from platen.operators import masks, proposals, scale
 from platen.plans.register import query
 
 _SIDE = "greatest(0, least({a}.{c} + {a}.{s} / 2, {b}.{c} + {b}.{s} / 2) - greatest({a}.{c} - {a}.{s} / 2, {b}.{c} - {b}.{s} / 2))"
@@ -166,3 +166,73 @@ def _(v):
 @query("dt15_best_of_prompt", "SELECT scan_id, first(mask_id ORDER BY score DESC, prompt_id) AS mask_id, max(score) AS score FROM masks GROUP BY scan_id")
 def _(v):
     return proposals.best_of_prompt(v("masks"))
+
+
+_SHAPES = """shapes AS (SELECT m.scan_id, m.mask_id, m.score, s.area, s.rect >= 0.5 AND s.area <= 0.5 AS document_like, s.rect >= 0.5 AS whole_like FROM masks m
+ JOIN (SELECT mask_id, count(*) / 64.0::double AS area, count(*)::double / ((max(x) - min(x) + 1) * (max(y) - min(y) + 1)) AS rect FROM mask_cells GROUP BY 1 HAVING count(*) / 64.0 >= 0.02) s ON s.mask_id = m.mask_id)"""
+
+
+def shapes(v):
+    """Random masks fill about half of their boxes, so the bars are lower here than for real ones."""
+    s = masks.mask_shape(v("mask_cells"), 8).select("mask_id", "area", "rectangularity")
+    return v("masks").join(s, "mask_id").select("scan_id", "mask_id", "score", "area", ((F.col("rectangularity") >= 0.5) & (F.col("area") <= 0.5)).alias("document_like"), (F.col("rectangularity") >= 0.5).alias("whole_like"))
+
+
+_CLEAN = """clean AS (SELECT scan_id, mask_id FROM (SELECT scan_id, first(document_like ORDER BY score DESC, mask_id) AS likes, first(mask_id ORDER BY area DESC, mask_id) FILTER (WHERE whole_like) AS mask_id FROM shapes GROUP BY scan_id)
+ WHERE NOT likes AND mask_id IS NOT NULL)"""
+
+
+@query("gr10_clean_rectangle", f"WITH {_SHAPES}, {_CLEAN} SELECT * FROM clean")
+def _(v):
+    return proposals.clean_rectangle(shapes(v))
+
+
+_RING = """best AS (SELECT scan_id, first(mask_id ORDER BY score DESC, mask_id) AS best_id, first(area ORDER BY score DESC, mask_id) AS best_area FROM shapes GROUP BY 1),
+ grown AS (SELECT DISTINCT b.scan_id, c.y + dy.d - 1 AS y, c.x + dx.d - 1 AS x FROM best b JOIN mask_cells c ON c.mask_id = b.best_id, range(3) dy(d), range(3) dx(d)),
+ ring AS (SELECT s.scan_id, s.mask_id, avg((p.v = 1)::int) AS density FROM shapes s JOIN best b ON b.scan_id = s.scan_id AND s.mask_id <> b.best_id AND s.area >= 1.04 * b.best_area AND s.whole_like
+ JOIN mask_cells c ON c.mask_id = s.mask_id JOIN print_cells p ON p.scan_id = s.scan_id AND p.y = c.y AND p.x = c.x AND p.v <> 2
+ WHERE NOT EXISTS (SELECT 1 FROM grown g WHERE g.scan_id = s.scan_id AND g.y = c.y AND g.x = c.x) GROUP BY ALL)"""
+
+
+def rings(v):
+    s = shapes(v)
+    best = s.groupBy("scan_id").agg(F.max_by(F.struct("mask_id", "area"), F.struct("score", -F.col("mask_id"))).alias("b")).select("scan_id", F.col("b.mask_id").alias("best_id"), F.col("b.area").alias("best_area"))
+    larger = s.join(best, "scan_id").where("mask_id != best_id AND area >= 1.04 * best_area AND whole_like").select("scan_id", "mask_id")
+    of = v("mask_cells").join(best.select("scan_id", F.col("best_id").alias("mask_id")), "mask_id")
+    return masks.ring_gain(of, v("mask_cells").join(larger, "mask_id"), v("print_cells"), 8)
+
+
+@query("gr9_ring_gain", f"WITH {_SHAPES}, {_RING} SELECT * FROM ring")
+def _(v):
+    return rings(v)
+
+
+_BOXED = "boxed AS (SELECT scan_id, cand_id, cx - w / 2 AS x0, cy - h / 2 AS y0, cx + w / 2 AS x1, cy + h / 2 AS y1, w * h AS area, score, cand_id % 3 = 0 AS beyond FROM candidates)"
+_WHOLE = """win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, cand_id) AS k FROM boxed) WHERE k = 1),
+ wholes AS (SELECT w.scan_id, first(c.cand_id ORDER BY c.area DESC, c.cand_id) AS whole_id FROM win w JOIN boxed c ON c.scan_id = w.scan_id AND c.area > 1.15 * w.area AND c.x0 <= w.x0 + 0.01 AND c.y0 <= w.y0 + 0.01 AND c.x1 >= w.x1 - 0.01 AND c.y1 >= w.y1 - 0.01 AND NOT c.beyond GROUP BY 1)"""
+
+
+def winners(v):
+    b = v("candidates").selectExpr("scan_id", "cand_id", "cx - w / 2 AS x0", "cy - h / 2 AS y0", "cx + w / 2 AS x1", "cy + h / 2 AS y1", "w * h AS area", "score", "cand_id % 3 = 0 AS beyond")
+    w = b.groupBy("scan_id").agg(F.max_by(F.struct("cand_id", "x0", "y0", "x1", "y1", "area", "beyond"), F.struct("score", -F.col("cand_id"))).alias("b")).select("scan_id", "b.*")
+    return w, b
+
+
+@query("gr12_prefer_whole", f"""WITH {_BOXED}, {_WHOLE} SELECT w.scan_id, CASE WHEN NOT (whole_id IS NULL AND beyond) THEN coalesce(whole_id, cand_id) END AS cand_id, CASE WHEN whole_id IS NULL AND beyond THEN 'page' ELSE 'vote' END AS method
+ FROM win w LEFT JOIN wholes h ON h.scan_id = w.scan_id""")
+def _(v):
+    return proposals.prefer_whole(*winners(v))
+
+
+@query("gr14_detection_result", f"""WITH {_SHAPES}, {_CLEAN}, {_RING}, frame AS (SELECT scan_id, first(mask_id ORDER BY score DESC, mask_id) AS best_id, first(document_like ORDER BY score DESC, mask_id) AS best_like FROM shapes GROUP BY 1),
+ printed AS (SELECT scan_id, min(mask_id) AS ring_id FROM ring WHERE density >= 0.05 GROUP BY 1), vote AS (SELECT scan_id, CASE WHEN scan_id % 4 = 0 THEN NULL ELSE max(mask_id) END AS vote_id FROM shapes WHERE scan_id % 3 = 0 GROUP BY 1)
+ SELECT f.scan_id, CASE WHEN best_like THEN coalesce(ring_id, best_id) WHEN c.mask_id IS NOT NULL THEN c.mask_id WHEN v.scan_id IS NOT NULL THEN vote_id ELSE best_id END AS mask_id,
+ CASE WHEN best_like OR c.mask_id IS NOT NULL THEN 'frame' WHEN v.scan_id IS NOT NULL THEN CASE WHEN vote_id IS NULL THEN 'page' ELSE 'vote' END ELSE 'frame' END AS method
+ FROM frame f LEFT JOIN printed r ON r.scan_id = f.scan_id LEFT JOIN clean c ON c.scan_id = f.scan_id LEFT JOIN vote v ON v.scan_id = f.scan_id""")
+def _(v):
+    """Every third scan has a vote, every fourth of them for the page."""
+    s = shapes(v)
+    frame = s.groupBy("scan_id").agg(F.max_by(F.struct("mask_id", "document_like"), F.struct("score", -F.col("mask_id"))).alias("b")).select("scan_id", F.col("b.mask_id").alias("best_id"), F.col("b.document_like").alias("best_like"))
+    printed = rings(v).where("density >= 0.05").groupBy("scan_id").agg(F.min("mask_id").alias("mask_id"))
+    vote = s.where("scan_id % 3 = 0").groupBy("scan_id").agg(F.max("mask_id").alias("m")).select("scan_id", F.when(F.col("scan_id") % 4 != 0, F.col("m")).alias("mask_id"))
+    return proposals.detection_result(frame, printed, proposals.clean_rectangle(s), vote)

@@ -57,7 +57,7 @@ def prompt_grid(spark: SparkSession, g: int = 8) -> DataFrame:
 def vote_prompts(spark: SparkSession) -> DataFrame:
     """Two inset boxes and nine points."""
     rows = [(0, "box", 0.1, 0.1, 0.9, 0.9), (1, "box", 0.2, 0.2, 0.8, 0.8)]
-    rows += [(2 + i * 3 + j, "point", (j + 1) / 4, (i + 1) / 4, None, None) for i in range(3) for j in range(3)]
+    rows += [(2 + i * 3 + j, "point", (j + 0.5) / 3, (i + 0.5) / 3, None, None) for i in range(3) for j in range(3)]
     return spark.createDataFrame(rows, "prompt_id int, kind string, x0 double, y0 double, x1 double, y1 double")
 
 

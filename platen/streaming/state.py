@@ -60,21 +60,23 @@ def ewma_stream(progress: DataFrame) -> DataFrame:
 
 
 def transfer_rate(loads: DataFrame, after: float = 0.8) -> DataFrame:
-    """Adds rate and eta to (run_id, ts, loaded, total): since a run's first row, once `after` seconds have passed."""
+    """Adds rate and eta to (run_id, ts, loaded, total): since a run's first row, once more than `after` seconds have passed."""
     run = Window.partitionBy("run_id").orderBy("ts", "event_id")
     first = F.first(F.struct("ts", "loaded")).over(run)
     l = loads.withColumn("elapsed", (F.unix_micros(F.col("ts")) - F.unix_micros(first["ts"])) / 1e6).withColumn("moved", F.col("loaded") - first["loaded"])  # noqa: E741
-    rate = F.when((F.col("elapsed") >= after) & (F.col("moved") > 0), F.col("moved") / F.col("elapsed"))
+    rate = F.when((F.col("elapsed") > after) & (F.col("moved") > 0), F.col("moved") / F.col("elapsed"))
     return l.withColumn("rate", rate).withColumn("eta", (F.col("total") - F.col("loaded")) / F.col("rate")).drop("moved")
 
 
-def step_state(starts: DataFrame, steps: int) -> DataFrame:
-    """(run_id, step, state): after a run's starts of steps in order, with failures. Starting a step completes the active one; earlier ones never started were skipped."""
-    ordered = starts.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "step", "failed"))).alias("all"))
+def step_state(events: DataFrame, steps: int) -> DataFrame:
+    """(run_id, step, state): after a run's events in order. Starting a pending step completes an active earlier one and drops the earlier ones never started; a step that isn't pending doesn't start again. A failure fails what is active."""
+    ordered = events.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "step", "failed"))).alias("all"))
     init = F.array(*(F.lit("pending") for _ in range(steps)))
 
     def step(s: Column, x: Column) -> Column:
-        return F.transform(s, lambda old, i: F.when(i == x["step"], F.when(x["failed"], "failed").otherwise("active")).when((i < x["step"]) & (old == "pending"), "skipped").when((i < x["step"]) & (old == "active"), "done").otherwise(old))
+        failed = F.transform(s, lambda old: F.when(old == "active", "failed").otherwise(old))
+        started = F.transform(s, lambda old, i: F.when(i == x["step"], "active").when((i < x["step"]) & (old == "pending"), "dropped").when((i < x["step"]) & (old == "active"), "done").otherwise(old))
+        return F.when(x["failed"], failed).when(F.get(s, x["step"]) == "pending", started).otherwise(s)
 
     return ordered.select("run_id", F.posexplode(F.aggregate("all", init, step)).alias("step", "state"))
 
@@ -120,6 +122,6 @@ def edit_invalidation(edits: DataFrame) -> DataFrame:
 
 
 def progress_text(ms, size) -> Column:
-    """Seconds with one decimal and megabytes: whole from 10 up."""
+    """Whole seconds, and megabytes: whole from 10 up, else with one decimal."""
     mb = col(size) / 1e6
-    return F.concat(F.format_string("%.1f s, ", round0(col(ms) / 100) / 10.0), F.when(mb >= 10, F.format_string("%.0f MB", round0(mb).cast("double"))).otherwise(F.format_string("%.1f MB", round0(mb * 10) / 10.0)))
+    return F.concat(F.format_string("%d s, ", F.greatest(F.lit(0), round0(col(ms) / 1000))), F.when(mb >= 10, F.format_string("%.0f MB", round0(mb).cast("double"))).otherwise(F.format_string("%.1f MB", round0(mb * 10) / 10.0)))
