@@ -126,3 +126,14 @@ def side_samples(sides: DataFrame, n: int = 300, inset: float = 0.12) -> DataFra
     s = (F.col("k") + 0.5) / n * (1 - 2 * inset) + inset
     e = sides.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
     return e.withColumn("x", F.col("xa") + (F.col("xb") - F.col("xa")) * s).withColumn("y", F.col("ya") + (F.col("yb") - F.col("ya")) * s)
+
+
+def band_stats(points: DataFrame, least: int = 5) -> DataFrame:
+    """(scan_id, side, r, g, b, density, plain_r, plain_g, plain_b) of the points of a band beside a line (off, r, g, b, v: 0 plain, 1 print, 2 no photo).
+
+    Median colour; median over rows of one offset of the share of print, rows under `least` points left out; median colour of what is plain.
+    """
+    p = points.where("v != 2")
+    colours = p.groupBy(*KEY).agg(*(F.median(c).alias(c) for c in "rgb"), *(F.median(F.when(F.col("v") == 0, F.col(c))).alias(f"plain_{c}") for c in "rgb"))
+    rows = p.groupBy(*KEY, "off").agg(F.avg((F.col("v") == 1).cast("double")).alias("d"), F.count("*").alias("n")).where(F.col("n") >= least)
+    return colours.join(rows.groupBy(*KEY).agg(F.median("d").alias("density")), [*KEY])

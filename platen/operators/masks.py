@@ -205,3 +205,45 @@ def ring_gain(best: DataFrame, others: DataFrame, print_cells: DataFrame, size:
     owner = best.select("scan_id", F.col("mask_id").alias("best_id")).distinct()
     ring = others.join(owner, "scan_id").join(grown.select(F.col("mask_id").alias("best_id"), "y", "x"), ["best_id", "y", "x"], "left_anti")
     return ring.join(print_cells.where("v != 2"), ["scan_id", "y", "x"]).groupBy("scan_id", "mask_id").agg(F.avg((F.col("v") == 1).cast("double")).alias("density"))
+
+
+def classic_objects(components: DataFrame, size: int, least: float = 0.015, rectangular: float = 0.82, most: int = 16) -> DataFrame:
+    """(mask_id, label, cx, cy, w, h, angle, score): parts of a share of the frame and rectangular once filled by their hull, the largest first, most at most; the score is the rectangularity."""
+    parts = components.select((F.col("mask_id") * 4096 + F.col("label")).alias("mask_id"), "y", "x")
+    hulls = convex_hull(parts)
+    filled = clean_mask(parts, hulls).groupBy("mask_id").agg(F.count("*").alias("n"))
+    r = min_area_rect(hulls).join(filled, "mask_id").withColumn("score", F.col("n") / (F.col("w") * F.col("h"))).where((F.col("n") >= least * size * size) & (F.col("score") >= rectangular))
+    r = r.withColumn("label", F.col("mask_id") % 4096).withColumn("mask_id", F.floor(F.col("mask_id") / 4096))
+    r = r.withColumn("k", F.row_number().over(Window.partitionBy("mask_id").orderBy(F.desc("n"), "label"))).where(F.col("k") <= most)
+    return r.select("mask_id", "label", "cx", "cy", "w", "h", "angle", "score")
+
+
+def outline_quad(cells: DataFrame, size: int, margin: float = 0.15, tilt: tuple[float, float] = (0.02, 0.45)) -> DataFrame:
+    """(mask_id, x0..y3): the mask's four sides as lines met in corners, in cells.
+
+    Each side's boundary cells, without the ends, are fitted robustly. A side takes its own tilt only when the mask is inside the
+    frame, the tilt is a document's and the points lie on the line; else it is the box's.
+    """
+    box = cells.groupBy("mask_id").agg(F.min("x").alias("l"), (F.max("x") + 1).alias("r"), F.min("y").alias("t"), (F.max("y") + 1).alias("b"))
+    inside = (F.col("l") / size > 0.015) & (F.col("t") / size > 0.015) & (1 - F.col("r") / size > 0.015) & (1 - F.col("b") / size > 0.015)
+    box = box.withColumn("inside", inside)
+    fits = None
+    for sides, along, across, low, high in ((("top", "bottom"), "x", "y", "l", "r"), (("left", "right"), "y", "x", "t", "b")):
+        cut = F.floor(margin * (F.col(high) - F.col(low)))
+        ends = cells.join(box, "mask_id").where((F.col(along) >= F.col(low) + cut) & (F.col(along) < F.col(high) - cut)).groupBy("mask_id", along, low, high).agg(F.min(across).alias("first"), (F.max(across) + 1).alias("last"))
+        for side, at in zip(sides, ("first", "last"), strict=True):
+            pts = ends.select("mask_id", F.lit(side).alias("side"), (F.col(along) + 0.5 - (F.col(low) + F.col(high)) / 2).alias("t"), F.col(at).cast("double").alias("v"), F.greatest(F.lit(4.0), 0.2 * (F.col(high) - F.col(low))).alias("gap"))
+            fits = pts if fits is None else fits.union(pts)
+    lines = theil_sen(fits, ["mask_id", "side"], F.col("a.gap"))
+    grid = box.select("*", F.explode(F.array(*(F.lit(s) for s in ("top", "right", "bottom", "left")))).alias("side"))
+    j = grid.join(lines, ["mask_id", "side"], "left")
+    good = F.col("inside") & F.coalesce((F.abs("slope") > tilt[0]) & (F.abs("slope") <= tilt[1]) & (F.col("scatter") <= 1), F.lit(False))
+    flat = F.when(F.col("side") == "top", F.col("t")).when(F.col("side") == "bottom", F.col("b")).when(F.col("side") == "left", F.col("l")).otherwise(F.col("r"))
+    mid = F.when(F.col("side").isin("top", "bottom"), (F.col("l") + F.col("r")) / 2).otherwise((F.col("t") + F.col("b")) / 2)
+    j = j.select("mask_id", "side", F.when(good, F.col("slope")).otherwise(0.0).alias("m"), (F.when(good, F.col("intercept")).otherwise(flat) - F.when(good, F.col("slope")).otherwise(0.0) * mid).alias("c"))
+    w = j.groupBy("mask_id").pivot("side", ["top", "right", "bottom", "left"]).agg(F.first("m").alias("m"), F.first("c").alias("c"))
+    out = {}
+    for k, (h, u) in enumerate((("top", "left"), ("top", "right"), ("bottom", "right"), ("bottom", "left"))):
+        y = F.try_divide(F.col(f"{h}_m") * F.col(f"{u}_c") + F.col(f"{h}_c"), 1 - F.col(f"{h}_m") * F.col(f"{u}_m"))
+        out[f"x{k}"], out[f"y{k}"] = F.col(f"{u}_m") * y + F.col(f"{u}_c"), y
+    return w.select("mask_id", *(c.alias(n) for n, c in out.items()))

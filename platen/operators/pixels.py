@@ -223,3 +223,10 @@ def extract_rotated(pixels: DataFrame, rects: DataFrame) -> DataFrame:
     four = F.array(*(F.struct((F.col("u0") + i).cast("int").alias("sx"), (F.col("q0") + j).cast("int").alias("sy"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("k")) for i in (0, 1) for j in (0, 1)))
     src = pixels.select("scan_id", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
     return t.select("scan_id", "y", "x", F.inline(four)).where("k > 0").join(src, ["scan_id", "sy", "sx"], "left").groupBy("scan_id", "y", "x").agg(F.sum(F.col("k") * F.coalesce("v", F.lit(255))).alias("v"))
+
+
+def canonical_transform(pixels: DataFrame, width: int, angle: Column) -> DataFrame:
+    """A half turn, then straightening, then the white stretch: always in this order. height is a column."""
+    turned = pixels.withColumn("x", (width - 1 - F.col("x")).cast("int")).withColumn("y", (F.col("height") - 1 - F.col("y")).cast("int"))
+    straight = rotate_fine(turned, angle, width)
+    return white_stretch(straight.withColumn("v", round0("v").cast("int")))

@@ -113,3 +113,22 @@ def _(v):
     ab = [(10 + k % 5, (k % 7 - 3) * 0.01), (90 + k % 4, (k % 5 - 2) * 0.02), (80 + k % 3, (k % 3 - 1) * 0.03), (5 + k % 6, (k % 9 - 4) * 0.01)]
     lines = v("embeddings").select(k.alias("scan_id"), F.inline(F.array(*(F.struct(F.lit(i).alias("side"), a.cast("double").alias("a"), b.alias("b")) for i, (a, b) in enumerate(ab)))))
     return edges.meet(lines).select("scan_id", *(tidy(c).alias(c) for c in ("x0", "y0", "x2", "y2")))
+
+
+_BAND = """p AS (SELECT scan_id, side, off, 100 + gr AS r, 120 + gg AS g, 140 + gb AS b, (t::bigint + side) % 3 AS v FROM s WHERE off BETWEEN 3 AND 9 AND (t::bigint + side) % 3 <> 2)"""
+
+
+@query("ft8_band_stats", f"""WITH {_S}, {_BAND}, c AS (SELECT scan_id, side, {', '.join(f'quantile_cont({c}, 0.5) AS {c}, quantile_cont({c}, 0.5) FILTER (WHERE v = 0) AS plain_{c}' for c in 'rgb')} FROM p GROUP BY ALL),
+ d AS (SELECT scan_id, side, quantile_cont(d, 0.5) AS density FROM (SELECT scan_id, side, off, avg((v = 1)::int) AS d FROM p GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL) SELECT c.*, d.density FROM c JOIN d ON d.scan_id = c.scan_id AND d.side = c.side""")
+def _(v):
+    """The band from 3 to 9 beyond each side; two points make a row in these sparse samples."""
+    p = samples(v).where("off BETWEEN 3 AND 9").select("scan_id", "side", "off", (100 + F.col("gr")).alias("r"), (120 + F.col("gg")).alias("g"), (140 + F.col("gb")).alias("b"), ((F.col("t").cast("long") + F.col("side")) % 3).alias("v"))
+    return edges.band_stats(p, 2)
+
+
+@query("ft1_side_samples", f"""WITH k AS (SELECT scan_id, cand_id, (i + 0.5::double) / 30 * 0.76 + 0.12 AS s, i, x0, y0, x1, y1 FROM quads, range(30) r(i))
+ SELECT scan_id, cand_id, i::int AS k, {T6.format('x0 + (x1 - x0) * s')} AS x, {T6.format('y0 + (y1 - y0) * s')} AS y FROM k""")
+def _(v):
+    """Thirty points along the top of each quad."""
+    q = v("quads").select("scan_id", "cand_id", *(F.col(a).alias(b) for a, b in (("x0", "xa"), ("y0", "ya"), ("x1", "xb"), ("y1", "yb"))))
+    return edges.side_samples(q, 30).select("scan_id", "cand_id", "k", tidy("x").alias("x"), tidy("y").alias("y"))

@@ -181,3 +181,15 @@ def _(v):
     k = F.col("mask_id")
     b = v("masks").select(k.alias("box_id"), k.alias("scan_id"), F.lit(0.25).alias("x0"), F.lit(0.25).alias("y0"), (1.0 + k % 3).alias("x1"), (1.0 + k % 4).alias("y1"))
     return masks.continues_beyond(b, v("print_cells"), SIZE)
+
+
+@query("dt14_classic_objects")
+def _(v):
+    checkpointed(v.spark)
+    return masks.classic_objects(masks.connected_components(v("mask_cells"), SIZE), SIZE, rectangular=0.5)
+
+
+@query("dt3_outline_quad", """SELECT mask_id, min(x)::double AS x0, min(y)::double AS y0, (max(x) + 1)::double AS x1, min(y)::double AS y1, (max(x) + 1)::double AS x2, (max(y) + 1)::double AS y2, min(x)::double AS x3, (max(y) + 1)::double AS y3 FROM mask_cells GROUP BY mask_id""")
+def _(v):
+    """Masks of eight cells have too few points for a tilted side, so every outline is the box."""
+    return masks.outline_quad(v("mask_cells"), SIZE)

@@ -175,3 +175,8 @@ def _(v):
 @query("ra7_energy_map")
 def _(v):
     return pixels.energy_map(v("pixels")).withColumn("v", tidy("v", 3))
+
+
+@query("tr6_canonical_transform")
+def _(v):
+    return pixels.canonical_transform(tall(v), WIDTH, F.col("scan_id") % 7 - 3)

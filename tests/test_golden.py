@@ -140,3 +140,15 @@ def test_streams_agree_with_batches(spark, tmp_path):
     state.upsert(stream, str(tmp_path / "state"), ["run_id", "key"], ["ts", "event_id"], str(tmp_path / "cp")).awaitTermination()
     kept = spark.read.parquet(str(tmp_path / "state/version=0"))
     assert sorted((r.run_id, r.key, r.ms) for r in kept.collect()) == sorted((r.run_id, r.key, r.ms) for r in state.latest_state(batch, ["run_id", "key"], ["ts", "event_id"]).collect())
+
+
+def test_outline_of_a_tilted_mask_follows_its_sides(spark):
+    y, x = np.mgrid[0:64, 0:64]
+    a = np.radians(8.0)
+    u, w = (x + 0.5 - 32) * np.cos(a) + (y + 0.5 - 32) * np.sin(a), (y + 0.5 - 32) * np.cos(a) - (x + 0.5 - 32) * np.sin(a)
+    on = (abs(u) <= 20) & (abs(w) <= 14)
+    ys, xs = np.nonzero(on)
+    c = spark.createDataFrame([(1, int(p), int(q)) for p, q in zip(ys, xs, strict=True)], "mask_id long, y int, x int")
+    r = masks.outline_quad(c, 64).first()
+    for k, (sx, sy) in enumerate([(-20, -14), (20, -14), (20, 14), (-20, 14)]):
+        assert abs(r[f"x{k}"] - (32 + sx * np.cos(a) - sy * np.sin(a))) < 1.2 and abs(r[f"y{k}"] - (32 + sx * np.sin(a) + sy * np.cos(a))) < 1.2
