@@ -71,9 +71,9 @@ def row_extremes(cells: DataFrame) -> DataFrame:
 
 
 def convex_hull(cells: DataFrame) -> DataFrame:
-    """(mask_id, hull): corners (x, y) of cells' corner points in order, without those in line. A monotone chain, folded over each mask's sorted row extremes."""
+    """(mask_id, hull): the cells (x, y) at the corners of each mask's hull in order, without those in line. A monotone chain, folded over the mask's sorted row extremes."""
     r = row_extremes(cells)
-    points = r.select("mask_id", F.explode(F.array(*(F.struct(F.col(c).cast("long").alias("x"), (F.col("y") + d).cast("long").alias("y")) for d in (0, 1) for c in ("first_x",)), *(F.struct((F.col("last_x") + 1).cast("long").alias("x"), (F.col("y") + d).cast("long").alias("y")) for d in (0, 1)))).alias("p")).distinct()
+    points = r.select("mask_id", F.explode(F.array(*(F.struct(F.col(c).cast("long").alias("x"), F.col("y").cast("long").alias("y")) for c in ("first_x", "last_x")))).alias("p")).distinct()
     per = points.groupBy("mask_id").agg(F.sort_array(F.collect_list("p")).alias("up"))
     per = per.select("mask_id", "up", F.reverse("up").alias("down"))
     kind = "array<struct<x:bigint,y:bigint>>"
@@ -93,14 +93,47 @@ def convex_hull(cells: DataFrame) -> DataFrame:
     return both.select("mask_id", F.concat(F.slice("low", F.lit(1), F.size("low") - 1), F.slice("high", F.lit(1), F.size("high") - 1)).alias("hull"))
 
 
-def clean_mask(cells: DataFrame, hulls: DataFrame) -> DataFrame:
-    """Cells whose centre is in the mask's hull, or that were on: bridges all its parts, never shrinks."""
+def hull_edges(hulls: DataFrame) -> DataFrame:
+    """A row (mask_id, x, y, nx, ny) for each side of the hulls of three corners and more."""
     n = F.size("hull")
-    edges = hulls.select("mask_id", F.transform("hull", lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.element_at(F.col("hull"), ((i + 1) % n + 1).cast("int"))["x"].alias("nx"), F.element_at(F.col("hull"), ((i + 1) % n + 1).cast("int"))["y"].alias("ny"))).alias("edges"))
+    e = hulls.where(n >= 3).select("mask_id", "hull", F.posexplode("hull").alias("k", "p"))
+    nxt = F.element_at(F.col("hull"), ((F.col("k") + 1) % n + 1).cast("int"))
+    return e.select("mask_id", F.col("p.x").alias("x"), F.col("p.y").alias("y"), nxt["x"].alias("nx"), nxt["y"].alias("ny"))
+
+
+def clean_mask(cells: DataFrame, hulls: DataFrame) -> DataFrame:
+    """The hull's silhouette, row by row between its rounded sides, which bridges all parts of a mask; one without a hull of three corners stays."""
+    e = hull_edges(hulls)
+    rows = e.where("y != ny").withColumn("row", F.explode(F.sequence(F.least("y", "ny"), F.greatest("y", "ny") - 1)))
+    crossing = rows.select("mask_id", "row", (F.col("x") + (F.col("row") - F.col("y")) / (F.col("ny") - F.col("y")) * (F.col("nx") - F.col("x"))).alias("at"))
+    at = crossing.union(e.select("mask_id", F.col("y").alias("row"), F.col("x").cast("double")))
+    span = at.groupBy("mask_id", "row").agg(F.floor(F.min("at") + 0.5).cast("int").alias("a"), F.floor(F.max("at") + 0.5).cast("int").alias("b"))
+    filled = span.select("mask_id", F.col("row").cast("int").alias("y"), F.explode(F.sequence("a", "b")).alias("x"))
+    return filled.union(cells.join(e.select("mask_id").distinct(), "mask_id", "left_anti").select("mask_id", "y", "x"))
+
+
+def trim_to_mask(pixels: DataFrame, cells: DataFrame, hulls: DataFrame, width: int, most: float = 0.009, offset: float = 0.5, ramp: float = 0.35) -> DataFrame:
+    """(mask_id, y, x, v): pixels of a crop outside its mask's hull whitened over a soft edge, the crop being the hull's box. height is a column.
+
+    No more than `most` of the crop changes: of the pixels that would, the ones furthest outside do, in raster order among equals.
+    """
     box = cells.groupBy("mask_id").agg(F.min("x").alias("l"), F.max("x").alias("r"), F.min("y").alias("t"), F.max("y").alias("b"))
-    grid = box.select("mask_id", "l", "r", F.explode(F.sequence("t", "b")).alias("y")).select("mask_id", "y", F.explode(F.sequence("l", "r")).alias("x"))
-    inside = F.forall("edges", lambda e: (e["nx"] - e["x"]) * (F.col("y") + 0.5 - e["y"]) - (e["ny"] - e["y"]) * (F.col("x") + 0.5 - e["x"]) >= 0)
-    return grid.join(edges, "mask_id").where(inside).select("mask_id", "y", "x").union(cells.select("mask_id", "y", "x")).distinct()
+    e = hull_edges(hulls).groupBy("mask_id").agg(F.collect_list(F.struct("x", "y", "nx", "ny")).alias("sides"))
+    p = pixels.join(box, "mask_id").join(e, "mask_id")
+    p = settled(p, mx=F.col("l") + (F.col("x") + 0.5) / width * (F.col("r") - F.col("l") + 1) - 0.5, my=F.col("t") + (F.col("y") + 0.5) / F.col("height") * (F.col("b") - F.col("t") + 1) - 0.5)
+
+    def off(s: Column) -> Column:
+        dx, dy = s["nx"] - s["x"], s["ny"] - s["y"]
+        k = F.least(F.greatest(((F.col("mx") - s["x"]) * dx + (F.col("my") - s["y"]) * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
+        ex, ey = F.col("mx") - s["x"] - k * dx, F.col("my") - s["y"] - k * dy
+        return F.sqrt(ex * ex + ey * ey)
+
+    inside = F.forall("sides", lambda s: (s["nx"] - s["x"]) * (F.col("my") - s["y"]) - (s["ny"] - s["y"]) * (F.col("mx") - s["x"]) >= 0)
+    alpha = F.when(inside, 1.0).otherwise(F.least(F.greatest((offset - F.array_min(F.transform("sides", off))) / ramp + 0.5, F.lit(0.0)), F.lit(1.0)))
+    p = settled(p, alpha=F.floor(alpha * 1e9 + 0.5) / 1e9)
+    changed = p.where("alpha < 1").withColumn("k", F.row_number().over(Window.partitionBy("mask_id").orderBy("alpha", "y", "x"))).where(F.col("k") <= F.floor(width * F.col("height") * most))
+    new = changed.select("mask_id", "y", "x", F.floor(F.col("v") * F.col("alpha") + 255 * (1 - F.col("alpha")) + 0.5).cast("int").alias("new"))
+    return pixels.join(new, ["mask_id", "y", "x"], "left").select("mask_id", "y", "x", F.coalesce("new", "v").alias("v"))
 
 
 def min_area_rect(hulls: DataFrame) -> DataFrame:
@@ -212,7 +245,7 @@ def classic_objects(components: DataFrame, size: int, least: float = 0.015, rect
     parts = components.select((F.col("mask_id") * 4096 + F.col("label")).alias("mask_id"), "y", "x")
     hulls = convex_hull(parts)
     filled = clean_mask(parts, hulls).groupBy("mask_id").agg(F.count("*").alias("n"))
-    r = min_area_rect(hulls).join(filled, "mask_id").withColumn("score", F.col("n") / (F.col("w") * F.col("h"))).where((F.col("n") >= least * size * size) & (F.col("score") >= rectangular))
+    r = min_area_rect(hulls).join(filled, "mask_id").withColumn("score", F.col("n") / ((F.col("w") + 1) * (F.col("h") + 1))).where((F.col("n") >= least * size * size) & (F.col("score") >= rectangular))
     r = r.withColumn("label", F.col("mask_id") % 4096).withColumn("mask_id", F.floor(F.col("mask_id") / 4096))
     r = r.withColumn("k", F.row_number().over(Window.partitionBy("mask_id").orderBy(F.desc("n"), "label"))).where(F.col("k") <= most)
     return r.select("mask_id", "label", "cx", "cy", "w", "h", "angle", "score")

@@ -87,8 +87,7 @@ def _(v):
     return masks.row_extremes(v("mask_cells"))
 
 
-_HULL = """ext AS (SELECT mask_id, y, min(x) AS a, max(x) + 1 AS b FROM mask_cells GROUP BY 1, 2),
- pts AS (SELECT DISTINCT mask_id, x, y FROM (SELECT mask_id, a AS x, y FROM ext UNION ALL SELECT mask_id, b, y FROM ext UNION ALL SELECT mask_id, a, y + 1 FROM ext UNION ALL SELECT mask_id, b, y + 1 FROM ext)),
+_HULL = """ext AS (SELECT mask_id, y, min(x) AS a, max(x) AS b FROM mask_cells GROUP BY 1, 2), pts AS (SELECT DISTINCT mask_id, x, y FROM (SELECT mask_id, a AS x, y FROM ext UNION ALL SELECT mask_id, b, y FROM ext)),
  sides AS (SELECT p.mask_id, p.x, p.y, q.x AS nx, q.y AS ny FROM pts p JOIN pts q ON q.mask_id = p.mask_id AND (q.x, q.y) <> (p.x, p.y) JOIN pts r ON r.mask_id = p.mask_id
   GROUP BY ALL HAVING min((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x)) >= 0),
  hull AS (SELECT mask_id, x, y, nx, ny FROM (SELECT *, row_number() OVER (PARTITION BY mask_id, x, y ORDER BY (nx - x) * (nx - x) + (ny - y) * (ny - y) DESC) AS k FROM sides) WHERE k = 1),
@@ -101,12 +100,32 @@ def _(v):
     return masks.convex_hull(v("mask_cells")).select("mask_id", F.inline("hull"))
 
 
-@query("ra21_clean_mask", f"""WITH {_HULL}, box AS (SELECT mask_id, min(x) AS l, max(x) AS r, min(y) AS t, max(y) AS b FROM mask_cells GROUP BY 1), grid AS (SELECT mask_id, y.y::int AS y, x.x::int AS x FROM box, range(8) y(y), range(8) x(x) WHERE y.y BETWEEN t AND b AND x.x BETWEEN l AND r)
- SELECT g.mask_id, g.y, g.x FROM grid g JOIN edges e ON e.mask_id = g.mask_id GROUP BY ALL HAVING min((e.nx - e.x) * (g.y + 0.5 - e.y) - (e.ny - e.y) * (g.x + 0.5 - e.x)) >= 0 UNION SELECT mask_id, y, x FROM mask_cells""")
+@query("ra21_clean_mask", f"""WITH {_HULL}, c AS (SELECT mask_id, r.r AS row, x + (r.r - y)::double / (ny - y) * (nx - x) AS cut FROM edges, range(8) r(r) WHERE (y <= r.r AND ny > r.r) OR (ny <= r.r AND y > r.r) UNION ALL SELECT mask_id, y, x FROM edges),
+ s AS (SELECT mask_id, row, floor(min(cut) + 0.5) AS a, floor(max(cut) + 0.5) AS b FROM c GROUP BY ALL) SELECT mask_id, row::int AS y, x.x::int AS x FROM s, range(8) x(x) WHERE x.x BETWEEN a AND b""")
 def _(v):
     return masks.clean_mask(v("mask_cells"), masks.convex_hull(v("mask_cells")))
 
 
+@query("ra23_trim_to_mask", f"""WITH {_HULL}, n AS (SELECT count(*) AS n FROM embeddings), p AS (SELECT scan_id, y, x, v, max(y) OVER (PARTITION BY scan_id) + 1 AS height, scan_id % n AS mask_id FROM pixels, n),
+ box AS (SELECT mask_id, min(x) AS l, max(x) AS r, min(y) AS t, max(y) AS b FROM mask_cells GROUP BY 1),
+ m AS (SELECT p.*, l + (x + 0.5::double) / 80 * (r - l + 1) - 0.5 AS mx, t + (y + 0.5::double) / height * (b - t + 1) - 0.5 AS my FROM p JOIN box ON box.mask_id = p.mask_id),
+ d AS (SELECT m.scan_id, m.y, m.x, min((e.nx - e.x) * (my - e.y) - (e.ny - e.y) * (mx - e.x)) >= 0 AS inside,
+  min(sqrt((mx - e.x - greatest(least(((mx - e.x) * (e.nx - e.x) + (my - e.y) * (e.ny - e.y)) / ((e.nx - e.x) ** 2 + (e.ny - e.y) ** 2), 1), 0) * (e.nx - e.x)) ** 2
+  + (my - e.y - greatest(least(((mx - e.x) * (e.nx - e.x) + (my - e.y) * (e.ny - e.y)) / ((e.nx - e.x) ** 2 + (e.ny - e.y) ** 2), 1), 0) * (e.ny - e.y)) ** 2)) AS off FROM m JOIN edges e ON e.mask_id = m.mask_id GROUP BY ALL),
+ a AS (SELECT scan_id, y, x, floor(CASE WHEN inside THEN 1 ELSE least(greatest((0.5 - off) / 0.35 + 0.5, 0), 1) END * 1e9 + 0.5) / 1e9 AS alpha FROM d),
+ k AS (SELECT a.*, row_number() OVER (PARTITION BY scan_id ORDER BY alpha, y, x) AS k FROM a WHERE alpha < 1)
+ SELECT p.scan_id AS mask_id, p.y, p.x, CASE WHEN k.k <= floor(80 * p.height * 0.009) THEN floor(p.v * alpha + 255 * (1 - alpha) + 0.5) ELSE p.v END::int AS v FROM p LEFT JOIN k ON k.scan_id = p.scan_id AND k.y = p.y AND k.x = p.x""")
+def _(v):
+    """Each document's raster is trimmed to one of the masks, which is named by the document here."""
+    n = v("embeddings").count()
+    d = v("documents").select(F.col("doc_id").alias("scan_id"), F.floor((F.length("text") + 79) / 80).cast("int").alias("height"))
+    p = v("pixels").join(d, "scan_id").withColumnRenamed("scan_id", "mask_id")
+    of = d.select("scan_id", (F.col("scan_id") % n).alias("mask_id"))
+    cells = v("mask_cells").join(of, "mask_id").select(F.col("scan_id").alias("mask_id"), "y", "x")
+    hulls = masks.convex_hull(v("mask_cells")).join(of, "mask_id").select(F.col("scan_id").alias("mask_id"), "hull")
+    return masks.trim_to_mask(p, cells, hulls, 80)
+
+
 @query("ra22_min_area_rect", f"""WITH {_HULL}, a AS (SELECT mask_id, x, y, atan2(ny - y, nx - x) AS a FROM edges), p AS (SELECT a.mask_id, a.x, a.y, a.a, min(e.x * cos(a.a) + e.y * sin(a.a)) AS u0, max(e.x * cos(a.a) + e.y * sin(a.a)) AS u1,
  min(e.y * cos(a.a) - e.x * sin(a.a)) AS v0, max(e.y * cos(a.a) - e.x * sin(a.a)) AS v1 FROM a JOIN edges e ON e.mask_id = a.mask_id GROUP BY ALL) SELECT mask_id, {T6.format('min((u1 - u0) * (v1 - v0))')} AS area FROM p GROUP BY mask_id""")
 def _(v):
@@ -120,7 +139,7 @@ def _(v):
     closed = masks.morphology(masks.dense(v("mask_cells"), SIZE), "close", 1).where("v = 1").select("mask_id", "y", "x")
     rect = masks.min_area_rect(masks.convex_hull(closed)).join(closed.groupBy("mask_id").agg((F.count("*") / 64.0).alias("share")), "mask_id")
     w, h = F.col("w"), F.col("h")
-    good = (F.col("share") > 0.015) & (F.col("share") < 0.92) & (w >= 2) & (h >= 2) & (F.col("share") * 64 / (w * h) >= 0.82) & (w / h > 0.12) & (w / h < 8)
+    good = (F.col("share") > 0.015) & (F.col("share") < 0.92) & (w >= 2) & (h >= 2) & (F.col("share") * 64 / ((w + 1) * (h + 1)) >= 0.82) & (w / h > 0.12) & (w / h < 8)
     return rect.where(good).select("mask_id", tidy("cx").alias("cx"), tidy("cy").alias("cy"), tidy("w").alias("w"), tidy("h").alias("h"), tidy("angle").alias("angle"))
 
 

@@ -37,11 +37,20 @@ def rows(frame, columns):
     return sorted((tuple(map(plain, r)) for r in frame[columns].itertuples(index=False)), key=repr)
 
 
+def sorted_numbers(frame, columns):
+    """All-numeric rows as one sorted array: the quick way for rasters."""
+    a = np.column_stack([frame[c].astype("float64").to_numpy() for c in columns])
+    return a[np.lexsort(a.T[::-1])]
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_sql(spark, duck, name):
     ours, theirs = catalog.QUERIES[name](spark, SF).toPandas(), duck.sql(catalog.ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     columns = sorted(ours.columns)
+    if len(ours) > 50_000 and all(pd.api.types.is_numeric_dtype(ours[c]) for c in columns):
+        assert len(ours) == len(theirs) and np.allclose(sorted_numbers(ours, columns), sorted_numbers(theirs, columns), rtol=1e-9, equal_nan=True)
+        return
     assert rows(ours, columns) == rows(theirs, columns)
 
 
