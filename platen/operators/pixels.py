@@ -230,3 +230,18 @@ def canonical_transform(pixels: DataFrame, width: int, angle: Column) -> DataFra
     turned = pixels.withColumn("x", (width - 1 - F.col("x")).cast("int")).withColumn("y", (F.col("height") - 1 - F.col("y")).cast("int"))
     straight = rotate_fine(turned, angle, width)
     return white_stretch(straight.withColumn("v", round0("v").cast("int")))
+
+
+def trim_to_outline(pixels: DataFrame, outlines: DataFrame, sigma: float = 2.0) -> DataFrame:
+    """(scan_id, y, x, v): pixels outside each scan's polygon (outline: array of structs x, y in pixels) whitened, feathered by a Gaussian; a scan without an outline of three points stays.
+
+    A pixel is inside when a line from it to the left crosses the outline an odd number of times.
+    """
+    n = F.size("outline")
+    sides = F.transform("outline", lambda p, i: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.element_at(F.col("outline"), ((i + 1) % n + 1).cast("int"))["x"].alias("nx"), F.element_at(F.col("outline"), ((i + 1) % n + 1).cast("int"))["y"].alias("ny")))
+    o = outlines.where(n >= 3).select("scan_id", sides.alias("sides"))
+    crosses = F.filter("sides", lambda s: ((s["y"] > F.col("y")) != (s["ny"] > F.col("y"))) & (F.col("x") < s["x"] + (F.col("y") - s["y"]) / (s["ny"] - s["y"]) * (s["nx"] - s["x"])))
+    m = pixels.join(o, "scan_id").select("scan_id", "y", "x", F.col("v").alias("was"), (F.size(crosses) % 2).cast("double").alias("v"))
+    alpha = gaussian_blur(m, sigma, int(3 * sigma)).select("scan_id", "y", "x", F.col("v").alias("alpha"))
+    j = pixels.join(alpha, ["scan_id", "y", "x"], "left")
+    return j.select("scan_id", "y", "x", F.when(F.col("alpha").isNull(), F.col("v").cast("double")).otherwise(F.col("v") * F.col("alpha") + 255 * (1 - F.col("alpha"))).alias("v"))

@@ -180,3 +180,18 @@ def _(v):
 @query("tr6_canonical_transform")
 def _(v):
     return pixels.canonical_transform(tall(v), WIDTH, F.col("scan_id") % 7 - 3)
+
+
+_OUTLINE = [("10 + scan_id % 5", "2"), ("70", "3 + scan_id % 3"), ("66", "15"), ("12", "16 - scan_id % 4")]
+_SIDE4 = " + ".join(
+    f"(CASE WHEN ((({a[1]}) > y) <> (({b[1]}) > y)) AND x < ({a[0]}) + (y - ({a[1]}))::double / nullif(({b[1]}) - ({a[1]}), 0) * (({b[0]}) - ({a[0]})) THEN 1 ELSE 0 END)"
+    for a, b in zip(_OUTLINE, _OUTLINE[1:] + _OUTLINE[:1], strict=True)
+)
+
+
+@query("ra24_trim_to_outline", f"""WITH inside AS (SELECT scan_id, y, x, (({_SIDE4}) % 2)::double AS v FROM pixels), {_blur('x', 'y', 'inside', 'across')}, {_blur('y', 'x', 'across', 'down')}
+ SELECT p.scan_id, p.y, p.x, {T3.format('p.v * d.v + 255 * (1 - d.v)')} AS v FROM pixels p JOIN down d ON d.scan_id = p.scan_id AND d.y = p.y AND d.x = p.x""")
+def _(v):
+    outline = F.array(*(F.struct(F.expr(f"cast({a} AS double)").alias("x"), F.expr(f"cast({b} AS double)").alias("y")) for a, b in _OUTLINE))
+    o = v("documents").select(F.col("doc_id").alias("scan_id")).select("scan_id", outline.alias("outline"))
+    return pixels.trim_to_outline(v("pixels"), o, 1.0).withColumn("v", tidy("v", 3))
