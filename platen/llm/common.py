@@ -31,17 +31,17 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     """Columns (node, root): the smallest node reachable from each node that has an edge.
 
     Alternates large-star and small-star steps, which join nothing but groups of one node's
-    neighbours with their minimum. A node of any degree is fine: minima are partial aggregates and the
-    join back to them is one Spark can split. Each round is checkpointed; it ends when nothing changes.
+    neighbours with their minimum. A node of any degree is fine: minima are partial aggregates, and as they are cut off
+    before the join back to them, Spark can split that join. Each round is checkpointed; it ends when nothing changes.
     """
     e = cut(edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u != v").distinct())
     seen = None
     while True:
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        down = cut(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        low = cut(down.groupBy("u").agg(F.min("v").alias("m")))
         small = down.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u != v")
         e = cut(small.distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

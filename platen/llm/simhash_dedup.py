@@ -143,7 +143,7 @@ def links(fps: DataFrame, radius: int = RADIUS, max_tree: int = MAX_TREE, blocks
         raise ValueError("shared neighbours find a radius of 0 to 2")
     keyed = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks(blocks or blocks_for(fps.count(), radius), radius))]
     dealt = fps.select(F.explode(F.array(*keyed)).alias("shard"), "fp", "low")
-    sized = dealt.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
+    sized = cut(dealt.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"))
     dealt = cut(dealt.join(sized, "shard"))
     small = dealt.where(F.col("n") <= max_tree).select("shard", "fp", "low").repartition("shard").sortWithinPartitions("shard", "fp", "low")
     by_tree = small.mapInArrow(lambda batches: tree_links(batches, radius), "a long, b long")
