@@ -53,23 +53,57 @@ def estimate_skew(ink: DataFrame, width: int) -> DataFrame:
     return per.mapInArrow(run, "scan_id long, skew double")
 
 
-def gradient_profiles(pixels: DataFrame) -> DataFrame:
-    """(scan_id, x, profile): per column the summed difference of its neighbours over the middle half of the rows. height is a column."""
-    d = F.abs(F.lead("v").over(along_row()) - F.lag("v").over(along_row()))
-    middle = (F.col("y") >= F.floor(F.col("height") / 4)) & (F.col("y") < F.floor(F.col("height") * 3 / 4))
-    return pixels.withColumn("d", d).where(middle & F.col("d").isNotNull()).groupBy("scan_id", "x").agg(F.sum("d").alias("profile"))
-
-
-def snap_edges(profiles: DataFrame, sides: DataFrame, width: int, prominence: float = 6.0) -> DataFrame:
-    """(scan_id, side, snapped): the strongest column within a window around a side's position (outward span, inward a fifth of it); kept where it was unless it stands out from the upper median."""
-    ranked = profiles.where("profile > 0").groupBy("scan_id").agg(F.sort_array(F.collect_list("profile")).alias("p"))
-    typical = ranked.select("scan_id", F.element_at("p", (F.floor(F.size("p") / 2) + 1).cast("int")).alias("typical"))
-    out, into = F.when(F.col("side") == "left", F.col("span")).otherwise(F.col("span") * 0.2), F.when(F.col("side") == "left", F.col("span") * 0.2).otherwise(F.col("span"))
-    near = sides.join(profiles, "scan_id").where((F.col("x") >= F.col("position") - out) & (F.col("x") <= F.col("position") + into))
-    best = near.groupBy("scan_id", "side").agg(F.max_by(F.struct("x", "profile"), F.struct("profile", -F.col("x"))).alias("b"))
-    j = sides.join(best, ["scan_id", "side"], "left").join(typical, "scan_id", "left")
-    good = F.col("b.profile") > F.coalesce("typical", F.lit(1)) * prominence
-    return j.select("scan_id", "side", F.when(good, F.col("b.x")).otherwise(F.col("position")).cast("int").alias("snapped"))
+def gradient_profiles(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(scan_id, axis, at, profile): for each column, and for each row, the summed difference of its neighbours over the middle half of the scan's box px0, py0, px1, py1."""
+    j = pixels.withColumns({"dx": F.abs(F.lead("v").over(along_row()) - F.lag("v").over(along_row())), "dy": F.abs(F.lead("v").over(along_column()) - F.lag("v").over(along_column()))}).join(boxes.select("scan_id", "px0", "py0", "px1", "py1"), "scan_id")
+
+    def summed(axis: str, across: str, d: str) -> DataFrame:
+        low, high = F.col(f"p{across}0"), F.col(f"p{across}1")
+        quarter = F.floor(F.greatest(high - low, F.lit(0)) / 4)
+        inside = (F.col(across) >= low + quarter) & (F.col(across) < high - quarter) & F.col(d).isNotNull()
+        return j.where(inside).groupBy("scan_id", F.col(axis).alias("at")).agg(F.sum(d).cast("double").alias("profile")).select("scan_id", F.lit(axis).alias("axis"), "at", "profile")
+
+    return summed("x", "y", "dx").union(summed("y", "x", "dy"))
+
+
+def snap_edges(pixels: DataFrame, boxes: DataFrame, reach: float = 0.025, prominence: float = 6.0) -> DataFrame:
+    """(scan_id, px0, py0, px1, py1): each side of a scan's box moved to the strongest line near it (outward up to reach of the frame, inward a fifth of that), if that stands out from the upper median of all lines.
+
+    boxes: scan_id, width, height and the box in whole pixels. A result under a fifth of the frame is not taken.
+    """
+    profiles = gradient_profiles(pixels, boxes)
+    ranked = profiles.where("profile > 0").groupBy("scan_id", "axis").agg(F.sort_array(F.collect_list("profile")).alias("p"))
+    typical = ranked.select("scan_id", "axis", F.element_at("p", (F.floor(F.size("p") / 2) + 1).cast("int")).alias("typical"))
+    side = lambda name, axis, sign, size: F.struct(F.lit(name).alias("side"), F.lit(axis).alias("axis"), F.lit(sign).alias("sign"), F.col(name).alias("centre"), (F.col(size) * reach).alias("span"))
+    sides = boxes.select("scan_id", F.inline(F.array(side("px0", "x", -1, "width"), side("py0", "y", -1, "height"), side("px1", "x", 1, "width"), side("py1", "y", 1, "height"))))
+    out, into = round0("span"), round0(F.col("span") * 0.2)
+    low = F.col("centre") - F.when(F.col("sign") < 0, out).otherwise(into)
+    high = F.col("centre") + F.when(F.col("sign") < 0, into).otherwise(out)
+    near = sides.join(profiles.where("profile > 0"), ["scan_id", "axis"]).where((F.col("at") >= low) & (F.col("at") < high))
+    best = near.groupBy("scan_id", "side").agg(F.max_by(F.struct("at", "profile"), F.struct("profile", -F.col("at"))).alias("b"))
+    j = sides.join(best, ["scan_id", "side"], "left").join(typical, ["scan_id", "axis"], "left")
+    good = F.col("b.profile") > F.coalesce("typical", F.lit(1.0)) * prominence
+    moved = j.withColumn("to", F.when(good, F.col("b.at")).otherwise(F.col("centre"))).groupBy("scan_id").pivot("side", ["px0", "py0", "px1", "py1"]).agg(F.first("to"))
+    moved = moved.withColumnsRenamed({c: f"new_{c}" for c in ("px0", "py0", "px1", "py1")})
+    r = boxes.join(moved, "scan_id")
+    small = (F.col("new_px1") - F.col("new_px0") < F.floor(F.col("width") * 0.2)) | (F.col("new_py1") - F.col("new_py0") < F.floor(F.col("height") * 0.2))
+    return r.select("scan_id", *(F.when(small, F.col(c)).otherwise(F.col(f"new_{c}")).cast("int").alias(c) for c in ("px0", "py0", "px1", "py1")))
+
+
+def refine_rect(pixels: DataFrame, rects: DataFrame, reach: float = 0.08, prominence: float = 5.0) -> DataFrame:
+    """(scan_id, cx, cy, w, h, angle): each scan's rotated rectangle moved to the edges around it: straightened with a margin, snapped from a little inside, and turned back. Under 20 pixels a side, or halved by it, it stays."""
+    r = settled(rects, pad=F.greatest(F.lit(8.0), F.greatest("w", "h") * 0.06))
+    r = settled(r, cw=F.greatest(F.lit(1), round0(F.col("w") + 2 * F.col("pad"))).cast("int"), ch=F.greatest(F.lit(1), round0(F.col("h") + 2 * F.col("pad"))).cast("int"))
+    large = r.where("w >= 20 AND h >= 20")
+    crop = extract_rotated(pixels, large.select("scan_id", "cx", "cy", F.col("cw").cast("double").alias("w"), F.col("ch").cast("double").alias("h"), "angle"))
+    box = large.select("scan_id", F.col("cw").alias("width"), F.col("ch").alias("height"), *(round0(e).cast("int").alias(n) for n, e in (("px0", F.col("pad") + F.col("w") * 0.05), ("py0", F.col("pad") + F.col("h") * 0.05), ("px1", F.col("pad") + F.col("w") * 0.95), ("py1", F.col("pad") + F.col("h") * 0.95))))
+    s = snap_edges(crop, box, reach, prominence)
+    j = r.join(s, "scan_id", "left")
+    nw, nh = F.col("px1") - F.col("px0"), F.col("py1") - F.col("py0")
+    taken = F.coalesce((nw >= F.col("w") * 0.5) & (nh >= F.col("h") * 0.5), F.lit(False))
+    dx, dy, a = (F.col("px0") + F.col("px1")) / 2 - F.col("cw") / 2, (F.col("py0") + F.col("py1")) / 2 - F.col("ch") / 2, F.radians("angle")
+    new = {"cx": F.col("cx") + F.cos(a) * dx - F.sin(a) * dy, "cy": F.col("cy") + F.sin(a) * dx + F.cos(a) * dy, "w": nw.cast("double"), "h": nh.cast("double")}
+    return j.select("scan_id", *(F.when(taken, e).otherwise(F.col(n)).alias(n) for n, e in new.items()), "angle")
 
 
 def gaussian_blur(pixels: DataFrame, sigma: float = 1.0, radius: int = 3) -> DataFrame:

@@ -43,23 +43,43 @@ def _(v):
     return pixels.estimate_skew(pixels.ink_points(tall(v), WIDTH), WIDTH)
 
 
-_PROFILE = f"""d AS (SELECT *, abs(lead(v) OVER r - lag(v) OVER r) AS d FROM tall WINDOW r AS (PARTITION BY scan_id, y ORDER BY x)),
- profiles AS (SELECT scan_id, x, sum(d)::bigint AS profile FROM d WHERE d IS NOT NULL AND y >= floor(height / 4) AND y < floor(height * 3 / 4) GROUP BY ALL)"""
+_BOX = "box AS (SELECT scan_id, height, 80 AS width, (10 + scan_id % 9)::int AS px0, floor(height / 5)::int AS py0, (60 + scan_id % 11)::int AS px1, floor(height * 4 / 5)::int AS py1 FROM tall GROUP BY ALL)"
+_PROFILE = """d AS (SELECT *, abs(lead(v) OVER r - lag(v) OVER r) AS dx, abs(lead(v) OVER c - lag(v) OVER c) AS dy FROM tall WINDOW r AS (PARTITION BY scan_id, y ORDER BY x), c AS (PARTITION BY scan_id, x ORDER BY y)),
+ profiles AS (SELECT d.scan_id, 'x' AS axis, x AS "at", sum(dx)::double AS profile FROM d JOIN box b ON b.scan_id = d.scan_id WHERE dx IS NOT NULL AND y >= py0 + floor((py1 - py0) / 4) AND y < py1 - floor((py1 - py0) / 4) GROUP BY ALL UNION ALL
+ SELECT d.scan_id, 'y', y, sum(dy)::double FROM d JOIN box b ON b.scan_id = d.scan_id WHERE dy IS NOT NULL AND x >= px0 + floor((px1 - px0) / 4) AND x < px1 - floor((px1 - px0) / 4) GROUP BY ALL)"""
 
 
-@query("ra5_gradient_profiles", f"WITH {_TALL}, {_PROFILE} SELECT * FROM profiles")
+def boxes(v):
+    """A box inside each raster."""
+    k, h = F.col("scan_id"), F.col("height")
+    d = v("documents").select(F.col("doc_id").alias("scan_id"), F.floor((F.length("text") + WIDTH - 1) / WIDTH).cast("int").alias("height"))
+    return d.select("scan_id", "height", F.lit(WIDTH).alias("width"), (10 + k % 9).cast("int").alias("px0"), F.floor(h / 5).cast("int").alias("py0"), (60 + k % 11).cast("int").alias("px1"), F.floor(h * 4 / 5).cast("int").alias("py1"))
+
+
+@query("ra5_gradient_profiles", f"WITH {_TALL}, {_BOX}, {_PROFILE} SELECT * FROM profiles")
+def _(v):
+    return pixels.gradient_profiles(v("pixels"), boxes(v))
+
+
+@query("ra6_snap_edges", f"""WITH {_TALL}, {_BOX}, {_PROFILE}, typical AS (SELECT scan_id, axis, list_sort(list(profile))[len(list(profile)) // 2 + 1] AS typical FROM profiles WHERE profile > 0 GROUP BY ALL),
+ sides AS (SELECT scan_id, 'px0' AS side, 'x' AS axis, -1 AS sign, px0 AS centre, width * 0.1::double AS span FROM box UNION ALL SELECT scan_id, 'py0', 'y', -1, py0, height * 0.1::double FROM box
+  UNION ALL SELECT scan_id, 'px1', 'x', 1, px1, width * 0.1::double FROM box UNION ALL SELECT scan_id, 'py1', 'y', 1, py1, height * 0.1::double FROM box),
+ best AS (SELECT s.scan_id, s.side, first(p."at" ORDER BY p.profile DESC, p."at") AS bx, max(p.profile) AS bp FROM sides s JOIN profiles p ON p.scan_id = s.scan_id AND p.axis = s.axis AND p.profile > 0
+  AND p."at" >= centre - CASE WHEN sign < 0 THEN floor(span + 0.5) ELSE floor(span * 0.2 + 0.5) END AND p."at" < centre + CASE WHEN sign < 0 THEN floor(span * 0.2 + 0.5) ELSE floor(span + 0.5) END GROUP BY ALL),
+ moved AS (SELECT s.scan_id, s.side, CASE WHEN bp > coalesce(typical, 1) * 1.2 THEN bx ELSE centre END AS goes FROM sides s LEFT JOIN best b ON b.scan_id = s.scan_id AND b.side = s.side LEFT JOIN typical t ON t.scan_id = s.scan_id AND t.axis = s.axis),
+ n AS (SELECT scan_id, max(goes) FILTER (WHERE side = 'px0') AS a, max(goes) FILTER (WHERE side = 'py0') AS b, max(goes) FILTER (WHERE side = 'px1') AS c, max(goes) FILTER (WHERE side = 'py1') AS d FROM moved GROUP BY 1),
+ k AS (SELECT box.*, a, b, c, d, c - a < floor(width * 0.2) OR d - b < floor(height * 0.2) AS small FROM box JOIN n ON n.scan_id = box.scan_id)
+ SELECT scan_id, CASE WHEN small THEN px0 ELSE a END::int AS px0, CASE WHEN small THEN py0 ELSE b END::int AS py0, CASE WHEN small THEN px1 ELSE c END::int AS px1, CASE WHEN small THEN py1 ELSE d END::int AS py1 FROM k""")
 def _(v):
-    return pixels.gradient_profiles(tall(v))
+    """Text has no edges, so the bar is low here."""
+    return pixels.snap_edges(v("pixels"), boxes(v), 0.1, 1.2)
 
 
-@query("ra6_snap_edges", f"""WITH {_TALL}, {_PROFILE}, typical AS (SELECT scan_id, list_sort(list(profile))[len(list(profile)) // 2 + 1] AS typical FROM profiles WHERE profile > 0 GROUP BY 1),
- sides AS (SELECT doc_id AS scan_id, 'left' AS side, (10 + doc_id % 9)::int AS position, 9 AS out_, 1.8 AS in_ FROM documents UNION ALL SELECT doc_id, 'right', (60 + doc_id % 11)::int, 1.8, 9 FROM documents),
- best AS (SELECT s.scan_id, s.side, first(p.x ORDER BY p.profile DESC, p.x) AS bx, max(p.profile) AS bp FROM sides s JOIN profiles p ON p.scan_id = s.scan_id AND p.x >= s.position - s.out_ AND p.x <= s.position + s.in_ GROUP BY ALL)
- SELECT s.scan_id, s.side, CASE WHEN bp > coalesce(typical, 1) * 1.2 THEN bx ELSE position END::int AS snapped FROM sides s LEFT JOIN best b ON b.scan_id = s.scan_id AND b.side = s.side LEFT JOIN typical t ON t.scan_id = s.scan_id""")
+@query("gr8_refine_rect")
 def _(v):
-    d = v("documents").select(F.col("doc_id").alias("scan_id"))
-    s = d.select("scan_id", F.lit("left").alias("side"), (10 + F.col("scan_id") % 9).cast("int").alias("position")).union(d.select("scan_id", F.lit("right"), (60 + F.col("scan_id") % 11).cast("int")))
-    return pixels.snap_edges(pixels.gradient_profiles(tall(v)), s.withColumn("span", F.lit(9.0)), WIDTH, 1.2)
+    k = F.col("doc_id")
+    r = v("documents").select(k.alias("scan_id"), F.lit(40.0).alias("cx"), (14.0 + k % 5).alias("cy"), (40.0 + k % 7).alias("w"), (22.0 + k % 4).alias("h"), (k % 31 - 15).cast("double").alias("angle"))
+    return pixels.refine_rect(v("pixels"), r, prominence=1.2).select("scan_id", *(tidy(c, 3).alias(c) for c in ("cx", "cy", "w", "h")), "angle")
 
 
 def _blur(axis, other, source, out):

@@ -152,3 +152,11 @@ def test_outline_of_a_tilted_mask_follows_its_sides(spark):
     r = masks.outline_quad(c, 64).first()
     for k, (sx, sy) in enumerate([(-20, -14), (20, -14), (20, 14), (-20, 14)]):
         assert abs(r[f"x{k}"] - (32 + sx * np.cos(a) - sy * np.sin(a))) < 1.2 and abs(r[f"y{k}"] - (32 + sx * np.sin(a) + sy * np.cos(a))) < 1.2
+
+
+def test_rectangle_is_refined_to_the_edges_around_it(spark):
+    rows = [(1, y, x, (40 if 30 <= x < 90 and 20 <= y < 60 else 220) + (x * 7 + y * 3) % 5) for y in range(80) for x in range(120)]
+    p = spark.createDataFrame(rows, "scan_id long, y int, x int, v int")
+    r = spark.createDataFrame([(1, 61.0, 39.0, 56.0, 37.0, 0.0)], "scan_id long, cx double, cy double, w double, h double, angle double")
+    got = pixels.refine_rect(p, r, prominence=2.0).first()
+    assert abs(got.w - 60) <= 1.5 and abs(got.h - 40) <= 1.5 and abs(got.cx - 60) <= 1.5 and abs(got.cy - 40) <= 1.5
