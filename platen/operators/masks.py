@@ -130,9 +130,9 @@ def trim_to_mask(pixels: DataFrame, cells: DataFrame, hulls: DataFrame, width: i
 
     inside = F.forall("sides", lambda s: (s["nx"] - s["x"]) * (F.col("my") - s["y"]) - (s["ny"] - s["y"]) * (F.col("mx") - s["x"]) >= 0)
     alpha = F.when(inside, 1.0).otherwise(F.least(F.greatest((offset - F.array_min(F.transform("sides", off))) / ramp + 0.5, F.lit(0.0)), F.lit(1.0)))
-    p = settled(p, alpha=F.floor(alpha * 1e9 + 0.5) / 1e9)
+    p = settled(p, alpha=F.floor(alpha * 1e6 + 0.37) / 1e6)
     changed = p.where("alpha < 1").withColumn("k", F.row_number().over(Window.partitionBy("mask_id").orderBy("alpha", "y", "x"))).where(F.col("k") <= F.floor(width * F.col("height") * most))
-    new = changed.select("mask_id", "y", "x", F.floor(F.col("v") * F.col("alpha") + 255 * (1 - F.col("alpha")) + 0.5).cast("int").alias("new"))
+    new = changed.select("mask_id", "y", "x", F.floor(F.col("v") * F.col("alpha") + 255 * (1 - F.col("alpha")) + 0.5000005).cast("int").alias("new"))
     return pixels.join(new, ["mask_id", "y", "x"], "left").select("mask_id", "y", "x", F.coalesce("new", "v").alias("v"))
 
 
