@@ -114,7 +114,7 @@ def _(v):
   + (my - e.y - greatest(least(((mx - e.x) * (e.nx - e.x) + (my - e.y) * (e.ny - e.y)) / ((e.nx - e.x) ** 2 + (e.ny - e.y) ** 2), 1), 0) * (e.ny - e.y)) ** 2)) AS off FROM m JOIN edges e ON e.mask_id = m.mask_id GROUP BY ALL),
  a AS (SELECT scan_id, y, x, floor(CASE WHEN inside THEN 1 ELSE least(greatest((0.5 - off) / 0.35 + 0.5, 0), 1) END * 1e6 + 0.37) / 1e6 AS alpha FROM d),
  k AS (SELECT a.*, row_number() OVER (PARTITION BY scan_id ORDER BY alpha, y, x) AS k FROM a WHERE alpha < 1)
- SELECT p.scan_id AS mask_id, p.y, p.x, CASE WHEN k.k <= floor(80 * p.height * 0.009) THEN floor(p.v * alpha + 255 * (1 - alpha) + 0.5000005) ELSE p.v END::int AS v FROM p LEFT JOIN k ON k.scan_id = p.scan_id AND k.y = p.y AND k.x = p.x""")
+ SELECT p.scan_id AS mask_id, p.y, p.x, CASE WHEN k.k <= floor((80 * p.height)::double * 0.009::double) THEN floor(p.v * alpha + 255 * (1 - alpha) + 0.5000005) ELSE p.v END::int AS v FROM p LEFT JOIN k ON k.scan_id = p.scan_id AND k.y = p.y AND k.x = p.x""")
 def _(v):
     """Each document's raster is trimmed to one of the masks, which is named by the document here."""
     n = v("embeddings").count()
