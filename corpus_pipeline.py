@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from platen.llm.common import shared_checkpoint_dir, table
 from platen.llm.exact_dedup import drop_duplicates
+from platen.llm.near_copies import drop_near_copies
 from platen.llm.packing import pack
-from platen.llm.simhash_dedup import drop_near_duplicates
 from platen.llm.suffix_dedup import without_repeats
 from platen.llm.toxicity import drop_toxic
 
@@ -30,8 +30,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the one with the smallest id stays."""
-    return drop_near_duplicates(docs)
+    """Of each group of near copies (five-word shingles 0.8 alike or more) the one with the smallest id stays."""
+    return drop_near_copies(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

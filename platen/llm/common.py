@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """df checkpointed, without its estimated size: each join multiplies the sizes of its sides, checkpoints keep that, and after tens of joins the numbers themselves take minutes."""
+    spark, kept = df.sparkSession, cut(df)
+    return type(df)(spark._jsparkSession.createDataFrame(kept._jdf.toJavaRDD(), kept._jdf.schema()), spark)
+
+
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Columns (node, root): the smallest node reachable from each node that has an edge.
 
@@ -52,6 +58,22 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     return roots.select(F.col("u").alias("node"), "root").union(e.select("v", F.col("v").alias("root")).distinct())
 
 
+def without_rows(docs: DataFrame, marked: DataFrame, id_col: str, mark: Column) -> DataFrame:
+    """docs without the rows that are gone, and with one of each that stays and is repeated.
+
+    marked (doc_id, mark, gone) has a row for each row of a group; a row of docs is known by its id, which may be null, and its
+    mark, which is a function of its text. Only rows of repeated marks are brought together.
+    """
+    each = cut(marked.groupBy("doc_id", "mark").agg(F.first("gone").alias("gone"), F.count("*").alias("n")).where("gone or n > 1"))
+    gone, more = (each.where(w).select(F.col("doc_id").alias("__marked_id"), F.col("mark").alias("__marked")) for w in ("gone", "not gone"))
+    same = F.col(id_col).eqNullSafe(F.col("__marked_id")) & (mark == F.col("__marked"))
+    kept = docs.join(gone, same, "left_anti")
+    if not more.isEmpty():
+        once = docs.join(more, same, "left_semi").withColumn("__mark", mark).dropDuplicates([id_col, "__mark"]).drop("__mark")
+        kept = kept.join(more, same, "left_anti").unionByName(once)
+    return kept.select(docs.columns)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files and checkpoints of what no DataFrame refers to any more."""
     gc.collect()
