@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+from functools import lru_cache
 
 import regex
 
@@ -25,7 +26,7 @@ def words(text: str) -> list[str]:
 class WordMemory(dict):
     """Word -> its ids as little-endian unsigned 32-bit integers. Forgets all when full, so its memory is bounded."""
 
-    def __init__(self, encode, most: int = 250_000, longest: int = 64):
+    def __init__(self, encode, most: int = 600_000, longest: int = 64):
         super().__init__()
         self.encode, self.most, self.longest = encode, most, longest
 
@@ -42,9 +43,17 @@ class WordMemory(dict):
         return b"".join(map(self.__getitem__, words(text)))
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte -> the character that stands for it in byte-level vocabularies: itself if it is visible, else the next free one from 256 on."""
+    visible = [b for b in range(256) if chr(b).isprintable() and chr(b) != " "]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+@lru_cache(maxsize=2)
 def tokenizer_memory(path: str) -> WordMemory:
+    """The memory of this process for a byte-level tokenizer file; a word that isn't in it goes to the tokenizer's model alone."""
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return WordMemory(lambda word: t.encode(word, add_special_tokens=False).ids)
+    letters, model = byte_letters(), Tokenizer.from_file(path).model
+    return WordMemory(lambda word: [t.id for t in model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))])
