@@ -20,27 +20,27 @@ from platen.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine, fitted on the labels, rejects go."""
+    """Documents that the factorization machine, fitted on the labels, rejects go. A null text is an empty one; repeated rows are judged alike; null ids are no reason to go."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id stays."""
+    """Of equal texts (null: empty) the row with the largest id stays, one if it is repeated; rows of one id with other texts are judged by their own text."""
     return drop_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles 0.8 alike or more) the one with the smallest id stays."""
+    """Of each group of near copies (five-word shingles 0.8 alike or more) the row with the smallest id stays, one if it is repeated. Texts without words are alike."""
     return drop_near_copies(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 100 bytes or more that start earlier in the corpus go; the document keeps the rest, and its length follows."""
+    """Passages of 100 bytes or more that start earlier in the corpus go; the document keeps the rest, and its length follows. Null and short texts stay; no row goes."""
     return without_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences, and their ids."""
+    """The pieces of all documents with their places in sequences, and their ids. A null or empty text is one piece of the end id."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -51,10 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid4().hex}"
+    """The packed pieces. A stage's Parquet goes once the next stage has read it; the last one's stays, as the result reads it. An empty table gives no piece."""
+    folder = f"{shared_checkpoint_dir(spark)}/pipeline-{uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
     return docs

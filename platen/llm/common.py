@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of ids and marks (16 bytes each) that are broadcast at most.
+MAX_BROADCAST = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+def shared_checkpoint_dir(spark: SparkSession) -> str:
+    """Uses the folder the cluster names in spark.checkpoint.dir. Where none is set, a local master gets one of its own, deleted at exit; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="platen-checkpoint-"))
+        if named is None:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="platen-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -62,15 +73,21 @@ def without_rows(docs: DataFrame, marked: DataFrame, id_col: str, mark: Column)
     """docs without the rows that are gone, and with one of each that stays and is repeated.
 
     marked (doc_id, mark, gone) has a row for each row of a group; a row of docs is known by its id, which may be null, and its
-    mark, which is a function of its text. Only rows of repeated marks are brought together.
+    mark, which is a function of its text. Only rows of repeated marks are brought together. Lists of up to MAX_BROADCAST
+    marks are broadcast, so that texts stay where they are read; longer ones are shuffled.
     """
     each = cut(marked.groupBy("doc_id", "mark").agg(F.first("gone").alias("gone"), F.count("*").alias("n")).where("gone or n > 1"))
-    gone, more = (each.where(w).select(F.col("doc_id").alias("__marked_id"), F.col("mark").alias("__marked")) for w in ("gone", "not gone"))
+    sizes = {r["gone"]: r["count"] for r in each.groupBy("gone").count().collect()}
     same = F.col(id_col).eqNullSafe(F.col("__marked_id")) & (mark == F.col("__marked"))
-    kept = docs.join(gone, same, "left_anti")
-    if not more.isEmpty():
-        once = docs.join(more, same, "left_semi").withColumn("__mark", mark).dropDuplicates([id_col, "__mark"]).drop("__mark")
-        kept = kept.join(more, same, "left_anti").unionByName(once)
+
+    def named(gone: bool) -> DataFrame:
+        rows = each.where(F.col("gone") == gone).select(F.col("doc_id").alias("__marked_id"), F.col("mark").alias("__marked"))
+        return F.broadcast(rows) if sizes.get(gone, 0) <= MAX_BROADCAST else rows
+
+    kept = docs.join(named(True), same, "left_anti") if sizes.get(True) else docs
+    if sizes.get(False):
+        once = docs.join(named(False), same, "left_semi").withColumn("__mark", mark).dropDuplicates([id_col, "__mark"]).drop("__mark")
+        kept = kept.join(named(False), same, "left_anti").unionByName(once)
     return kept.select(docs.columns)
 
 
