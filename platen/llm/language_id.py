@@ -3,8 +3,10 @@
 Each language has a byte context tree of orders 0 to ORDER, built from a bounded sample of its documents and then frozen. A
 byte costs the escapes from the contexts in which it was not seen plus its share in the longest one in which it was
 (method C: a context seen n times with d distinct successors escapes with d / (n + d)); below order 0 all 256 bytes are alike.
-The language with the shortest code for the whole text is predicted. As the statistics are frozen, the cost of a byte
-after each context is tabled once, so a text is scored by array lookups.
+The language with the shortest code for the whole text is predicted. Nothing of the trees is left out: their counts are taken
+by the tasks that read the sample and added up by context and byte, and as the statistics are frozen, the cost of each byte seen after
+a context and each context's escape are tabled once, so a text is scored by searches in sorted tables. The model grows with the
+languages that are labelled, at most PER_LANGUAGE documents each.
 """
 
 from __future__ import annotations
@@ -17,131 +19,139 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from platen.llm.common import table
+from platen.llm.common import MAX_BROADCAST, cut, table
 from platen.llm.labelled import held_out
 
-#: Documents of each language that its tree is built from, at most, and languages at most (those with most documents).
-PER_LANGUAGE, MAX_LANGUAGES = 150, 200
+#: Documents of each language that its tree is built from, at most.
+PER_LANGUAGE = 150
 ORDER = 3
-#: A context seen fewer times in all languages together is left to its suffix, and so is what is beyond MAX_CONTEXTS.
-LEAST_SEEN, MAX_CONTEXTS = 3, 40_000
-#: Cells of the cost table at most (contexts x symbols x languages).
-MAX_CELLS = 1 << 24
-#: Bytes scored at once.
+#: A byte is the digit byte + 1 of a code; 0 stands before a text. Digits are in the order of the text.
+BASE = 257
+#: Bytes counted or scored at once.
 BLOCK = 1 << 18
+#: Parts of a language from which the sample is taken first, so that no task sees a whole language.
+PARTS = 64
 UNKNOWN = "und"
 
 
+def codes_of(text: bytes) -> Iterator[np.ndarray]:
+    """Codes of each byte after the ORDER bytes before it, in blocks."""
+    s = np.concatenate([np.zeros(ORDER, np.int64), np.frombuffer(text, np.uint8).astype(np.int64) + 1])
+    for a in range(0, len(text), BLOCK):
+        n = min(BLOCK, len(text) - a)
+        code = np.zeros(n, np.int64)
+        for k in range(ORDER + 1):
+            code = code * BASE + s[a + k : a + k + n]
+        yield code
+
+
 @dataclass
 class Trees:
     languages: list[str]
-    symbol: np.ndarray  # byte -> symbol; 0 stands before a text, the last one for bytes seen nowhere
-    n_symbols: int
-    node: np.ndarray  # the three symbols before -> longest context in the trees
-    cost: np.ndarray  # (context, symbol, language) -> nats
+    codes: list[np.ndarray]  # by order: codes seen in any language, sorted
+    costs: list[np.ndarray]  # (code, language) -> nats
+    contexts: list[np.ndarray]  # by order: contexts seen in any language, sorted
+    escapes: list[np.ndarray]  # (context, language) -> nats; 0 where the language hasn't seen it
+
+    def below(self, order: int, codes: np.ndarray) -> np.ndarray:
+        """(code, language) -> nats of codes of an order, whether seen or not."""
+        if order < 0:
+            return np.full((len(codes), len(self.languages)), np.log(256.0))
+        out = np.empty((len(codes), len(self.languages)))
+        at, hit = found(self.codes[order], codes)
+        out[hit] = self.costs[order][at[hit]]
+        rest = codes[~hit]
+        out[~hit] = self.escape(order, rest) + self.below(order - 1, rest % BASE**order)
+        return out
+
+    def escape(self, order: int, codes: np.ndarray) -> np.ndarray:
+        at, hit = found(self.contexts[order], codes // BASE)
+        out = np.zeros((len(codes), len(self.languages)))
+        out[hit] = self.escapes[order][at[hit]]
+        return out
 
     def lengths(self, text: bytes) -> np.ndarray:
         """Code length of text in nats by language."""
-        total, n = np.zeros(len(self.languages)), len(text)
-        s = np.concatenate([np.zeros(ORDER, np.int32), self.symbol[np.frombuffer(text, np.uint8)]])
-        for a in range(0, n, BLOCK):
-            w = s[a : min(a + BLOCK, n) + ORDER]
-            m = len(w) - ORDER
-            at = self.node[(w[:m] * self.n_symbols + w[1 : m + 1]) * self.n_symbols + w[2 : m + 2]].astype(np.int64) * self.n_symbols + w[ORDER:]
-            total += self.cost.reshape(-1, len(self.languages))[at].sum(axis=0, dtype=np.float64)
+        total = np.zeros(len(self.languages))
+        for block in codes_of(text):
+            codes, n = np.unique(block, return_counts=True)
+            total += n @ self.below(ORDER, codes)
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its posterior probability among the learned ones; 'und' and 0 for a text without a letter."""
         if not self.languages or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
-        bits = self.lengths(text.encode("utf-8", "surrogatepass"))
-        p = np.exp(bits.min() - bits)
-        best = int(bits.argmin())
+        nats = self.lengths(text.encode("utf-8", "surrogatepass"))
+        p = np.exp(nats.min() - nats)
+        best = int(nats.argmin())
         return self.languages[best], float(p[best] / p.sum())
 
 
-def context_counts(texts: dict[str, list[bytes]], symbol: np.ndarray, base: int, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of (order symbols before, next symbol) seen in any language, sorted, and their counts by language. Symbol 0 stands before a text."""
-    found = []
-    for own in texts.values():
-        codes = []
-        for t in own:
-            s = np.concatenate([np.zeros(order, np.int64), symbol[np.frombuffer(t, np.uint8)].astype(np.int64)])
-            code = np.zeros(len(t), np.int64)
-            for k in range(order + 1):
-                code = code * base + s[k : k + len(t)]
-            codes.append(code)
-        found.append(np.unique(np.concatenate(codes), return_counts=True))
-    codes = np.unique(np.concatenate([c for c, _ in found]))
-    counts = np.zeros((len(codes), len(found)), np.float64)
-    for k, (c, n) in enumerate(found):
-        counts[np.searchsorted(codes, c), k] = n
-    return codes, counts
-
-
-def build(texts: dict[str, list[bytes]]) -> Trees:
-    """Trees of the languages, with cost tables of all contexts kept."""
-    texts = {lang: own for lang, own in sorted(texts.items()) if any(own)}
-    if not texts:
-        return Trees([], np.zeros(256, np.int32), 1, np.zeros(1, np.int32), np.zeros((1, 1, 0), np.float32))
-    seen = np.bincount(np.frombuffer(b"".join(b"".join(x) for x in texts.values()), np.uint8), minlength=256) > 0
-    base, n_lang = int(seen.sum()) + 2, len(texts)
-    symbol = np.where(seen, np.cumsum(seen), base - 1).astype(np.int32)
-    most = min(MAX_CONTEXTS, MAX_CELLS // (base * n_lang))
-    # Order -1, then each order on top of the shorter one: a context's costs start as those of its suffix plus its escape.
-    cost = np.full((1, base, n_lang), np.log(256.0), np.float32)
-    suffix_node, tables, first = np.zeros(1, np.int64), [], 0
+def found(ordered: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether there) of each wanted value in ordered ones."""
+    if not len(ordered):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(ordered, wanted), len(ordered) - 1)
+    return at, ordered[at] == wanted
+
+
+def build(languages: list[str], language: np.ndarray, code: np.ndarray, n: np.ndarray) -> Trees:
+    """Trees from counts n of distinct (language number, code)."""
+    trees = Trees(languages, [], [], [], [])
     for order in range(ORDER + 1):
-        codes, counts = context_counts(texts, symbol, base, order)
-        own = codes // base
-        kept, inverse = np.unique(own, return_inverse=True)
-        total = np.bincount(inverse, counts.sum(axis=1))
-        if order:
-            enough = np.flatnonzero(total >= LEAST_SEEN)
-            enough = np.sort(enough[np.argsort(-total[enough], kind="stable")[: max(0, most - first)]])
-            back = np.full(len(kept), -1)
-            back[enough] = np.arange(len(enough))
-            use = back[inverse] >= 0
-            codes, counts, inverse, kept = codes[use], counts[use], back[inverse[use]], kept[enough]
-        n = np.zeros((len(kept), n_lang))
-        np.add.at(n, inverse, counts)
-        d = np.zeros((len(kept), n_lang))
-        np.add.at(d, inverse, counts > 0)
-        # The suffix drops the oldest symbol; a suffix that was not kept gives way to its own.
-        shorter = suffix_node[kept % base ** max(0, order - 1)] if order else np.zeros(1, np.int64)
-        escape = np.where(n > 0, -np.log(np.maximum(d, 1) / np.maximum(n + d, 1)), 0.0)
-        made = (np.concatenate(tables) if order else cost)[shorter] + escape[:, None, :].astype(np.float32)
-        share = -np.log(np.maximum(counts, 1) / (n + d)[inverse].clip(1))
-        rows, at = np.nonzero(counts > 0)
-        made[inverse[rows], (codes % base)[rows], at] = share[rows, at]
-        tables.append(made)
-        node = np.repeat(suffix_node[None], base if order else 1, axis=0).reshape(-1)
-        node[kept] = first + np.arange(len(kept))
-        suffix_node, first = node, first + len(kept)
-    return Trees(list(texts), symbol, base, suffix_node.astype(np.int32), np.concatenate(tables))
-
-
-def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Trees:
-    """Trees from the per_language documents of each language with the smallest hashes of their ids, outside the held-out fold."""
+        codes, at = np.unique(code % BASE ** (order + 1), return_inverse=True)
+        counts = np.zeros((len(codes), len(languages)))
+        np.add.at(counts, (at, language), n)
+        contexts, of = np.unique(codes // BASE, return_inverse=True)
+        total, kinds = np.zeros((len(contexts), len(languages))), np.zeros((len(contexts), len(languages)))
+        np.add.at(total, of, counts)
+        np.add.at(kinds, of, counts > 0)
+        escapes = np.where(total > 0, -np.log(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0.0)
+        own = -np.log(np.maximum(counts, 1) / np.maximum(total + kinds, 1)[of])
+        costs = np.where(counts > 0, own, escapes[of] + trees.below(order - 1, codes % BASE**order))
+        for kept, made in zip((trees.codes, trees.costs, trees.contexts, trees.escapes), (codes, costs.astype(np.float32), contexts, escapes.astype(np.float32)), strict=True):
+            kept.append(made)
+    return trees
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) -> (lang, code, n), added up within a batch."""
+    for b in batches:
+        seen: dict[str, list[np.ndarray]] = {}
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            seen.setdefault(lang, []).extend(codes_of(text.encode("utf-8", "surrogatepass")))
+        for lang, parts in seen.items():
+            codes, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n, pa.int64())], ["lang", "code", "n"])
+
+
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
+    """(lang, text) of the per_language documents of each language with the smallest hashes of their ids, outside the held-out fold.
+
+    Null languages, null and empty texts and null ids are left out. Each task passes on no more than per_language of a language's part.
+    """
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text != ''").where(~held_out())
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    # A share of each language, about twice what is wanted, then its smallest hashes: the window never sees a whole language.
-    limit = F.lit(0.0)
-    for r in sizes:
-        limit = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, (2 * per_language + 50) / r["count"]))).otherwise(limit)
-    h = F.xxhash64("doc_id")
-    near = known.select("doc_id", "lang", h.alias("h")).where((F.pmod(h, F.lit(1 << 30)) / float(1 << 30)) < limit)
-    ids = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "doc_id"))).where(F.col("k") <= per_language).select("doc_id").distinct()
-    texts: dict[str, list[bytes]] = {}
-    for r in known.join(F.broadcast(ids), "doc_id").orderBy("doc_id", F.xxhash64("text")).select("lang", "text").collect():
-        texts.setdefault(r["lang"], []).append(r["text"].encode("utf-8", "surrogatepass"))
-    wanted = {r["lang"] for r in sizes}
-    return build({k: v for k, v in texts.items() if k in wanted})
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    first = lambda df, *by: df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("k") <= per_language).drop("k")
+    parts = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part"))
+    ids = cut(first(first(parts, "lang", "part"), "lang").select("doc_id", "lang").distinct())
+    return known.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, ["doc_id", "lang"]).select("lang", "text")
+
+
+def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Trees:
+    """Trees from a sample of each language; only counts of codes reach the driver."""
+    counts = sample(docs, id_col, text_col, lang_col, per_language).mapInArrow(counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    names, language = np.unique(np.array(counts["lang"].to_pylist(), object).astype(str), return_inverse=True)
+    return build(names.tolist(), language, counts["code"].to_numpy(), counts["n"].to_numpy())
 
 
 def predictions(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, held_out, lang_pred, score. Null, empty and letterless texts are 'und' with score 0; ties go to the first language by name."""
+    """One row per input row: doc_id, held_out, lang_pred, score.
+
+    Null, empty and letterless texts are 'und' with score 0; ties go to the first language by name. Repeated rows and null ids each
+    keep their row (a null id is held out). An empty table gives no row. Other columns are not read.
+    """
     trees = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
