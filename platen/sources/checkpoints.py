@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def checkpointed(spark: SparkSession) -> None:
-    """Uses the folder named in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """Uses the folder named in spark.checkpoint.dir. Where none is set, a local master gets one of its own, deleted at exit; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="platen-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="platen-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
