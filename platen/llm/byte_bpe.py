@@ -2,9 +2,10 @@
 
 Distinct words are encoded by Spark higher-order functions: a word is an array of its bytes, and a fold merges, as often as there is
 one, the pair of neighbours with the lowest rank, looked up in a literal rank map (in hash buckets, as Spark looks
-through a map in order). The words are the MOST_WORDS most frequent of the whole corpus, so what is sent to the tasks is
+through a map in order). The words are the most frequent of the whole corpus, MOST_WORDS at most, so what is sent to the tasks is
 bounded. A text is encoded where it is read, word by word: from that table, and by the same ranked merges for a word that
-isn't in it. So nothing but words and their counts is shuffled. Decoding concatenates the ids' byte pieces.
+isn't in it. So nothing but words and their counts is shuffled. Decoding is Spark's: each id's binary piece is looked up in a
+literal array, and the pieces of a text are concatenated, in hex digits, as Spark joins arrays of strings in linear time.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platen.llm.common import table
+from platen.llm.common import cut, table
 from platen.llm.tokens import WordMemory, words
 
 #: Words encoded ahead by the fold, at most, and the longest one in bytes.
@@ -30,6 +32,8 @@ MOST_WORDS, LONGEST = 200_000, 48
 #: Words that a task counts at once before it passes the counts on.
 COUNT_WORDS = 300_000
 BUCKETS = 1 << 14
+#: Counts of words are told apart to 1 / COUNT_STEPS of a doubling when the most frequent are found.
+COUNT_STEPS = 16
 NO_RANK = 2**31 - 1
 
 
@@ -111,9 +115,18 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, ranks: dict[bytes, int], text_col: str = "text", most: int = MOST_WORDS) -> dict[str, bytes]:
-    """The most frequent words -> their ids as little-endian unsigned 32-bit integers."""
-    top = word_counts(docs, text_col).where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(most)
-    folded = top.select("word").repartition(F.col("word")).select("word", bound(rank_map(ranks), lambda literal: merged(F.col("word").cast("binary"), literal)).alias("ids")).toArrow()
+    """The most frequent words, all from some count on and `most` at most -> their ids as little-endian unsigned 32-bit integers."""
+    counts = cut(word_counts(docs, text_col).where(F.octet_length("word") <= LONGEST).withColumn("step", F.floor(F.log2("n") * COUNT_STEPS)))
+    least, room = None, most
+    for step, n in sorted((tuple(r) for r in counts.groupBy("step").count().collect()), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        least = step
+    if least is None:
+        return {}
+    top = counts.where(F.col("step") >= least).select("word").repartition(F.col("word"))
+    folded = top.select("word", bound(rank_map(ranks), lambda literal: merged(F.col("word").cast("binary"), literal)).alias("ids")).toArrow()
     ids = folded["ids"].combine_chunks()
     at = ids.offsets.to_numpy() * 4
     packed = ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
@@ -121,21 +134,37 @@ def frequent_words(docs: DataFrame, ranks: dict[bytes, int], text_col: str = "te
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same ranked merges for one word."""
+    """The same ranked merges for one word of any length: a heap of pairs by rank and place over a linked list of pieces."""
     if word in ranks:
         return [ranks[word]]
-    pieces = [word[k : k + 1] for k in range(len(word))]
-    most = len(ranks) + 1 << 32
-    order = [ranks.get(a + b, most) for a, b in zip(pieces, pieces[1:], strict=False)]
-    while order and (low := min(order)) != most:
-        k = order.index(low)
-        pieces[k : k + 2] = [pieces[k] + pieces[k + 1]]
-        del order[k]
-        if k:
-            order[k - 1] = ranks.get(pieces[k - 1] + pieces[k], most)
-        if k < len(order):
-            order[k] = ranks.get(pieces[k] + pieces[k + 1], most)
-    return [ranks[p] for p in pieces]
+    n, rank = len(word), ranks.get
+    end = list(range(1, n + 1))  # where the piece that starts here ends
+    before = list(range(-1, n))  # where the piece before this one starts
+    now = [rank(word[k : k + 2], -1) for k in range(n - 1)] + [-1]  # rank of this piece with the next; -1 for none
+    heap = [r * n + k for k, r in enumerate(now) if r >= 0]
+    heapify(heap)
+    while heap:
+        r, k = divmod(heappop(heap), n)
+        if now[k] != r:
+            continue
+        gone = end[k]
+        stop = end[k] = end[gone]
+        now[gone] = -1
+        now[k] = -1
+        if stop < n:
+            before[stop] = k
+            if (r := rank(word[k : end[stop]], -1)) >= 0:
+                now[k] = r
+                heappush(heap, r * n + k)
+        if (p := before[k]) >= 0:
+            now[p] = rank(word[p:stop], -1)
+            if now[p] >= 0:
+                heappush(heap, now[p] * n + p)
+    out, k = [], 0
+    while k < n:
+        out.append(ranks[word[k : end[k]]])
+        k = end[k]
+    return out
 
 
 class FoldedWords(dict):
@@ -149,13 +178,17 @@ class FoldedWords(dict):
         return self.others[word]
 
 
-def decoded(ids: bytes, pieces: list[bytes]) -> bytes:
-    """Concatenates the byte pieces of ids (little-endian unsigned 32-bit)."""
-    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes of an array of ids: their pieces from a literal array, joined."""
+    pieces = [""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        pieces[rank] = token.hex()
+    literal = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
+    return F.unhex(bound(literal, lambda p: F.array_join(F.transform(ids, lambda k: F.get(p, k)), "")))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, ids and decoded (both binary).
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, ids (array of int) and decoded (binary).
 
     A null text is an empty one, with no ids. Special tokens are ordinary text. Repeated rows and null ids
     each keep their row; an empty table gives no row. Other columns are not read.
@@ -164,21 +197,19 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     shared = docs.sparkSession.sparkContext.broadcast((frequent_words(docs, ranks, text_col), ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folded, ranks = shared.value
-        memory, pieces = FoldedWords(folded, ranks), [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            pieces[rank] = token
+        memory = FoldedWords(*shared.value)
         for b in batches:
-            out = []
-            for text in b.column(1).to_pylist():
-                ids = b"".join(map(memory.__getitem__, words(text or "")))
-                raw = decoded(ids, pieces)
-                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest(), ids if with_ids else None, raw if with_ids else None))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()), strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
+            # A few texts at a time, so that no batch of ids is much larger than its texts.
+            for low in range(0, b.num_rows, 256):
+                made = [b"".join(map(memory.__getitem__, words(t or ""))) for t in b.column(1)[low : low + 256].to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in made])]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(made), "<i4")))
+                yield pa.RecordBatch.from_arrays([b.column(0)[low : low + 256], pa.array(np.diff(ends).astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in made], pa.string()), ids], ["doc_id", "n_tokens", "ids_sha256", "ids"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded binary")
+    read = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    made = read.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, ids array<int>").withColumn("decoded", decoded(F.col("ids"), ranks))
+    return made.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "ids", "decoded")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), with_ids=False).drop("ids", "decoded")
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).drop("ids", "decoded")
