@@ -325,7 +325,7 @@ def test_op5_encodes_as_the_library_and_decodes(spark, texts):
     df = spark.createDataFrame(list(own.items()), "doc_id long, text string")
     for r in byte_bpe.encode(df, path).collect():
         ids = enc.encode_ordinary(own[r.doc_id] or "")
-        assert r.n_tokens == len(ids) and np.frombuffer(r.ids, "<u4").tolist() == ids
+        assert r.n_tokens == len(ids) and list(r.ids) == ids and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert bytes(r.decoded) == (own[r.doc_id] or "").encode() and r.decoded_sha256 == hashlib.sha256(r.decoded).hexdigest()
     sample = [w for w in Counter(w for t in own.values() for w in words(t or "")) if len(w.encode()) <= 48][:800]
     literal = byte_bpe.rank_map(ranks)
@@ -333,6 +333,22 @@ def test_op5_encodes_as_the_library_and_decodes(spark, texts):
     assert all(r.ids == byte_bpe.merge_word(r.w.encode(), ranks) for r in folded)
 
 
+def test_op5_long_words_merge_as_the_library_does():
+    import time
+
+    import tiktoken
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(6)
+    for word in ("a" * 3000, "日本語" * 700, *("".join(rng.choice(list("abcdefinorstAZé"), 900)) for _ in range(20)), "", "x"):
+        assert byte_bpe.merge_word(word.encode(), ranks) == (enc._core_bpe.encode_single_piece(word.encode()) if word else [])
+    word, start = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 10**6)).encode(), time.process_time()
+    ids = byte_bpe.merge_word(word, ranks)
+    pieces = {r: t for t, r in ranks.items()}
+    assert b"".join(map(pieces.__getitem__, ids)) == word and time.process_time() - start < 30
+
+
 # ---- 7
 
 
@@ -422,3 +438,12 @@ def test_op10_hosts_paths_and_rules(spark):
 def test_op10_trees_learn_what_rules_label(spark):
     rows = registry.QUERIES["op10_url_filters"](spark, "/root/testdata/sf0.1").collect()
     assert {r.verdict for r in rows} == {"allow", "block"} and all((r.score is None) == (r.rule is not None) for r in rows)
+
+
+def test_op10_trees_tell_held_out_ruled_urls(spark):
+    rows = url_filters.ruled(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
+    known = url_filters.labelled_urls(rows).withColumn("part", F.pmod(F.xxhash64("url_text"), F.lit(4)))
+    told = url_filters.scored_by_trees(known.where("part > 0").drop("part"), known.where("part = 0").drop("part")).select("label", "p").collect()
+    right = np.mean([(r.p >= 0.5) == (r.label == 1) for r in told])
+    print(len(told), right, np.mean([r.label for r in told]))
+    assert len(told) > 100 and right > 0.9
