@@ -6,7 +6,9 @@ import atexit
 import gc
 import shutil
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,18 @@ def fresh(df: DataFrame) -> DataFrame:
     return type(df)(spark._jsparkSession.createDataFrame(kept._jdf.toJavaRDD(), kept._jdf.schema()), spark)
 
 
+def broadcast_if_small(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
+    """df, which is checkpointed and has a few short columns, marked for broadcast if it has at most `most` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows a few at a time, so that what is made of them stays small; an empty batch stays one."""
+    for b in batches:
+        for a in range(0, max(1, b.num_rows), rows):
+            yield b.slice(a, rows)
+
+
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Columns (node, root): the smallest node reachable from each node that has an edge.
 

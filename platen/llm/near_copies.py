@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from platen.llm.common import connected_components, cut, fresh, without_rows
+from platen.llm.common import MAX_BROADCAST, broadcast_if_small, connected_components, cut, fresh, slices, without_rows
 from platen.llm.simhash_dedup import SEED, BKTree, shingles
 
 SHINGLE, LIKENESS = 5, 0.8
@@ -29,6 +29,8 @@ RADIUS, SMALL = 24, 64
 #: Equal min-hashes of two sets that may be alike; of 40, sets 0.8 alike have fewer once in 100,000.
 LEAST_EQUAL = HASHES // 2
 MAX_SHARD = 256
+#: Shingles of a group whose shares are counted at once.
+COLUMNS = 4096
 _FACTORS = np.random.default_rng(SEED).integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -56,7 +58,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_hash, key, fp, n, mins) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_set(t) for t in b.column(2).to_pylist()]
             made = list(zip(*(sketch(s) for s in sets), strict=True)) or [(), (), ()]
             kinds = (pa.int64(), pa.int64(), pa.binary())
@@ -71,11 +73,21 @@ def text_hash(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
-def alike(a: np.ndarray, b: np.ndarray, likeness: float = LIKENESS) -> bool:
-    if min(len(a), len(b)) < likeness * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= likeness * (len(a) + len(b) - both)
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """(set, set) -> number of shingles that both have. Shingles of one set alone are left out, the others are counted COLUMNS at a time."""
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    use = (np.bincount(at, minlength=len(values)) > 1)[at]
+    at, owner = np.unique(at[use], return_inverse=True)[1], owner[use]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    counts = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        a, b = np.searchsorted(at, [low, low + COLUMNS])
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[owner[a:b], at[a:b] - low] = 1
+        counts += held @ held.T
+    return counts
 
 
 class Forest:
@@ -106,6 +118,24 @@ def candidates(keys: list[int], fps: list[int], sizes: list[int], mins: list[byt
             for m in np.array(near)[equal >= LEAST_EQUAL].tolist():
                 if roots[k] != roots[m]:
                     forest.join(k, m)
+    return named_groups(keys, forest)
+
+
+def met_candidates(guest: list[bool], keys: list[int], fps: list[int], sizes: list[int], mins: list[bytes], roots: list[int]) -> list[tuple[int, int]]:
+    """(group, key), like candidates(), of the guests and what they may be linked with; hosts of one piece have met before."""
+    forest, sketched = Forest(len(keys)), np.frombuffer(b"".join(mins), "<u4").reshape(-1, HASHES)
+    hosts = np.flatnonzero(~np.array(guest))
+    own, n, root = np.array(fps, np.int64), np.array(sizes), np.array(roots, np.int64)
+    for k in np.flatnonzero(guest).tolist():
+        bits = np.bitwise_count((own[hosts] ^ own[k]).view(np.uint64))
+        near = hosts[(root[hosts] != root[k]) & (n[hosts] >= LIKENESS * n[k]) & (n[k] >= LIKENESS * n[hosts]) & ((bits <= RADIUS) | (n[hosts] < SMALL) | (n[k] < SMALL))]
+        for m in near[(sketched[near] == sketched[k]).sum(axis=1) >= LEAST_EQUAL].tolist():
+            forest.join(k, m)
+    return named_groups(keys, forest)
+
+
+def named_groups(keys: list[int], forest: Forest) -> list[tuple[int, int]]:
+    """(group, key) of the trees of more than one key; equal groups have equal names."""
     groups: dict[int, list[int]] = {}
     for k in range(len(keys)):
         groups.setdefault(forest.find(k), []).append(keys[k])
@@ -146,6 +176,21 @@ def shard_groups(batches: Iterator[pa.RecordBatch], most: int | None = None) ->
     yield from _pairs(search(), ["grp", "key"])
 
 
+def met_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (shard, guest, key, fp, n, mins, root), sorted by shard, to (group, key)."""
+    shard, rows = None, []
+    for b in batches:
+        out = []
+        for s, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if s != shard:
+                out += met_candidates(*map(list, zip(*rows, strict=True))) if rows else []
+                shard, rows = s, []
+            rows.append(row)
+        yield from _pairs(out, ["grp", "key"])
+    if rows:
+        yield from _pairs(met_candidates(*map(list, zip(*rows, strict=True))), ["grp", "key"])
+
+
 def verified(batches: Iterator[pa.RecordBatch], likeness: float) -> Iterator[pa.RecordBatch]:
     """Batches of (group, key, set, root), sorted by group, to a spanning forest (a, b) of the exact links in each group between sets of different roots."""
     group, keys, sets, roots = None, [], [], []
@@ -154,14 +199,14 @@ def verified(batches: Iterator[pa.RecordBatch], likeness: float) -> Iterator[pa.
         forest, out, one = Forest(len(keys)), [], {}
         for k, r in enumerate(roots):
             forest.join(k, one.setdefault(r, k))
-        for k in range(len(keys)):
-            for m in range(k):
-                if forest.find(k) != forest.find(m) and alike(sets[k], sets[m], likeness):
-                    forest.join(k, m)
+        if len(one) > 1:
+            n, both = np.array([len(x) for x in sets], float), shared_counts(sets).astype(float)
+            for k, m in np.argwhere(np.tril(both >= likeness * (n[:, None] + n - both), -1)).tolist():
+                if forest.join(k, m):
                     out.append((keys[k], keys[m]))
         return out
 
-    for b in batches:
+    for b in slices(batches):
         out = []
         for g, key, raw, root in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if g != group:
@@ -179,7 +224,7 @@ def _dealt(rows: DataFrame, from_band: int, *salt: Column) -> DataFrame:
     band = [F.xxhash64(*salt, F.lit(k), F.substring("mins", 8 * (from_band + k) + 1, 8)) for k in range(BANDS)]
     dealt = rows.select(F.explode(F.array(*band)).alias("shard"), "key", "fp", "n", "mins")
     sized = cut(dealt.groupBy("shard").agg(F.count("*").alias("rows")).where("rows > 1"))
-    return cut(dealt.join(sized, "shard"))
+    return cut(dealt.join(broadcast_if_small(sized, MAX_BROADCAST // 4), "shard"))
 
 
 def near_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, likeness: float = LIKENESS, max_shard: int = MAX_SHARD) -> DataFrame:
@@ -209,8 +254,9 @@ def near_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, lik
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     guests = open_.where("root != core").withColumn("piece", piece).withColumn("chunk", every("chunks"))
     hosts = open_.withColumn("chunk", chunk).withColumn("piece", every("pieces"))
-    met = guests.select("piece", "chunk", *own).unionByName(hosts.select("piece", "chunk", *own)).select(F.xxhash64("shard", F.col("piece").cast("long"), F.col("chunk").cast("long")).alias("shard"), *own[1:])
-    found = met.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(shard_groups, kind)
+    met = guests.select("piece", "chunk", *own, F.lit(True).alias("guest")).unionByName(hosts.select("piece", "chunk", *own, F.lit(False).alias("guest")))
+    met = met.select(F.xxhash64("shard", F.col("piece").cast("long"), F.col("chunk").cast("long")).alias("shard"), "guest", *own[1:])
+    found = met.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(met_groups, kind)
     return fresh(links.union(_exact_links(docs, sets, found, roots, id_col, text_col, likeness)).distinct())
 
 
@@ -218,10 +264,11 @@ def _exact_links(docs: DataFrame, sets: DataFrame, found: DataFrame, roots: Data
     """(a, b): the links in the groups found that hold between the exact sets and join different roots."""
     groups = cut(found.distinct())
     asked = groups.select("key").distinct().join(sets, "key").join(roots, "key").select("key", "root", F.col("doc_id").alias("asked_id"), F.col("text_hash").alias("asked_text"))
+    asked = broadcast_if_small(cut(asked), MAX_BROADCAST // 4)
     texts = docs.select(F.col(id_col).cast("long").alias("own_id"), text_hash(text_col).alias("own_text"), F.col(text_col).cast("string").alias("text"))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t).tobytes() for t in b.column(1).to_pylist()], pa.binary()), b.column(2)], ["key", "own", "root"])
 
     # A repeated row would give its set twice.
