@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platen.llm.common import cut, release, table
+from platen.llm.common import cut, release, slices, table
 from platen.llm.phrases import WINDOW, RollingHash, phrases
 
 #: Windows are compared in classes by the number of bytes before their trigger: STEP numbers a class. Those of a class share CORE bytes.
@@ -54,7 +54,7 @@ def as_bytes(text: str | None) -> bytes:
 
 def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, text) -> a row for each phrase."""
-    for b in batches:
+    for b in slices(batches):
         cols: list[list[np.ndarray]] = [[], [], [], []]
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             raw = as_bytes(text)
@@ -67,7 +67,7 @@ def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, text, places of phrases) -> a row for each class of a phrase's windows: hash of the bytes they share, their run, bytes before, and the STEP - 1 bytes on either side of the shared ones."""
-    for b in batches:
+    for b in slices(batches):
         out: list[list] = [[], [], [], [], []]
         for doc, text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             raw = as_bytes(text)
@@ -173,7 +173,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text, found in zip(b.column(1).to_pylist(), b.column(2), strict=True):
                 raw = as_bytes(text)
@@ -193,7 +193,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text_at, size_at = docs.columns.index(text_col), docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             cols = list(b.columns[:-1])
             texts = []
             for text, found in zip(b.column(text_at).to_pylist(), b.columns[-1], strict=True):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platen.llm.common import table
+from platen.llm.common import slices, table
 from platen.llm.labelled import BoundedMemory, held_out, labelled_sample
 
 #: Labelled rows of each class that the model is fitted on, at most.
@@ -41,7 +41,7 @@ def bucket(term: str) -> int:
 def term_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(label, text) -> (label, distinct hashed terms as little-endian 32-bit integers)."""
     memory = BoundedMemory(bucket)
-    for b in batches:
+    for b in slices(batches):
         ids = [np.unique(np.fromiter((memory[w] for w in set(_TERM.findall(t.lower()))), "<i4")).tobytes() for t in (x or "" for x in b.column(1).to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["label", "terms"])
 
@@ -158,7 +158,7 @@ def scores(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(model.value)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([score(t) for t in b.column(2).to_pylist()], pa.float64())], ["doc_id", "held_out", "score"])
 
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string"))
@@ -175,7 +175,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(model.value)
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([score(t) < THRESHOLD for t in b.column(b.schema.get_field_index(text_col)).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
