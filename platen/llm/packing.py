@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platen.llm.common import table
+from platen.llm.common import slices, table
 from platen.llm.tokens import tokenizer_memory
 
 CAPACITY = 2048
@@ -72,7 +72,7 @@ def packed(batches: Iterator[pa.RecordBatch], path: str, capacity: int, most: in
     memory, bins = tokenizer_memory(path), OpenBins(capacity, most)
     base = TaskContext.get().partitionId() * TASK_SPAN
     end = END_ID.to_bytes(4, "little")
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids = memory.ids_of(text or "") + end

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import struct
-from functools import lru_cache
 
 import regex
 
@@ -26,7 +25,7 @@ def words(text: str) -> list[str]:
 class WordMemory(dict):
     """Word -> its ids as little-endian unsigned 32-bit integers. Forgets all when full, so its memory is bounded."""
 
-    def __init__(self, encode, most: int = 600_000, longest: int = 64):
+    def __init__(self, encode, most: int = 400_000, longest: int = 64):
         super().__init__()
         self.encode, self.most, self.longest = encode, most, longest
 
@@ -50,9 +49,8 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-@lru_cache(maxsize=2)
 def tokenizer_memory(path: str) -> WordMemory:
-    """The memory of this process for a byte-level tokenizer file; a word that isn't in it goes to the tokenizer's model alone."""
+    """A memory for a byte-level tokenizer file; a word that isn't in it goes to the tokenizer's model alone."""
     from tokenizers import Tokenizer
 
     letters, model = byte_letters(), Tokenizer.from_file(path).model
