@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Names that may be stored, and the largest artifact.
-ALLOWED_NAME, LARGEST = r"^[a-z0-9][a-z0-9_.-]*\.onnx(_data)?$", 512 * 1024 * 1024
+# Names that may be stored (in either case), and the largest artifact.
+ALLOWED_NAME, LARGEST = r"(?i)^[a-z0-9][a-z0-9_.-]*\.onnx(_data)?$", 512 * 1024 * 1024
 
 
 def artifact_audit(manifest: DataFrame, observed: DataFrame) -> DataFrame:

@@ -242,11 +242,11 @@ def ring_gain(best: DataFrame, others: DataFrame, print_cells: DataFrame, size:
 
 def classic_objects(components: DataFrame, size: int, least: float = 0.015, rectangular: float = 0.82, most: int = 16) -> DataFrame:
     """(mask_id, label, cx, cy, w, h, angle, score): parts of a share of the frame and rectangular once filled by their hull, the largest first, most at most; the score is the rectangularity."""
-    parts = components.select((F.col("mask_id") * 4096 + F.col("label")).alias("mask_id"), "y", "x")
+    parts = components.select((F.col("mask_id") * size * size + F.col("label")).alias("mask_id"), "y", "x")
     hulls = convex_hull(parts)
     filled = clean_mask(parts, hulls).groupBy("mask_id").agg(F.count("*").alias("n"))
     r = min_area_rect(hulls).join(filled, "mask_id").withColumn("score", F.col("n") / ((F.col("w") + 1) * (F.col("h") + 1))).where((F.col("n") >= least * size * size) & (F.col("score") >= rectangular))
-    r = r.withColumn("label", F.col("mask_id") % 4096).withColumn("mask_id", F.floor(F.col("mask_id") / 4096))
+    r = r.withColumn("label", F.col("mask_id") % (size * size)).withColumn("mask_id", F.expr(f"mask_id div {size * size}"))
     r = r.withColumn("k", F.row_number().over(Window.partitionBy("mask_id").orderBy(F.desc("n"), "label"))).where(F.col("k") <= most)
     return r.select("mask_id", "label", "cx", "cy", "w", "h", "angle", "score")
 

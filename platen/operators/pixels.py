@@ -57,13 +57,15 @@ def gradient_profiles(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     """(scan_id, axis, at, profile): for each column, and for each row, the summed difference of its neighbours over the middle half of the scan's box px0, py0, px1, py1."""
     j = pixels.withColumns({"dx": F.abs(F.lead("v").over(along_row()) - F.lag("v").over(along_row())), "dy": F.abs(F.lead("v").over(along_column()) - F.lag("v").over(along_column()))}).join(boxes.select("scan_id", "px0", "py0", "px1", "py1"), "scan_id")
 
-    def summed(axis: str, across: str, d: str) -> DataFrame:
+    def line(axis: str, across: str, d: str) -> Column:
         low, high = F.col(f"p{across}0"), F.col(f"p{across}1")
         quarter = F.floor(F.greatest(high - low, F.lit(0)) / 4)
-        inside = (F.col(across) >= low + quarter) & (F.col(across) < high - quarter) & F.col(d).isNotNull()
-        return j.where(inside).groupBy("scan_id", F.col(axis).alias("at")).agg(F.sum(d).cast("double").alias("profile")).select("scan_id", F.lit(axis).alias("axis"), "at", "profile")
+        inside = (F.col(across) >= low + quarter) & (F.col(across) < high - quarter)
+        return F.struct(F.lit(axis).alias("axis"), F.col(axis).alias("at"), F.when(inside, F.col(d)).alias("d"))
 
-    return summed("x", "y", "dx").union(summed("y", "x", "dy"))
+    # Both lines of a pixel come from one pass over the windows.
+    lines = j.select("scan_id", F.explode(F.array(line("x", "y", "dx"), line("y", "x", "dy"))).alias("l")).where("l.d is not null")
+    return lines.groupBy("scan_id", "l.axis", "l.at").agg(F.sum("l.d").cast("double").alias("profile"))
 
 
 def snap_edges(pixels: DataFrame, boxes: DataFrame, reach: float = 0.025, prominence: float = 6.0) -> DataFrame:
@@ -131,7 +133,11 @@ def sobel(pixels: DataFrame) -> DataFrame:
 
 
 def white_stretch(pixels: DataFrame) -> DataFrame:
-    """v mapped so that the first percent of the histogram's bins is black and the last half percent white."""
+    """v mapped so that the first percent of the histogram's bins is black and the last half percent white.
+
+    The pixels are dealt by scan once; histogram, windows and the join back to them share that exchange.
+    """
+    pixels = pixels.repartition("scan_id")
     h = pixels.groupBy("scan_id", "v").agg(F.count("*").alias("n"))
     up, down = Window.partitionBy("scan_id").orderBy("v"), Window.partitionBy("scan_id").orderBy(F.desc("v"))
     total = F.sum("n").over(Window.partitionBy("scan_id"))

@@ -102,7 +102,7 @@ def _(v):
 _AUDIT = r"""a AS (SELECT coalesce(m.name, o.name) AS name, m.bytes AS expected, o.bytes AS found FROM manifest m FULL JOIN observed o ON m.name = o.name)"""
 
 
-@query("au1_artifact_audit", f"""WITH {_AUDIT} SELECT name, CASE WHEN expected IS NULL OR NOT regexp_matches(name, '^[a-z0-9][a-z0-9_.-]*\\.onnx(_data)?$') OR contains(name, '..') THEN 'unexpected' WHEN found IS NULL THEN 'missing'
+@query("au1_artifact_audit", f"""WITH {_AUDIT} SELECT name, CASE WHEN expected IS NULL OR NOT regexp_matches(name, '(?i)^[a-z0-9][a-z0-9_.-]*\\.onnx(_data)?$') OR contains(name, '..') THEN 'unexpected' WHEN found IS NULL THEN 'missing'
  WHEN found > 536870912 THEN 'oversized' WHEN found <> expected THEN 'truncated' ELSE 'ok' END AS state FROM a""")
 def _(v):
     return audit.artifact_audit(v("manifest"), v("observed"))
@@ -207,3 +207,15 @@ def _(v):
 def _(v):
     p = v("pixels").select("scan_id", "y", "x", F.col("v").alias("r"), F.col("v").alias("g"), F.col("v").alias("b"))
     return scans.normalised(p).select("scan_id", "y", "x", *(tidy(c).alias(c) for c in "rgb"))
+
+
+@query("src6_proposals_scan", "SELECT m.mask_id, count(c.y) AS n, min(c.y * 1000 + c.x) // 1000 AS first_y, min(c.y * 1000 + c.x) % 1000 AS first_x FROM masks m LEFT JOIN mask_cells c ON c.mask_id = m.mask_id GROUP BY 1")
+def _(v):
+    p = scans.proposals_scan(v("masks").select("mask_id"), v("mask_cells"))
+    first = F.try_element_at("cells", F.lit(1))
+    return p.select("mask_id", F.coalesce(F.size("cells"), F.lit(0)).cast("long").alias("n"), first["y"].cast("long").alias("first_y"), first["x"].cast("long").alias("first_x"))
+
+
+@query("src_scaled_prompts", "SELECT scan_id, i.i * 8 + j.j AS prompt_id, (j.j + 0.5::double) / 8 * 1024 AS mx, (i.i + 0.5::double) / 8 * 1024 AS my FROM scans, range(8) i(i), range(8) j(j)")
+def _(v):
+    return scans.scaled_prompts(scans.with_prompts(v("scans").select("scan_id"), scans.prompt_grid(v.spark, 8))).select("scan_id", "prompt_id", "mx", "my")

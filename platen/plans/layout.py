@@ -12,12 +12,6 @@ R1 = "floor(({}) * 10 + 0.5) / 10"
 T6 = "floor(({}) * 1e6 + 0.5) / 1e6"
 
 
-@query("ly1_sheets", "SELECT s.sheet, p.preset, s.w_mm * s.h_mm / (p.w_mm * p.h_mm) AS times FROM sheets s CROSS JOIN presets p")
-def _(v):
-    p = v("presets").select("preset", F.col("w_mm").alias("a"), F.col("h_mm").alias("b"))
-    return v("sheets").crossJoin(F.broadcast(p)).select("sheet", "preset", (F.col("w_mm") * F.col("h_mm") / (F.col("a") * F.col("b"))).alias("times"))
-
-
 _TRAY = """tray AS (SELECT t.*, l.*, p.label, p.w_mm AS preset_a, p.h_mm AS preset_b, CASE WHEN l.landscape THEN s.h_mm ELSE s.w_mm END AS sheet_w, CASE WHEN l.landscape THEN s.w_mm ELSE s.h_mm END AS sheet_h
  FROM tray_items t JOIN layouts l ON l.layout_id = t.sheet_id % 5 LEFT JOIN sheets s ON s.sheet = l.sheet LEFT JOIN presets p ON p.preset = l.preset)"""
 
@@ -28,6 +22,12 @@ def tray(v):
     return v("tray_items").withColumn("layout_id", (F.col("sheet_id") % 5).cast("int")).join(F.broadcast(layouts), "layout_id")
 
 
+@query("ly1_sheets", f"WITH {_TRAY} SELECT sheet, preset, count(*) AS items, max(sheet_w * sheet_h / (preset_a * preset_b)) AS times FROM tray GROUP BY 1, 2")
+def _(v):
+    times = F.col("sheet_w") * F.col("sheet_h") / (F.col("preset_a") * F.col("preset_b"))
+    return tray(v).groupBy("sheet", "preset").agg(F.count("*").alias("items"), F.max(times).alias("times"))
+
+
 def crops(v):
     return tray(v).withColumnsRenamed({"width_px": "w_px", "height_px": "h_px"})
 

@@ -66,10 +66,10 @@ def with_prompts(scans: DataFrame, prompts: DataFrame) -> DataFrame:
     return scans.crossJoin(F.broadcast(prompts))
 
 
-def proposals_scan(spark: SparkSession, masks_path: str, cells_path: str) -> DataFrame:
-    """Model output as rows: each mask with its cells as one array."""
-    cells = spark.read.parquet(cells_path).groupBy("mask_id").agg(F.collect_list(F.struct("y", "x")).alias("cells"))
-    return spark.read.parquet(masks_path).join(cells, "mask_id", "left")
+def proposals_scan(masks: DataFrame, cells: DataFrame) -> DataFrame:
+    """Model output as rows: each mask with its cells as one array in order (null without any); a mask's cells are bounded by its frame."""
+    own = cells.groupBy("mask_id").agg(F.sort_array(F.collect_list(F.struct("y", "x"))).alias("cells"))
+    return masks.join(own, "mask_id", "left")
 
 
 def normalised(pixels: DataFrame) -> DataFrame:
