@@ -2,7 +2,8 @@
 
 Two fingerprints within radius r agree on all of some choice of (blocks - r) blocks of bits, so each choice
 deals the distinct fingerprints into shards, and links lie inside shards. Every shard is one BK-tree, built where the
-shard's fingerprints meet. (The trees aren't broadcast: an index of all fingerprints has no bound.) A shard
+shard's fingerprints meet. (The trees aren't broadcast: an index of all fingerprints has no bound, and in bounded batches every
+fingerprint would search every batch's tree.) A shard
 gives a spanning forest of its links, not all pairs. A shard of more than MAX_TREE fingerprints is not searched as
 a tree: there, fingerprints meet at the neighbours they share, at most 65 at each, which finds the same links in linear time.
 """

@@ -3,10 +3,11 @@
 1. Parse: rolling-hash triggers cut each text into phrases (phrases.py); a phrase stands for all the windows of its trigger.
    A trigger string seen once in the corpus has only windows seen once, and goes no further.
 2. Dictionary: the distinct phrases, each with its first place in the corpus. Every later copy repeats all its windows.
-3. Phrases that share a trigger but differ may share some windows. The windows of such dictionary phrases are put in
-   suffix order: around the bytes they must share, their ends are sorted, and of equal windows all but the first are repeats.
-   What stands between two windows in corpus order is thus the dictionary's order first and the place in the parse
-   second, compared on WINDOW bytes.
+3. Phrases that share a trigger but differ may share some windows. The windows of such dictionary phrases are grouped by the
+   bytes they must share and by their ends, in hashes; of equal windows all but the first in corpus order are repeats.
+
+A suffix array would bring equal windows side by side by sorting; only equality on WINDOW bytes and the first place matter here, so
+windows are grouped and their least place taken, which Spark adds up in parts. No suffix array of dictionary or parse is made.
 
 Everything is keyed by hashes of 128 bits in all (trigger and phrase; shared bytes and ends). Frequent keys are aggregated
 before they are shuffled, and joins back to them are ones Spark can split.
