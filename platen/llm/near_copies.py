@@ -3,9 +3,10 @@
 Distinct sets are dealt into shards by pairs of min-hashes (BANDS pairs, so that two sets 0.8 alike miss each other with
 probability 0.36 ** 10, or 4 in 100,000). In a shard a BK-tree of SimHash fingerprints, and the min-hashes of both, name
 candidates. These only save work: a link counts when the exact sets, made again from the texts, are 0.8 alike.
-A shard of more than MAX_SHARD sets is dealt again by BANDS more pairs. What is still larger is first searched in overlapping runs of
-neighbours in the order of their min-hashes, each with the shard's first set in it. Then what these links leave outside the
-shard's largest component meets all of the shard, in pieces, so no pair that could join two components is left out.
+A shard of more than MAX_SHARD sets is first searched in overlapping runs of neighbours in the order of their min-hashes, each with
+the shard's first set in it, by the sets of which it is the largest shard. Then what these links leave outside the shard's largest
+component meets all of the shard, so no pair that could join two components is left out. Where that is over MAX_SHARD sets,
+the shard is dealt again by BANDS more pairs, and what is still larger is searched in the same two steps, in pieces.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ LEAST_EQUAL = HASHES // 2
 MAX_SHARD = 256
 #: Shingles of a group whose shares are counted at once.
 COLUMNS = 4096
+_OWN = ["shard", "key", "fp", "n", "mins", "root"]
 _FACTORS = np.random.default_rng(SEED).integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -231,33 +233,70 @@ def near_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, lik
     """(a, b): links between keys of rows that connect all sets `likeness` alike. rows: sketches of docs."""
     # One row speaks for each set; mins, fp and n follow from the key.
     sets = cut(rows.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash", "fp", "n", "mins")).alias("x")).select("key", "x.*"))
-    own = ["shard", "key", "fp", "n", "mins", "root"]
-    kind = "grp long, key long"
+    alone = sets.select("key", F.col("key").alias("root"))
     dealt = _dealt(sets, 0)
-    again = _dealt(dealt.where(F.col("rows") > max_shard), BANDS, F.col("shard"))
-    small = dealt.where(F.col("rows") <= max_shard).union(again.where(F.col("rows") <= max_shard)).withColumn("root", F.col("key")).select(own)
-    found = small.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(shard_groups, kind)
-    large = again.where(F.col("rows") > max_shard).withColumn("root", F.col("key"))
+    found = _in_shards(dealt.where(F.col("rows") <= max_shard).withColumn("root", F.col("key")))
+    large = dealt.where(F.col("rows") > max_shard)
     if large.isEmpty():
-        return _exact_links(docs, sets, found, sets.select("key", F.col("key").alias("root")), id_col, text_col, likeness)
-    first = cut(large.groupBy("shard").agg(F.min(F.struct(*own[1:])).alias("x")).select("shard", *(F.col(f"x.{c}").alias(f"first_{c}") for c in own[1:])))
-    runs = large.select(own).join(first, "shard").repartitionByRange("shard", "mins", "key").sortWithinPartitions("shard", "mins", "key")
-    found = found.union(runs.mapInArrow(lambda batches: shard_groups(batches, max_shard), kind))
-    links = _exact_links(docs, sets, found, sets.select("key", F.col("key").alias("root")), id_col, text_col, likeness)
-    roots = sets.select("key").join(connected_components(links).withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
-    roots = fresh(roots)
-    large = cut(large.drop("root").join(roots, "key"))
-    largest = large.groupBy("shard", "root").agg(F.count("*").alias("n")).groupBy("shard").agg(F.max(F.struct("n", "root")).alias("x"), F.sum("n").alias("rows"))
-    largest = cut(largest.select("shard", F.col("x.root").alias("core"), F.ceil((F.col("rows") - F.col("x.n")) / max_shard).cast("int").alias("pieces"), F.ceil(F.col("rows") / max_shard).cast("int").alias("chunks")).where("pieces > 0"))
-    open_ = large.select(own).join(largest, "shard")
+        return _exact_links(docs, sets, found, alone, id_col, text_col, likeness)
+    # Each set is searched in the largest of its shards first: a group of thousands is linked there once, not in every shard it fills.
+    homes = large.groupBy("key").agg(F.max(F.struct("rows", "shard")).alias("x")).select("key", F.col("x.shard").alias("shard"))
+    home = cut(large.join(homes, ["shard", "key"]).withColumn("root", F.col("key")))
+    links = _exact_links(docs, sets, found.union(_in_runs(home, max_shard)), alone, id_col, text_col, likeness)
+    roots = _roots(sets, links)
+    open_ = _outside_core(large, roots, max_shard)
+    # Shards with few sets outside the largest component meet them at once, the others are dealt again.
+    found = _met(open_.where("pieces = 1"), max_shard)
+    many = open_.where("pieces > 1")
+    if many.isEmpty():
+        return fresh(links.union(_exact_links(docs, sets, found, roots, id_col, text_col, likeness)).distinct())
+    again = _dealt(many, BANDS, F.col("shard"))
+    found = found.union(_in_shards(again.where(F.col("rows") <= max_shard).join(roots, "key")))
+    large = again.where(F.col("rows") > max_shard)
+    found = found.union(_in_runs(cut(large.join(roots, "key")), max_shard))
+    links = cut(links.union(_exact_links(docs, sets, found, roots, id_col, text_col, likeness)).distinct())
+    if large.isEmpty():
+        return fresh(links)
+    roots = _roots(sets, links)
+    found = _met(_outside_core(large, roots, max_shard), max_shard)
+    return fresh(links.union(_exact_links(docs, sets, found, roots, id_col, text_col, likeness)).distinct())
+
+
+def _in_shards(rows: DataFrame) -> DataFrame:
+    """(group, key) of shards that are searched whole."""
+    return rows.select(_OWN).repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(shard_groups, "grp long, key long")
+
+
+def _in_runs(rows: DataFrame, max_shard: int) -> DataFrame:
+    """(group, key) of shards that are searched in runs of neighbours. rows is checkpointed."""
+    first = cut(rows.groupBy("shard").agg(F.min(F.struct(*_OWN[1:])).alias("x")).select("shard", *(F.col(f"x.{c}").alias(f"first_{c}") for c in _OWN[1:])))
+    runs = rows.select(_OWN).join(first, "shard").repartitionByRange("shard", "mins", "key").sortWithinPartitions("shard", "mins", "key")
+    return runs.mapInArrow(lambda batches: shard_groups(batches, max_shard), "grp long, key long")
+
+
+def _roots(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, root) of all sets."""
+    linked = connected_components(links).withColumnRenamed("node", "key")
+    return fresh(sets.select("key").join(linked, "key", "left").select("key", F.coalesce("root", "key").alias("root")))
+
+
+def _outside_core(rows: DataFrame, roots: DataFrame, max_shard: int) -> DataFrame:
+    """rows of the shards that are not one component, with the root of the shard's largest one (core), the pieces of what is outside it and the chunks of the shard."""
+    rooted = cut(rows.join(roots, "key"))
+    parts = rooted.groupBy("shard", "root").agg(F.count("*").alias("n")).groupBy("shard").agg(F.max(F.struct("n", "root")).alias("x"), F.sum("n").alias("all"))
+    cores = parts.select("shard", F.col("x.root").alias("core"), F.ceil((F.col("all") - F.col("x.n")) / max_shard).cast("int").alias("pieces"), F.ceil(F.col("all") / max_shard).cast("int").alias("chunks"))
+    return cut(rooted.join(cut(cores.where("pieces > 0")), "shard"))
+
+
+def _met(open_: DataFrame, max_shard: int) -> DataFrame:
+    """(group, key): what is outside a shard's core has met all of the shard, in pieces and chunks of about max_shard rows."""
     piece, chunk = (F.pmod(F.xxhash64("key", F.lit(k)), F.col(c)) for k, c in enumerate(("pieces", "chunks")))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     guests = open_.where("root != core").withColumn("piece", piece).withColumn("chunk", every("chunks"))
     hosts = open_.withColumn("chunk", chunk).withColumn("piece", every("pieces"))
-    met = guests.select("piece", "chunk", *own, F.lit(True).alias("guest")).unionByName(hosts.select("piece", "chunk", *own, F.lit(False).alias("guest")))
-    met = met.select(F.xxhash64("shard", F.col("piece").cast("long"), F.col("chunk").cast("long")).alias("shard"), "guest", *own[1:])
-    found = met.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(met_groups, kind)
-    return fresh(links.union(_exact_links(docs, sets, found, roots, id_col, text_col, likeness)).distinct())
+    met = guests.select("piece", "chunk", *_OWN, F.lit(True).alias("guest")).unionByName(hosts.select("piece", "chunk", *_OWN, F.lit(False).alias("guest")))
+    met = met.select(F.xxhash64("shard", F.col("piece").cast("long"), F.col("chunk").cast("long")).alias("shard"), "guest", *_OWN[1:])
+    return met.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(met_groups, "grp long, key long")
 
 
 def _exact_links(docs: DataFrame, sets: DataFrame, found: DataFrame, roots: DataFrame, id_col: str, text_col: str, likeness: float) -> DataFrame:
