@@ -4,9 +4,10 @@ Distinct sets are dealt into shards by pairs of min-hashes (BANDS pairs, so that
 probability 0.36 ** 10, or 4 in 100,000). In a shard a BK-tree of SimHash fingerprints, and the min-hashes of both, name
 candidates. These only save work: a link counts when the exact sets, made again from the texts, are 0.8 alike.
 A shard of more than MAX_SHARD sets is first searched in overlapping runs of neighbours in the order of their min-hashes, each with
-the shard's first set in it, by the sets of which it is the largest shard. Then what these links leave outside the shard's largest
-component meets all of the shard, so no pair that could join two components is left out. Where that is over MAX_SHARD sets,
-the shard is dealt again by BANDS more pairs, and what is still larger is searched in the same two steps, in pieces.
+the shard's first set in it, by the sets of which it is the largest shard. These links, held against the exact sets, come before
+all others, so that shards where a group of thousands returns cost nothing more. Then what is outside a large shard's largest
+component meets all of the shard in blocks of BLOCK shards' sizes, so no pair that could join two components is left out. Where
+that takes over MOST_PIECES pieces, the shard is dealt again by BANDS more pairs, and what is still large meets in blocks.
 """
 
 from __future__ import annotations
@@ -30,8 +31,12 @@ RADIUS, SMALL = 24, 64
 #: Equal min-hashes of two sets that may be alike; of 40, sets 0.8 alike have fewer once in 100,000.
 LEAST_EQUAL = HASHES // 2
 MAX_SHARD = 256
+#: Shingles of a shard, run or piece, past which it is split even if it has few sets.
+MAX_SHINGLES = 1_000_000
+#: Sets of a piece that meets others, in shards; pieces of a shard before it is dealt again.
+BLOCK, MOST_PIECES = 4, 8
 #: Shingles of a group whose shares are counted at once.
-COLUMNS = 4096
+COLUMNS = 1024
 _OWN = ["shard", "key", "fp", "n", "mins", "root"]
 _FACTORS = np.random.default_rng(SEED).integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -158,7 +163,7 @@ def _pairs(out: list[tuple[int, int]], names: list[str]) -> Iterator[pa.RecordBa
 def shard_groups(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
     """Batches of (shard, key, fp, n, mins, root), sorted by shard, to (group, key). most: shards are searched in runs of so many, each
     with half of the one before and with the shard's first set, which five more columns give."""
-    shard, rows, fresh, first = None, [], 0, []
+    shard, rows, fresh, held, first = None, [], 0, 0, []
 
     def search() -> list[tuple[int, int]]:
         return candidates(*map(list, zip(*(first + rows), strict=True))) if fresh and len(first + rows) > 1 else []
@@ -168,12 +173,13 @@ def shard_groups(batches: Iterator[pa.RecordBatch], most: int | None = None) ->
         for s, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if s != shard:
                 out += search()
-                shard, rows, fresh, first = s, [], 0, [tuple(row[5:])] if most else []
-            elif most and len(rows) >= most:
+                shard, rows, fresh, held, first = s, [], 0, 0, [tuple(row[5:])] if most else []
+            elif most and (len(rows) >= most or held > MAX_SHINGLES):
                 out += search()
-                rows, fresh = rows[len(rows) // 2 :], 0
+                rows, fresh = rows[len(rows) // 2 :] if len(rows) > 2 else [], 0
+                held = sum(r[2] for r in rows)
             rows.append(tuple(row[:5]))
-            fresh += 1
+            fresh, held = fresh + 1, held + row[2]
         yield from _pairs(out, ["grp", "key"])
     yield from _pairs(search(), ["grp", "key"])
 
@@ -202,10 +208,11 @@ def verified(batches: Iterator[pa.RecordBatch], likeness: float) -> Iterator[pa.
         for k, r in enumerate(roots):
             forest.join(k, one.setdefault(r, k))
         if len(one) > 1:
-            n, both = np.array([len(x) for x in sets], float), shared_counts(sets).astype(float)
-            for k, m in np.argwhere(np.tril(both >= likeness * (n[:, None] + n - both), -1)).tolist():
-                if forest.join(k, m):
-                    out.append((keys[k], keys[m]))
+            n, both = np.array([len(x) for x in sets], float), shared_counts(sets)
+            for k in range(1, len(sets)):
+                for m in np.flatnonzero(both[k, :k] >= likeness * (n[k] + n[:k] - both[k, :k].astype(float))).tolist():
+                    if forest.join(k, m):
+                        out.append((keys[k], keys[m]))
         return out
 
     for b in slices(batches):
@@ -221,45 +228,45 @@ def verified(batches: Iterator[pa.RecordBatch], likeness: float) -> Iterator[pa.
     yield from _pairs(links(), ["a", "b"])
 
 
-def _dealt(rows: DataFrame, from_band: int, *salt: Column) -> DataFrame:
-    """rows once for each band, with the shard's number of rows; rows alone in a shard go."""
+def _dealt(rows: DataFrame, from_band: int, max_shard: int, *salt: Column) -> DataFrame:
+    """rows once for each band, with the shard's number of rows and whether it is large; rows alone in a shard go."""
     band = [F.xxhash64(*salt, F.lit(k), F.substring("mins", 8 * (from_band + k) + 1, 8)) for k in range(BANDS)]
     dealt = rows.select(F.explode(F.array(*band)).alias("shard"), "key", "fp", "n", "mins")
-    sized = cut(dealt.groupBy("shard").agg(F.count("*").alias("rows")).where("rows > 1"))
+    large = (F.col("rows") > max_shard) | (F.col("held") > MAX_SHINGLES)
+    sized = cut(dealt.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("n").alias("held")).where("rows > 1").select("shard", "rows", large.alias("large")))
     return cut(dealt.join(broadcast_if_small(sized, MAX_BROADCAST // 4), "shard"))
 
 
-def near_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, likeness: float = LIKENESS, max_shard: int = MAX_SHARD) -> DataFrame:
+def near_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, likeness: float = LIKENESS, max_shard: int = MAX_SHARD, most_pieces: int = MOST_PIECES) -> DataFrame:
     """(a, b): links between keys of rows that connect all sets `likeness` alike. rows: sketches of docs."""
     # One row speaks for each set; mins, fp and n follow from the key.
     sets = cut(rows.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash", "fp", "n", "mins")).alias("x")).select("key", "x.*"))
     alone = sets.select("key", F.col("key").alias("root"))
-    dealt = _dealt(sets, 0)
-    found = _in_shards(dealt.where(F.col("rows") <= max_shard).withColumn("root", F.col("key")))
-    large = dealt.where(F.col("rows") > max_shard)
+    dealt = _dealt(sets, 0, max_shard)
+    small, large = dealt.where("not large"), dealt.where("large")
+    exact = lambda found, roots: _exact_links(docs, sets, found, roots, id_col, text_col, likeness)
     if large.isEmpty():
-        return _exact_links(docs, sets, found, alone, id_col, text_col, likeness)
+        return exact(_in_shards(small.withColumn("root", F.col("key"))), alone)
     # Each set is searched in the largest of its shards first: a group of thousands is linked there once, not in every shard it fills.
     homes = large.groupBy("key").agg(F.max(F.struct("rows", "shard")).alias("x")).select("key", F.col("x.shard").alias("shard"))
-    home = cut(large.join(homes, ["shard", "key"]).withColumn("root", F.col("key")))
-    links = _exact_links(docs, sets, found.union(_in_runs(home, max_shard)), alone, id_col, text_col, likeness)
+    links = exact(_in_runs(cut(large.join(homes, ["shard", "key"]).withColumn("root", F.col("key"))), max_shard), alone)
     roots = _roots(sets, links)
+    found = _in_shards(small.join(roots, "key"))
     open_ = _outside_core(large, roots, max_shard)
-    # Shards with few sets outside the largest component meet them at once, the others are dealt again.
-    found = _met(open_.where("pieces = 1"), max_shard)
-    many = open_.where("pieces > 1")
+    # Shards that few pieces cover meet in blocks at once, the others are dealt again.
+    found = found.union(_met(open_.where(F.col("pieces") <= most_pieces)))
+    many = open_.where(F.col("pieces") > most_pieces)
     if many.isEmpty():
-        return fresh(links.union(_exact_links(docs, sets, found, roots, id_col, text_col, likeness)).distinct())
-    again = _dealt(many, BANDS, F.col("shard"))
-    found = found.union(_in_shards(again.where(F.col("rows") <= max_shard).join(roots, "key")))
-    large = again.where(F.col("rows") > max_shard)
+        return fresh(links.union(exact(found, roots)).distinct())
+    again = _dealt(many, BANDS, max_shard, F.col("shard"))
+    found = found.union(_in_shards(again.where("not large").join(roots, "key")))
+    large = again.where("large")
     found = found.union(_in_runs(cut(large.join(roots, "key")), max_shard))
-    links = cut(links.union(_exact_links(docs, sets, found, roots, id_col, text_col, likeness)).distinct())
+    links = cut(links.union(exact(found, roots)).distinct())
     if large.isEmpty():
         return fresh(links)
     roots = _roots(sets, links)
-    found = _met(_outside_core(large, roots, max_shard), max_shard)
-    return fresh(links.union(_exact_links(docs, sets, found, roots, id_col, text_col, likeness)).distinct())
+    return fresh(links.union(exact(_met(_outside_core(large, roots, max_shard)), roots)).distinct())
 
 
 def _in_shards(rows: DataFrame) -> DataFrame:
@@ -283,13 +290,16 @@ def _roots(sets: DataFrame, links: DataFrame) -> DataFrame:
 def _outside_core(rows: DataFrame, roots: DataFrame, max_shard: int) -> DataFrame:
     """rows of the shards that are not one component, with the root of the shard's largest one (core), the pieces of what is outside it and the chunks of the shard."""
     rooted = cut(rows.join(roots, "key"))
-    parts = rooted.groupBy("shard", "root").agg(F.count("*").alias("n")).groupBy("shard").agg(F.max(F.struct("n", "root")).alias("x"), F.sum("n").alias("all"))
-    cores = parts.select("shard", F.col("x.root").alias("core"), F.ceil((F.col("all") - F.col("x.n")) / max_shard).cast("int").alias("pieces"), F.ceil(F.col("all") / max_shard).cast("int").alias("chunks"))
+    parts = rooted.groupBy("shard", "root").agg(F.count("*").alias("n"), F.sum("n").alias("held"))
+    parts = parts.groupBy("shard").agg(F.max(F.struct("n", "root", "held")).alias("x"), F.sum("n").alias("all"), F.sum("held").alias("all_held"))
+    blocks = lambda n, held: F.greatest(F.ceil(n / (BLOCK * max_shard)), F.ceil(held / MAX_SHINGLES)).cast("int")
+    pieces = F.when(F.col("all") > F.col("x.n"), F.greatest(F.lit(1), blocks(F.col("all") - F.col("x.n"), F.col("all_held") - F.col("x.held")))).otherwise(0)
+    cores = parts.select("shard", F.col("x.root").alias("core"), pieces.alias("pieces"), blocks(F.col("all"), F.col("all_held")).alias("chunks"))
     return cut(rooted.join(cut(cores.where("pieces > 0")), "shard"))
 
 
-def _met(open_: DataFrame, max_shard: int) -> DataFrame:
-    """(group, key): what is outside a shard's core has met all of the shard, in pieces and chunks of about max_shard rows."""
+def _met(open_: DataFrame) -> DataFrame:
+    """(group, key): what is outside a shard's core has met all of the shard, in pieces and chunks."""
     piece, chunk = (F.pmod(F.xxhash64("key", F.lit(k)), F.col(c)) for k, c in enumerate(("pieces", "chunks")))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     guests = open_.where("root != core").withColumn("piece", piece).withColumn("chunk", every("chunks"))
@@ -316,14 +326,14 @@ def _exact_links(docs: DataFrame, sets: DataFrame, found: DataFrame, roots: Data
     return cut(full.mapInArrow(lambda batches: verified(batches, likeness), "a long, b long"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS, max_shard: int = MAX_SHARD) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS, max_shard: int = MAX_SHARD, most_pieces: int = MOST_PIECES) -> DataFrame:
     """The rows of docs that stay: of each group of near copies one with the smallest id, with all its columns.
 
     A null text is an empty one. Rows without an id are linked like others, and one stays only where
     no row of its group has an id. Of a repeated row one stays. An empty table gives an empty result.
     """
     rows = cut(sketches(docs, id_col, text_col))
-    roots = connected_components(near_links(docs, rows, id_col, text_col, likeness, max_shard))
+    roots = connected_components(near_links(docs, rows, id_col, text_col, likeness, max_shard, most_pieces))
     placed = rows.select("doc_id", "text_hash", "key").join(roots, rows.key == roots.node, "left").select("doc_id", "text_hash", F.coalesce("root", "key").alias("root"))
     placed = cut(placed)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")

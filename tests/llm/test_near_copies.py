@@ -57,14 +57,21 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("max_shard", [near_copies.MAX_SHARD, 8])
-def test_near_copies_are_those_of_brute_force(spark, max_shard):
+@pytest.mark.parametrize(("max_shard", "most_pieces"), [(near_copies.MAX_SHARD, near_copies.MOST_PIECES), (8, near_copies.MOST_PIECES), (8, 0), (2, 1)])
+def test_near_copies_are_those_of_brute_force(spark, max_shard, most_pieces):
     texts = corpus()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    got = [r.doc_id for r in near_copies.drop_near_copies(df, max_shard=max_shard).collect()]
+    got = [r.doc_id for r in near_copies.drop_near_copies(df, max_shard=max_shard, most_pieces=most_pieces).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_kept(texts)
 
 
+def test_shards_of_long_texts_are_split_by_shingles(spark, monkeypatch):
+    texts = corpus()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(near_copies, "MAX_SHINGLES", 500)
+    assert {r.doc_id for r in near_copies.drop_near_copies(df).collect()} == brute_kept(texts)
+
+
 def test_the_stage_leaves_no_near_copy_in_the_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     kept = corpus_pipeline.exact_dedup(spark, docs, "")
