@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp
+from math import ceil, exp, floor
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platen.functions.expr import round0, settled
+from platen.functions.expr import round0, settled, tidy
 from platen.functions.skew import skew_of
+from platen.operators.frames import homography
 
 
 def along_row():
@@ -194,6 +195,56 @@ def round_corners(pixels: DataFrame, width: int, radius: float) -> DataFrame:
     return p.withColumn("v", F.col("v") * F.col("alpha") + 255 * (1 - F.col("alpha"))).drop("alpha")
 
 
+def corner_radii(pixels: DataFrame, width: int, standard: float) -> DataFrame:
+    """(scan_id, corner, radius): the arc that best parts card from background at each corner (0 top-left, then clockwise), from 0.7 to 2.2 times the standard radius.
+
+    An arc's score is the change of the blurred v across it, summed over 40 angles; scores equal to a millionth are a tie, which the least
+    radius wins. Where no arc fits, as on frames under 8 pixels a side, the standard stays. height is a column.
+    """
+    side = F.least(F.lit(ceil(2.3 * standard) + 4), F.floor(F.least(F.lit(width), F.col("height")) / 2)).cast("int")
+    p = pixels.withColumn("patch", side)
+    right, low = F.col("x") >= width - F.col("patch"), F.col("y") >= F.col("height") - F.col("patch")
+    p = p.where((right | (F.col("x") < F.col("patch"))) & (low | (F.col("y") < F.col("patch"))))
+    place = (F.col("y") - F.when(low, F.col("height") - F.col("patch")).otherwise(0)).alias("y"), (F.col("x") - F.when(right, width - F.col("patch")).otherwise(0)).alias("x")
+    corner = F.when(low, F.when(right, 2).otherwise(3)).otherwise(F.when(right, 1).otherwise(0))
+    blurred = gaussian_blur(p.select(F.struct("scan_id", corner.alias("corner"), "patch").alias("scan_id"), *place, "v")).select("scan_id.*", "y", "x", "v")
+    frames = pixels.groupBy("scan_id").agg(F.first("height").alias("height")).withColumn("corner", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("patch", side)
+    scores = blurred.join(arc_weights(frames.select("corner", "patch").distinct(), standard), ["corner", "patch", "y", "x"]).groupBy("scan_id", "corner", "radius").agg(tidy(F.abs(F.sum(F.col("k") * F.col("v")))).alias("score"))
+    best = scores.groupBy("scan_id", "corner").agg(F.max_by("radius", F.struct("score", -F.col("radius"))).alias("radius"))
+    return frames.select("scan_id", "corner").join(best, ["scan_id", "corner"], "left").withColumn("radius", F.coalesce("radius", F.lit(float(standard))))
+
+
+def arc_weights(patches: DataFrame, standard: float) -> DataFrame:
+    """(corner, patch, radius, y, x, k): what a pixel of a corner's patch counts in an arc's score. The same for all scans with patches of one size, of which there are few."""
+    right, low = F.col("corner").isin(1, 2), F.col("corner") >= 2
+    radii = F.filter(F.transform(F.sequence(F.lit(0), F.lit(floor(3 * standard))), lambda k: 0.7 * standard + 0.5 * k), lambda r: (r <= 2.2 * standard) & (r <= F.col("patch") - 3))
+    arcs = patches.where("patch >= 4").withColumn("radius", F.explode(radii)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("side", F.explode(F.array(F.lit(-1.0), F.lit(1.0))))
+    angle, reach = F.radians(12 + 66 * F.col("i") / 39), F.col("radius") + 1.5 * F.col("side")
+    within = lambda far, e: F.greatest(F.lit(0.0), F.least(F.when(far, F.col("patch") - e).otherwise(e) - 0.5, F.col("patch") - 1.001))
+    arcs = settled(arcs, lx=within(right, F.col("radius") - reach * F.cos(angle)), ly=within(low, F.col("radius") - reach * F.sin(angle)))
+    fx, fy = F.col("lx") - F.floor("lx"), F.col("ly") - F.floor("ly")
+    four = F.array(*(F.struct((F.floor("ly") + j).cast("int").alias("y"), (F.floor("lx") + i).cast("int").alias("x"), (F.col("side") * (fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("k")) for i in (0, 1) for j in (0, 1)))
+    return arcs.select("corner", "patch", "radius", F.inline(four)).groupBy("corner", "patch", "radius", "y", "x").agg(F.sum("k").alias("k"))
+
+
+def warp_quad(pixels: DataFrame, quads: DataFrame) -> DataFrame:
+    """(scan_id, y, x, v): what the quad x0..y3 of a scan of w_px by h_px pixels holds, taken onto out_w by out_h pixels: each target takes the 16 source
+    pixels around it by Catmull-Rom weights, the border's values going on outside the frame. Quads that have no map give white."""
+    q = homography(quads).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("out_h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("out_w") - 1)))
+    q = settled(q, u=(F.col("x") + 0.5) / F.col("out_w"), w=(F.col("y") + 0.5) / F.col("out_h"))
+    below = F.col("h6") * F.col("u") + F.col("h7") * F.col("w") + 1
+    to = lambda a, b, c: F.try_divide(F.col(a) * F.col("u") + F.col(b) * F.col("w") + F.col(c), below) - 0.5
+    q = settled(q, fx=to("h0", "h1", "h2"), fy=to("h3", "h4", "h5"))
+    q = settled(q, ix=F.floor("fx"), iy=F.floor("fy"), tx=F.col("fx") - F.floor("fx"), ty=F.col("fy") - F.floor("fy"))
+    ks = lambda t: ((((2 - t) * t - 1) * t) / 2, ((3 * t - 5) * t * t + 2) / 2, (((4 - 3 * t) * t + 1) * t) / 2, ((t - 1) * t * t) / 2)
+    held = lambda at, k, n: F.least(F.greatest(F.col(at) + k - 1, F.lit(0)), F.col(n) - 1).cast("int")
+    taps = F.array(*(F.struct(held("ix", i, "w_px").alias("sx"), held("iy", j, "h_px").alias("sy"), (kx * ky).alias("k")) for i, kx in enumerate(ks(F.col("tx"))) for j, ky in enumerate(ks(F.col("ty")))))
+    near = q.select("scan_id", "y", "x", F.inline(taps)).groupBy("scan_id", "y", "x", "sy", "sx").agg(F.sum("k").alias("k"))
+    src = pixels.select("scan_id", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
+    v = near.join(src, ["scan_id", "sy", "sx"], "left").groupBy("scan_id", "y", "x").agg(F.sum(F.col("k") * F.coalesce("v", F.lit(255))).alias("v"))
+    return v.withColumn("v", F.when(F.col("v").isNull(), 255).otherwise(F.least(F.greatest(F.floor(tidy("v") + 0.5), F.lit(0)), F.lit(255))).cast("int"))
+
+
 def compose_page(content: DataFrame, width: int, page_w: int, page_h: Column) -> DataFrame:
     """The content's pixels that are not white, centred on a page: all else of the page is white and has no row."""
     return content.where("v < 255").select("scan_id", (F.col("y") + F.floor((page_h - F.col("height")) / 2)).cast("int").alias("y"), (F.col("x") + (page_w - width) // 2).cast("int").alias("x"), "v")

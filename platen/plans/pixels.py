@@ -123,6 +123,44 @@ def _(v):
     return pixels.round_corners(tall(v), WIDTH, 6.0).select("scan_id", "y", "x", tidy("v").alias("v"))
 
 
+# Rasters of 80 columns and some ten rows hold arcs of a few pixels: the standard radius is 2 here.
+_SIDE = "least(9, floor(height / 2))"
+_CORNER = f"CASE WHEN y >= height - {_SIDE} THEN CASE WHEN x >= 80 - {_SIDE} THEN 2 ELSE 3 END ELSE CASE WHEN x >= 80 - {_SIDE} THEN 1 ELSE 0 END END"
+
+
+@query("ra27_corner_radii", f"""WITH {_TALL}, patches AS (SELECT scan_id * 4 + {_CORNER} AS scan_id, y, x, v FROM tall WHERE (x >= 80 - {_SIDE} OR x < {_SIDE}) AND (y >= height - {_SIDE} OR y < {_SIDE})),
+ {_blur('x', 'y', 'patches', 'across')}, {_blur('y', 'x', 'across', 'down')}, own AS (SELECT scan_id, corner, height, {_SIDE} AS patch FROM (SELECT DISTINCT scan_id, height FROM tall), range(4) c(corner)),
+ arcs AS (SELECT own.*, 1.4::double + 0.5::double * k AS r, radians(12 + 66 * i / 39::double) AS a, side FROM own, range(7) n(k), range(40) m(i), (VALUES (-1.0::double), (1.0)) s(side) WHERE patch >= 4 AND 1.4::double + 0.5::double * k <= patch - 3),
+ spots AS (SELECT *, CASE WHEN corner IN (1, 2) THEN 80 - patch ELSE 0 END AS px, CASE WHEN corner >= 2 THEN height - patch ELSE 0 END AS py, CASE WHEN corner IN (1, 2) THEN 80 - (r - (r + 1.5 * side) * cos(a)) ELSE r - (r + 1.5 * side) * cos(a) END AS ax,
+  CASE WHEN corner >= 2 THEN height - (r - (r + 1.5 * side) * sin(a)) ELSE r - (r + 1.5 * side) * sin(a) END AS ay FROM arcs),
+ held AS (SELECT *, greatest(0::double, least(ax - px - 0.5, patch - 1.001)) AS lx, greatest(0::double, least(ay - py - 0.5, patch - 1.001)) AS ly FROM spots),
+ four AS (SELECT h.scan_id, corner, r, (px + floor(lx) + i.i)::int AS x, (py + floor(ly) + j.j)::int AS y, side * CASE WHEN i.i = 1 THEN lx - floor(lx) ELSE 1 - (lx - floor(lx)) END * CASE WHEN j.j = 1 THEN ly - floor(ly) ELSE 1 - (ly - floor(ly)) END AS k FROM held h, range(2) i(i), range(2) j(j)),
+ scores AS (SELECT f.scan_id, corner, r, {T6.format('abs(sum(k * d.v))')} AS score FROM four f JOIN down d ON d.scan_id = f.scan_id * 4 + corner AND d.x = f.x AND d.y = f.y GROUP BY ALL),
+ best AS (SELECT scan_id, corner, r, row_number() OVER (PARTITION BY scan_id, corner ORDER BY score DESC, r) AS place FROM scores)
+ SELECT o.scan_id, o.corner::int AS corner, {T6.format('coalesce(r, 2)')} AS radius FROM own o LEFT JOIN best b ON b.scan_id = o.scan_id AND b.corner = o.corner AND place = 1""")
+def _(v):
+    return pixels.corner_radii(tall(v), WIDTH, 2.0).select("scan_id", "corner", tidy("radius").alias("radius"))
+
+
+# The integers of a quad inside each raster, x0..y3.
+_QUAD = {"x0": "5 + doc_id % 5", "y0": "doc_id % 3", "x1": "70 + doc_id % 7", "y1": "1 + doc_id % 4", "x2": "66 + doc_id % 9", "y2": "9 + doc_id % 5", "x3": "8 + doc_id % 6", "y3": "8 + doc_id % 4"}
+_WEIGHT = "CASE {i} WHEN 0 THEN (((2 - {t}) * {t} - 1) * {t}) / 2 WHEN 1 THEN ((3 * {t} - 5) * {t} * {t} + 2) / 2 WHEN 2 THEN (((4 - 3 * {t}) * {t} + 1) * {t}) / 2 ELSE (({t} - 1) * {t} * {t}) / 2 END"
+
+
+@query("tr9_warp_quad", f"""WITH {_TALL}, quad AS (SELECT doc_id AS scan_id, {', '.join(f'({e})::double AS {n}' for n, e in _QUAD.items())} FROM documents), d AS (SELECT q.*, height, (x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2) AS den, x0 - x1 + x2 - x3 AS sx, y0 - y1 + y2 - y3 AS sy FROM quad q JOIN (SELECT DISTINCT scan_id, height FROM tall) t ON t.scan_id = q.scan_id),
+ h AS (SELECT *, (sx * (y3 - y2) - (x3 - x2) * sy) / nullif(den, 0) AS h6, ((x1 - x2) * sy - sx * (y1 - y2)) / nullif(den, 0) AS h7 FROM d),
+ t AS (SELECT h.*, x.x, y.y, (x.x + 0.5::double) / 24 AS u, (y.y + 0.5::double) / 6 AS w FROM h, range(24) x(x), range(6) y(y)),
+ p AS (SELECT *, ((x1 - x0 + h6 * x1) * u + (x3 - x0 + h7 * x3) * w + x0) / (h6 * u + h7 * w + 1) - 0.5 AS fx, ((y1 - y0 + h6 * y1) * u + (y3 - y0 + h7 * y3) * w + y0) / (h6 * u + h7 * w + 1) - 0.5 AS fy FROM t),
+ f AS (SELECT *, fx - floor(fx) AS tx, fy - floor(fy) AS ty FROM p),
+ k AS (SELECT scan_id, y, x, least(greatest(floor(fx)::int + i.i - 1, 0), 79)::int AS sx, least(greatest(floor(fy)::int + j.j - 1, 0), height - 1)::int AS sy, ({_WEIGHT.format(i='i.i', t='tx')}) * ({_WEIGHT.format(i='j.j', t='ty')}) AS k FROM f, range(4) i(i), range(4) j(j)),
+ s AS (SELECT k.scan_id, k.y, k.x, {T6.format('sum(k * coalesce(p.v, 255))')} AS v FROM k LEFT JOIN pixels p ON p.scan_id = k.scan_id AND p.x = k.sx AND p.y = k.sy GROUP BY ALL)
+ SELECT scan_id, y::int AS y, x::int AS x, CASE WHEN v IS NULL THEN 255 ELSE least(greatest(floor(v + 0.5), 0), 255) END::int AS v FROM s""")
+def _(v):
+    rows = v("documents").select("doc_id", F.floor((F.length("text") + WIDTH - 1) / WIDTH).cast("int").alias("h_px")).where("h_px > 0")
+    quads = rows.select(F.col("doc_id").alias("scan_id"), "h_px", F.lit(WIDTH).alias("w_px"), F.lit(24).alias("out_w"), F.lit(6).alias("out_h"), *(F.expr(e).cast("double").alias(n) for n, e in _QUAD.items()))
+    return pixels.warp_quad(v("pixels"), quads)
+
+
 @query("ra29_compose_page", f"WITH {_TALL} SELECT scan_id, (y + floor((height + 21 - height) / 2))::int AS y, (x + 10)::int AS x, v FROM tall WHERE v < 255")
 def _(v):
     return pixels.compose_page(tall(v), WIDTH, WIDTH + 20, F.col("height") + 21)

@@ -160,3 +160,31 @@ def test_rectangle_is_refined_to_the_edges_around_it(spark):
     r = spark.createDataFrame([(1, 61.0, 39.0, 56.0, 37.0, 0.0)], "scan_id long, cx double, cy double, w double, h double, angle double")
     got = pixels.refine_rect(p, r, prominence=2.0).first()
     assert abs(got.w - 60) <= 1.5 and abs(got.h - 40) <= 1.5 and abs(got.cx - 60) <= 1.5 and abs(got.cy - 40) <= 1.5
+
+
+def card_raster(spark, width, height, radius):
+    """A dark card with rounded corners that fills a white frame."""
+    y, x = np.mgrid[0:height, 0:width] + 0.5
+    dx, dy = np.maximum(np.maximum(radius - x, x - (width - radius)), 0), np.maximum(np.maximum(radius - y, y - (height - radius)), 0)
+    v = np.where(np.hypot(dx, dy) <= radius, 40, 250)
+    return spark.createDataFrame([(1, int(r), int(c), int(v[r, c]), height) for r in range(height) for c in range(width)], "scan_id long, y int, x int, v int, height int")
+
+
+@pytest.mark.parametrize("radius", [9.0, 12.0])
+def test_corner_radii_of_a_round_card_are_found(spark, radius):
+    got = {r.corner: r.radius for r in pixels.corner_radii(card_raster(spark, 90, 60, radius), 90, 10.0).collect()}
+    assert set(got) == {0, 1, 2, 3} and all(abs(r - radius) <= 1 for r in got.values())
+
+
+def test_frames_without_room_for_an_arc_keep_the_standard_radius(spark):
+    got = pixels.corner_radii(card_raster(spark, 90, 6, 1), 90, 10.0).collect()
+    assert sorted((r.corner, r.radius) for r in got) == [(k, 10.0) for k in range(4)]
+
+
+def test_warp_of_the_whole_frame_is_the_frame_and_a_flat_quad_is_white(spark):
+    frame = card_raster(spark, 20, 12, 4).drop("height")
+    corners = "scan_id long, w_px int, h_px int, out_w int, out_h int, x0 double, y0 double, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double"
+    whole = spark.createDataFrame([(1, 20, 12, 20, 12, 0.0, 0.0, 20.0, 0.0, 20.0, 12.0, 0.0, 12.0)], corners)
+    assert sorted(map(tuple, pixels.warp_quad(frame, whole).select("scan_id", "y", "x", "v").collect())) == sorted(map(tuple, frame.collect()))
+    flat = spark.createDataFrame([(1, 20, 12, 3, 2, 0.0, 0.0, 5.0, 0.0, 10.0, 0.0, 15.0, 0.0)], corners)
+    assert [r.v for r in pixels.warp_quad(frame, flat).collect()] == [255] * 6
