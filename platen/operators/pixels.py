@@ -195,11 +195,11 @@ def round_corners(pixels: DataFrame, width: int, radius: float) -> DataFrame:
     return p.withColumn("v", F.col("v") * F.col("alpha") + 255 * (1 - F.col("alpha"))).drop("alpha")
 
 
-def corner_radii(pixels: DataFrame, width: int, standard: float) -> DataFrame:
+def corner_radii(pixels: DataFrame, scans: DataFrame, width: int, standard: float) -> DataFrame:
     """(scan_id, corner, radius): the arc that best parts card from background at each corner (0 top-left, then clockwise), from 0.7 to 2.2 times the standard radius.
 
     An arc's score is the change of the blurred v across it, summed over 40 angles; scores equal to a millionth are a tie, which the least
-    radius wins. Where no arc fits, as on frames under 8 pixels a side, the standard stays. height is a column.
+    radius wins. Where no arc fits, as on frames under 8 pixels a side, the standard stays. scans has a row (scan_id, height) for each scan; height is a column of pixels, too.
     """
     side = F.least(F.lit(ceil(2.3 * standard) + 4), F.floor(F.least(F.lit(width), F.col("height")) / 2)).cast("int")
     p = pixels.withColumn("patch", side)
@@ -208,7 +208,7 @@ def corner_radii(pixels: DataFrame, width: int, standard: float) -> DataFrame:
     place = (F.col("y") - F.when(low, F.col("height") - F.col("patch")).otherwise(0)).alias("y"), (F.col("x") - F.when(right, width - F.col("patch")).otherwise(0)).alias("x")
     corner = F.when(low, F.when(right, 2).otherwise(3)).otherwise(F.when(right, 1).otherwise(0))
     blurred = gaussian_blur(p.select(F.struct("scan_id", corner.alias("corner"), "patch").alias("scan_id"), *place, "v")).select("scan_id.*", "y", "x", "v")
-    frames = pixels.groupBy("scan_id").agg(F.first("height").alias("height")).withColumn("corner", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("patch", side)
+    frames = scans.select("scan_id", "height").withColumn("corner", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("patch", side)
     scores = blurred.join(arc_weights(frames.select("corner", "patch").distinct(), standard), ["corner", "patch", "y", "x"]).groupBy("scan_id", "corner", "radius").agg(tidy(F.abs(F.sum(F.col("k") * F.col("v")))).alias("score"))
     best = scores.groupBy("scan_id", "corner").agg(F.max_by("radius", F.struct("score", -F.col("radius"))).alias("radius"))
     return frames.select("scan_id", "corner").join(best, ["scan_id", "corner"], "left").withColumn("radius", F.coalesce("radius", F.lit(float(standard))))

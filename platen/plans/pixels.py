@@ -139,7 +139,7 @@ _CORNER = f"CASE WHEN y >= height - {_SIDE} THEN CASE WHEN x >= 80 - {_SIDE} THE
  best AS (SELECT scan_id, corner, r, row_number() OVER (PARTITION BY scan_id, corner ORDER BY score DESC, r) AS place FROM scores)
  SELECT o.scan_id, o.corner::int AS corner, {T6.format('coalesce(r, 2)')} AS radius FROM own o LEFT JOIN best b ON b.scan_id = o.scan_id AND b.corner = o.corner AND place = 1""")
 def _(v):
-    return pixels.corner_radii(tall(v), WIDTH, 2.0).select("scan_id", "corner", tidy("radius").alias("radius"))
+    return pixels.corner_radii(tall(v), boxes(v).where("height > 0"), WIDTH, 2.0).select("scan_id", "corner", tidy("radius").alias("radius"))
 
 
 # The integers of a quad inside each raster, x0..y3.

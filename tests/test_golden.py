@@ -172,12 +172,14 @@ def card_raster(spark, width, height, radius):
 
 @pytest.mark.parametrize("radius", [9.0, 12.0])
 def test_corner_radii_of_a_round_card_are_found(spark, radius):
-    got = {r.corner: r.radius for r in pixels.corner_radii(card_raster(spark, 90, 60, radius), 90, 10.0).collect()}
+    card = card_raster(spark, 90, 60, radius)
+    got = {r.corner: r.radius for r in pixels.corner_radii(card, card.select("scan_id", "height").distinct(), 90, 10.0).collect()}
     assert set(got) == {0, 1, 2, 3} and all(abs(r - radius) <= 1 for r in got.values())
 
 
 def test_frames_without_room_for_an_arc_keep_the_standard_radius(spark):
-    got = pixels.corner_radii(card_raster(spark, 90, 6, 1), 90, 10.0).collect()
+    card = card_raster(spark, 90, 6, 1)
+    got = pixels.corner_radii(card, card.select("scan_id", "height").distinct(), 90, 10.0).collect()
     assert sorted((r.corner, r.radius) for r in got) == [(k, 10.0) for k in range(4)]
 
 
