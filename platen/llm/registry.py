@@ -6,6 +6,7 @@ from platen.llm.byte_bpe import op5_byte_bpe
 from platen.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from platen.llm.fingerprints import op4_fingerprints
 from platen.llm.language_id import op6_language_id
+from platen.llm.nearest import op11_nearest
 from platen.llm.packing import op2_best_fit_packing
 from platen.llm.quality import op3_quality
 from platen.llm.simhash_dedup import op7_simhash_near_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_url_filters": op10_url_filters,
+    "op11_nearest": op11_nearest,
 }
 ORACLES = {
     "op8_exact_dedup": OP8_SQL,
