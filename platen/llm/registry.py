@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from platen.llm.byte_bpe import op5_byte_bpe
 from platen.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from platen.llm.fill_middle import OP12_SQL, op12_fill_in_middle
 from platen.llm.fingerprints import op4_fingerprints
 from platen.llm.language_id import op6_language_id
 from platen.llm.nearest import op11_nearest
@@ -26,7 +27,9 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_url_filters": op10_url_filters,
     "op11_nearest": op11_nearest,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 ORACLES = {
     "op8_exact_dedup": OP8_SQL,
+    "op12_fill_in_middle": OP12_SQL,
 }
