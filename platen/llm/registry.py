@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from platen.llm.byte_bpe import op5_byte_bpe
+from platen.llm.conversations import op13_conversation_repair
 from platen.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from platen.llm.fill_middle import OP12_SQL, op12_fill_in_middle
 from platen.llm.fingerprints import op4_fingerprints
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_url_filters": op10_url_filters,
     "op11_nearest": op11_nearest,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES = {
     "op8_exact_dedup": OP8_SQL,
