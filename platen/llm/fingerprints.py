@@ -143,13 +143,13 @@ RADIUS = 3
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Besides the fingerprints: n_near, for ids divisible by 50 the number of other documents within RADIUS bits."""
+    """Besides the fingerprints: n_near, for ids divisible by 50 the number of other documents within RADIUS bits. Rows that share an id each have their own."""
     rows = cut(fingerprints(table(spark, sf_dir, "documents")))
     sizes = rows.groupBy("fp").agg(F.count("*").alias("n"))
     asked = rows.where("doc_id % 50 = 0")
     near = within(asked, rows, RADIUS).join(sizes, "fp").groupBy("q").agg((F.sum("n") - 1).alias("n_near"))
-    found = asked.select("doc_id", F.col("fp").alias("q")).join(near, "q").select("doc_id", "n_near").distinct()
+    found = asked.select("doc_id", "fp").distinct().join(near.withColumnRenamed("q", "fp"), "fp")
     text = lambda c: F.lpad(F.lower(F.hex(c)), BITS // 4, "0")
     alike = lambda c: 1 - F.bit_count(F.col("fp").bitwiseXOR(F.col(c))) / BITS
-    described_ = rows.select("doc_id", "n_chars", "edited_sha256", text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"), alike("edited_fp").alias("near_edited"), alike("next_fp").alias("near_next"))
-    return described_.join(found, "doc_id", "left")
+    described_ = rows.select("doc_id", "fp", "n_chars", "edited_sha256", text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"), alike("edited_fp").alias("near_edited"), alike("next_fp").alias("near_next"))
+    return described_.join(found, ["doc_id", "fp"], "left").drop("fp")
