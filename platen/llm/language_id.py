@@ -4,13 +4,14 @@ Each language has a byte context tree of orders 0 to ORDER, built from a bounded
 byte costs the escapes from the contexts in which it was not seen plus its share in the longest one in which it was
 (method C: a context seen n times with d distinct successors escapes with d / (n + d)); below order 0 all 256 bytes are alike.
 The language with the shortest code for the whole text is predicted. Nothing of the trees is left out: their counts are taken
-by the tasks that read the sample and added up by context and byte, and as the statistics are frozen, the cost of each byte seen after
-a context and each context's escape are tabled once, so a text is scored by searches in sorted tables. The model grows with the
-languages that are labelled, at most PER_LANGUAGE documents each.
+by the tasks that read the sample and added up by context and byte; one task a language turns them into its tree. As the statistics are frozen, the
+cost of each byte seen after a context and each context's escape are tabled once, so a text is scored by searches in sorted tables. The model
+grows with the languages that are labelled, at most PER_LANGUAGE documents each; a tree is as large as what its language has seen.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,8 @@ BASE = 257
 BLOCK = 1 << 18
 #: Parts of a language from which the sample is taken first, so that no task sees a whole language.
 PARTS = 64
+#: Bytes of trees that are broadcast at once.
+MODEL_BYTES = 1 << 28
 UNKNOWN = "und"
 
 
@@ -46,46 +49,56 @@ def codes_of(text: bytes) -> Iterator[np.ndarray]:
 
 
 @dataclass
-class Trees:
-    languages: list[str]
-    codes: list[np.ndarray]  # by order: codes seen in any language, sorted
-    costs: list[np.ndarray]  # (code, language) -> nats
-    contexts: list[np.ndarray]  # by order: contexts seen in any language, sorted
-    escapes: list[np.ndarray]  # (context, language) -> nats; 0 where the language hasn't seen it
-
-    def below(self, order: int, codes: np.ndarray) -> np.ndarray:
-        """(code, language) -> nats of codes of an order, whether seen or not."""
+class Tree:
+    """One language's costs, by order: the codes and contexts it has seen, sorted, with nats."""
+
+    codes: list[np.ndarray]
+    costs: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
+
+    def cost(self, order: int, codes: np.ndarray) -> np.ndarray:
+        """Nats of codes of an order, whether seen or not."""
         if order < 0:
-            return np.full((len(codes), len(self.languages)), np.log(256.0))
-        out = np.empty((len(codes), len(self.languages)))
+            return np.full(len(codes), np.log(256.0))
         at, hit = found(self.codes[order], codes)
+        out = np.empty(len(codes))
         out[hit] = self.costs[order][at[hit]]
         rest = codes[~hit]
-        out[~hit] = self.escape(order, rest) + self.below(order - 1, rest % BASE**order)
+        out[~hit] = self.escape(order, rest) + self.cost(order - 1, rest % BASE**order)
         return out
 
     def escape(self, order: int, codes: np.ndarray) -> np.ndarray:
+        """0 where the context hasn't been seen."""
         at, hit = found(self.contexts[order], codes // BASE)
-        out = np.zeros((len(codes), len(self.languages)))
+        out = np.zeros(len(codes))
         out[hit] = self.escapes[order][at[hit]]
         return out
 
+
+class Trees(dict):
+    """Language -> Tree, languages in order."""
+
     def lengths(self, text: bytes) -> np.ndarray:
         """Code length of text in nats by language."""
-        total = np.zeros(len(self.languages))
+        total = np.zeros(len(self))
         for block in codes_of(text):
             codes, n = np.unique(block, return_counts=True)
-            total += n @ self.below(ORDER, codes)
+            total += [n @ tree.cost(ORDER, codes) for tree in self.values()]
         return total
 
+    def best(self, text: str | None) -> tuple[str, float, float]:
+        """(language, its nats, what the others weigh beside it: the sum of e ** (nats - their nats), 1 for itself). UNKNOWN for a text without a letter."""
+        if not self or not text or not any(map(str.isalpha, text)):
+            return UNKNOWN, 0.0, 0.0
+        nats = self.lengths(text.encode("utf-8", "surrogatepass"))
+        k = int(nats.argmin())
+        return list(self)[k], float(nats[k]), float(np.exp(nats[k] - nats).sum())
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its posterior probability among the learned ones; 'und' and 0 for a text without a letter."""
-        if not self.languages or not text or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
-        nats = self.lengths(text.encode("utf-8", "surrogatepass"))
-        p = np.exp(nats.min() - nats)
-        best = int(nats.argmin())
-        return self.languages[best], float(p[best] / p.sum())
+        name, _, weight = self.best(text)
+        return name, 1 / weight if weight else 0.0
 
 
 def found(ordered: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,23 +109,25 @@ def found(ordered: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, ordered[at] == wanted
 
 
-def build(languages: list[str], language: np.ndarray, code: np.ndarray, n: np.ndarray) -> Trees:
-    """Trees from counts n of distinct (language number, code)."""
-    trees = Trees(languages, [], [], [], [])
+def build(code: np.ndarray, n: np.ndarray) -> Tree:
+    """A language's tree from counts n of distinct codes."""
+    tree = Tree([], [], [], [])
     for order in range(ORDER + 1):
         codes, at = np.unique(code % BASE ** (order + 1), return_inverse=True)
-        counts = np.zeros((len(codes), len(languages)))
-        np.add.at(counts, (at, language), n)
+        counts = np.bincount(at, n, len(codes))
         contexts, of = np.unique(codes // BASE, return_inverse=True)
-        total, kinds = np.zeros((len(contexts), len(languages))), np.zeros((len(contexts), len(languages)))
-        np.add.at(total, of, counts)
-        np.add.at(kinds, of, counts > 0)
-        escapes = np.where(total > 0, -np.log(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0.0)
-        own = -np.log(np.maximum(counts, 1) / np.maximum(total + kinds, 1)[of])
-        costs = np.where(counts > 0, own, escapes[of] + trees.below(order - 1, codes % BASE**order))
-        for kept, made in zip((trees.codes, trees.costs, trees.contexts, trees.escapes), (codes, costs.astype(np.float32), contexts, escapes.astype(np.float32)), strict=True):
+        total, kinds = np.bincount(of, counts, len(contexts)), np.bincount(of, minlength=len(contexts))
+        escapes = -np.log(kinds / (total + kinds))
+        costs = -np.log(counts / (total + kinds)[of])
+        for kept, made in zip((tree.codes, tree.costs, tree.contexts, tree.escapes), (codes, costs.astype(np.float32), contexts, escapes.astype(np.float32)), strict=True):
             kept.append(made)
-    return trees
+    return tree
+
+
+def grown(counts: pa.Table) -> pa.Table:
+    """(lang, code, n) of one language -> (lang, tree)."""
+    tree = build(counts["code"].to_numpy(), counts["n"].to_numpy())
+    return pa.table([pa.array([counts["lang"][0].as_py()]), pa.array([pickle.dumps(tree)], pa.binary())], ["lang", "tree"])
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,28 +154,61 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return known.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, ["doc_id", "lang"]).select("lang", "text")
 
 
-def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Trees:
-    """Trees from a sample of each language; only counts of codes reach the driver."""
-    counts = sample(docs, id_col, text_col, lang_col, per_language).mapInArrow(counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
-    names, language = np.unique(np.array(counts["lang"].to_pylist(), object).astype(str), return_inverse=True)
-    return build(names.tolist(), language, counts["code"].to_numpy(), counts["n"].to_numpy())
+def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
+    """(lang, tree): a row for each language, its tree grown by a task from the counts of its sample."""
+    counts = sample(docs, id_col, text_col, lang_col, per_language).mapInArrow(counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return cut(counts.groupBy("lang").applyInArrow(grown, "lang string, tree binary"))
+
 
+def portions(trees: DataFrame, most: int = MODEL_BYTES) -> Iterator[Trees]:
+    """The trees in order of their languages, as many at a time as have `most` bytes together; a larger tree is a portion of its own."""
+    sizes = trees.select("lang", F.length("tree").alias("n")).orderBy("lang").collect()
+    names: list[str] = []
+    held = 0
+    for k, r in enumerate(sizes):
+        names.append(r["lang"])
+        held += r["n"]
+        if k + 1 == len(sizes) or held + sizes[k + 1]["n"] > most:
+            rows = trees.where(F.col("lang").isin(names)).collect()
+            yield Trees(sorted((x["lang"], pickle.loads(x["tree"])) for x in rows))
+            names, held = [], 0
+    if not sizes:
+        yield Trees()
 
-def predictions(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def predictions(docs: DataFrame, trees: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MODEL_BYTES) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score.
 
     Null, empty and letterless texts are 'und' with score 0; ties go to the first language by name. Repeated rows and null ids each
-    keep their row (a null id is held out). An empty table gives no row. Other columns are not read.
+    keep their row (a null id is held out). An empty table gives no row. Other columns are not read. Trees of more than `most` bytes are
+    broadcast a portion at a time: the texts are read once for each, and the best so far goes with them.
     """
-    trees = docs.sparkSession.sparkContext.broadcast(trees)
+    sc = docs.sparkSession.sparkContext
+    kinds = "doc_id long, held_out boolean, text string, lang_pred string, nats double, weight double"
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("nats"), F.lit(0.0).alias("weight"))
+
+    def scored(trees: Trees):
+        shared = sc.broadcast(trees)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = [merged(before, shared.value.best(text)) for text, *before in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
+                now = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, t) for c, t in zip(now, (pa.string(), pa.float64(), pa.float64()), strict=True))], [f.split()[0] for f in kinds.split(", ")])
+
+        return run
+
+    for k, some in enumerate(portions(trees, most)):
+        rows = (cut(rows) if k else rows).mapInArrow(scored(some), kinds)
+    return rows.select("doc_id", "held_out", "lang_pred", F.coalesce(F.try_divide(F.lit(1.0), "weight"), F.lit(0.0)).alias("score"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [trees.value.predict(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string"))
-    return read.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+def merged(a: tuple[str, float, float], b: tuple[str, float, float]) -> tuple[str, float, float]:
+    """The better of two results of Trees.best, the first of equals, with the weight of both."""
+    if not a[2] or not b[2]:
+        return tuple(a if a[2] else b)
+    one, two = (a, b) if a[1] <= b[1] else (b, a)
+    return one[0], one[1], one[2] + two[2] * float(np.exp(one[1] - two[1]))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,15 +237,40 @@ def test_op9_learns_a_pair_that_no_term_shows_alone():
 SMALL = {"en": [b"the cat sat on the mat and the hat", b"that is the thing"], "fr": [b"le chat est sur la table et le chapeau", "été là".encode()]}
 
 
+def whole(trees):
+    (only,) = language_id.portions(trees)
+    return only
+
+
+def test_op6_portions_of_trees_predict_alike(spark):
+    docs = documents(spark)
+    trees = language_id.trained(docs)
+    assert len(list(language_id.portions(trees, 1))) == trees.count() > 2
+    rows = lambda most: {r.doc_id: (r.held_out, r.lang_pred, round(r.score, 5)) for r in language_id.predictions(docs, trees, most=most).collect()}
+    assert rows(1) == rows(language_id.MODEL_BYTES)
+
+
+def test_op6_trees_of_many_languages_stay_sparse(spark):
+    """Each language pays for its own contexts only."""
+    rng = np.random.default_rng(6)
+    text = lambda k: "".join(chr(0x4E00 + 40 * k + x) for x in rng.integers(0, 40, 800))
+    rows = [(i, text(i % 60), f"l{i % 60:03}") for i in range(360)]
+    trees = language_id.trained(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    sizes = [r.n for r in trees.select(F.length("tree").alias("n")).collect()]
+    assert len(sizes) == 60 and max(sizes) < 400_000
+    held = language_id.predictions(spark.createDataFrame([(10_000 + k, text(k)) for k in range(60)], "doc_id long, text string"), trees).collect()
+    assert all(r.lang_pred == f"l{r.doc_id - 10_000:03}" and 0.5 < r.score <= 1 for r in held)
+
+
 def test_op6_code_lengths_are_those_of_ppm(spark, texts):
     own = [(d, t, "en" if d % 2 else "fr") for d, t in sorted(texts.items())[:40]]
     docs = spark.createDataFrame(own, "doc_id long, text string, lang string").repartition(4)
-    shipped = language_id.trained(docs)
+    shipped = whole(language_id.trained(docs))
     used = {lang: [t.encode() for d, t, x in own if x == lang and zlib.crc32(str(d).encode()) % 5] for lang in ("en", "fr")}
     rows = [(k, t.decode(), lang) for k, (lang, t) in enumerate((lang, t) for lang, ts in SMALL.items() for t in ts)]
     # Ids of which none is held out.
     ids = [k for k in range(100) if zlib.crc32(str(k).encode()) % 5]
-    trees = language_id.trained(spark.createDataFrame([(ids[k], t, lang) for k, t, lang in rows], "doc_id long, text string, lang string"))
+    trees = whole(language_id.trained(spark.createDataFrame([(ids[k], t, lang) for k, t, lang in rows], "doc_id long, text string, lang string")))
     texts = SMALL
 
     def ppm(own, text):
@@ -269,11 +294,11 @@ def test_op6_code_lengths_are_those_of_ppm(spark, texts):
         return total
 
     for t in (b"the chat is on the table", b"xyz qq", "là-bas été".encode()):
-        assert trees.lengths(t) == pytest.approx([ppm(texts[lang], t) for lang in trees.languages], rel=1e-5)
+        assert trees.lengths(t) == pytest.approx([ppm(texts[lang], t) for lang in trees], rel=1e-5)
     for _, t, _ in own[:3]:
-        assert shipped.lengths(t[:3000].encode()) == pytest.approx([ppm(used[lang], t[:3000].encode()) for lang in shipped.languages], rel=1e-5)
+        assert shipped.lengths(t[:3000].encode()) == pytest.approx([ppm(used[lang], t[:3000].encode()) for lang in shipped], rel=1e-5)
     long = own[0][1].encode() * (1 + (language_id.BLOCK + 1000) // len(own[0][1].encode()))
-    assert len(long) > language_id.BLOCK and shipped.lengths(long) == pytest.approx([ppm(used[lang], long) for lang in shipped.languages], rel=1e-5)
+    assert len(long) > language_id.BLOCK and shipped.lengths(long) == pytest.approx([ppm(used[lang], long) for lang in shipped], rel=1e-5)
     assert trees.predict("123 !") == ("und", 0.0) and trees.predict(None) == ("und", 0.0)
 
 
@@ -312,6 +337,15 @@ def test_op4_block_tables_miss_nothing(spark):
     assert got == {(a, b, (a ^ b).bit_count()) for a in asked for b in fps if (a ^ b).bit_count() <= 4}
 
 
+def test_op4_rows_that_share_an_id_stay_as_many(spark, tmp_path):
+    rows = [(50, "one text of some words that are here"), (50, "quite another one, with other words in it"), (50, "quite another one, with other words in it"), (51, "one text of some words that are here"), (100, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["op4_fingerprints"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    near = {(r.doc_id, r.n_chars, r.n_near) for r in got}
+    assert near == {(50, len(rows[0][1]), 1), (50, len(rows[1][1]), 1), (51, len(rows[3][1]), None), (100, 0, 0)}
+
+
 # ---- 5
 
 
