@@ -177,29 +177,6 @@ def boundary_edges(cells: DataFrame) -> DataFrame:
     return e.join(on, ["mask_id", "ny", "nx"], "left_anti").select("mask_id", "y", "x", "side")
 
 
-def connected_components(cells: DataFrame, width: int, key: str = "mask_id", most: int = 64) -> DataFrame:
-    """(mask_id, y, x, label): 8-connected parts, numbered by their first cell in raster order.
-
-    Row runs are the vertices, so a solid part has one per row; the least run number spreads between touching runs of
-    neighbouring rows until nothing changes, each round cut off from the last.
-    """
-    row = Window.partitionBy(key, "y").orderBy("x")
-    runs = cells.withColumn("g", F.col("x") - F.row_number().over(row)).groupBy(key, "y", "g").agg(F.min("x").alias("a"), F.max("x").alias("b")).withColumn("id", F.col("y").cast("long") * width + F.col("a")).drop("g")
-    p, q = runs.alias("p"), runs.alias("q")
-    touch = (F.col(f"p.{key}") == F.col(f"q.{key}")) & (F.col("q.y") == F.col("p.y") + 1) & (F.col("q.a") <= F.col("p.b") + 1) & (F.col("q.b") >= F.col("p.a") - 1)
-    links = p.join(q, touch).select(f"p.{key}", F.col("p.id").alias("u"), F.col("q.id").alias("v"))
-    links = links.union(links.select(key, "v", "u")).checkpoint()
-    labels = runs.select(key, "id", F.col("id").alias("label")).checkpoint()
-    while True:
-        near = links.join(labels.withColumnRenamed("id", "v"), [key, "v"]).groupBy(key, F.col("u").alias("id")).agg(F.min("label").alias("low"))
-        new = labels.join(near, [key, "id"], "left").select(key, "id", F.least("label", "low").alias("label"), (F.coalesce("low", "label") < F.col("label")).alias("moved")).checkpoint()
-        if not new.where("moved").limit(1).count():
-            break
-        labels = new.drop("moved")
-    named = labels.withColumn("label", F.dense_rank().over(Window.partitionBy(key).orderBy("label")))
-    return runs.join(named, [key, "id"]).select(key, "y", F.explode(F.sequence("a", "b")).alias("x"), "label")
-
-
 def print_density(rects: DataFrame, cells: DataFrame, size: int) -> DataFrame:
     """(rect_id, density): share of print among photo cells in each rectangle x0, y0, x1, y1 of a scan; null under 2 cells a side or 20 in all."""
     cut = lambda c, low: F.floor((F.greatest(F.col(c), F.lit(0.0)) if low else F.least(F.col(c), F.lit(1.0))) * size).cast("int")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from platen.plans import edges, events, layout, masks, pixels, proposals, scale  # noqa: F401
+from platen.plans import classic, edges, events, layout, masks, pixels, proposals, scale  # noqa: F401
 from platen.plans.register import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

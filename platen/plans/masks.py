@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from platen.functions.expr import tidy
 from platen.sources.checkpoints import checkpointed
-from platen.operators import masks
+from platen.operators import masks, parts
 from platen.plans.register import query
 
 T6 = "floor(({}) * 1e6 + 0.5) / 1e6"
@@ -162,7 +162,7 @@ def _(v):
  l AS (SELECT mask_id, y, x, min(label) AS label FROM r GROUP BY ALL) SELECT mask_id, y, x, dense_rank() OVER (PARTITION BY mask_id ORDER BY label)::int AS label FROM l""")
 def _(v):
     checkpointed(v.spark)
-    return masks.connected_components(v("mask_cells"), SIZE)
+    return parts.connected_components(v("mask_cells"), SIZE)
 
 
 _RECTS = "rects AS (SELECT l_orderkey * 10 + cand_id AS rect_id, (pk % m.n) AS scan_id, pk % 5 / 10.0::double AS x0, sk % 4 / 10.0::double AS y0, 0.6 + pk % 4 / 10.0::double AS x1, 0.5 + sk % 5 / 10.0::double AS y1 FROM lines, (SELECT count(*) AS n FROM embeddings) m)"
@@ -205,7 +205,7 @@ def _(v):
 @query("dt14_classic_objects")
 def _(v):
     checkpointed(v.spark)
-    return masks.classic_objects(masks.connected_components(v("mask_cells"), SIZE), SIZE, rectangular=0.5)
+    return masks.classic_objects(parts.connected_components(v("mask_cells"), SIZE), SIZE, rectangular=0.5)
 
 
 @query("dt3_outline_quad", """SELECT mask_id, min(x)::double AS x0, min(y)::double AS y0, (max(x) + 1)::double AS x1, min(y)::double AS y1, (max(x) + 1)::double AS x2, (max(y) + 1)::double AS y2, min(x)::double AS x3, (max(y) + 1)::double AS y3 FROM mask_cells GROUP BY mask_id""")

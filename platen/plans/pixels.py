@@ -38,7 +38,12 @@ def _(v):
     return pixels.ink_points(tall(v), WIDTH).drop("height")
 
 
-@query("ra4_estimate_skew")
+@query("ra4_estimate_skew", f"""WITH {_TALL}, {_MEAN}, ink AS (SELECT scan_id, height, y, x, ceil(sqrt(80 * 80 + height * height)) + 2 AS n FROM means WHERE x >= 0.08 * 80 AND x < 0.92 * 80 AND y >= 0.08 * height AND y < 0.92 * height AND v < mean - 15),
+ turn AS (SELECT t::int AS tenth, sin(radians(t / 10.0::double)) AS s, cos(radians(t / 10.0::double)) AS c FROM range(-50, 51) r(t)), seen AS (SELECT scan_id, tenth, n, -x * s + y * c + (n / 2 - (80 * abs(s) + height * c) / 2) AS p FROM ink, turn),
+ bins AS (SELECT scan_id, tenth, n, floor(p) AS r, sum(1 - (p - floor(p))) AS w FROM seen GROUP BY ALL UNION ALL SELECT scan_id, tenth, n, floor(p) + 1, sum(p - floor(p)) FROM seen GROUP BY ALL),
+ change AS (SELECT scan_id, tenth, n, r + k.o AS r, sum(w * k.q) AS c FROM bins, (VALUES (-1, 0.25::double), (0, 0.25), (1, -0.25), (2, -0.25)) k(o, q) WHERE r >= 0 AND r < n GROUP BY ALL),
+ score AS (SELECT scan_id, tenth, {T6.format('sum(c * c)')} AS score FROM change WHERE r >= 2 AND r <= n - 2 GROUP BY ALL), points AS (SELECT scan_id, count(*) AS k FROM ink GROUP BY 1),
+ best AS (SELECT scan_id, first(tenth ORDER BY score DESC, tenth) AS tenth FROM score GROUP BY 1) SELECT p.scan_id, CASE WHEN k < 200 THEN 0 ELSE coalesce(tenth / 10.0::double, 0) END AS skew FROM points p LEFT JOIN best b ON b.scan_id = p.scan_id""")
 def _(v):
     return pixels.estimate_skew(pixels.ink_points(tall(v), WIDTH), WIDTH)
 
@@ -230,11 +235,6 @@ def _(v):
     return pixels.clahe(tall(v), WIDTH).withColumn("v", F.floor(F.col("v") * 1e3 + 0.37) / 1e3)
 
 
-@query("ra7_energy_map")
-def _(v):
-    return pixels.energy_map(v("pixels")).withColumn("v", tidy("v", 3))
-
-
 @query("tr6_canonical_transform")
 def _(v):
     return pixels.canonical_transform(tall(v), WIDTH, F.col("scan_id") % 7 - 3)
