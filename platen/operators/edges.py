@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platen.sources.checkpoints import checkpointed
+from platen.functions.expr import settled
 
 KEY = ("scan_id", "side")
 
@@ -45,28 +45,62 @@ def edge_candidates(scores: DataFrame, noise: DataFrame, places: DataFrame, cove
     s = s.withColumn("isl", F.dense_rank().over(side.orderBy("slope"))).withColumn("best", F.max("score").over(side)).select(*KEY, "off", "slope", "score", "isl", "best")
     typical = s.groupBy(*KEY, "off").agg(F.max("score").alias("m")).groupBy(*KEY).agg(F.greatest(F.median("m"), F.lit(1e-6)).alias("typical"))
     floor = noise.join(typical, [*KEY]).select(*KEY, F.least("noise", F.col("typical") / 3).alias("floor"))
-    p, q = s.alias("p"), s.alias("q")
-    around = (F.col("p.scan_id") == F.col("q.scan_id")) & (F.col("p.side") == F.col("q.side")) & (F.abs(F.col("p.off") - F.col("q.off")) <= reach) & (F.abs(F.col("p.isl") - F.col("q.isl")) <= 2)
-    top = p.join(q, around).groupBy("p.scan_id", "p.side", "p.off", "p.slope").agg(F.max("q.score").alias("top"))
-    j = s.join(top, [*KEY, "off", "slope"]).join(floor, [*KEY])
+    # Each line is a guest on the two slopes on either side of its own, so that one window over offsets sees all that are near; only a line's own row stays.
+    met = s.withColumn("shift", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn("at", F.col("isl") + F.col("shift"))
+    top = met.withColumn("top", F.expr(f"max(score) OVER (PARTITION BY {', '.join(KEY)}, at ORDER BY off RANGE BETWEEN {float(reach)}D PRECEDING AND {float(reach)}D FOLLOWING)"))
+    j = top.where("shift = 0").join(floor, [*KEY])
     good = (F.col("score") > 0) & (F.col("score") >= F.col("top")) & (F.col("score") >= relative * F.col("best")) & (F.col("score") >= 1) & (F.col("score") >= 6 * F.col("floor"))
     return j.where(good).select(*KEY, "off", "slope", "score")
 
 
-def refine_line(points: DataFrame, rounds: int = 4, least: int = 4) -> DataFrame:
-    """(scan_id, side, a, b, sd): least squares of v on t, dropping in each round what is over 2.5 robust deviations off (0.3 at least).
+def edge_points(samples: DataFrame, step: float = 0.25) -> DataFrame:
+    """(scan_id, side, t, v, places): where the edge crosses each place of a line, between samples, and how many places the side was sampled at.
 
-    Each round is cut off from the last, whose points it uses three times.
+    samples (scan_id, side, t, d, base, gr, gg, gb, ok): gradients d across the line, `step` apart, at the place t along it, where the line is at base. They are
+    projected on the side's mean direction; the strongest of a place (the first of equals) is moved to the top of the parabola through it and its neighbours. A place whose
+    strongest one is its first or last has no point.
     """
-    checkpointed(points.sparkSession)
-    p = points.select(*KEY, "t", "v")
-    line = None
-    for _ in range(rounds):
-        line = p.groupBy(*KEY).agg(F.regr_slope("v", "t").alias("b"), F.regr_intercept("v", "t").alias("a"), F.count("*").alias("n")).where(F.col("n") >= least)
-        off = p.select(*KEY, "t", "v").join(line, [*KEY]).withColumn("off", F.abs(F.col("v") - F.col("a") - F.coalesce("b", F.lit(0.0)) * F.col("t")))
-        sd = off.groupBy(*KEY).agg(F.greatest(1.4826 * F.median("off"), F.lit(0.3)).alias("sd"))
-        p = off.join(sd, [*KEY]).where(F.col("off") < 2.5 * F.col("sd")).select(*KEY, "t", "v", "sd").checkpoint()
-    return line.join(p.groupBy(*KEY).agg(F.first("sd").alias("sd")), [*KEY]).select(*KEY, "a", "b", "sd")
+    g = ("gr", "gg", "gb")
+    sums = samples.groupBy(*KEY).agg(*(F.sum(F.when(F.col("ok"), F.col(c)).otherwise(0.0)).alias(f"sum_{c}") for c in g), F.count_distinct("t").alias("places"))
+    length = F.greatest(_norm(*(F.col(f"sum_{c}") for c in g)), F.lit(1e-9))
+    towards = sums.select(*KEY, "places", *((F.col(f"sum_{c}") / length).alias(f"to_{c}") for c in g))
+    along = F.when(F.col("ok"), F.greatest(sum((F.col(c) * F.col(f"to_{c}") for c in g), F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+    across = Window.partitionBy(*KEY, "t").orderBy("d")
+    p = samples.join(towards, [*KEY]).select(*KEY, "t", "d", "base", "places", along.alias("y1"))
+    p = p.withColumns({"y0": F.lag("y1").over(across), "y2": F.lead("y1").over(across)})
+    best = p.groupBy(*KEY, "t").agg(F.max_by(F.struct("d", "base", "y0", "y1", "y2", "places"), F.struct("y1", -F.col("d"))).alias("b")).select(*KEY, "t", "b.*")
+    bend = F.col("y0") - 2 * F.col("y1") + F.col("y2")
+    off = F.when(bend < 0, 0.5 * (F.col("y0") - F.col("y2")) / bend).otherwise(0.0)
+    return best.where("y1 > 0 AND y0 IS NOT NULL AND y2 IS NOT NULL").select(*KEY, "t", (F.col("base") + F.col("d") + off * step).alias("v"), "places")
+
+
+def trimmed_line(points: DataFrame, rounds: int = 4, share: float = 0.4, least: int = 20) -> DataFrame:
+    """(scan_id, side, a, b, sd): v = a + b * t by least squares of the points of edge_points, each round over those within 2.5 robust deviations (0.3 at least) of the
+    line before. Sides with points at under `share` of their places, or under `least` of them, have no line.
+
+    A side's points are brought together once, as one array; the places it was sampled at bound it. Sums run in the order of t.
+    """
+    pts = points.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct(F.col("t").cast("double").alias("t"), "v"))).alias("all"), F.max("places").alias("places"))
+    line = pts.where((F.size("all") >= share * F.col("places")) & (F.size("all") >= least)).select(*KEY, "all", F.col("all").alias("kept"))
+    zero = F.struct(*(F.lit(0.0).alias(n) for n in ("n", "x", "y", "xx", "xy")))
+    for k in range(rounds):
+        m = F.aggregate("kept", zero, lambda s, q: F.struct((s["n"] + 1).alias("n"), (s["x"] + q["t"]).alias("x"), (s["y"] + q["v"]).alias("y"), (s["xx"] + q["t"] * q["t"]).alias("xx"), (s["xy"] + q["t"] * q["v"]).alias("xy")))
+        line = settled(line.select(*KEY, "all", "kept"), m=m).where("m.n >= 2")
+        det = F.col("m.n") * F.col("m.xx") - F.col("m.x") * F.col("m.x")
+        line = settled(line, b=F.when(F.abs(det) > 1e-12, F.try_divide(F.col("m.n") * F.col("m.xy") - F.col("m.x") * F.col("m.y"), det)).otherwise(0.0))
+        line = settled(line, a=(F.col("m.y") - F.col("b") * F.col("m.x")) / F.col("m.n"))
+        away = lambda q: F.abs(q["v"] - (F.col("a") + F.col("b") * q["t"]))
+        line = settled(line, off=F.sort_array(F.transform("kept", away)))
+        half = F.floor(F.size("off") / 2).cast("int")
+        median = F.when(F.size("off") % 2 == 1, F.get("off", half)).otherwise((F.get("off", half - 1) + F.get("off", half)) / 2)
+        line = settled(line, sd=F.greatest(1.4826 * median, F.lit(0.3)))
+        line = line.select(*KEY, "all", F.filter("all", lambda q: away(q) < 2.5 * F.col("sd")).alias("kept"), "a", "b", "sd")
+    return line.select(*KEY, "a", "b", "sd")
+
+
+def refine_line(samples: DataFrame, step: float = 0.25, rounds: int = 4) -> DataFrame:
+    """(scan_id, side, a, b, sd): the line through the edge near each sampled one, to a fraction of a pixel (see edge_points and trimmed_line)."""
+    return trimmed_line(edge_points(samples, step), rounds)
 
 
 def continuity(samples: DataFrame, least: int = 20) -> DataFrame:

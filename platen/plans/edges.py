@@ -12,11 +12,11 @@ T6 = "floor(({}) * 1e6 + 0.5) / 1e6"
 
 
 def samples(v):
-    """Sides of five hundred documents' worth of samples: scans share a side's samples by their number."""
-    return v("edge_samples").withColumn("scan_id", F.col("scan_id") % 97)
+    """Each supplier's scan with four sides of lines at 25 offsets, 5 slopes and 10 places, an edge along some of them."""
+    return v("edge_samples")
 
 
-_S = "s AS (SELECT scan_id % 97 AS scan_id, side, off, slope, t, gr, gg, gb, ok FROM edge_samples)"
+_S = "s AS (SELECT scan_id, side, off, slope, t, gr, gg, gb, ok FROM edge_samples)"
 _SCORES = "scores AS (SELECT scan_id, side, off, slope, sqrt(avg(gr) * avg(gr) + avg(gg) * avg(gg) + avg(gb) * avg(gb)) AS score, count(*) AS n FROM s WHERE ok GROUP BY ALL)"
 
 
@@ -43,29 +43,44 @@ def _(v):
 
 
 _CANDS = """r AS (SELECT *, dense_rank() OVER (PARTITION BY scan_id, side ORDER BY slope) AS isl, max(score) OVER (PARTITION BY scan_id, side) AS best FROM
-  (SELECT scan_id, side, off, slope, CASE WHEN n < 0.03 * places THEN 0 ELSE score END AS score FROM scores JOIN (SELECT scan_id, side, count(DISTINCT t) AS places FROM s GROUP BY ALL) USING (scan_id, side))),
+  (SELECT scan_id, side, off, slope, CASE WHEN n < 0.4::double * places THEN 0 ELSE score END AS score FROM scores JOIN (SELECT scan_id, side, count(DISTINCT t) AS places FROM s GROUP BY ALL) USING (scan_id, side))),
  typical AS (SELECT scan_id, side, greatest(quantile_cont(m, 0.5), 1e-6) AS typical FROM (SELECT scan_id, side, off, max(score) AS m FROM r GROUP BY ALL) GROUP BY ALL),
  cands AS (SELECT p.scan_id, p.side, p.off, p.slope, p.score FROM r p JOIN noise n ON n.scan_id = p.scan_id AND n.side = p.side JOIN typical t ON t.scan_id = p.scan_id AND t.side = p.side
  WHERE p.score > 0 AND p.score >= 0.5 * p.best AND p.score >= 1 AND p.score >= 6 * least(n.noise, t.typical / 3)
  AND p.score >= (SELECT max(q.score) FROM r q WHERE q.scan_id = p.scan_id AND q.side = p.side AND abs(q.off - p.off) <= 1.5 AND abs(q.isl - p.isl) <= 2))"""
 
 
-_S5 = "s AS (SELECT scan_id % 97 AS scan_id, side, off, slope, t, gr * k AS gr, gg * k AS gg, gb * k AS gb, ok FROM (SELECT *, CASE WHEN abs(off) <= 0.5 THEN 5 ELSE 1 END AS k FROM edge_samples))"
+@query("ft5_edge_candidates", f"WITH {_S}, {_SCORES}, {_NOISE}, {_CANDS} SELECT scan_id, side, off, slope, {T6.format('score')} AS score FROM cands")
+def _(v):
+    s = samples(v)
+    places = s.groupBy("scan_id", "side").agg(F.count_distinct("t").alias("places"))
+    return edges.edge_candidates(edges.line_scores(s), edges.edge_noise(s), places).withColumn("score", tidy("score"))
+
+
+def _trim(k: int) -> str:
+    """Round k of the trimmed fit over lists of points."""
+    sums = "list_reduce(list_prepend({'n': 0.0::double, 'x': 0.0::double, 'y': 0.0::double, 'xx': 0.0::double, 'xy': 0.0::double}, list_transform(kept, lambda q: {'n': 1.0::double, 'x': q.t, 'y': q.v, 'xx': q.t * q.t, 'xy': q.t * q.v})), lambda s, q: {'n': s.n + q.n, 'x': s.x + q.x, 'y': s.y + q.y, 'xx': s.xx + q.xx, 'xy': s.xy + q.xy})"
+    return f"""m{k} AS (SELECT scan_id, side, every, kept, {sums} AS m FROM k{k}), b{k} AS (SELECT *, CASE WHEN abs(m.n * m.xx - m.x * m.x) > 1e-12 THEN (m.n * m.xy - m.x * m.y) / (m.n * m.xx - m.x * m.x) ELSE 0 END AS b FROM m{k} WHERE m.n >= 2),
+ a{k} AS (SELECT *, (m.y - b * m.x) / m.n AS a FROM b{k}), d{k} AS (SELECT *, greatest(1.4826::double * list_median(list_transform(kept, lambda q: abs(q.v - (a + b * q.t)))), 0.3) AS sd FROM a{k}),
+ k{k + 1} AS (SELECT scan_id, side, every, list_filter(every, lambda q: abs(q.v - (a + b * q.t)) < 2.5 * sd) AS kept, a, b, sd FROM d{k})"""
+
 
+_POINTS = """tw AS (SELECT scan_id, side, sum(CASE WHEN ok THEN gr ELSE 0 END) AS r, sum(CASE WHEN ok THEN gg ELSE 0 END) AS g, sum(CASE WHEN ok THEN gb ELSE 0 END) AS b, count(DISTINCT t) AS places FROM line_samples GROUP BY ALL),
+ td AS (SELECT scan_id, side, places, r / greatest(sqrt(r * r + g * g + b * b), 1e-9) AS r, g / greatest(sqrt(r * r + g * g + b * b), 1e-9) AS g, b / greatest(sqrt(r * r + g * g + b * b), 1e-9) AS b FROM tw),
+ al AS (SELECT l.scan_id, l.side, t, d, base, places, CASE WHEN ok THEN greatest(gr * r + gg * g + gb * b, 0) ELSE 0 END AS y1 FROM line_samples l JOIN td ON td.scan_id = l.scan_id AND td.side = l.side),
+ nb AS (SELECT *, lag(y1) OVER w AS y0, lead(y1) OVER w AS y2, row_number() OVER (PARTITION BY scan_id, side, t ORDER BY y1 DESC, d) AS k FROM al WINDOW w AS (PARTITION BY scan_id, side, t ORDER BY d)),
+ pts AS (SELECT scan_id, side, t, places, base + d + CASE WHEN y0 - 2 * y1 + y2 < 0 THEN 0.5 * (y0 - y2) / (y0 - 2 * y1 + y2) ELSE 0 END * 0.25 AS v FROM nb WHERE k = 1 AND y1 > 0 AND y0 IS NOT NULL AND y2 IS NOT NULL)"""
 
-@query("ft5_edge_candidates", f"WITH {_S5}, {_SCORES}, {_NOISE}, {_CANDS} SELECT scan_id, side, off, slope, {T6.format('score')} AS score FROM cands")
+
+@query("ft6_edge_points", f"WITH {_POINTS} SELECT scan_id, side, t, places, {T6.format('v')} AS v FROM pts")
 def _(v):
-    """The derived samples have no edge and put few places on a line: gradients near offset 0 are raised, and the share that must be covered is small."""
-    k = F.when(F.abs("off") <= 0.5, 5).otherwise(1)
-    s = samples(v).withColumns({c: F.col(c) * k for c in ("gr", "gg", "gb")})
-    places = s.groupBy("scan_id", "side").agg(F.count_distinct("t").alias("places"))
-    return edges.edge_candidates(edges.line_scores(s), edges.edge_noise(s), places, covered=0.03).withColumn("score", tidy("score"))
+    return edges.edge_points(v("line_samples")).withColumn("v", tidy("v"))
 
 
-@query("ft6_refine_line")
+@query("ft6_refine_line", f"""WITH {_POINTS}, k0 AS (SELECT scan_id, side, list({{'t': t, 'v': v}} ORDER BY t, v) AS every, list({{'t': t, 'v': v}} ORDER BY t, v) AS kept FROM pts GROUP BY ALL HAVING count(*) >= 0.4::double * max(places) AND count(*) >= 20),
+ {', '.join(_trim(k) for k in range(4))} SELECT scan_id, side, {T6.format('a')} AS a, {T6.format('b')} AS b, {T6.format('sd')} AS sd FROM k4""")
 def _(v):
-    s = samples(v).where("ok").select("scan_id", "side", "t", (F.col("off") + F.col("slope") * F.col("t")).alias("v"))
-    return edges.refine_line(s).select("scan_id", "side", *(tidy(c).alias(c) for c in ("a", "b", "sd")))
+    return edges.refine_line(v("line_samples")).select("scan_id", "side", *(tidy(c).alias(c) for c in ("a", "b", "sd")))
 
 
 _BEST = "best AS (SELECT scan_id, side, t, max(sqrt(gr * gr + gg * gg + gb * gb)) AS g FROM s WHERE ok GROUP BY ALL), p90 AS (SELECT scan_id, side, quantile_cont(g, 0.9) AS p, count(*) AS n FROM best GROUP BY ALL)"
@@ -126,9 +141,14 @@ def _(v):
     return edges.band_stats(p, 2)
 
 
-@query("ft1_side_samples", f"""WITH k AS (SELECT scan_id, cand_id, (i + 0.5::double) / 30 * 0.76 + 0.12 AS s, i, x0, y0, x1, y1 FROM quads, range(30) r(i))
- SELECT scan_id, cand_id, i::int AS k, {T6.format('x0 + (x1 - x0) * s')} AS x, {T6.format('y0 + (y1 - y0) * s')} AS y FROM k""")
+_FOUR = " UNION ALL ".join(f"SELECT scan_id, cand_id, {k} AS side, x{k} AS xa, y{k} AS ya, x{(k + 1) % 4} AS xb, y{(k + 1) % 4} AS yb FROM quads" for k in range(4))
+
+
+@query("ft1_side_samples", f"""WITH k AS (SELECT scan_id, cand_id, side, (i + 0.5::double) / 300 * 0.76 + 0.12 AS s, xa, ya, xb, yb FROM ({_FOUR}), range(300) r(i)), p AS (SELECT scan_id, cand_id, side, xa + (xb - xa) * s AS x, ya + (yb - ya) * s AS y FROM k)
+ SELECT scan_id, cand_id, side::int AS side, count(*) AS n, {T6.format('min(x)')} AS x0, {T6.format('max(x)')} AS x1, {T6.format('min(y)')} AS y0, {T6.format('max(y)')} AS y1, floor(avg(x) * 1e3 + 0.37) / 1e3 AS mx, floor(avg(y) * 1e3 + 0.37) / 1e3 AS my FROM p GROUP BY ALL""")
 def _(v):
-    """Thirty points along the top of each quad."""
-    q = v("quads").select("scan_id", "cand_id", *(F.col(a).alias(b) for a, b in (("x0", "xa"), ("y0", "ya"), ("x1", "xb"), ("y1", "yb"))))
-    return edges.side_samples(q, 30).select("scan_id", "cand_id", "k", tidy("x").alias("x"), tidy("y").alias("y"))
+    """All 300 points of each of the four sides, told by their number, their extent and their middle."""
+    ends = F.array(*(F.struct(F.lit(k).alias("side"), *(F.col(f"{c}{i}").alias(f"{c}{e}") for e, i in (("a", k), ("b", (k + 1) % 4)) for c in "xy")) for k in range(4)))
+    p = edges.side_samples(v("quads").select("scan_id", "cand_id", F.inline(ends)))
+    middle = lambda c: F.floor(F.avg(c) * 1e3 + 0.37) / 1e3
+    return p.groupBy("scan_id", "cand_id", "side").agg(F.count("*").alias("n"), *(tidy(f(c)).alias(f"{c}{k}") for c in "xy" for k, f in ((0, F.min), (1, F.max))), middle("x").alias("mx"), middle("y").alias("my"))
