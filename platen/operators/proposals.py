@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,53 +17,89 @@ def score_filter(candidates: DataFrame, least: float = MIN_SCORE) -> DataFrame:
     return candidates.where(F.col("score") >= least)
 
 
-def overlap_pairs(candidates: DataFrame) -> DataFrame:
-    """(scan_id, a, b, iou, containment) of every two overlapping candidates of a scan, a < b: an equi-join on the scan with the overlap as residual."""
-    a, b = candidates.alias("a"), candidates.alias("b")
-    near = (F.col("a.scan_id") == F.col("b.scan_id")) & (F.col("a.cand_id") < F.col("b.cand_id")) & (F.abs(F.col("a.cx") - F.col("b.cx")) < (F.col("a.w") + F.col("b.w")) / 2) & (F.abs(F.col("a.cy") - F.col("b.cy")) < (F.col("a.h") + F.col("b.h")) / 2)
-    return a.join(b, near).select("a.scan_id", F.col("a.cand_id").alias("a"), F.col("b.cand_id").alias("b"), iou("a", "b").alias("iou"), containment("a", "b").alias("containment"))
-
-
-def _shares(p: Column, i: Column) -> tuple[Column, Column]:
-    side = lambda c, s: F.greatest(F.lit(0.0), F.least(p[c] + p[s] / 2, i[c] + i[s] / 2) - F.greatest(p[c] - p[s] / 2, i[c] - i[s] / 2))
-    inter, pa, ia = side("cx", "w") * side("cy", "h"), p["w"] * p["h"], i["w"] * i["h"]
-    union, smaller = pa + ia - inter, F.least(pa, ia)
-    return F.when(union > 0, inter / union).otherwise(0.0), F.when(smaller > 0, inter / smaller).otherwise(0.0)
+def cells_under(boxes: DataFrame, cells: int) -> DataFrame:
+    """boxes once for each cell (gx, gy) of a cells x cells grid of the frame that they reach into; x0 and y0 are their first ones. What lies outside the frame counts to its rim."""
+    at = lambda c, s, sign: F.least(F.greatest(F.floor((F.col(c) + sign * F.col(s) / 2) * cells), F.lit(0)), F.lit(cells - 1)).cast("int")
+    b = settled(boxes, x0=at("cx", "w", -1), x1=at("cx", "w", 1), y0=at("cy", "h", -1), y1=at("cy", "h", 1))
+    return b.withColumn("gx", F.explode(F.sequence("x0", "x1"))).withColumn("gy", F.explode(F.sequence("y0", "y1"))).drop("x1", "y1")
 
 
-def greedy_groups(candidates: DataFrame, order: list[Column], joins) -> DataFrame:
-    """(scan_id, cand_id, group_no, rank): in the given order, a candidate joins the first group whose first member it joins(first, own), else it opens one.
+def overlap_pairs(candidates: DataFrame, cells: int = 4) -> DataFrame:
+    """(scan_id, a, b, iou, containment) of every two overlapping candidates of a scan, a < b.
 
-    One fold over each scan's candidates, of which there are as many as prompts give. Ties end with cand_id.
+    Boxes meet in the cells of a grid that both reach into, and count in the first of these alone. cells: about what a usual box's side goes into the frame.
+    """
+    g = cells_under(candidates.select("scan_id", "cand_id", "cx", "cy", "w", "h"), cells)
+    a, b = g.alias("a"), g.alias("b")
+    meet = (F.col("a.scan_id") == F.col("b.scan_id")) & (F.col("a.gx") == F.col("b.gx")) & (F.col("a.gy") == F.col("b.gy")) & (F.col("a.cand_id") < F.col("b.cand_id"))
+    first = (F.col("a.gx") == F.greatest("a.x0", "b.x0")) & (F.col("a.gy") == F.greatest("a.y0", "b.y0"))
+    near = (F.abs(F.col("a.cx") - F.col("b.cx")) < (F.col("a.w") + F.col("b.w")) / 2) & (F.abs(F.col("a.cy") - F.col("b.cy")) < (F.col("a.h") + F.col("b.h")) / 2)
+    return a.join(b, meet & first & near).select("a.scan_id", F.col("a.cand_id").alias("a"), F.col("b.cand_id").alias("b"), iou("a", "b").alias("iou"), containment("a", "b").alias("containment"))
+
+
+class Groups:
+    """The groups of one scan while its candidates come in order: each is kept by its first member, in all cells of a grid that this reaches into."""
+
+    def __init__(self, cells: int = 16):
+        self.cells, self.firsts, self.sizes, self.at = cells, [], [], {}
+
+    def place(self, cx: float, cy: float, w: float, h: float, joins: Callable[[float, float], bool]) -> tuple[int, int]:
+        """(group, rank in it). Only first members in the same cells are looked at: others share nothing with the candidate."""
+        last = self.cells - 1
+        x0, x1, y0, y1 = (int(min(max(e * self.cells // 1, 0), last)) for e in (cx - w / 2, cx + w / 2, cy - h / 2, cy + h / 2))
+        cells = [(x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)]
+        for g in sorted({g for c in cells for g in self.at.get(c, ())}):
+            if joins(*_shares(self.firsts[g], (cx, cy, w, h))):
+                self.sizes[g] += 1
+                return g, self.sizes[g]
+        self.firsts.append((cx, cy, w, h))
+        self.sizes.append(0)
+        for c in cells:
+            self.at.setdefault(c, []).append(len(self.firsts) - 1)
+        return len(self.firsts) - 1, 0
+
+
+def _shares(p: tuple, i: tuple) -> tuple[float, float]:
+    """(overlap over union, overlap over the smaller) of two upright boxes cx, cy, w, h."""
+    side = lambda c, s: max(0.0, min(p[c] + p[s] / 2, i[c] + i[s] / 2) - max(p[c] - p[s] / 2, i[c] - i[s] / 2))
+    inter, pa, ia = side(0, 2) * side(1, 3), p[2] * p[3], i[2] * i[3]
+    union, smaller = pa + ia - inter, min(pa, ia)
+    return inter / union if union > 0 else 0.0, inter / smaller if smaller > 0 else 0.0
+
+
+def greedy_groups(candidates: DataFrame, order: list[Column], joins: Callable[[float, float], bool]) -> DataFrame:
+    """(scan_id, cand_id, group_no, rank): in the given order, a candidate joins the first group that joins(overlap over union, overlap over the smaller) with its
+    first member, else it opens one. Ties end with cand_id. Boxes without overlap must not join; null boxes aren't allowed.
+
+    Scans are brought together and sorted; a task passes over the rows and holds one scan's groups at a time, so time is linear in candidates that lie apart.
     """
-    item = F.struct(*(o.alias(f"o{k}") for k, o in enumerate(order)), "cand_id", "cx", "cy", "w", "h")
-    per = candidates.groupBy("scan_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    firsts, out = "array<struct<cx:double,cy:double,w:double,h:double,g:int>>", "array<struct<cand_id:bigint,group_no:int>>"
 
-    def step(s: Column, i: Column) -> Column:
-        hit = F.get(F.filter(s["firsts"], lambda p: joins(p, i)), F.lit(0))["g"]
-        own = F.coalesce(hit, F.size(s["firsts"]))
-        grown = F.when(hit.isNull(), F.concat(s["firsts"], F.array(F.struct(i["cx"].alias("cx"), i["cy"].alias("cy"), i["w"].alias("w"), i["h"].alias("h"), F.size(s["firsts"]).alias("g"))))).otherwise(s["firsts"])
-        return F.struct(grown.alias("firsts"), F.concat(s["out"], F.array(F.struct(i["cand_id"].alias("cand_id"), own.alias("group_no")))).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan, groups = object(), Groups()
+        for b in batches:
+            out = []
+            for s, *box in zip(*(b.column(c).to_pylist() for c in ("scan_id", "cx", "cy", "w", "h")), strict=True):
+                if s != scan:
+                    scan, groups = s, Groups()
+                out.append(groups.place(*box, joins))
+            made = list(zip(*out, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([b.column("scan_id"), b.column("cand_id"), *(pa.array(c, pa.int32()) for c in made)], ["scan_id", "cand_id", "group_no", "rank"])
 
-    start = F.struct(F.array().cast(firsts).alias("firsts"), F.array().cast(out).alias("out"))
-    rows = per.select("scan_id", F.posexplode(F.aggregate("items", start, step, lambda s: s["out"])).alias("pos", "o")).select("scan_id", "pos", "o.*")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("scan_id", "group_no").orderBy("pos")) - 1).drop("pos")
+    by = [o.alias(f"o{k}") for k, o in enumerate(order)]
+    rows = candidates.select(F.col("scan_id").cast("long").alias("scan_id"), F.col("cand_id").cast("long").alias("cand_id"), *(F.col(c).cast("double").alias(c) for c in ("cx", "cy", "w", "h")), *by)
+    ordered = rows.repartition("scan_id").sortWithinPartitions("scan_id", *(f"o{k}" for k in range(len(by))), "cand_id", "cx", "cy", "w", "h")
+    return ordered.mapInArrow(run, "scan_id long, cand_id long, group_no int, rank int")
 
 
 def group_candidates(candidates: DataFrame, iou_over: float = IOU, contained_over: float = CONTAINED) -> DataFrame:
     """Groups by descending score, then area: overlap or containment with a group's first member joins it."""
 
-    def joins(p: Column, i: Column) -> Column:
-        shared, inside = _shares(p, i)
-        return (shared > iou_over) | (inside > contained_over)
-
-    return greedy_groups(candidates, [-F.col("score"), -(F.col("w") * F.col("h"))], joins)
+    return greedy_groups(candidates, [-F.col("score"), -(F.col("w") * F.col("h"))], lambda shared, inside: shared > iou_over or inside > contained_over)
 
 
 def vote_groups(candidates: DataFrame) -> DataFrame:
     """One row per scan: the winner of the largest group (then the larger first member) of proposals that agree, by rectangularity, then score, then the first."""
-    groups = greedy_groups(candidates, [], lambda p, i: _shares(p, i)[0] >= SEED_IOU).join(candidates, ["scan_id", "cand_id"])
+    groups = greedy_groups(candidates, [], lambda shared, _: shared >= SEED_IOU).join(candidates, ["scan_id", "cand_id"])
     sized = groups.groupBy("scan_id", "group_no").agg(F.count("*").alias("members"), F.max_by(F.col("w") * F.col("h"), -F.col("rank")).alias("seed_area"), F.max_by("cand_id", F.struct("rectangularity", "score", -F.col("cand_id"))).alias("winner"))
     return sized.groupBy("scan_id").agg(F.max_by(F.struct("winner", "members"), F.struct("members", "seed_area", -F.col("group_no"))).alias("b")).select("scan_id", "b.winner", "b.members")
 
