@@ -3,16 +3,18 @@
 Distinct sets are dealt into shards by pairs of min-hashes (BANDS pairs, so that two sets 0.8 alike miss each other with
 probability 0.36 ** 10, or 4 in 100,000). In a shard a BK-tree of SimHash fingerprints, and the min-hashes of both, name
 candidates. These only save work: a link counts when the exact sets, made again from the texts, are 0.8 alike.
-A shard of more than MAX_SHARD sets is first searched in overlapping runs of neighbours in the order of their min-hashes, each with
-the shard's first set in it, by the sets of which it is the largest shard. These links, held against the exact sets, come before
-all others, so that shards where a group of thousands returns cost nothing more. Then what is outside a large shard's largest
-component meets all of the shard in blocks of BLOCK shards' sizes, so no pair that could join two components is left out. Where
-that takes over MOST_PIECES pieces, the shard is dealt again by BANDS more pairs, and what is still large meets in blocks.
+
+A shard of more than MAX_SHARD sets is either a large group of near copies or texts that share a passage. It is first searched in overlapping runs of
+neighbours in the order of their min-hashes, each with the shard's first set in it, by the sets of which it is the largest shard; a group of
+thousands is linked there once. What is then outside a large shard's largest component meets the shard's other sets at its rarest
+shingles: two sets that are 0.8 alike share one among the rarest fifth of each, whatever the order of rarity, so no pair is
+missed, while a passage that many texts share is among the commonest of each and brings nothing together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from platen.llm.simhash_dedup import SEED, BKTree, shingles
 
 SHINGLE, LIKENESS = 5, 0.8
 BANDS = 10
-HASHES = 4 * BANDS  # two for each band, and as many to deal large shards again
+HASHES = 4 * BANDS  # the first two for each band; all of them tell how alike two sets are
 #: Sets 0.8 alike differ in 9.7 of 64 bits on average, with a deviation of 2.9; fewer than SMALL shingles say too little.
 RADIUS, SMALL = 24, 64
 #: Equal min-hashes of two sets that may be alike; of 40, sets 0.8 alike have fewer once in 100,000.
@@ -33,8 +35,10 @@ LEAST_EQUAL = HASHES // 2
 MAX_SHARD = 256
 #: Shingles of a shard, run or piece, past which it is split even if it has few sets.
 MAX_SHINGLES = 1_000_000
-#: Sets of a piece that meets others, in shards; pieces of a shard before it is dealt again.
-BLOCK, MOST_PIECES = 4, 8
+#: Shingles whose counts order the others, those with the highest ones; the list is broadcast.
+MOST_FREQUENT = 1 << 19
+#: Sets that meet at one shingle in one task; where there are more, each part of the guests meets each part of the others.
+MEETING = 4096
 #: Shingles of a group whose shares are counted at once.
 COLUMNS = 1024
 _OWN = ["shard", "key", "fp", "n", "mins", "root"]
@@ -128,19 +132,6 @@ def candidates(keys: list[int], fps: list[int], sizes: list[int], mins: list[byt
     return named_groups(keys, forest)
 
 
-def met_candidates(guest: list[bool], keys: list[int], fps: list[int], sizes: list[int], mins: list[bytes], roots: list[int]) -> list[tuple[int, int]]:
-    """(group, key), like candidates(), of the guests and what they may be linked with; hosts of one piece have met before."""
-    forest, sketched = Forest(len(keys)), np.frombuffer(b"".join(mins), "<u4").reshape(-1, HASHES)
-    hosts = np.flatnonzero(~np.array(guest))
-    own, n, root = np.array(fps, np.int64), np.array(sizes), np.array(roots, np.int64)
-    for k in np.flatnonzero(guest).tolist():
-        bits = np.bitwise_count((own[hosts] ^ own[k]).view(np.uint64))
-        near = hosts[(root[hosts] != root[k]) & (n[hosts] >= LIKENESS * n[k]) & (n[k] >= LIKENESS * n[hosts]) & ((bits <= RADIUS) | (n[hosts] < SMALL) | (n[k] < SMALL))]
-        for m in near[(sketched[near] == sketched[k]).sum(axis=1) >= LEAST_EQUAL].tolist():
-            forest.join(k, m)
-    return named_groups(keys, forest)
-
-
 def named_groups(keys: list[int], forest: Forest) -> list[tuple[int, int]]:
     """(group, key) of the trees of more than one key; equal groups have equal names."""
     groups: dict[int, list[int]] = {}
@@ -184,19 +175,37 @@ def shard_groups(batches: Iterator[pa.RecordBatch], most: int | None = None) ->
     yield from _pairs(search(), ["grp", "key"])
 
 
-def met_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (shard, guest, key, fp, n, mins, root), sorted by shard, to (group, key)."""
-    shard, rows = None, []
+def rarest(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], likeness: float) -> np.ndarray:
+    """The shingles of a set, rarest first, that are enough to share one with every set `likeness` alike. frequent: shingles, sorted, with their counts; others count as rarer, equals go by hash."""
+    values, counts = frequent
+    at = np.minimum(np.searchsorted(values, own), max(0, len(values) - 1))
+    seen = np.where(values[at] == own, counts[at], 0) if len(values) else np.zeros(len(own), np.int64)
+    return own[np.lexsort((own, seen))][: len(own) - ceil(likeness * len(own) - 1e-9) + 1]
+
+
+def met_pairs(batches: Iterator[pa.RecordBatch], likeness: float) -> Iterator[pa.RecordBatch]:
+    """Batches of (meeting, key, n, place, root, guest, host), sorted by meeting, to pairs (a, b) of a guest and a host of different roots that may be alike by their sizes and by the places of the shingle in both."""
+    meeting, rows = None, []
+
+    def pairs() -> Iterator[tuple[int, int]]:
+        if len(rows) < 2 or not any(r[4] for r in rows):
+            return
+        key, n, place, root, guest, host = (np.array(c) for c in zip(*rows, strict=True))
+        for k in np.flatnonzero(guest).tolist():
+            # At the first shingle that two share, this one and the shorter rest after it are all they can share.
+            most = np.minimum(n[k] - place[k], n - place)
+            good = host & (root != root[k]) & (n >= likeness * n[k] - 1e-9) & (n[k] >= likeness * n - 1e-9) & (most * (1 + likeness) >= likeness * (n + n[k]) - 1e-9)
+            yield from ((min(a, b), max(a, b)) for a, b in ((int(key[k]), int(m)) for m in key[good]))
+
     for b in batches:
-        out = []
-        for s, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if s != shard:
-                out += met_candidates(*map(list, zip(*rows, strict=True))) if rows else []
-                shard, rows = s, []
+        out: set[tuple[int, int]] = set()
+        for m, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if m != meeting:
+                out.update(pairs())
+                meeting, rows = m, []
             rows.append(row)
-        yield from _pairs(out, ["grp", "key"])
-    if rows:
-        yield from _pairs(met_candidates(*map(list, zip(*rows, strict=True))), ["grp", "key"])
+        yield from _pairs(list(out), ["a", "b"])
+    yield from _pairs(list(set(pairs())), ["a", "b"])
 
 
 def verified(batches: Iterator[pa.RecordBatch], likeness: float) -> Iterator[pa.RecordBatch]:
@@ -228,21 +237,21 @@ def verified(batches: Iterator[pa.RecordBatch], likeness: float) -> Iterator[pa.
     yield from _pairs(links(), ["a", "b"])
 
 
-def _dealt(rows: DataFrame, from_band: int, max_shard: int, *salt: Column) -> DataFrame:
+def _dealt(rows: DataFrame, max_shard: int) -> DataFrame:
     """rows once for each band, with the shard's number of rows and whether it is large; rows alone in a shard go."""
-    band = [F.xxhash64(*salt, F.lit(k), F.substring("mins", 8 * (from_band + k) + 1, 8)) for k in range(BANDS)]
+    band = [F.xxhash64(F.lit(k), F.substring("mins", 8 * k + 1, 8)) for k in range(BANDS)]
     dealt = rows.select(F.explode(F.array(*band)).alias("shard"), "key", "fp", "n", "mins")
     large = (F.col("rows") > max_shard) | (F.col("held") > MAX_SHINGLES)
     sized = cut(dealt.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("n").alias("held")).where("rows > 1").select("shard", "rows", large.alias("large")))
     return cut(dealt.join(broadcast_if_small(sized, MAX_BROADCAST // 4), "shard"))
 
 
-def near_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, likeness: float = LIKENESS, max_shard: int = MAX_SHARD, most_pieces: int = MOST_PIECES) -> DataFrame:
+def near_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, likeness: float = LIKENESS, max_shard: int = MAX_SHARD, meeting: int = MEETING) -> DataFrame:
     """(a, b): links between keys of rows that connect all sets `likeness` alike. rows: sketches of docs."""
     # One row speaks for each set; mins, fp and n follow from the key.
     sets = cut(rows.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash", "fp", "n", "mins")).alias("x")).select("key", "x.*"))
     alone = sets.select("key", F.col("key").alias("root"))
-    dealt = _dealt(sets, 0, max_shard)
+    dealt = _dealt(sets, max_shard)
     small, large = dealt.where("not large"), dealt.where("large")
     exact = lambda found, roots: _exact_links(docs, sets, found, roots, id_col, text_col, likeness)
     if large.isEmpty():
@@ -251,22 +260,8 @@ def near_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, lik
     homes = large.groupBy("key").agg(F.max(F.struct("rows", "shard")).alias("x")).select("key", F.col("x.shard").alias("shard"))
     links = exact(_in_runs(cut(large.join(homes, ["shard", "key"]).withColumn("root", F.col("key"))), max_shard), alone)
     roots = _roots(sets, links)
-    found = _in_shards(small.join(roots, "key"))
-    open_ = _outside_core(large, roots, max_shard)
-    # Shards that few pieces cover meet in blocks at once, the others are dealt again.
-    found = found.union(_met(open_.where(F.col("pieces") <= most_pieces)))
-    many = open_.where(F.col("pieces") > most_pieces)
-    if many.isEmpty():
-        return fresh(links.union(exact(found, roots)).distinct())
-    again = _dealt(many, BANDS, max_shard, F.col("shard"))
-    found = found.union(_in_shards(again.where("not large").join(roots, "key")))
-    large = again.where("large")
-    found = found.union(_in_runs(cut(large.join(roots, "key")), max_shard))
-    links = cut(links.union(exact(found, roots)).distinct())
-    if large.isEmpty():
-        return fresh(links)
-    roots = _roots(sets, links)
-    return fresh(links.union(exact(_met(_outside_core(large, roots, max_shard)), roots)).distinct())
+    found = _in_shards(small.join(roots, "key")).union(_met(docs, sets, _outside_core(large, roots), id_col, text_col, likeness, meeting))
+    return fresh(links.union(exact(found, roots)).distinct())
 
 
 def _in_shards(rows: DataFrame) -> DataFrame:
@@ -287,53 +282,92 @@ def _roots(sets: DataFrame, links: DataFrame) -> DataFrame:
     return fresh(sets.select("key").join(linked, "key", "left").select("key", F.coalesce("root", "key").alias("root")))
 
 
-def _outside_core(rows: DataFrame, roots: DataFrame, max_shard: int) -> DataFrame:
-    """rows of the shards that are not one component, with the root of the shard's largest one (core), the pieces of what is outside it and the chunks of the shard."""
+def _outside_core(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, root, guest): the sets of large shards that are not one component, and whether a set is outside the largest component of one of them."""
     rooted = cut(rows.join(roots, "key"))
-    parts = rooted.groupBy("shard", "root").agg(F.count("*").alias("n"), F.sum("n").alias("held"))
-    parts = parts.groupBy("shard").agg(F.max(F.struct("n", "root", "held")).alias("x"), F.sum("n").alias("all"), F.sum("held").alias("all_held"))
-    blocks = lambda n, held: F.greatest(F.ceil(n / (BLOCK * max_shard)), F.ceil(held / MAX_SHINGLES)).cast("int")
-    pieces = F.when(F.col("all") > F.col("x.n"), F.greatest(F.lit(1), blocks(F.col("all") - F.col("x.n"), F.col("all_held") - F.col("x.held")))).otherwise(0)
-    cores = parts.select("shard", F.col("x.root").alias("core"), pieces.alias("pieces"), blocks(F.col("all"), F.col("all_held")).alias("chunks"))
-    return cut(rooted.join(cut(cores.where("pieces > 0")), "shard"))
-
-
-def _met(open_: DataFrame) -> DataFrame:
-    """(group, key): what is outside a shard's core has met all of the shard, in pieces and chunks."""
-    piece, chunk = (F.pmod(F.xxhash64("key", F.lit(k)), F.col(c)) for k, c in enumerate(("pieces", "chunks")))
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    guests = open_.where("root != core").withColumn("piece", piece).withColumn("chunk", every("chunks"))
-    hosts = open_.withColumn("chunk", chunk).withColumn("piece", every("pieces"))
-    met = guests.select("piece", "chunk", *_OWN, F.lit(True).alias("guest")).unionByName(hosts.select("piece", "chunk", *_OWN, F.lit(False).alias("guest")))
-    met = met.select(F.xxhash64("shard", F.col("piece").cast("long"), F.col("chunk").cast("long")).alias("shard"), "guest", *_OWN[1:])
-    return met.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(met_groups, "grp long, key long")
+    parts = rooted.groupBy("shard", "root").agg(F.count("*").alias("n"))
+    cores = parts.groupBy("shard").agg(F.max(F.struct("n", "root")).alias("x"), F.sum("n").alias("all")).where("all > x.n").select("shard", F.col("x.root").alias("core"))
+    return cut(rooted.join(cut(cores), "shard").groupBy("key").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("core")).alias("guest")))
+
+
+def _met(docs: DataFrame, sets: DataFrame, open_: DataFrame, id_col: str, text_col: str, likeness: float, meeting: int) -> DataFrame:
+    """(group, key): pairs of open sets, one a guest at least, that share one of their rarest shingles and may be alike. Rarity is counted over all open sets."""
+    spark = docs.sparkSession
+    texts = _texts_of(docs, open_.join(sets.select("key", "doc_id", "text_hash"), "key"), id_col, text_col).select("text", "key", "root", "guest")
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            own = [shingle_set(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64) if own else [], pa.int64())], ["shingle"])
+
+    counts = cut(texts.mapInArrow(every, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"))
+    sizes = sorted(((r["size"], r["count"]) for r in counts.groupBy(F.floor(F.log2("n")).alias("size")).count().collect()), reverse=True)
+    least, held = 2**64, 0
+    for size, count in sizes:
+        held += count
+        if held > MOST_FREQUENT:
+            break
+        least = 2**size
+    listed = counts.where(F.col("n") >= F.lit(least).cast("decimal(38,0)")).toArrow()
+    values = listed["shingle"].to_numpy().view(np.uint64)
+    order = np.argsort(values)
+    frequent = spark.sparkContext.broadcast((values[order], listed["n"].to_numpy()[order]))
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            own = [shingle_set(t) for t in b.column(0).to_pylist()]
+            few = [rarest(s, frequent.value, likeness) for s in own]
+            each = [len(f) for f in few]
+            at = np.repeat(np.arange(len(few)), each)
+            place = np.concatenate([np.arange(n) for n in each]) if each else []
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(few).view(np.int64) if few else [], pa.int64()), b.column(1).take(pa.array(at)), pa.array(np.repeat([len(s) for s in own], each), pa.int32()), pa.array(place, pa.int32()), b.column(2).take(pa.array(at)), b.column(3).take(pa.array(at))], ["shingle", "key", "n", "place", "root", "guest"])
+
+    tokens = cut(texts.mapInArrow(rare, "shingle long, key long, n int, place int, root long, guest boolean"))
+    parts = lambda c: F.ceil(F.col(c) / meeting).cast("int")
+    shared = cut(tokens.groupBy("shingle").agg(F.count("*").alias("all"), F.sum(F.col("guest").cast("long")).alias("guests")).where("`all` > 1 AND guests > 0").select("shingle", parts("all").alias("chunks"), parts("guests").alias("pieces")))
+    met = tokens.join(broadcast_if_small(shared), "shingle")
+    own = lambda c, salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(c)).cast("int")
+    span = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    # A guest is asked in each chunk, a host answers in each piece; a set that is both stands in its own place twice over.
+    asked = F.transform(span("chunks"), lambda c: F.struct(own("pieces", 1).alias("piece"), c.alias("chunk"), F.lit(True).alias("asks"), (c == own("chunks", 2)).alias("host")))
+    answers = F.transform(span("pieces"), lambda p: F.struct(p.alias("piece"), own("chunks", 2).alias("chunk"), F.lit(False).alias("asks"), F.lit(True).alias("host")))
+    answers = F.filter(answers, lambda x: ~F.col("guest") | (x["piece"] != own("pieces", 1)))
+    spread = met.select("shingle", "key", "n", "place", "root", F.inline(F.when(F.col("guest"), F.concat(asked, answers)).otherwise(answers)))
+    spread = spread.select(F.xxhash64("shingle", "piece", "chunk").alias("meeting"), "key", "n", "place", "root", "asks", "host")
+    pairs = spread.repartition("meeting").sortWithinPartitions("meeting", "key").mapInArrow(lambda batches: met_pairs(batches, likeness), "a long, b long").distinct()
+    return pairs.select(F.xxhash64("a", "b").alias("grp"), F.explode(F.array("a", "b")).alias("key"))
+
+
+def _texts_of(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """asked (doc_id, text_hash, more columns), with the text of each; a repeated row gives its text as often."""
+    named = broadcast_if_small(cut(asked.withColumnsRenamed({"doc_id": "asked_id", "text_hash": "asked_text"})), MAX_BROADCAST // 4)
+    texts = docs.select(F.col(id_col).cast("long").alias("own_id"), text_hash(text_col).alias("own_text"), F.col(text_col).cast("string").alias("text"))
+    return texts.join(named, F.col("own_id").eqNullSafe(F.col("asked_id")) & (F.col("own_text") == F.col("asked_text")))
 
 
 def _exact_links(docs: DataFrame, sets: DataFrame, found: DataFrame, roots: DataFrame, id_col: str, text_col: str, likeness: float) -> DataFrame:
     """(a, b): the links in the groups found that hold between the exact sets and join different roots."""
     groups = cut(found.distinct())
-    asked = groups.select("key").distinct().join(sets, "key").join(roots, "key").select("key", "root", F.col("doc_id").alias("asked_id"), F.col("text_hash").alias("asked_text"))
-    asked = broadcast_if_small(cut(asked), MAX_BROADCAST // 4)
-    texts = docs.select(F.col(id_col).cast("long").alias("own_id"), text_hash(text_col).alias("own_text"), F.col(text_col).cast("string").alias("text"))
+    asked = groups.select("key").distinct().join(sets, "key").join(roots, "key").select("key", "root", "doc_id", "text_hash")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t).tobytes() for t in b.column(1).to_pylist()], pa.binary()), b.column(2)], ["key", "own", "root"])
 
     # A repeated row would give its set twice.
-    held = texts.join(asked, F.col("own_id").eqNullSafe(F.col("asked_id")) & (F.col("own_text") == F.col("asked_text"))).groupBy("key").agg(F.first("text").alias("text"), F.first("root").alias("root"))
+    held = _texts_of(docs, asked, id_col, text_col).groupBy("key").agg(F.first("text").alias("text"), F.first("root").alias("root"))
     full = groups.join(held.mapInArrow(exact, "key long, own binary, root long"), "key").select("grp", "key", "own", "root").repartition("grp").sortWithinPartitions("grp", "key")
     return cut(full.mapInArrow(lambda batches: verified(batches, likeness), "a long, b long"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS, max_shard: int = MAX_SHARD, most_pieces: int = MOST_PIECES) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS, max_shard: int = MAX_SHARD, meeting: int = MEETING) -> DataFrame:
     """The rows of docs that stay: of each group of near copies one with the smallest id, with all its columns.
 
     A null text is an empty one. Rows without an id are linked like others, and one stays only where
     no row of its group has an id. Of a repeated row one stays. An empty table gives an empty result.
     """
     rows = cut(sketches(docs, id_col, text_col))
-    roots = connected_components(near_links(docs, rows, id_col, text_col, likeness, max_shard, most_pieces))
+    roots = connected_components(near_links(docs, rows, id_col, text_col, likeness, max_shard, meeting))
     placed = rows.select("doc_id", "text_hash", "key").join(roots, rows.key == roots.node, "left").select("doc_id", "text_hash", F.coalesce("root", "key").alias("root"))
     placed = cut(placed)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")

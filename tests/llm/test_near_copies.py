@@ -57,11 +57,11 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize(("max_shard", "most_pieces"), [(near_copies.MAX_SHARD, near_copies.MOST_PIECES), (8, near_copies.MOST_PIECES), (8, 0), (2, 1)])
-def test_near_copies_are_those_of_brute_force(spark, max_shard, most_pieces):
+@pytest.mark.parametrize(("max_shard", "meeting"), [(near_copies.MAX_SHARD, near_copies.MEETING), (8, near_copies.MEETING), (2, 7), (1, 1)])
+def test_near_copies_are_those_of_brute_force(spark, max_shard, meeting):
     texts = corpus()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    got = [r.doc_id for r in near_copies.drop_near_copies(df, max_shard=max_shard, most_pieces=most_pieces).collect()]
+    got = [r.doc_id for r in near_copies.drop_near_copies(df, max_shard=max_shard, meeting=meeting).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_kept(texts)
 
 
@@ -72,6 +72,30 @@ def test_shards_of_long_texts_are_split_by_shingles(spark, monkeypatch):
     assert {r.doc_id for r in near_copies.drop_near_copies(df).collect()} == brute_kept(texts)
 
 
+def test_texts_that_share_a_passage_are_told_apart(spark):
+    """A passage of 52 words in every text, 19 words of its own and some near copies among them: the passage brings nothing together."""
+    rng = np.random.default_rng(9)
+    shared = [f"s{k}" for k in range(52)]
+    texts = {k: " ".join([*(f"w{x}" for x in rng.integers(0, 10**6, 19)), *shared]) for k in range(1500)}
+    texts |= {10_000 + k: texts[k] + " end" for k in range(0, 1500, 50)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id for r in near_copies.drop_near_copies(df).collect()}
+    assert got == set(range(1500)) == brute_kept({k: texts[k] for k in texts if k % 50 == 0}) | set(range(1500))
+
+
+def test_the_rarest_shingles_are_enough(spark):
+    """Whatever the order of rarity, two sets 0.8 alike share one of those kept."""
+    rng = np.random.default_rng(10)
+    for _ in range(500):
+        n = int(rng.integers(1, 40))
+        both, one, two = (np.unique(rng.integers(0, 2**63, k, np.uint64)) for k in (n, rng.integers(0, n // 4 + 1), rng.integers(0, n // 4 + 1)))
+        a, b = np.union1d(both, one), np.union1d(both, two)
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            values = np.sort(rng.permutation(np.union1d(a, b))[: n // 2])
+            frequent = values, rng.integers(2, 50, len(values))
+            assert len(np.intersect1d(near_copies.rarest(a, frequent, 0.8), near_copies.rarest(b, frequent, 0.8)))
+
+
 def test_the_stage_leaves_no_near_copy_in_the_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     kept = corpus_pipeline.exact_dedup(spark, docs, "")
