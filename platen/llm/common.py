@@ -87,7 +87,7 @@ def without_rows(docs: DataFrame, marked: DataFrame, id_col: str, mark: Column)
     """docs without the rows that are gone, and with one of each that stays and is repeated.
 
     marked (doc_id, mark, gone) has a row for each row of a group; a row of docs is known by its id, which may be null, and its
-    mark, which is a function of its text. Only rows of repeated marks are brought together. Lists of up to MAX_BROADCAST
+    mark, which is a function of its text. Of rows that repeat both, the one with the least hash of all its columns stays. Only rows of repeated marks are brought together. Lists of up to MAX_BROADCAST
     marks are broadcast, so that texts stay where they are read; longer ones are shuffled.
     """
     each = cut(marked.groupBy("doc_id", "mark").agg(F.first("gone").alias("gone"), F.count("*").alias("n")).where("gone or n > 1"))
@@ -100,7 +100,9 @@ def without_rows(docs: DataFrame, marked: DataFrame, id_col: str, mark: Column)
 
     kept = docs.join(named(True), same, "left_anti") if sizes.get(True) else docs
     if sizes.get(False):
-        once = docs.join(named(False), same, "left_semi").withColumn("__mark", mark).dropDuplicates([id_col, "__mark"]).drop("__mark")
+        every = [F.col(f"`{c}`") for c in docs.columns]
+        row = F.min_by(F.struct(*every), F.xxhash64(*every)).alias("__row")
+        once = docs.join(named(False), same, "left_semi").groupBy(F.col(id_col).alias("__id"), mark.alias("__mark")).agg(row).select("__row.*")
         kept = kept.join(named(False), same, "left_anti").unionByName(once)
     return kept.select(docs.columns)
 

@@ -165,7 +165,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text is an empty one: fingerprint zero, linked like any other. A row without an id links nothing and
     has no component. Rows that repeat an id are nodes of that one id. An empty table gives
-    an empty result. Other columns are not read.
+    an empty result. Other columns are not read. radius is 2 at most: large shards find no more by shared neighbours.
     """
     rows = cut(fingerprints(docs, id_col, text_col, size))
     fps = cut(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("low")))
@@ -179,11 +179,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(named, "fp", "left").select("doc_id", text.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each group of near copies the one with the smallest id, with all its columns."""
-    gone = near_groups(docs, id_col, text_col).where("component_id != doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
-
-
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from platen.llm import byte_bpe, exact_dedup, fingerprints, language_id, packing, phrases, quality, registry, simhash_dedup, suffix_dedup, toxicity, url_filters
+from platen.llm import byte_bpe, exact_dedup, fingerprints, language_id, near_copies, packing, phrases, quality, registry, simhash_dedup, suffix_dedup, toxicity, url_filters
 from platen.llm.common import connected_components
 from platen.llm.tokens import tokenizer_memory, words
 
@@ -50,7 +50,7 @@ def operators():
         "byte_bpe": lambda s, d: byte_bpe.encode(d, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")),
         "language": lambda s, d: language_id.predictions(d, language_id.trained(d)),
         "simhash": lambda s, d: simhash_dedup.near_groups(d),
-        "near_kept": lambda s, d: simhash_dedup.drop_near_duplicates(d),
+        "near_kept": lambda s, d: near_copies.drop_near_copies(d),
         "exact": lambda s, d: exact_dedup.duplicate_groups(d),
         "exact_kept": lambda s, d: exact_dedup.drop_duplicates(d),
         "toxicity": lambda s, d: toxicity.scores(d, toxicity.trained(d, s.createDataFrame([], labels))),
@@ -459,6 +459,12 @@ def test_exact_stage_judges_rows_of_one_id_by_their_own_text(spark):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(9, "A"), (6, "B unique"), (7, "C"), (None, "D"), (4, ""), (5, "E"), (5, "e")], key=str)
 
 
+def test_exact_stage_keeps_the_same_one_of_rows_that_differ_elsewhere(spark):
+    rows = [(k // 4, f"text {k // 4}", f"source {k % 4}") for k in range(80)]
+    kept = [sorted(map(tuple, exact_dedup.drop_duplicates(spark.createDataFrame(rows[::step], "doc_id long, text string, source string").repartition(n)).collect())) for n, step in ((1, 1), (3, -1), (7, 1))]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 20
+
+
 def test_op10_hosts_paths_and_rules(spark):
     urls = {1: "http://A.Example.NET/en/x?q=1", 2: "https://example.com/de/1", 3: "https://sub.org/fr/", 4: "https://x.net?y", 5: "https://x.net/#top", 6: None, 7: "no scheme/en", 8: "ftp://notexample.net/en/", 9: "a://b://c/d", 10: "http://org/fr", 11: "http://example.net/enx", 12: "http://example.com/de/\nx#y", 13: ""}
     got = {r.page_id: r for r in url_filters.judge(spark.createDataFrame(list(urls.items()), "page_id long, url string")).collect()}
