@@ -73,9 +73,3 @@ def side_lengths() -> dict[str, Column]:
     """Lengths of the sides of the quad x0..y3 (top-left, top-right, bottom-right, bottom-left)."""
     side = lambda i, j: hypot(F.col(f"x{j}") - F.col(f"x{i}"), F.col(f"y{j}") - F.col(f"y{i}"))
     return {"top": side(0, 1), "right": side(1, 2), "bottom": side(3, 2), "left_side": side(0, 3)}
-
-
-def determinant(i: int, j: int, k: int) -> Column:
-    """Of three corners in homogeneous form: (i x j) . k."""
-    x, y = (lambda n: F.col(f"x{n}")), (lambda n: F.col(f"y{n}"))
-    return x(i) * (y(j) - y(k)) - y(i) * (x(j) - x(k)) + (x(j) * y(k) - y(j) * x(k))

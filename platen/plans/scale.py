@@ -191,18 +191,15 @@ _LEN = {"top": (0, 1), "right_": (1, 2), "bottom": (3, 2), "left_": (0, 3)}
 _SIDES = "sides AS (SELECT *, " + ", ".join(f"sqrt((x{j} - x{i}) * (x{j} - x{i}) + (y{j} - y{i}) * (y{j} - y{i})) AS {n}" for n, (i, j) in _LEN.items()) + " FROM quads)"
 
 
-def _det(i, j, k):
-    return f"(x{i} * (y{j} - y{k}) - y{i} * (x{j} - x{k}) + (x{j} * y{k} - y{j} * x{k}))"
-
-
-_NORMALS = f"""k AS (SELECT *, {_det(0, 2, 3)} / nullif({_det(1, 2, 3)}, 0) AS k2, {_det(0, 2, 1)} / nullif({_det(3, 2, 1)}, 0) AS k3 FROM sides),
- n AS (SELECT *, CASE WHEN k3 IS NOT NULL THEN k2 * x1 - x0 END AS n2x, CASE WHEN k3 IS NOT NULL THEN k2 * y1 - y0 END AS n2y, CASE WHEN k3 IS NOT NULL THEN k2 - 1 END AS n2z,
- CASE WHEN k2 IS NOT NULL THEN k3 * x3 - x0 END AS n3x, CASE WHEN k2 IS NOT NULL THEN k3 * y3 - y0 END AS n3y, CASE WHEN k2 IS NOT NULL THEN k3 - 1 END AS n3z FROM k)"""
-_FOCAL = """e AS (SELECT *, -((n2x * n3x - (n2x * n3z + n2z * n3x) * 2016 + n2z * n3z * 2016 * 2016) + (n2y * n3y - (n2y * n3z + n2z * n3y) * 1512 + n2z * n3z * 1512 * 1512)) / nullif(n2z * n3z, 0) AS f2 FROM n),
- g AS (SELECT *, CASE WHEN abs(n2z) >= 0.02 AND abs(n3z) >= 0.02 AND f2 > 0.09 * 25401600 AND f2 < 9 * 25401600 THEN sqrt(abs(f2)) END AS corner_focal FROM e)"""
-_ASPECT = """a AS (SELECT *, coalesce(focal, corner_focal, 0.6 * 5040) AS f, (top + bottom) / greatest(1e-9, right_ + left_) AS naive FROM g),
- b AS (SELECT *, sqrt((((n2x - 2016 * n2z) ** 2 + (n2y - 1512 * n2z) ** 2) / (f * f) + n2z * n2z) / nullif(((n3x - 2016 * n3z) ** 2 + (n3y - 1512 * n3z) ** 2) / (f * f) + n3z * n3z, 0)) AS freed FROM a),
- p AS (SELECT *, CASE WHEN freed > 0 AND abs(ln(freed / naive)) < 0.35 THEN freed ELSE naive END AS aspect FROM b)"""
+_MAP = """shifted AS (SELECT *, x0 - 2016 AS u0, x1 - 2016 AS u1, x2 - 2016 AS u2, x3 - 2016 AS u3, y0 - 1512 AS v0, y1 - 1512 AS v1, y2 - 1512 AS v2, y3 - 1512 AS v3 FROM sides),
+ recede AS (SELECT *, ((u0 - u1 + u2 - u3) * (v3 - v2) - (u3 - u2) * (v0 - v1 + v2 - v3)) / nullif((u1 - u2) * (v3 - v2) - (u3 - u2) * (v1 - v2), 0) AS top_z,
+  ((u1 - u2) * (v0 - v1 + v2 - v3) - (u0 - u1 + u2 - u3) * (v1 - v2)) / nullif((u1 - u2) * (v3 - v2) - (u3 - u2) * (v1 - v2), 0) AS left_z FROM shifted),
+ n AS (SELECT *, u1 - u0 + top_z * u1 AS top_x, v1 - v0 + top_z * v1 AS top_y, u3 - u0 + left_z * u3 AS left_x, v3 - v0 + left_z * v3 AS left_y FROM recede)"""
+_FOCAL = """e AS (SELECT *, -(top_x * left_x + top_y * left_y) / nullif(top_z * left_z, 0) AS f2 FROM n),
+ g AS (SELECT *, CASE WHEN least(abs(top_z), abs(left_z)) >= 0.02 AND f2 > 0.09 * 25401600 AND f2 < 9 * 25401600 THEN sqrt(abs(f2)) END AS corner_focal FROM e)"""
+_ASPECT = """a AS (SELECT *, coalesce(focal, corner_focal, 0.6 * 5040) AS f, (top + bottom) / greatest(1e-9, right_ + left_) AS apparent FROM g),
+ b AS (SELECT *, sqrt(((top_x * top_x + top_y * top_y) / (f * f) + top_z * top_z) / nullif((left_x * left_x + left_y * left_y) / (f * f) + left_z * left_z, 0)) AS freed FROM a),
+ p AS (SELECT *, CASE WHEN freed > 0 AND abs(ln(freed / apparent)) < 0.35 THEN freed ELSE apparent END AS aspect FROM b)"""
 _KEY = "scan_id, cand_id"
 
 
@@ -211,17 +208,20 @@ def _(v):
     return frames.with_sides(v("quads")).select("scan_id", "cand_id", tidy("top").alias("top"), tidy("right").alias("right_side"), tidy("bottom").alias("bottom"), tidy("left_side").alias("left_side"))
 
 
-@query("pf2_sides3d", f"WITH {_SIDES}, {_NORMALS} SELECT {_KEY}, " + ", ".join(f"{T6.format(c)} AS {c}" for c in ("n2x", "n2y", "n2z", "n3x", "n3y", "n3z")) + " FROM n")
+_SPACE = ("top_x", "top_y", "top_z", "left_x", "left_y", "left_z")
+
+
+@query("pf2_sides3d", f"WITH {_SIDES}, {_MAP} SELECT {_KEY}, " + ", ".join(f"{T6.format(c)} AS {c}" for c in _SPACE) + " FROM n")
 def _(v):
-    return frames.with_sides3d(v("quads")).select("scan_id", "cand_id", *(tidy(c).alias(c) for c in ("n2x", "n2y", "n2z", "n3x", "n3y", "n3z")))
+    return frames.with_edges_in_space(v("quads")).select("scan_id", "cand_id", *(tidy(c).alias(c) for c in _SPACE))
 
 
-@query("pf3_focal_from_corners", f"WITH {_SIDES}, {_NORMALS}, {_FOCAL} SELECT {_KEY}, floor(corner_focal * 1000 + 0.5) / 1000 AS corner_focal FROM g")
+@query("pf3_focal_from_corners", f"WITH {_SIDES}, {_MAP}, {_FOCAL} SELECT {_KEY}, floor(corner_focal * 1000 + 0.5) / 1000 AS corner_focal FROM g")
 def _(v):
     return frames.focal_from_corners(v("quads")).select("scan_id", "cand_id", tidy("corner_focal", 3).alias("corner_focal"))
 
 
-@query("pf4_aspect_at", f"WITH {_SIDES}, {_NORMALS}, {_FOCAL}, {_ASPECT} SELECT {_KEY}, {T6.format('aspect')} AS aspect FROM p")
+@query("pf4_aspect_at", f"WITH {_SIDES}, {_MAP}, {_FOCAL}, {_ASPECT} SELECT {_KEY}, {T6.format('aspect')} AS aspect FROM p")
 def _(v):
     q = frames.aspect_at(frames.focal_from_corners(v("quads")), F.coalesce("focal", "corner_focal", F.lit(0.6 * 5040)))
     return q.select("scan_id", "cand_id", tidy("aspect").alias("aspect"))
@@ -230,13 +230,13 @@ def _(v):
 _CARD = "(kind_min >= 2 AND abs(greatest(aspect, 1 / aspect) - 85.6::double / 54) / (85.6::double / 54) <= 0.04)"
 
 
-@query("pf5_is_card", f"WITH {_SIDES}, {_NORMALS}, {_FOCAL}, {_ASPECT} SELECT {_KEY}, {_CARD} AS card FROM p")
+@query("pf5_is_card", f"WITH {_SIDES}, {_MAP}, {_FOCAL}, {_ASPECT} SELECT {_KEY}, {_CARD} AS card FROM p")
 def _(v):
     q = frames.aspect_at(frames.focal_from_corners(v("quads")), F.coalesce("focal", "corner_focal", F.lit(0.6 * 5040)))
     return q.select("scan_id", "cand_id", frames.is_card(F.col("aspect"), F.col("kind_min") >= 2).alias("card"))
 
 
-_OFF = "greatest(" + ", ".join(f"abs({a} - {b})" for a, b in [("x0", "least(x0, x3)"), ("y0", "least(y0, y1)"), ("x1", "greatest(x1, x2)"), ("y1", "least(y0, y1)"), ("x2", "greatest(x1, x2)"), ("y2", "greatest(y2, y3)"), ("x3", "least(x0, x3)"), ("y3", "greatest(y2, y3)")]) + ")"
+_OFF = "greatest(abs(x0 - x3), abs(x1 - x2), abs(y0 - y1), abs(y2 - y3))"
 
 
 @query("pf6_square_to_frame", f"SELECT {_KEY}, {_OFF} <= 1.5 AS square FROM quads")
@@ -247,12 +247,12 @@ def _(v):
 _FIT = f"fits AS (SELECT *, {_CARD} AS card, CASE WHEN {_CARD} THEN CASE WHEN aspect >= 1 THEN 85.6::double / 54 ELSE 1 / (85.6::double / 54) END ELSE aspect END AS ratio FROM p WHERE NOT whole AND ({_CARD} OR NOT ({_OFF} <= 1.5)))"
 
 
-@query("pf7_fit_for", f"WITH {_SIDES}, {_NORMALS}, {_FOCAL}, {_ASPECT}, {_FIT} SELECT {_KEY}, card, {T6.format('ratio')} AS aspect FROM fits")
+@query("pf7_fit_for", f"WITH {_SIDES}, {_MAP}, {_FOCAL}, {_ASPECT}, {_FIT} SELECT {_KEY}, card, {T6.format('ratio')} AS aspect FROM fits")
 def _(v):
     return frames.fit_for(v("quads")).select("scan_id", "cand_id", "card", tidy("aspect").alias("aspect"))
 
 
-@query("tr14_fit_output_size", f"""WITH {_SIDES}, {_NORMALS}, {_FOCAL}, {_ASPECT}, {_FIT}, z AS (SELECT *, greatest(top, bottom) AS lw, greatest(left_, right_) AS lh FROM fits), y AS (SELECT *,
+@query("tr14_fit_output_size", f"""WITH {_SIDES}, {_MAP}, {_FOCAL}, {_ASPECT}, {_FIT}, z AS (SELECT *, greatest(top, bottom) AS lw, greatest(left_, right_) AS lh FROM fits), y AS (SELECT *,
  greatest(1, floor(CASE WHEN lw / lh > ratio THEN lw ELSE lh * ratio END + 0.5)) AS out_w, greatest(1, floor(CASE WHEN lw / lh > ratio THEN lw / ratio ELSE lh END + 0.5)) AS out_h FROM z)
  SELECT {_KEY}, out_w::bigint AS out_w, out_h::bigint AS out_h, {T6.format('CASE WHEN card THEN 3.18::double / 85.6 * greatest(out_w, out_h) ELSE 0 END')} AS radius FROM y""")
 def _(v):
