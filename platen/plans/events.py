@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from platen.functions.expr import tidy
 from platen.operators import audit
 from platen.plans.register import query
-from platen.sources import scans
+from platen.sources import images, scans
+from platen.sources.checkpoints import checkpointed
 from platen.streaming import state
 
 T6 = "floor(({}) * 1e6 + 0.5) / 1e6"
@@ -179,6 +182,32 @@ def _(v):
     return good.withColumn("accepted", F.lit(True)).unionByName(bad.withColumn("accepted", F.lit(False))).select("scan_id", "kind", "accepted")
 
 
+@query("src2_image_scan", "SELECT scan_id, count(*) AS pixels, (max(y) + 1)::int AS height, sum(v * (y * 80 + x + 1))::bigint AS checksum FROM (SELECT *, count(*) OVER (PARTITION BY scan_id, y) AS n FROM pixels) WHERE n = 80 GROUP BY 1")
+def _(v):
+    """Each document's text as a grey image, written as a file to the shared folder and read again by the image source."""
+    folder = f"{checkpointed(v.spark)}/images-{uuid4().hex}"
+    images.register(v.spark)
+    images.packed_pixels(v("pixels"), "scan_id", 80).write.format(images.NAME).mode("append").save(folder)
+    read = images.image_scan(v.spark, folder).withColumn("scan_id", F.regexp_extract("name", r"(\d+)\.png$", 1).cast("long"))
+    p = images.as_pixels(read, "scan_id")
+    return p.groupBy("scan_id").agg(F.count("*").alias("pixels"), (F.max("y") + 1).alias("height"), F.sum(F.col("r") * (F.col("y") * 80 + F.col("x") + 1)).alias("checksum"))
+
+
+_GOLDEN = "SELECT p_partkey AS id, 100 + p_size * 2.5::double AS w, 80 + p_partkey % 50::double AS h, (p_partkey % 11 - 5) * 0.3::double AS skew FROM part"
+
+
+@query("src5_read_corpus", f"SELECT 'f' || id AS id, CASE WHEN id % 4 = 0 THEN 'private' ELSE 'public' END AS visibility, 300 AS render_dpi, w AS page_w_mm, h AS page_h_mm, skew FROM ({_GOLDEN})")
+def _(v):
+    """Golden values of all parts, written as sixteen corpus files and read again."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    expected = F.struct(((k % 11 - 5) * 0.3).alias("skew_degrees"))
+    f = F.struct(F.concat(F.lit("f"), k.cast("string")).alias("id"), F.when(k % 4 == 0, "private").otherwise("public").alias("visibility"), F.array(100 + size * 2.5, (80 + k % 50).cast("double")).alias("page_mm"), expected.alias("expected"))
+    files = v.spark.read.parquet(f"{v.sf_dir}/part.parquet").groupBy((k % 16).alias("file")).agg(F.collect_list(f).alias("fixtures"))
+    folder = f"{checkpointed(v.spark)}/corpus-{uuid4().hex}"
+    files.select("file", F.lit(1).alias("version"), F.lit(300).alias("render_dpi"), F.lit("m").alias("model"), "fixtures").write.partitionBy("file").json(folder)
+    return scans.read_corpus(v.spark, folder).select("id", "visibility", "render_dpi", "page_w_mm", "page_h_mm", F.col("expected.skew_degrees").alias("skew"))
+
+
 @query("src3_oversize_filter", "SELECT name, bytes FROM manifest WHERE bytes * 2000 <= 60 * 1024 * 1024")
 def _(v):
     return scans.within_size(v("manifest").withColumn("length", F.col("bytes") * 2000)).select("name", "bytes")

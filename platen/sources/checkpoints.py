@@ -9,7 +9,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def checkpointed(spark: SparkSession) -> None:
+def checkpointed(spark: SparkSession) -> str:
     """Uses the folder named in spark.checkpoint.dir. Where none is set, a local master gets one of its own, deleted at exit; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -20,3 +20,4 @@ def checkpointed(spark: SparkSession) -> None:
             named = tempfile.mkdtemp(prefix="platen-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()

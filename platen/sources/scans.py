@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,21 +20,6 @@ def page_scan(scans: DataFrame) -> tuple[DataFrame, DataFrame]:
     return s.where(inside), s.where(~F.coalesce(inside, F.lit(False)))
 
 
-def image_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """(origin, y, x, r, g, b) of every image under path that can be decoded."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for origin, h, w, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                p = np.frombuffer(data, np.uint8).reshape(h * w, n)
-                bgr = p[:, [0, 0, 0]] if n == 1 else p[:, :3]
-                y, x = np.divmod(np.arange(h * w, dtype=np.int32), np.int32(w))
-                yield pa.RecordBatch.from_arrays([pa.array([origin] * (h * w)), pa.array(y), pa.array(x), *(pa.array(bgr[:, c].astype(np.int32)) for c in (2, 1, 0))], ["origin", "y", "x", "r", "g", "b"])
-
-    images = spark.read.format("image").option("dropInvalid", True).load(path)
-    return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInArrow(unpack, "origin string, y int, x int, r int, g int, b int")
-
-
 def within_size(files: DataFrame, most: int = LARGEST_UPLOAD) -> DataFrame:
     return files.where(F.col("length") <= most)
 

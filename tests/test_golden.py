@@ -107,18 +107,6 @@ def test_closing_contains_the_mask(spark):
     assert on.join(closed, ["mask_id", "y", "x"], "left_anti").count() == 0
 
 
-def test_image_files_become_pixels(spark, tmp_path):
-    import struct
-    import zlib
-
-    raw = b"".join(b"\0" + bytes([10 * y + x, 0, 255] * 1)[:3] * 1 for y in range(2) for x in [0])  # 1 x 2, red 0 and 10
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
-    (tmp_path / "b.png").write_bytes(b"no image")
-    got = scans.image_pixels(spark, str(tmp_path)).orderBy("y").collect()
-    assert [(r.y, r.x, r.r, r.g, r.b) for r in got] == [(0, 0, 0, 0, 255), (1, 0, 10, 0, 255)]
-
-
 def test_golden_corpus_is_read(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"version": 1, "render_dpi": 300, "model": "m", "fixtures": [{"id": "a", "visibility": "public", "page_mm": [216.0, 297.0], "expected": {"skew_degrees": -2.4}}]}')
     r = scans.read_corpus(spark, str(tmp_path / "c.json")).first()
