@@ -11,7 +11,7 @@ from platen.operators import audit
 from platen.plans.register import query
 from platen.sources import images, scans
 from platen.sources.checkpoints import checkpointed
-from platen.streaming import state
+from platen.streaming import keyed, state
 
 T6 = "floor(({}) * 1e6 + 0.5) / 1e6"
 
@@ -23,6 +23,20 @@ def _(v):
     return s.select("doc_id", F.unix_micros("start").alias("start"), F.unix_micros("last").alias("last"), "touches")
 
 
+_HELD = "h AS (SELECT user_id AS doc_id, event_id, cast(ts AS timestamp) AS ts, event_id % 3 = 0 AS inserted FROM events)"
+
+
+@query("st1_held_documents", f"""WITH {_HELD}, i AS (SELECT DISTINCT ts AS t FROM h WHERE inserted), p AS (SELECT h.*, h.ts + INTERVAL 60 MINUTE AS due FROM h), r AS (SELECT p.*, i.t AS reaped FROM p ASOF LEFT JOIN i ON p.due < i.t),
+ g AS (SELECT *, coalesce(lag(reaped) OVER w <= ts, lag(ts) OVER w IS NULL) AS gone, lag(ts) OVER w IS NULL AS first, lead(ts) OVER w AS next FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY ts, event_id)),
+ n AS (SELECT *, sum((inserted OR gone)::int) OVER (PARTITION BY doc_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS part FROM g)
+ SELECT doc_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS last, count(*) AS touches, epoch_us(CASE WHEN last(next ORDER BY ts, event_id) IS NULL OR last(reaped ORDER BY ts, event_id) <= last(next ORDER BY ts, event_id) THEN last(reaped ORDER BY ts, event_id) END) AS reaped
+ FROM n GROUP BY doc_id, part HAVING bool_or(inserted)""")
+def _(v):
+    """Every third event stores its user's document, the others open it."""
+    e = v("events").select(F.col("user_id").alias("doc_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 3 == 0).alias("inserted"))
+    return keyed.held_documents(e).select("doc_id", *(F.unix_micros(c).alias(c) for c in ("start", "last")), "touches", F.unix_micros("reaped").alias("reaped"))
+
+
 @query("st2_latest_page_state", "SELECT run_id AS doc_id, key AS page, last(ms ORDER BY ts, event_id) AS ms, max_by(event_id, (ts, event_id)) AS event_id FROM progress GROUP BY 1, 2")
 def _(v):
     p = v("progress").withColumnsRenamed({"run_id": "doc_id", "key": "page"})
@@ -30,10 +44,10 @@ def _(v):
 
 
 @query("st3_timing_ewma", """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY run_id, key ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY run_id, key) AS n FROM progress),
- f AS (SELECT run_id, key, k, n, ms AS ewma FROM o WHERE k = 1 UNION ALL SELECT o.run_id, o.key, o.k, o.n, floor(0.5 * f.ewma + 0.5 * o.ms + 0.5) FROM f JOIN o ON o.run_id = f.run_id AND o.key = f.key AND o.k = f.k + 1)
+ f AS (SELECT run_id, key, k, n, floor(ms + 0.5) AS ewma FROM o WHERE k = 1 UNION ALL SELECT o.run_id, o.key, o.k, o.n, CASE WHEN f.ewma = 0 THEN floor(o.ms + 0.5) ELSE floor(0.5 * f.ewma + 0.5 * o.ms + 0.5) END FROM f JOIN o ON o.run_id = f.run_id AND o.key = f.key AND o.k = f.k + 1)
  SELECT run_id, key, ewma FROM f WHERE k = n""")
 def _(v):
-    return state.timing_ewma(v("progress"))
+    return keyed.timing_ewma(v("progress"))
 
 
 @query("st4_transfer_rate", f"""WITH l AS (SELECT run_id, event_id, ts, ms AS loaded, 500.0::double AS total, first_value(ts) OVER r AS t0, first_value(ms) OVER r AS b0 FROM progress WINDOW r AS (PARTITION BY run_id ORDER BY ts, event_id)),
@@ -51,7 +65,7 @@ def _(v):
  FROM f JOIN o ON o.run_id = f.run_id AND o.k = f.k + 1) SELECT run_id, (generate_subscripts(s, 1) - 1)::int AS step, unnest(s) AS state FROM f WHERE k = n""")
 def _(v):
     p = v("progress").withColumn("step", (F.col("event_id") % 5).cast("int")).withColumn("failed", F.col("event_id") % 11 == 0)
-    return state.step_state(p, 5)
+    return keyed.step_state(p, 5)
 
 
 @query("st6_progress_fraction", f"SELECT event_id, {T6.format('CASE WHEN ms / 250 <= 1 THEN 0.9 * (ms / 250) ELSE 0.9 + 0.09 * (1 - exp(-(ms / 250 - 1))) END')} AS fraction FROM progress")

@@ -1,10 +1,7 @@
-"""State over event streams: sessions, latest values, timings, steps and what makes results stale. Batch forms and their streaming counterparts."""
+"""State over event streams: sessions, latest values, rates, and what makes results stale. What is kept by key in order is in keyed.py."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,26 +36,6 @@ def upsert(stream: DataFrame, path: str, keys: list[str], by: list[str], checkpo
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def timing_ewma(progress: DataFrame) -> DataFrame:
-    """(key, ewma): halves the old value and the new one at each timing in order, rounding; the first counts whole. One ordered fold per key and run."""
-    per = progress.groupBy("run_id", "key").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "ms"))).alias("all"))
-    return per.select("run_id", "key", F.aggregate("all", F.lit(None).cast("double"), lambda s, x: F.when(s.isNull(), x["ms"]).otherwise(F.floor(0.5 * s + 0.5 * x["ms"] + 0.5).cast("double"))).alias("ewma"))
-
-
-def ewma_stream(progress: DataFrame) -> DataFrame:
-    """The same on a stream: (run_id, key, ewma) after each batch, with the last value of each key as state."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        value = state.get[0] if state.exists else None
-        for p in batches:
-            for ms in p.sort_values(["ts", "event_id"])["ms"]:
-                value = ms if value is None else float((0.5 * value + 0.5 * ms + 0.5) // 1)
-        state.update((value,))
-        yield pd.DataFrame({"run_id": [key[0]], "key": [key[1]], "ewma": [value]})
-
-    return progress.groupBy("run_id", "key").applyInPandasWithState(update, "run_id long, key string, ewma double", "value double", "update", "NoTimeout")
-
-
 def transfer_rate(loads: DataFrame, after: float = 0.8) -> DataFrame:
     """Adds rate and eta to (run_id, ts, loaded, total): since a run's first row, once more than `after` seconds have passed."""
     run = Window.partitionBy("run_id").orderBy("ts", "event_id")
@@ -68,19 +45,6 @@ def transfer_rate(loads: DataFrame, after: float = 0.8) -> DataFrame:
     return l.withColumn("rate", rate).withColumn("eta", (F.col("total") - F.col("loaded")) / F.col("rate")).drop("moved")
 
 
-def step_state(events: DataFrame, steps: int) -> DataFrame:
-    """(run_id, step, state): after a run's events in order. Starting a pending step completes an active earlier one and drops the earlier ones never started; a step that isn't pending doesn't start again. A failure fails what is active."""
-    ordered = events.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "step", "failed"))).alias("all"))
-    init = F.array(*(F.lit("pending") for _ in range(steps)))
-
-    def step(s: Column, x: Column) -> Column:
-        failed = F.transform(s, lambda old: F.when(old == "active", "failed").otherwise(old))
-        started = F.transform(s, lambda old, i: F.when(i == x["step"], "active").when((i < x["step"]) & (old == "pending"), "dropped").when((i < x["step"]) & (old == "active"), "done").otherwise(old))
-        return F.when(x["failed"], failed).when(F.get(s, x["step"]) == "pending", started).otherwise(s)
-
-    return ordered.select("run_id", F.posexplode(F.aggregate("all", init, step)).alias("step", "state"))
-
-
 def progress_fraction(ratio) -> Column:
     r = col(ratio)
     return F.when(r <= 1, 0.9 * r).otherwise(0.9 + 0.09 * (1 - F.exp(-(r - 1))))
