@@ -228,6 +228,15 @@ def classic_objects(components: DataFrame, size: int, least: float = 0.015, rect
     return r.select("mask_id", "label", "cx", "cy", "w", "h", "angle", "score")
 
 
+def candidates_from_masks(cells: DataFrame, size: int, close: int = 1, share: tuple[float, float] = (0.015, 0.92), least_side: float = 2.0, rectangular: float = 0.82, longest: float = 8.0) -> DataFrame:
+    """(mask_id, cx, cy, w, h, angle, share): the least rectangle around each mask, in cells, once closed by `close` cells, of those with a share of the frame, sides, filling and proportions a document could have."""
+    closed = morphology(dense(cells, size), "close", close).where("v = 1").select("mask_id", "y", "x")
+    r = min_area_rect(convex_hull(closed)).join(closed.groupBy("mask_id").agg(F.count("*").alias("n")), "mask_id").withColumn("share", F.col("n") / (size * size))
+    fills = F.col("n") / ((F.col("w") + 1) * (F.col("h") + 1)) >= rectangular
+    shaped = (F.least("w", "h") >= least_side) & (F.greatest(F.col("w") / F.col("h"), F.col("h") / F.col("w")) < longest)
+    return r.where((F.col("share") > share[0]) & (F.col("share") < share[1]) & shaped & fills).drop("n")
+
+
 def outline_quad(cells: DataFrame, size: int, margin: float = 0.15, tilt: tuple[float, float] = (0.02, 0.45)) -> DataFrame:
     """(mask_id, x0..y3): the mask's four sides as lines met in corners, in cells.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platen.functions.expr import round0, settled, tidy
-from platen.operators.frames import homography
+from platen.operators.frames import homography, turn_cells
 
 
 def along_row():
@@ -186,10 +186,11 @@ def downscale(pixels: DataFrame, width: int, to: int) -> DataFrame:
     return p.groupBy("scan_id", F.col("ty").alias("y"), F.col("tx").alias("x")).agg((F.sum(F.col("v") * F.col("weight")) / F.sum("weight")).alias("v"))
 
 
-def rotate_fine(pixels: DataFrame, angle: Column, width: int) -> DataFrame:
+def rotate_fine(pixels: DataFrame, angle: Column, width: int | Column) -> DataFrame:
     """Turned about the centre on the same canvas, white outside: each target takes its four source neighbours by an equi-join. height is a column."""
-    a, cx, cy = F.radians(angle), (width - 1) / 2, (F.col("height") - 1) / 2
-    t = settled(pixels.select("scan_id", "y", "x", "height", F.cos(a).alias("c"), F.sin(a).alias("s")), u=cx + (F.col("x") - cx) * F.col("c") + (F.col("y") - cy) * F.col("s"), w=cy - (F.col("x") - cx) * F.col("s") + (F.col("y") - cy) * F.col("c"))
+    a, cx, cy = F.radians(angle), (F.col("width") - 1) / 2, (F.col("height") - 1) / 2
+    p = pixels.select("scan_id", "y", "x", "height", (width if isinstance(width, Column) else F.lit(width)).alias("width"), F.cos(a).alias("c"), F.sin(a).alias("s"))
+    t = settled(p, u=cx + (F.col("x") - cx) * F.col("c") + (F.col("y") - cy) * F.col("s"), w=cy - (F.col("x") - cx) * F.col("s") + (F.col("y") - cy) * F.col("c"))
     t = settled(t, u0=F.floor("u"), w0=F.floor("w"))
     fx, fy = F.col("u") - F.col("u0"), F.col("w") - F.col("w0")
     four = F.array(*(F.struct((F.col("u0") + i).cast("int").alias("sx"), (F.col("w0") + j).cast("int").alias("sy"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("k")) for i in (0, 1) for j in (0, 1)))
@@ -198,14 +199,14 @@ def rotate_fine(pixels: DataFrame, angle: Column, width: int) -> DataFrame:
     return n.join(src, ["scan_id", "sy", "sx"], "left").groupBy("scan_id", "y", "x").agg(F.sum(F.col("k") * F.coalesce("v", F.lit(255))).alias("v"))
 
 
-def valid_footprint(width: int, angle: Column, margin: int = 4) -> Column:
-    """Whether the corners of a (2 margin + 1) window around (x, y) come from inside the frame once turned back. height is a column."""
+def valid_footprint(width: int | Column, angle: Column, margin: int = 4) -> Column:
+    """Whether the corners of a (2 margin + 1) window around (x, y) come from inside the frame, to a millionth of a pixel, once turned back. height is a column."""
     a, cx, cy = F.radians(angle), (width - 1) / 2, (F.col("height") - 1) / 2
     inside = F.lit(True)
     for dx in (-margin, margin):
         for dy in (-margin, margin):
             x, y = F.col("x") + dx - cx, F.col("y") + dy - cy
-            u, w = cx + x * F.cos(a) + y * F.sin(a), cy - x * F.sin(a) + y * F.cos(a)
+            u, w = tidy(cx + x * F.cos(a) + y * F.sin(a)), tidy(cy - x * F.sin(a) + y * F.cos(a))
             inside = inside & (u >= 0) & (u <= width - 1) & (w >= 0) & (w <= F.col("height") - 1)
     return inside
 
@@ -290,9 +291,36 @@ def median9(pixels: DataFrame, r: int = 4) -> DataFrame:
     return p.withColumn("median", F.element_at(F.sort_array(F.concat(*along(along_column(), "near"))), middle)).drop("near")
 
 
-def print_map(pixels: DataFrame, valid: Column, apart: float = 28) -> DataFrame:
-    """(scan_id, y, x, v): 2 where it is no photo, 1 where a pixel stands out from the median around it, else 0."""
-    return median9(pixels).select("scan_id", "y", "x", F.when(~valid, 2).when(F.abs(F.col("v") - F.col("median")) > apart, 1).otherwise(0).alias("v"))
+def area_resize(pixels: DataFrame) -> DataFrame:
+    """(scan_id, y, x, v): each scan of width by height pixels averaged onto small_w by small_h, all columns: a pixel gives its overlap to the targets under it. To whole numbers, halves up; a scan of its own size stays."""
+
+    def under(axis: str, old: str, new: str) -> tuple[Column, Column]:
+        s = F.col(new) / F.col(old)
+        first = F.floor(F.col(axis) * s + 1e-9).cast("int")
+        last = F.least(F.ceil((F.col(axis) + 1) * s - 1e-9).cast("int"), F.col(new)) - 1
+        share = lambda t: F.least((F.col(axis) + 1) * s, t + 1) - F.greatest(F.col(axis) * s, t)
+        return F.sequence(first, F.greatest(first, last)), share
+
+    (ys, share_y), (xs, share_x) = under("y", "height", "small_h"), under("x", "width", "small_w")
+    p = pixels.withColumn("ty", F.explode(ys)).withColumn("tx", F.explode(xs))
+    p = settled(p, weight=share_y(F.col("ty")) * share_x(F.col("tx")))
+    small = p.groupBy("scan_id", F.col("ty").alias("y"), F.col("tx").alias("x")).agg((F.sum(F.col("v") * F.col("weight")) / F.sum("weight")).alias("v"))
+    return small.withColumn("v", round0(tidy("v")).cast("int"))
+
+
+def print_map(pixels: DataFrame, frames: DataFrame, apart: float = 28, longest: int = 900, margin: int = 4) -> DataFrame:
+    """(scan_id, y, x, v): 2 where it is no photo, 1 where a pixel stands out from the median around it, else 0, of scans shrunk to `longest` pixels.
+
+    frames: scan_id, width, height and angle, by which the photo was turned: a place is photo where a window around it comes from inside the frame.
+    """
+    shrink = F.least(F.lit(1.0), longest / F.greatest("width", "height"))
+    to = lambda c: F.when(shrink < 1, F.greatest(F.lit(1), round0(F.col(c) * shrink))).otherwise(F.col(c)).cast("int")
+    f = frames.select("scan_id", "width", "height", "angle", to("width").alias("small_w"), to("height").alias("small_h"))
+    small = median9(area_resize(pixels.select("scan_id", "y", "x", "v").join(f, "scan_id"))).join(f, "scan_id")
+    at = lambda c, n, m: F.least(F.floor(F.col(c) * (F.col(n) / F.col(m))), F.col(n) - 1).cast("int")
+    p = small.select("scan_id", "v", "median", "height", "width", "angle", F.col("y").alias("own_y"), F.col("x").alias("own_x"), at("x", "width", "small_w").alias("x"), at("y", "height", "small_h").alias("y"))
+    valid = valid_footprint(F.col("width"), F.col("angle"), margin)
+    return p.select("scan_id", F.col("own_y").alias("y"), F.col("own_x").alias("x"), F.when(~valid, 2).when(F.abs(F.col("v") - F.col("median")) > apart, 1).otherwise(0).alias("v"))
 
 
 def clahe(pixels: DataFrame, width: int, clip: float = 2.0, tiles: int = 8) -> DataFrame:
@@ -335,11 +363,13 @@ def extract_rotated(pixels: DataFrame, rects: DataFrame) -> DataFrame:
     return t.select("scan_id", "y", "x", F.inline(four)).where("k > 0").join(src, ["scan_id", "sy", "sx"], "left").groupBy("scan_id", "y", "x").agg(F.sum(F.col("k") * F.coalesce("v", F.lit(255))).alias("v"))
 
 
-def canonical_transform(pixels: DataFrame, width: int, angle: Column) -> DataFrame:
-    """A half turn, then straightening, then the white stretch: always in this order. height is a column."""
-    turned = pixels.withColumn("x", (width - 1 - F.col("x")).cast("int")).withColumn("y", (F.col("height") - 1 - F.col("y")).cast("int"))
-    straight = rotate_fine(turned, angle, width)
-    return white_stretch(straight.withColumn("v", round0("v").cast("int")))
+def canonical_transform(pixels: DataFrame, quarters: Column, angle: Column, stretch: bool = True) -> DataFrame:
+    """(scan_id, y, x, v): quarter turns clockwise, then straightening by an angle in degrees, then, if asked for, the white stretch: always in this order. width and height are columns of pixels."""
+    k = F.pmod(quarters, F.lit(4))
+    p = settled(pixels, k=k, w0=F.col("width"), h0=F.col("height"))
+    turned = turn_cells(p, F.col("w0"), F.col("h0"), F.col("k")).withColumns({"width": F.when(F.col("k") % 2 == 1, F.col("h0")).otherwise(F.col("w0")), "height": F.when(F.col("k") % 2 == 1, F.col("w0")).otherwise(F.col("h0"))})
+    straight = rotate_fine(turned, angle, F.col("width")).withColumn("v", round0(tidy("v")).cast("int"))
+    return white_stretch(straight) if stretch else straight
 
 
 def trim_to_outline(pixels: DataFrame, outlines: DataFrame, sigma: float = 2.0) -> DataFrame:

@@ -136,11 +136,8 @@ def _(v):
 @query("dt7_candidate_from_mask")
 def _(v):
     """Masks closed by one cell, with a share and rectangle a document could have."""
-    closed = masks.morphology(masks.dense(v("mask_cells"), SIZE), "close", 1).where("v = 1").select("mask_id", "y", "x")
-    rect = masks.min_area_rect(masks.convex_hull(closed)).join(closed.groupBy("mask_id").agg((F.count("*") / 64.0).alias("share")), "mask_id")
-    w, h = F.col("w"), F.col("h")
-    good = (F.col("share") > 0.015) & (F.col("share") < 0.92) & (w >= 2) & (h >= 2) & (F.col("share") * 64 / ((w + 1) * (h + 1)) >= 0.82) & (w / h > 0.12) & (w / h < 8)
-    return rect.where(good).select("mask_id", tidy("cx").alias("cx"), tidy("cy").alias("cy"), tidy("w").alias("w"), tidy("h").alias("h"), tidy("angle").alias("angle"))
+    r = masks.candidates_from_masks(v("mask_cells"), SIZE)
+    return r.select("mask_id", *(tidy(c).alias(c) for c in ("cx", "cy", "w", "h", "angle")))
 
 
 _GRID = "grid AS (SELECT mask_id, cast(floor(pos / 8) AS int) AS y, cast(pos % 8 AS int) AS x, (v > 0)::int AS v FROM vector_cells)"

@@ -18,6 +18,13 @@ def tall(v):
     return v("pixels").join(rows, "scan_id")
 
 
+def turned_frames(v):
+    """Each raster's frame, and an angle by which it was turned."""
+    k = F.col("doc_id")
+    d = v("documents").select(k.alias("scan_id"), F.lit(WIDTH).alias("width"), F.floor((F.length("text") + WIDTH - 1) / WIDTH).cast("int").alias("height"), (k % 7 - 3).cast("double").alias("angle"))
+    return d.where("height >= 1")
+
+
 @query("ra1_luminance", f"SELECT scan_id, y, x, {T6.format('0.299 * v + 0.587 * ((v * 7) % 256) + 0.114 * ((v * 13) % 256)')} AS grey, ((4899 * v + 9617 * ((v * 7) % 256) + 1868 * ((v * 13) % 256) + 8192)::int >> 14)::int AS whole FROM pixels")
 def _(v):
     p = v("pixels").select("scan_id", "y", "x", F.col("v").alias("r"), (F.col("v") * 7 % 256).alias("g"), (F.col("v") * 13 % 256).alias("b"))
@@ -199,7 +206,10 @@ def _(v):
     return pixels.extract_rotated(v("pixels"), r).withColumn("v", tidy("v", 3))
 
 
-@query("tr13_valid_footprint")
+_INSIDE = " AND ".join(f"floor((39.5 + (sx + {dx} - 39.5) * cos(radians(a)) + (sy + {dy} - (height - 1) / 2) * sin(radians(a))) * 1e6 + 0.5) / 1e6 BETWEEN 0 AND 79 AND floor(((height - 1) / 2 - (sx + {dx} - 39.5) * sin(radians(a)) + (sy + {dy} - (height - 1) / 2) * cos(radians(a))) * 1e6 + 0.5) / 1e6 BETWEEN 0 AND height - 1" for dx in (-4, 4) for dy in (-4, 4))
+
+
+@query("tr13_valid_footprint", f"WITH {_TALL}, k AS (SELECT scan_id, height, x AS sx, y AS sy, (scan_id % 7 - 3)::double AS a FROM tall) SELECT scan_id, sum(({_INSIDE})::int)::bigint AS valid, count(*) AS n FROM k GROUP BY 1")
 def _(v):
     t = tall(v)
     return t.groupBy("scan_id").agg(F.sum(pixels.valid_footprint(WIDTH, F.col("scan_id") % 7 - 3).cast("long")).alias("valid"), F.count("*").alias("n"))
@@ -220,9 +230,20 @@ def _(v):
     return pixels.median9(v("pixels")).select("scan_id", "y", "x", "median")
 
 
-@query("ra13_print_map", f"WITH {_MEDIAN} SELECT scan_id, y, x, CASE WHEN x < 4 OR x > 75 THEN 2 WHEN abs(v - median) > 28 THEN 1 ELSE 0 END AS v FROM medians")
+_SMALL_MEDIAN = f"{_list9('v', 'x', 'y', 'along', 'shrunk')}, {_list9('near', 'y', 'x', 'square', 'along')}, medians AS (SELECT scan_id, y, x, v, list_sort(around)[41] AS median FROM square)"
+_SHRUNK = """frames AS (SELECT scan_id, height, least(1, 200 / greatest(80, height)::double) AS k FROM tall GROUP BY ALL),
+ sizes AS (SELECT scan_id, height, (scan_id % 7 - 3)::double AS a, CASE WHEN k < 1 THEN greatest(1, floor(80 * k + 0.5)) ELSE 80 END::int AS sw, CASE WHEN k < 1 THEN greatest(1, floor(height * k + 0.5)) ELSE height END::int AS sh FROM frames),
+ cover AS (SELECT p.scan_id, p.y, p.x, p.v, sw, sh, sw / 80.0::double AS kx, sh / s.height::double AS ky, unnest(range(floor(p.y * (sh / s.height::double) + 1e-9)::bigint, greatest(floor(p.y * (sh / s.height::double) + 1e-9), least(ceil((p.y + 1) * (sh / s.height::double) - 1e-9), sh) - 1)::bigint + 1)) AS ty FROM pixels p JOIN sizes s ON s.scan_id = p.scan_id),
+ both_ AS (SELECT *, unnest(range(floor(x * kx + 1e-9)::bigint, greatest(floor(x * kx + 1e-9), least(ceil((x + 1) * kx - 1e-9), sw) - 1)::bigint + 1)) AS tx FROM cover),
+ weights AS (SELECT scan_id, ty, tx, v, (least((y + 1) * ky, ty + 1) - greatest(y * ky, ty)) * (least((x + 1) * kx, tx + 1) - greatest(x * kx, tx)) AS w FROM both_),
+ shrunk AS (SELECT scan_id, ty::int AS y, tx::int AS x, floor(floor(sum(v * w) / sum(w) * 1e6 + 0.5) / 1e6 + 0.5)::int AS v FROM weights GROUP BY ALL)"""
+
+
+@query("ra13_print_map", f"""WITH {_TALL}, {_SHRUNK}, {_SMALL_MEDIAN}, k AS (SELECT m.*, height, a, least(floor(m.x * (80 / sw::double)), 79)::int AS sx, least(floor(m.y * (height / sh::double)), height - 1)::int AS sy FROM medians m JOIN sizes s ON s.scan_id = m.scan_id)
+ SELECT scan_id, y, x, CASE WHEN NOT ({_INSIDE}) THEN 2 WHEN abs(v - median) > 28 THEN 1 ELSE 0 END AS v FROM k""")
 def _(v):
-    return pixels.print_map(v("pixels"), F.col("x").between(4, 75))
+    """Scans of over 200 rows are shrunk."""
+    return pixels.print_map(v("pixels"), turned_frames(v), longest=200)
 
 
 @query("ra17_clahe", f"""WITH {_TALL}, p AS (SELECT *, 10 AS tw, ceil(height / 8.0)::int AS th FROM tall), q AS (SELECT *, floor(x / tw)::int AS tx, floor(y / th)::int AS ty FROM p), b0 AS (SELECT scan_id, ty, tx, v, count(*) AS c FROM q GROUP BY ALL),
@@ -235,9 +256,13 @@ def _(v):
     return pixels.clahe(tall(v), WIDTH).withColumn("v", F.floor(F.col("v") * 1e3 + 0.37) / 1e3)
 
 
-@query("tr6_canonical_transform")
+@query("tr6_canonical_transform", f"""WITH {_TALL}, q AS (SELECT *, scan_id % 4 AS k, radians((scan_id % 7 - 3)::double) AS a FROM tall), turned AS (SELECT scan_id, v, a, CASE k WHEN 1 THEN height - 1 - y WHEN 2 THEN 79 - x WHEN 3 THEN y ELSE x END::int AS x, CASE k WHEN 1 THEN x WHEN 2 THEN height - 1 - y WHEN 3 THEN 79 - x ELSE y END::int AS y,
+ CASE WHEN k % 2 = 1 THEN height ELSE 80 END AS wide, CASE WHEN k % 2 = 1 THEN 80 ELSE height END AS high FROM q), t AS (SELECT scan_id, y, x, (wide - 1) / 2 + (x - (wide - 1) / 2) * cos(a) + (y - (high - 1) / 2) * sin(a) AS u, (high - 1) / 2 - (x - (wide - 1) / 2) * sin(a) + (y - (high - 1) / 2) * cos(a) AS w FROM turned),
+ near AS (SELECT scan_id, y, x, (floor(u) + i.i)::int AS sx, (floor(w) + j.j)::int AS sy, CASE WHEN i.i = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END * CASE WHEN j.j = 1 THEN w - floor(w) ELSE 1 - (w - floor(w)) END AS k FROM t, range(2) i(i), range(2) j(j)),
+ straight AS (SELECT n.scan_id, n.y, n.x, floor(floor(sum(n.k * coalesce(p.v, 255)) * 1e6 + 0.5) / 1e6 + 0.5)::int AS v FROM near n LEFT JOIN turned p ON p.scan_id = n.scan_id AND p.y = n.sy AND p.x = n.sx WHERE n.k > 0 GROUP BY ALL), {_STRETCH.replace('FROM pixels', 'FROM straight')} SELECT * FROM stretched""")
 def _(v):
-    return pixels.canonical_transform(tall(v), WIDTH, F.col("scan_id") % 7 - 3)
+    p = tall(v).withColumn("width", F.lit(WIDTH))
+    return pixels.canonical_transform(p, F.col("scan_id") % 4, F.col("scan_id") % 7 - 3)
 
 
 _OUTLINE = [("10 + scan_id % 5", "2"), ("70", "3 + scan_id % 3"), ("66", "15"), ("12", "16 - scan_id % 4")]
