@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platen.functions.expr import round0, settled, tidy
+from platen.operators import bands
 from platen.operators.frames import homography, turn_cells
 
 
@@ -187,16 +188,8 @@ def downscale(pixels: DataFrame, width: int, to: int) -> DataFrame:
 
 
 def rotate_fine(pixels: DataFrame, angle: Column, width: int | Column) -> DataFrame:
-    """Turned about the centre on the same canvas, white outside: each target takes its four source neighbours by an equi-join. height is a column."""
-    a, cx, cy = F.radians(angle), (F.col("width") - 1) / 2, (F.col("height") - 1) / 2
-    p = pixels.select("scan_id", "y", "x", "height", (width if isinstance(width, Column) else F.lit(width)).alias("width"), F.cos(a).alias("c"), F.sin(a).alias("s"))
-    t = settled(p, u=cx + (F.col("x") - cx) * F.col("c") + (F.col("y") - cy) * F.col("s"), w=cy - (F.col("x") - cx) * F.col("s") + (F.col("y") - cy) * F.col("c"))
-    t = settled(t, u0=F.floor("u"), w0=F.floor("w"))
-    fx, fy = F.col("u") - F.col("u0"), F.col("w") - F.col("w0")
-    four = F.array(*(F.struct((F.col("u0") + i).cast("int").alias("sx"), (F.col("w0") + j).cast("int").alias("sy"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("k")) for i in (0, 1) for j in (0, 1)))
-    n = t.select("scan_id", "y", "x", F.inline(four)).where("k > 0")
-    src = pixels.select("scan_id", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
-    return n.join(src, ["scan_id", "sy", "sx"], "left").groupBy("scan_id", "y", "x").agg(F.sum(F.col("k") * F.coalesce("v", F.lit(255))).alias("v"))
+    """Turned about the centre on the same canvas, white outside: each target takes its four source neighbours. height is a column."""
+    return bands.rotate(pixels, angle, width)
 
 
 def valid_footprint(width: int | Column, angle: Column, margin: int = 4) -> Column:
@@ -259,18 +252,7 @@ def arc_weights(patches: DataFrame, standard: float) -> DataFrame:
 def warp_quad(pixels: DataFrame, quads: DataFrame) -> DataFrame:
     """(scan_id, y, x, v): what the quad x0..y3 of a scan of w_px by h_px pixels holds, taken onto out_w by out_h pixels: each target takes the 16 source
     pixels around it by Catmull-Rom weights, the border's values going on outside the frame. Quads that have no map give white."""
-    q = homography(quads).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("out_h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("out_w") - 1)))
-    q = settled(q, u=(F.col("x") + 0.5) / F.col("out_w"), w=(F.col("y") + 0.5) / F.col("out_h"))
-    below = F.col("h6") * F.col("u") + F.col("h7") * F.col("w") + 1
-    to = lambda a, b, c: F.try_divide(F.col(a) * F.col("u") + F.col(b) * F.col("w") + F.col(c), below) - 0.5
-    q = settled(q, fx=to("h0", "h1", "h2"), fy=to("h3", "h4", "h5"))
-    q = settled(q, ix=F.floor("fx"), iy=F.floor("fy"), tx=F.col("fx") - F.floor("fx"), ty=F.col("fy") - F.floor("fy"))
-    ks = lambda t: ((((2 - t) * t - 1) * t) / 2, ((3 * t - 5) * t * t + 2) / 2, (((4 - 3 * t) * t + 1) * t) / 2, ((t - 1) * t * t) / 2)
-    held = lambda at, k, n: F.least(F.greatest(F.col(at) + k - 1, F.lit(0)), F.col(n) - 1).cast("int")
-    taps = F.array(*(F.struct(held("ix", i, "w_px").alias("sx"), held("iy", j, "h_px").alias("sy"), (kx * ky).alias("k")) for i, kx in enumerate(ks(F.col("tx"))) for j, ky in enumerate(ks(F.col("ty")))))
-    near = q.select("scan_id", "y", "x", F.inline(taps)).groupBy("scan_id", "y", "x", "sy", "sx").agg(F.sum("k").alias("k"))
-    src = pixels.select("scan_id", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
-    v = near.join(src, ["scan_id", "sy", "sx"], "left").groupBy("scan_id", "y", "x").agg(F.sum(F.col("k") * F.coalesce("v", F.lit(255))).alias("v"))
+    v = bands.warp(pixels, homography(quads))
     return v.withColumn("v", F.when(F.col("v").isNull(), 255).otherwise(F.least(F.greatest(F.floor(tidy("v") + 0.5), F.lit(0)), F.lit(255))).cast("int"))
 
 
@@ -352,15 +334,8 @@ def clahe(pixels: DataFrame, width: int, clip: float = 2.0, tiles: int = 8) -> D
 
 def extract_rotated(pixels: DataFrame, rects: DataFrame) -> DataFrame:
     """(scan_id, y, x, v): the straightened crop of each scan's rectangle (cx, cy, w, h in pixels, angle), white outside the frame: each target takes its four source neighbours."""
-    r = settled(rects, ow=F.greatest(F.lit(1), round0("w")).cast("int"), oh=F.greatest(F.lit(1), round0("h")).cast("int"), c=F.cos(F.radians("angle")), s=F.sin(F.radians("angle")))
-    t = r.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("oh") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("ow") - 1)))
-    dx, dy = F.col("x") - (F.col("ow") - 1) / 2, F.col("y") - (F.col("oh") - 1) / 2
-    t = settled(t, u=F.col("cx") + dx * F.col("c") - dy * F.col("s"), q=F.col("cy") + dx * F.col("s") + dy * F.col("c"))
-    t = settled(t, u0=F.floor("u"), q0=F.floor("q"))
-    fx, fy = F.col("u") - F.col("u0"), F.col("q") - F.col("q0")
-    four = F.array(*(F.struct((F.col("u0") + i).cast("int").alias("sx"), (F.col("q0") + j).cast("int").alias("sy"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("k")) for i in (0, 1) for j in (0, 1)))
-    src = pixels.select("scan_id", F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
-    return t.select("scan_id", "y", "x", F.inline(four)).where("k > 0").join(src, ["scan_id", "sy", "sx"], "left").groupBy("scan_id", "y", "x").agg(F.sum(F.col("k") * F.coalesce("v", F.lit(255))).alias("v"))
+    sized = {"out_w": F.greatest(F.lit(1), round0("w")).cast("int"), "out_h": F.greatest(F.lit(1), round0("h")).cast("int")}
+    return bands.extract(pixels, rects.select("scan_id", *(F.col(c).cast("double").alias(c) for c in ("cx", "cy", "w", "h", "angle"))).withColumns(sized))
 
 
 def canonical_transform(pixels: DataFrame, quarters: Column, angle: Column, stretch: bool = True) -> DataFrame:
