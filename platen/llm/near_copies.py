@@ -38,7 +38,7 @@ MAX_SHINGLES = 1_000_000
 #: Shingles whose counts order the others, those with the highest ones; the list is broadcast.
 MOST_FREQUENT = 1 << 19
 #: Sets that meet at one shingle in one task; where there are more, each part of the guests meets each part of the others.
-MEETING = 4096
+MEETING = 512
 #: Shingles of a group whose shares are counted at once.
 COLUMNS = 1024
 _OWN = ["shard", "key", "fp", "n", "mins", "root"]
@@ -183,29 +183,34 @@ def rarest(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], likeness: f
     return own[np.lexsort((own, seen))][: len(own) - ceil(likeness * len(own) - 1e-9) + 1]
 
 
-def met_pairs(batches: Iterator[pa.RecordBatch], likeness: float) -> Iterator[pa.RecordBatch]:
-    """Batches of (meeting, key, n, place, root, guest, host), sorted by meeting, to pairs (a, b) of a guest and a host of different roots that may be alike by their sizes and by the places of the shingle in both."""
+def met_groups(batches: Iterator[pa.RecordBatch], likeness: float) -> Iterator[pa.RecordBatch]:
+    """Batches of (meeting, key, n, place, root, asks, host, fp, mins), sorted by meeting, to (group, key): what may be linked, directly or through others, among guests and hosts of different
+    roots, by their sizes, the places of the shingle in both, fingerprints and min-hashes. A meeting gives no more rows than it has."""
     meeting, rows = None, []
 
-    def pairs() -> Iterator[tuple[int, int]]:
+    def groups() -> list[tuple[int, int]]:
         if len(rows) < 2 or not any(r[4] for r in rows):
-            return
-        key, n, place, root, guest, host = (np.array(c) for c in zip(*rows, strict=True))
-        for k in np.flatnonzero(guest).tolist():
+            return []
+        keys, n, place, root, asks, host, fps = (np.array(c) for c in list(zip(*rows, strict=True))[:7])
+        sketched, forest = np.frombuffer(b"".join(r[7] for r in rows), "<u4").reshape(-1, HASHES), Forest(len(rows))
+        for k in np.flatnonzero(asks).tolist():
             # At the first shingle that two share, this one and the shorter rest after it are all they can share.
             most = np.minimum(n[k] - place[k], n - place)
             good = host & (root != root[k]) & (n >= likeness * n[k] - 1e-9) & (n[k] >= likeness * n - 1e-9) & (most * (1 + likeness) >= likeness * (n + n[k]) - 1e-9)
-            yield from ((min(a, b), max(a, b)) for a, b in ((int(key[k]), int(m)) for m in key[good]))
+            near = np.flatnonzero(good & ((np.bitwise_count((fps ^ fps[k]).view(np.uint64)) <= RADIUS) | (n < SMALL) | (n[k] < SMALL)))
+            for m in near[(sketched[near] == sketched[k]).sum(axis=1) >= LEAST_EQUAL].tolist():
+                forest.join(k, m)
+        return named_groups(keys.tolist(), forest)
 
     for b in batches:
-        out: set[tuple[int, int]] = set()
+        out: list[tuple[int, int]] = []
         for m, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if m != meeting:
-                out.update(pairs())
+                out += groups()
                 meeting, rows = m, []
             rows.append(row)
-        yield from _pairs(list(out), ["a", "b"])
-    yield from _pairs(list(set(pairs())), ["a", "b"])
+        yield from _pairs(out, ["grp", "key"])
+    yield from _pairs(groups(), ["grp", "key"])
 
 
 def verified(batches: Iterator[pa.RecordBatch], likeness: float) -> Iterator[pa.RecordBatch]:
@@ -291,16 +296,17 @@ def _outside_core(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _met(docs: DataFrame, sets: DataFrame, open_: DataFrame, id_col: str, text_col: str, likeness: float, meeting: int) -> DataFrame:
-    """(group, key): pairs of open sets, one a guest at least, that share one of their rarest shingles and may be alike. Rarity is counted over all open sets."""
+    """(group, key): open sets, a guest among them, that share one of their rarest shingles and may be alike. Rarity is counted over all open sets."""
     spark = docs.sparkSession
     texts = _texts_of(docs, open_.join(sets.select("key", "doc_id", "text_hash"), "key"), id_col, text_col).select("text", "key", "root", "guest")
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 64):
+        for b in slices(batches, 2048):
             own = [shingle_set(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64) if own else [], pa.int64())], ["shingle"])
+            shingle, n = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n, pa.int64())], ["shingle", "n"])
 
-    counts = cut(texts.mapInArrow(every, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"))
+    counts = cut(texts.mapInArrow(every, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1"))
     sizes = sorted(((r["size"], r["count"]) for r in counts.groupBy(F.floor(F.log2("n")).alias("size")).count().collect()), reverse=True)
     least, held = 2**64, 0
     for size, count in sizes:
@@ -325,17 +331,16 @@ def _met(docs: DataFrame, sets: DataFrame, open_: DataFrame, id_col: str, text_c
     tokens = cut(texts.mapInArrow(rare, "shingle long, key long, n int, place int, root long, guest boolean"))
     parts = lambda c: F.ceil(F.col(c) / meeting).cast("int")
     shared = cut(tokens.groupBy("shingle").agg(F.count("*").alias("all"), F.sum(F.col("guest").cast("long")).alias("guests")).where("`all` > 1 AND guests > 0").select("shingle", parts("all").alias("chunks"), parts("guests").alias("pieces")))
-    met = tokens.join(broadcast_if_small(shared), "shingle")
+    met = tokens.join(broadcast_if_small(shared), "shingle").join(sets.select("key", "fp", "mins"), "key")
     own = lambda c, salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(c)).cast("int")
     span = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     # A guest is asked in each chunk, a host answers in each piece; a set that is both stands in its own place twice over.
     asked = F.transform(span("chunks"), lambda c: F.struct(own("pieces", 1).alias("piece"), c.alias("chunk"), F.lit(True).alias("asks"), (c == own("chunks", 2)).alias("host")))
     answers = F.transform(span("pieces"), lambda p: F.struct(p.alias("piece"), own("chunks", 2).alias("chunk"), F.lit(False).alias("asks"), F.lit(True).alias("host")))
     answers = F.filter(answers, lambda x: ~F.col("guest") | (x["piece"] != own("pieces", 1)))
-    spread = met.select("shingle", "key", "n", "place", "root", F.inline(F.when(F.col("guest"), F.concat(asked, answers)).otherwise(answers)))
-    spread = spread.select(F.xxhash64("shingle", "piece", "chunk").alias("meeting"), "key", "n", "place", "root", "asks", "host")
-    pairs = spread.repartition("meeting").sortWithinPartitions("meeting", "key").mapInArrow(lambda batches: met_pairs(batches, likeness), "a long, b long").distinct()
-    return pairs.select(F.xxhash64("a", "b").alias("grp"), F.explode(F.array("a", "b")).alias("key"))
+    spread = met.select("shingle", "key", "n", "place", "root", "fp", "mins", F.inline(F.when(F.col("guest"), F.concat(asked, answers)).otherwise(answers)))
+    spread = spread.select(F.xxhash64("shingle", "piece", "chunk").alias("meeting"), "key", "n", "place", "root", "asks", "host", "fp", "mins")
+    return spread.repartition("meeting").sortWithinPartitions("meeting", "key").mapInArrow(lambda batches: met_groups(batches, likeness), "grp long, key long")
 
 
 def _texts_of(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> DataFrame:
