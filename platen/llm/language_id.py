@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from platen.llm.common import MAX_BROADCAST, cut, table
+from platen.llm.common import MAX_BROADCAST, cut, slices, table
 from platen.llm.labelled import held_out
 
 #: Documents of each language that its tree is built from, at most.
@@ -29,7 +29,7 @@ ORDER = 3
 #: A byte is the digit byte + 1 of a code; 0 stands before a text. Digits are in the order of the text.
 BASE = 257
 #: Bytes counted or scored at once.
-BLOCK = 1 << 18
+BLOCK = 1 << 20
 #: Parts of a language from which the sample is taken first, so that no task sees a whole language.
 PARTS = 64
 #: Bytes of trees that are broadcast at once.
@@ -79,25 +79,41 @@ class Tree:
 class Trees(dict):
     """Language -> Tree, languages in order."""
 
-    def lengths(self, text: bytes) -> np.ndarray:
-        """Code length of text in nats by language."""
-        total = np.zeros(len(self))
-        for block in codes_of(text):
-            codes, n = np.unique(block, return_counts=True)
-            total += [n @ tree.cost(ORDER, codes) for tree in self.values()]
+    def lengths(self, texts: list[bytes]) -> np.ndarray:
+        """(text, language) -> code length in nats. What BLOCK bytes of texts hold is looked up once for each code, not for each text."""
+        total = np.zeros((len(texts), len(self)))
+
+        def add(held: list[tuple[int, np.ndarray]]) -> None:
+            codes, at = np.unique(np.concatenate([c for _, c in held]), return_inverse=True)
+            starts = np.cumsum([0, *(len(c) for _, c in held[:-1])])
+            for k, tree in enumerate(self.values()):
+                np.add.at(total[:, k], [t for t, _ in held], np.add.reduceat(tree.cost(ORDER, codes)[at], starts))
+
+        held, size = [], 0
+        for t, text in enumerate(texts):
+            for block in codes_of(text):
+                if held and size + len(block) > BLOCK:
+                    add(held)
+                    held, size = [], 0
+                held.append((t, block))
+                size += len(block)
+        if held:
+            add(held)
         return total
 
-    def best(self, text: str | None) -> tuple[str, float, float]:
-        """(language, its nats, what the others weigh beside it: the sum of e ** (nats - their nats), 1 for itself). UNKNOWN for a text without a letter."""
-        if not self or not text or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0, 0.0
-        nats = self.lengths(text.encode("utf-8", "surrogatepass"))
-        k = int(nats.argmin())
-        return list(self)[k], float(nats[k]), float(np.exp(nats[k] - nats).sum())
+    def best(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """(language, its nats, what the others weigh beside it: the sum of e ** (nats - their nats), 1 for itself) of each text. UNKNOWN for one without a letter."""
+        out = [(UNKNOWN, 0.0, 0.0)] * len(texts)
+        some = [k for k, t in enumerate(texts) if self and t and any(map(str.isalpha, t))]
+        names, nats = list(self), self.lengths([texts[k].encode("utf-8", "surrogatepass") for k in some])
+        for k, own in zip(some, nats, strict=True):
+            n = int(own.argmin())
+            out[k] = names[n], float(own[n]), float(np.exp(own[n] - own).sum())
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its posterior probability among the learned ones; 'und' and 0 for a text without a letter."""
-        name, _, weight = self.best(text)
+        ((name, _, weight),) = self.best([text])
         return name, 1 / weight if weight else 0.0
 
 
@@ -191,8 +207,9 @@ def predictions(docs: DataFrame, trees: DataFrame, id_col: str = "doc_id", text_
         shared = sc.broadcast(trees)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out = [merged(before, shared.value.best(text)) for text, *before in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
+            for b in slices(batches, 2048):
+                before = zip(*(c.to_pylist() for c in b.columns[3:]), strict=True)
+                out = [merged(x, y) for x, y in zip(before, shared.value.best(b.column(2).to_pylist()), strict=True)]
                 now = zip(*out, strict=True) if out else ((), (), ())
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, t) for c, t in zip(now, (pa.string(), pa.float64(), pa.float64()), strict=True))], [f.split()[0] for f in kinds.split(", ")])
 

@@ -294,11 +294,13 @@ def test_op6_code_lengths_are_those_of_ppm(spark, texts):
         return total
 
     for t in (b"the chat is on the table", b"xyz qq", "là-bas été".encode()):
-        assert trees.lengths(t) == pytest.approx([ppm(texts[lang], t) for lang in trees], rel=1e-5)
+        assert trees.lengths([t])[0] == pytest.approx([ppm(texts[lang], t) for lang in trees], rel=1e-5)
     for _, t, _ in own[:3]:
-        assert shipped.lengths(t[:3000].encode()) == pytest.approx([ppm(used[lang], t[:3000].encode()) for lang in shipped], rel=1e-5)
+        assert shipped.lengths([t[:3000].encode()])[0] == pytest.approx([ppm(used[lang], t[:3000].encode()) for lang in shipped], rel=1e-5)
     long = own[0][1].encode() * (1 + (language_id.BLOCK + 1000) // len(own[0][1].encode()))
-    assert len(long) > language_id.BLOCK and shipped.lengths(long) == pytest.approx([ppm(used[lang], long) for lang in shipped], rel=1e-5)
+    assert len(long) > language_id.BLOCK and shipped.lengths([long])[0] == pytest.approx([ppm(used[lang], long) for lang in shipped], rel=1e-5)
+    together = trees.lengths([b"", long[:5000], b"x", long])
+    assert np.allclose(together, [trees.lengths([x])[0] for x in (b"", long[:5000], b"x", long)])
     assert trees.predict("123 !") == ("und", 0.0) and trees.predict(None) == ("und", 0.0)
 
 
