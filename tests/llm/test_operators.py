@@ -177,6 +177,39 @@ def test_op2_bins_are_the_fullest_that_fit_and_bounded():
         assert bins.open == len(free) <= 8
 
 
+@pytest.mark.parametrize("tasks, at_once", [(32, 64), (24, 5)])
+def test_op2_last_pieces_of_many_tasks_are_packed_together(spark, monkeypatch, tasks, at_once):
+    monkeypatch.setattr(packing, "MERGED", at_once)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(tasks)
+    by_seq, by_doc = defaultdict(list), defaultdict(list)
+    for r in packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect():
+        by_seq[r.sequence_id].append((r.offset, r.length))
+        by_doc[r.doc_id].append((r.piece, r.start, r.length))
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+    for rows in by_seq.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(rows)]).tolist()]
+        assert [a for a, _ in sorted(rows)] == ends[:-1] and ends[-1] <= 2048
+    assert len(by_doc) == docs.count() and all([p for p, _, _ in sorted(rows)] == list(range(len(rows))) for rows in by_doc.values())
+    least = math.ceil(sum(n for rows in by_seq.values() for _, n in rows) / 2048)
+    assert len(by_seq) <= least + 2 * math.ceil(tasks / at_once)
+
+
+def test_op2_values_of_awkward_texts(spark):
+    got = packing.pack(awkward(spark), path := public_tokenizers.path("byte_bpe_50k.json")).collect()
+    memory, end = tokenizer_memory(path), bytes(4)
+    own = defaultdict(list)
+    for r in got:
+        own[r.doc_id].append(r)
+    for doc, text, *_ in AWKWARD:
+        rows = sorted(own[doc], key=lambda r: r.start)
+        ids = memory.ids_of(text or "") + end
+        if doc == 6:  # one row read twice
+            assert [r.piece for r in rows] == [0, 0] and {bytes(r.ids) for r in rows} == {ids}
+        else:
+            assert b"".join(bytes(r.ids) for r in rows) == ids and [r.piece for r in rows] == list(range(len(rows)))
+    assert [(r.start, r.length, bytes(r.ids)) for d in (1, 2) for r in own[d]] == [(0, 1, end)] * 2
+
+
 # ---- 3, 6, 9
 
 
