@@ -137,7 +137,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     first = cut(read.mapInArrow(lambda batches: packed(batches, path, capacity, open_bins, with_ids), _KINDS))
     span = TASK_SPAN * MERGED
     last = first.where("open").repartition(F.expr(f"sequence_id div {span}")).sortWithinPartitions(F.expr(f"sequence_id div {span}"), F.desc("length"), "sequence_id", "offset")
-    again = last.mapInArrow(lambda batches: packed_again(batches, capacity, open_bins, span), _KINDS)
+    most = open_bins * MERGED  # numbers alone; as short pieces come last, no bin need close before them
+    again = last.mapInArrow(lambda batches: packed_again(batches, capacity, most, span), _KINDS)
     return first.where("not open").unionByName(again).drop("open")
 
 
