@@ -100,8 +100,11 @@ def _(v):
     return masks.convex_hull(v("mask_cells")).select("mask_id", F.inline("hull"))
 
 
-@query("ra21_clean_mask", f"""WITH {_HULL}, c AS (SELECT mask_id, r.r AS row, x + (r.r - y)::double / (ny - y) * (nx - x) AS cut FROM edges, range(8) r(r) WHERE (y <= r.r AND ny > r.r) OR (ny <= r.r AND y > r.r) UNION ALL SELECT mask_id, y, x FROM edges),
- s AS (SELECT mask_id, row, floor(min(cut) + 0.5) AS a, floor(max(cut) + 0.5) AS b FROM c GROUP BY ALL) SELECT mask_id, row::int AS y, x.x::int AS x FROM s, range(8) x(x) WHERE x.x BETWEEN a AND b""")
+_FILLED = """c AS (SELECT mask_id, r.r AS row, x + (r.r - y)::double / (ny - y) * (nx - x) AS cut FROM edges, range(8) r(r) WHERE (y <= r.r AND ny > r.r) OR (ny <= r.r AND y > r.r) UNION ALL SELECT mask_id, y, x FROM edges),
+ s AS (SELECT mask_id, row, floor(min(cut) + 0.5) AS a, floor(max(cut) + 0.5) AS b FROM c GROUP BY ALL), filled AS (SELECT mask_id, row::int AS y, x.x::int AS x FROM s, range(8) x(x) WHERE x.x BETWEEN a AND b)"""
+
+
+@query("ra21_clean_mask", f"WITH {_HULL}, {_FILLED} SELECT * FROM filled")
 def _(v):
     return masks.clean_mask(v("mask_cells"), masks.convex_hull(v("mask_cells")))
 
@@ -133,30 +136,46 @@ def _(v):
     return r.select("mask_id", tidy(F.col("w") * F.col("h")).alias("area"))
 
 
-@query("dt7_candidate_from_mask")
-def _(v):
-    """Masks closed by one cell, with a share and rectangle a document could have."""
-    r = masks.candidates_from_masks(v("mask_cells"), SIZE)
-    return r.select("mask_id", *(tidy(c).alias(c) for c in ("cx", "cy", "w", "h", "angle")))
+_GRID = "grid AS (SELECT mask_id, cast(floor(pos / 8) AS int) AS y, cast(pos % 8 AS int) AS x, (v > 0)::int AS v FROM vector_cells)"
 
 
-_GRID = "grid AS (SELECT mask_id, cast(floor(pos / 8) AS int) AS y, cast(pos % 8 AS int) AS x, (v > 0)::int AS v FROM vector_cells)"
+_CLOSED = """d AS (SELECT a.mask_id, a.y, a.x, max(b.v) AS v FROM grid a JOIN grid b ON b.mask_id = a.mask_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 GROUP BY ALL),
+ shut AS (SELECT a.mask_id, a.y, a.x, min(b.v) AS v FROM d a JOIN d b ON b.mask_id = a.mask_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 GROUP BY ALL)"""
 
 
-@query("ra8_morphology", f"""WITH {_GRID}, d AS (SELECT a.mask_id, a.y, a.x, max(b.v) AS v FROM grid a JOIN grid b ON b.mask_id = a.mask_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 GROUP BY ALL)
- SELECT a.mask_id, a.y, a.x, min(b.v) AS v FROM d a JOIN d b ON b.mask_id = a.mask_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 GROUP BY ALL""")
+@query("ra8_morphology", f"WITH {_GRID}, {_CLOSED} SELECT * FROM shut")
 def _(v):
     return masks.morphology(masks.dense(v("mask_cells"), SIZE), "close", 1)
 
 
+#: The least rectangle along an edge of the hull, the first of equals from the least x and y on, its angle folded; hulls of two corners have none.
+_RECT = """corners AS (SELECT mask_id, x, y, atan2(ny - y, nx - x) AS a, count(*) OVER (PARTITION BY mask_id) AS n FROM edges), across AS (SELECT c.mask_id, c.a, min(e.x * cos(c.a) + e.y * sin(c.a)) AS u0, max(e.x * cos(c.a) + e.y * sin(c.a)) AS u1,
+ min(e.y * cos(c.a) - e.x * sin(c.a)) AS v0, max(e.y * cos(c.a) - e.x * sin(c.a)) AS v1 FROM corners c JOIN edges e ON e.mask_id = c.mask_id WHERE c.n >= 3 GROUP BY ALL),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY mask_id ORDER BY floor((u1 - u0) * (v1 - v0) * 1e6 + 0.5), CASE WHEN a <= -pi() / 2 THEN a + 2 * pi() ELSE a END) AS k FROM across),
+ least_rect AS (SELECT mask_id, (u0 + u1) / 2 * cos(a) - (v0 + v1) / 2 * sin(a) AS cx, (u0 + u1) / 2 * sin(a) + (v0 + v1) / 2 * cos(a) AS cy, u1 - u0 AS du, v1 - v0 AS dv, degrees(a) AS deg, greatest(ceil((abs(degrees(a)) - 45) / 90), 0)::int AS turns FROM ranked WHERE k = 1),
+ rect AS (SELECT mask_id, cx, cy, CASE WHEN turns % 2 = 1 THEN dv ELSE du END AS w, CASE WHEN turns % 2 = 1 THEN du ELSE dv END AS h, deg - sign(deg) * 90 * turns AS angle FROM least_rect)"""
+_TIDY_RECT = ", ".join(f"{T6.format(c)} AS {c}" for c in ("cx", "cy", "w", "h", "angle"))
+
+
+@query("dt7_candidate_from_mask", f"""WITH {_GRID}, {_CLOSED}, closed AS (SELECT mask_id, y, x FROM shut WHERE v = 1), {_HULL.replace("mask_cells", "closed")}, {_RECT}
+ SELECT rect.mask_id, {_TIDY_RECT} FROM rect JOIN (SELECT mask_id, count(*) AS n FROM closed GROUP BY 1) c ON c.mask_id = rect.mask_id WHERE n / 64.0 > 0.015 AND n / 64.0 < 0.92 AND least(w, h) >= 2 AND greatest(w / h, h / w) < 8 AND n / ((w + 1) * (h + 1)) >= 0.82""")
+def _(v):
+    """Masks closed by one cell, with a share and rectangle a document could have."""
+    r = masks.candidates_from_masks(v("mask_cells"), SIZE)
+    return r.select("mask_id", *(tidy(c).alias(c) for c in ("cx", "cy", "w", "h", "angle")))
+
+
 @query("ra26_boundary_edges", """SELECT c.mask_id, c.y, c.x, d.side FROM mask_cells c, (VALUES ('top', -1, 0), ('right', 0, 1), ('bottom', 1, 0), ('left', 0, -1)) d(side, dy, dx)
  WHERE NOT EXISTS (SELECT 1 FROM mask_cells o WHERE o.mask_id = c.mask_id AND o.y = c.y + d.dy AND o.x = c.x + d.dx)""")
 def _(v):
     return masks.boundary_edges(v("mask_cells"))
 
 
-@query("ra11_connected_components", """WITH RECURSIVE r AS (SELECT mask_id, y, x, y * 8 + x AS label FROM mask_cells UNION SELECT c.mask_id, c.y, c.x, r.label FROM r JOIN mask_cells c ON c.mask_id = r.mask_id AND abs(c.y - r.y) <= 1 AND abs(c.x - r.x) <= 1),
- l AS (SELECT mask_id, y, x, min(label) AS label FROM r GROUP BY ALL) SELECT mask_id, y, x, dense_rank() OVER (PARTITION BY mask_id ORDER BY label)::int AS label FROM l""")
+_PARTS = """r AS (SELECT mask_id, y, x, y * 8 + x AS label FROM mask_cells UNION SELECT c.mask_id, c.y, c.x, r.label FROM r JOIN mask_cells c ON c.mask_id = r.mask_id AND abs(c.y - r.y) <= 1 AND abs(c.x - r.x) <= 1),
+ l AS (SELECT mask_id, y, x, min(label) AS label FROM r GROUP BY ALL), labelled AS (SELECT mask_id, y, x, dense_rank() OVER (PARTITION BY mask_id ORDER BY label)::int AS label FROM l)"""
+
+
+@query("ra11_connected_components", f"WITH RECURSIVE {_PARTS} SELECT * FROM labelled")
 def _(v):
     checkpointed(v.spark)
     return parts.connected_components(v("mask_cells"), SIZE)
@@ -199,10 +218,14 @@ def _(v):
     return masks.continues_beyond(b, v("print_cells"), SIZE)
 
 
-@query("dt14_classic_objects")
+@query("dt14_classic_objects", f"""WITH RECURSIVE {_PARTS}, pieces AS (SELECT mask_id * 64 + label AS mask_id, y, x FROM labelled), {_HULL.replace("mask_cells", "pieces")}, {_FILLED}, {_RECT},
+ scored AS (SELECT rect.*, n, n / ((w + 1) * (h + 1)) AS score FROM rect JOIN (SELECT mask_id, count(*) AS n FROM filled GROUP BY 1) f ON f.mask_id = rect.mask_id),
+ listed AS (SELECT mask_id // 64 AS mask_id, mask_id % 64 AS label, {_TIDY_RECT}, {T6.format("score")} AS score, row_number() OVER (PARTITION BY mask_id // 64 ORDER BY n DESC, mask_id) AS k FROM scored WHERE n >= 0.015 * 64 AND score >= 0.5)
+ SELECT * EXCLUDE (k) FROM listed WHERE k <= 16""")
 def _(v):
     checkpointed(v.spark)
-    return masks.classic_objects(parts.connected_components(v("mask_cells"), SIZE), SIZE, rectangular=0.5)
+    r = masks.classic_objects(parts.connected_components(v("mask_cells"), SIZE), SIZE, rectangular=0.5)
+    return r.select("mask_id", "label", *(tidy(c).alias(c) for c in ("cx", "cy", "w", "h", "angle", "score")))
 
 
 @query("dt3_outline_quad", """SELECT mask_id, min(x)::double AS x0, min(y)::double AS y0, (max(x) + 1)::double AS x1, min(y)::double AS y1, (max(x) + 1)::double AS x2, (max(y) + 1)::double AS y2, min(x)::double AS x3, (max(y) + 1)::double AS y3 FROM mask_cells GROUP BY mask_id""")
