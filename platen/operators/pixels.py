@@ -84,7 +84,7 @@ def estimate_skew(ink: DataFrame, width: int, limit: float = 5.0, least: int = 2
 
 
 def gradient_profiles(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(scan_id, axis, at, profile): for each column, and for each row, the summed difference of its neighbours over the middle half of the scan's box px0, py0, px1, py1."""
+    """(scan_id, axis, at, profile): for each column, and for each row, the summed difference of its neighbours over the middle half of the scan's box px0, py0, px1, py1, to six decimals, so that lines as strong tie in whatever order sums are taken."""
     j = pixels.withColumns({"dx": F.abs(F.lead("v").over(along_row()) - F.lag("v").over(along_row())), "dy": F.abs(F.lead("v").over(along_column()) - F.lag("v").over(along_column()))}).join(boxes.select("scan_id", "px0", "py0", "px1", "py1"), "scan_id")
 
     def line(axis: str, across: str, d: str) -> Column:
@@ -95,7 +95,7 @@ def gradient_profiles(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
 
     # Both lines of a pixel come from one pass over the windows.
     lines = j.select("scan_id", F.explode(F.array(line("x", "y", "dx"), line("y", "x", "dy"))).alias("l")).where("l.d is not null")
-    return lines.groupBy("scan_id", "l.axis", "l.at").agg(F.sum("l.d").cast("double").alias("profile"))
+    return lines.groupBy("scan_id", "l.axis", "l.at").agg(tidy(F.sum("l.d").cast("double")).alias("profile"))
 
 
 def snap_edges(pixels: DataFrame, boxes: DataFrame, reach: float = 0.025, prominence: float = 6.0) -> DataFrame:

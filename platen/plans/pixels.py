@@ -57,8 +57,8 @@ def _(v):
 
 _BOX = "box AS (SELECT scan_id, height, 80 AS width, (10 + scan_id % 9)::int AS px0, floor(height / 5)::int AS py0, (60 + scan_id % 11)::int AS px1, floor(height * 4 / 5)::int AS py1 FROM tall GROUP BY ALL)"
 _PROFILE = """d AS (SELECT *, abs(lead(v) OVER r - lag(v) OVER r) AS dx, abs(lead(v) OVER c - lag(v) OVER c) AS dy FROM tall WINDOW r AS (PARTITION BY scan_id, y ORDER BY x), c AS (PARTITION BY scan_id, x ORDER BY y)),
- profiles AS (SELECT d.scan_id, 'x' AS axis, x AS "at", sum(dx)::double AS profile FROM d JOIN box b ON b.scan_id = d.scan_id WHERE dx IS NOT NULL AND y >= py0 + floor((py1 - py0) / 4) AND y < py1 - floor((py1 - py0) / 4) GROUP BY ALL UNION ALL
- SELECT d.scan_id, 'y', y, sum(dy)::double FROM d JOIN box b ON b.scan_id = d.scan_id WHERE dy IS NOT NULL AND x >= px0 + floor((px1 - px0) / 4) AND x < px1 - floor((px1 - px0) / 4) GROUP BY ALL)"""
+ profiles AS (SELECT d.scan_id, 'x' AS axis, x AS "at", floor(sum(dx)::double * 1e6 + 0.5) / 1e6 AS profile FROM d JOIN box b ON b.scan_id = d.scan_id WHERE dx IS NOT NULL AND y >= py0 + floor((py1 - py0) / 4) AND y < py1 - floor((py1 - py0) / 4) GROUP BY ALL UNION ALL
+ SELECT d.scan_id, 'y', y, floor(sum(dy)::double * 1e6 + 0.5) / 1e6 FROM d JOIN box b ON b.scan_id = d.scan_id WHERE dy IS NOT NULL AND x >= px0 + floor((px1 - px0) / 4) AND x < px1 - floor((px1 - px0) / 4) GROUP BY ALL)"""
 
 
 def boxes(v):
@@ -73,25 +73,21 @@ def _(v):
     return pixels.gradient_profiles(v("pixels"), boxes(v))
 
 
-@query("ra6_snap_edges", f"""WITH {_TALL}, {_BOX}, {_PROFILE}, typical AS (SELECT scan_id, axis, list_sort(list(profile))[len(list(profile)) // 2 + 1] AS typical FROM profiles WHERE profile > 0 GROUP BY ALL),
+_SNAPPED = """typical AS (SELECT scan_id, axis, list_sort(list(profile))[len(list(profile)) // 2 + 1] AS typical FROM profiles WHERE profile > 0 GROUP BY ALL),
  sides AS (SELECT scan_id, 'px0' AS side, 'x' AS axis, -1 AS sign, px0 AS centre, width * 0.1::double AS span FROM box UNION ALL SELECT scan_id, 'py0', 'y', -1, py0, height * 0.1::double FROM box
   UNION ALL SELECT scan_id, 'px1', 'x', 1, px1, width * 0.1::double FROM box UNION ALL SELECT scan_id, 'py1', 'y', 1, py1, height * 0.1::double FROM box),
  best AS (SELECT s.scan_id, s.side, first(p."at" ORDER BY p.profile DESC, p."at") AS bx, max(p.profile) AS bp FROM sides s JOIN profiles p ON p.scan_id = s.scan_id AND p.axis = s.axis AND p.profile > 0
   AND p."at" >= centre - CASE WHEN sign < 0 THEN floor(span + 0.5) ELSE floor(span * 0.2 + 0.5) END AND p."at" < centre + CASE WHEN sign < 0 THEN floor(span * 0.2 + 0.5) ELSE floor(span + 0.5) END GROUP BY ALL),
  moved AS (SELECT s.scan_id, s.side, CASE WHEN bp > coalesce(typical, 1) * 1.2 THEN bx ELSE centre END AS goes FROM sides s LEFT JOIN best b ON b.scan_id = s.scan_id AND b.side = s.side LEFT JOIN typical t ON t.scan_id = s.scan_id AND t.axis = s.axis),
- n AS (SELECT scan_id, max(goes) FILTER (WHERE side = 'px0') AS a, max(goes) FILTER (WHERE side = 'py0') AS b, max(goes) FILTER (WHERE side = 'px1') AS c, max(goes) FILTER (WHERE side = 'py1') AS d FROM moved GROUP BY 1),
- k AS (SELECT box.*, a, b, c, d, c - a < floor(width * 0.2) OR d - b < floor(height * 0.2) AS small FROM box JOIN n ON n.scan_id = box.scan_id)
- SELECT scan_id, CASE WHEN small THEN px0 ELSE a END::int AS px0, CASE WHEN small THEN py0 ELSE b END::int AS py0, CASE WHEN small THEN px1 ELSE c END::int AS px1, CASE WHEN small THEN py1 ELSE d END::int AS py1 FROM k""")
-def _(v):
-    """Text has no edges, so the bar is low here."""
-    return pixels.snap_edges(v("pixels"), boxes(v), 0.1, 1.2)
+ ends AS (SELECT scan_id, max(goes) FILTER (WHERE side = 'px0') AS a, max(goes) FILTER (WHERE side = 'py0') AS b, max(goes) FILTER (WHERE side = 'px1') AS c, max(goes) FILTER (WHERE side = 'py1') AS d FROM moved GROUP BY 1),
+ k AS (SELECT box.*, a, b, c, d, c - a < floor(width * 0.2) OR d - b < floor(height * 0.2) AS small FROM box JOIN ends ON ends.scan_id = box.scan_id),
+ snapped AS (SELECT scan_id, CASE WHEN small THEN px0 ELSE a END::int AS px0, CASE WHEN small THEN py0 ELSE b END::int AS py0, CASE WHEN small THEN px1 ELSE c END::int AS px1, CASE WHEN small THEN py1 ELSE d END::int AS py1 FROM k)"""
 
 
-@query("gr8_refine_rect")
+@query("ra6_snap_edges", f"WITH {_TALL}, {_BOX}, {_PROFILE}, {_SNAPPED} SELECT * FROM snapped")
 def _(v):
-    k = F.col("doc_id")
-    r = v("documents").select(k.alias("scan_id"), F.lit(40.0).alias("cx"), (14.0 + k % 5).alias("cy"), (40.0 + k % 7).alias("w"), (22.0 + k % 4).alias("h"), (k % 31 - 15).cast("double").alias("angle"))
-    return pixels.refine_rect(v("pixels"), r, prominence=1.2).select("scan_id", *(tidy(c, 3).alias(c) for c in ("cx", "cy", "w", "h")), "angle")
+    """Text has no edges, so the bar is low here."""
+    return pixels.snap_edges(v("pixels"), boxes(v), 0.1, 1.2)
 
 
 def _blur(axis, other, source, out):
@@ -206,6 +202,20 @@ def _(v):
     return pixels.extract_rotated(v("pixels"), r).withColumn("v", tidy("v", 3))
 
 
+@query("gr8_refine_rect", f"""WITH rects AS (SELECT doc_id AS scan_id, 40.0::double AS cx, 14.0 + doc_id % 5::double AS cy, 40.0 + doc_id % 7::double AS rw, 22.0 + doc_id % 4::double AS rh, (doc_id % 31 - 15)::double AS angle, 8 AS pad FROM documents),
+ sized AS (SELECT *, radians(angle) AS a, rw + 2 * pad AS cw, rh + 2 * pad AS ch FROM rects), t0 AS (SELECT r.*, x.x, y.y, x.x - (cw - 1) / 2 AS dx, y.y - (ch - 1) / 2 AS dy FROM sized r, range(62) x(x), range(41) y(y) WHERE x.x < cw AND y.y < ch),
+ t AS (SELECT scan_id, y, x, cx + dx * cos(a) - dy * sin(a) AS u, cy + dx * sin(a) + dy * cos(a) AS w FROM t0), {_FOUR},
+ box AS (SELECT scan_id, cw AS width, ch AS height, floor(pad + rw * 0.05 + 0.5) AS px0, floor(pad + rh * 0.05 + 0.5) AS py0, floor(pad + rw * 0.95 + 0.5) AS px1, floor(pad + rh * 0.95 + 0.5) AS py1 FROM sized),
+ {_PROFILE.replace("FROM tall", "FROM r")}, {_SNAPPED.replace("0.1::double", "0.08::double")},
+ j AS (SELECT z.*, px1 - px0 AS nw, py1 - py0 AS nh, (px0 + px1) / 2.0::double - cw / 2 AS mx, (py0 + py1) / 2.0::double - ch / 2 AS my, coalesce(px1 - px0 >= rw * 0.5 AND py1 - py0 >= rh * 0.5, false) AS taken FROM sized z LEFT JOIN snapped s ON s.scan_id = z.scan_id)
+ SELECT scan_id, {T3.format("CASE WHEN taken THEN cx + cos(a) * mx - sin(a) * my ELSE cx END")} AS cx, {T3.format("CASE WHEN taken THEN cy + sin(a) * mx + cos(a) * my ELSE cy END")} AS cy,
+ {T3.format("CASE WHEN taken THEN nw ELSE rw END::double")} AS w, {T3.format("CASE WHEN taken THEN nh ELSE rh END::double")} AS h, angle FROM j""")
+def _(v):
+    k = F.col("doc_id")
+    r = v("documents").select(k.alias("scan_id"), F.lit(40.0).alias("cx"), (14.0 + k % 5).alias("cy"), (40.0 + k % 7).alias("w"), (22.0 + k % 4).alias("h"), (k % 31 - 15).cast("double").alias("angle"))
+    return pixels.refine_rect(v("pixels"), r, prominence=1.2).select("scan_id", *(tidy(c, 3).alias(c) for c in ("cx", "cy", "w", "h")), "angle")
+
+
 _INSIDE = " AND ".join(f"floor((39.5 + (sx + {dx} - 39.5) * cos(radians(a)) + (sy + {dy} - (height - 1) / 2) * sin(radians(a))) * 1e6 + 0.5) / 1e6 BETWEEN 0 AND 79 AND floor(((height - 1) / 2 - (sx + {dx} - 39.5) * sin(radians(a)) + (sy + {dy} - (height - 1) / 2) * cos(radians(a))) * 1e6 + 0.5) / 1e6 BETWEEN 0 AND height - 1" for dx in (-4, 4) for dy in (-4, 4))
 
 
