@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import floor
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platen.functions.expr import fold_angle, settled
+from platen.operators import bands
+
+#: Pixels that are compared with a hull at once.
+AT_ONCE = 1 << 18
 
 
 def mask_shape(cells: DataFrame, size: int) -> DataFrame:
@@ -112,28 +121,94 @@ def clean_mask(cells: DataFrame, hulls: DataFrame) -> DataFrame:
     return filled.union(cells.join(e.select("mask_id").distinct(), "mask_id", "left_anti").select("mask_id", "y", "x"))
 
 
-def trim_to_mask(pixels: DataFrame, cells: DataFrame, hulls: DataFrame, width: int, most: float = 0.009, offset: float = 0.5, ramp: float = 0.35) -> DataFrame:
+class _Trims:
+    """How far the pixels of runs lie outside the hulls that come with them (corners x, y, x, y, ...; null: none)."""
+
+    def __init__(self, b: pa.RecordBatch, width: int, offset: float, ramp: float):
+        self.t = pa.Table.from_batches([b])
+        self.y, self.x, self.v, self.of = bands.unpacked(self.t)
+        ids = self.t.column("mask_id").to_numpy()
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        ends = np.append(0, np.cumsum(self.t.column("n").to_numpy(), dtype=np.int64))
+        self.ids, self.heights, self.hulls = ids[first], self.t.column("height").to_numpy()[first], self.t.column("corners").take(pa.array(first)).to_pylist()
+        self.spans = list(zip(ends[first].tolist(), [*ends[first[1:]].tolist(), int(ends[-1])], strict=True))
+        self.alpha = np.ones(len(self.v))
+        for (a, z), h, hull in zip(self.spans, self.heights.tolist(), self.hulls, strict=True):
+            if hull:
+                for k in range(a, z, AT_ONCE):
+                    part = slice(k, min(k + AT_ONCE, z))
+                    self.alpha[part] = self.of_hull(np.array(hull, np.float64).reshape(-1, 2), self.y[part], self.x[part], width, h, offset, ramp)
+
+    @staticmethod
+    def of_hull(hull: np.ndarray, y: np.ndarray, x: np.ndarray, width: int, height: int, offset: float, ramp: float) -> np.ndarray:
+        (l, t), (r, b) = hull.min(axis=0), hull.max(axis=0)
+        mx, my = l + (x + 0.5) / width * (r - l + 1) - 0.5, t + (y + 0.5) / height * (b - t + 1) - 0.5
+        inside, off = np.ones(len(x), bool), np.full(len(x), np.inf)
+        for (sx, sy), (nx, ny) in zip(hull, np.roll(hull, -1, axis=0), strict=True):
+            dx, dy = nx - sx, ny - sy
+            inside &= dx * (my - sy) - dy * (mx - sx) >= 0
+            k = np.clip(((mx - sx) * dx + (my - sy) * dy) / (dx * dx + dy * dy), 0.0, 1.0)
+            ex, ey = mx - sx - k * dx, my - sy - k * dy
+            off = np.minimum(off, np.sqrt(ex * ex + ey * ey))
+        return np.floor(np.where(inside, 1.0, np.clip((offset - off) / ramp + 0.5, 0.0, 1.0)) * 1e6 + 0.37) / 1e6
+
+
+def trim_to_mask(pixels: DataFrame, hulls: DataFrame, width: int, most: float = 0.009, offset: float = 0.5, ramp: float = 0.35) -> DataFrame:
     """(mask_id, y, x, v): pixels of a crop outside its mask's hull whitened over a soft edge, the crop being the hull's box. height is a column.
 
-    No more than `most` of the crop changes: of the pixels that would, the ones furthest outside do, in raster order among equals.
+    No more than `most` of the crop changes: of the pixels that would, the ones furthest outside do, in raster order among equals. Runs are dealt by
+    mask once, and passed over twice: for the last pixel that changes, of which a task holds a crop's share `most` alone, and to change them.
     """
-    box = cells.groupBy("mask_id").agg(F.min("x").alias("l"), F.max("x").alias("r"), F.min("y").alias("t"), F.max("y").alias("b"))
-    e = hull_edges(hulls).groupBy("mask_id").agg(F.collect_list(F.struct("x", "y", "nx", "ny")).alias("sides"))
-    p = pixels.join(box, "mask_id").join(e, "mask_id")
-    p = settled(p, mx=F.col("l") + (F.col("x") + 0.5) / width * (F.col("r") - F.col("l") + 1) - 0.5, my=F.col("t") + (F.col("y") + 0.5) / F.col("height") * (F.col("b") - F.col("t") + 1) - 0.5)
-
-    def off(s: Column) -> Column:
-        dx, dy = s["nx"] - s["x"], s["ny"] - s["y"]
-        k = F.least(F.greatest(((F.col("mx") - s["x"]) * dx + (F.col("my") - s["y"]) * dy) / (dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0))
-        ex, ey = F.col("mx") - s["x"] - k * dx, F.col("my") - s["y"] - k * dy
-        return F.sqrt(ex * ex + ey * ey)
-
-    inside = F.forall("sides", lambda s: (s["nx"] - s["x"]) * (F.col("my") - s["y"]) - (s["ny"] - s["y"]) * (F.col("mx") - s["x"]) >= 0)
-    alpha = F.when(inside, 1.0).otherwise(F.least(F.greatest((offset - F.array_min(F.transform("sides", off))) / ramp + 0.5, F.lit(0.0)), F.lit(1.0)))
-    p = settled(p, alpha=F.floor(alpha * 1e6 + 0.37) / 1e6)
-    changed = p.where("alpha < 1").withColumn("k", F.row_number().over(Window.partitionBy("mask_id").orderBy("alpha", "y", "x"))).where(F.col("k") <= F.floor(width * F.col("height") * most))
-    new = changed.select("mask_id", "y", "x", F.floor(F.col("v") * F.col("alpha") + 255 * (1 - F.col("alpha")) + 0.5000005).cast("int").alias("new"))
-    return pixels.join(new, ["mask_id", "y", "x"], "left").select("mask_id", "y", "x", F.coalesce("new", "v").alias("v"))
+    flat = F.flatten(F.transform("hull", lambda p: F.array(p["x"].cast("int"), p["y"].cast("int"))))
+    corners = hulls.where(F.size("hull") >= 3).select(F.col("mask_id").cast("long").alias("mask_id"), flat.alias("corners"))
+    rows = bands.runs(pixels, ("mask_id",), ("height",)).repartition("mask_id").join(corners.hint("merge"), "mask_id", "left").select("mask_id", "y", "x", "n", "v", "whole", "height", "corners")
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, share, held, done = None, 0, [np.empty(0)] * 2, []
+
+        def least() -> list[np.ndarray]:
+            """The first `share` of held (alpha, place), in order."""
+            order = np.lexsort(held[::-1])[:share]
+            return [c[order] for c in held]
+
+        def cut() -> Iterator[tuple]:
+            if now is not None and len(held[0]):
+                alpha, place = least()
+                yield (now, float(alpha[-1]), int(place[-1])) if share else (now, -1.0, -1)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), (pa.int64(), pa.float64(), pa.int64()), strict=True)], ["mask_id", "last_alpha", "last_place"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            p, done = _Trims(b, width, offset, ramp), []
+            for mask, height, (a, z) in zip(p.ids.tolist(), p.heights.tolist(), p.spans, strict=True):
+                if mask != now:
+                    done.extend(cut())
+                    now, share, held = mask, floor(width * height * most), [np.empty(0), np.empty(0, np.int64)]
+                changed = a + np.flatnonzero(p.alpha[a:z] < 1)
+                held = [np.append(held[0], p.alpha[changed]), np.append(held[1], p.y[changed] * width + p.x[changed])]
+                if len(held[0]) > share + 1:
+                    held = [c[:1] for c in held] if not share else least()
+            if done:
+                yield out()
+        done = list(cut())
+        if done:
+            yield out()
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            p = _Trims(b, width, offset, ramp)
+            alpha, place = (p.t.column(c).to_numpy()[p.of] for c in ("last_alpha", "last_place"))
+            new = (p.alpha < 1) & ((p.alpha < alpha) | (p.alpha == alpha) & (p.y * width + p.x <= place))
+            v = np.where(new, np.floor(p.v * p.alpha + 255 * (1 - p.alpha) + 0.5000005), p.v).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(p.t.column("mask_id").to_numpy()[p.of]), pa.array(p.y.astype(np.int32)), pa.array(p.x.astype(np.int32)), pa.array(v)], ["mask_id", "y", "x", "v"])
+
+    lasts = rows.mapInArrow(last, "mask_id long, last_alpha double, last_place long")
+    return rows.join(lasts.hint("merge"), "mask_id", "left").withColumns({"last_alpha": F.coalesce("last_alpha", F.lit(-1.0)), "last_place": F.coalesce("last_place", F.lit(-1).cast("long"))}).mapInArrow(trimmed, "mask_id long, y int, x int, v int")
 
 
 def min_area_rect(hulls: DataFrame) -> DataFrame:

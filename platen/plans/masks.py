@@ -121,12 +121,9 @@ def _(v):
 def _(v):
     """Each document's raster is trimmed to one of the masks, which is named by the document here."""
     n = v("embeddings").count()
-    d = v("documents").select(F.col("doc_id").alias("scan_id"), F.floor((F.length("text") + 79) / 80).cast("int").alias("height"))
-    p = v("pixels").join(d, "scan_id").withColumnRenamed("scan_id", "mask_id")
-    of = d.select("scan_id", (F.col("scan_id") % n).alias("mask_id"))
-    cells = v("mask_cells").join(of, "mask_id").select(F.col("scan_id").alias("mask_id"), "y", "x")
+    of = v("documents").select(F.col("doc_id").alias("scan_id"), (F.col("doc_id") % n).alias("mask_id"))
     hulls = masks.convex_hull(v("mask_cells")).join(of, "mask_id").select(F.col("scan_id").alias("mask_id"), "hull")
-    return masks.trim_to_mask(p, cells, hulls, 80)
+    return masks.trim_to_mask(v("pixel_runs").withColumnRenamed("scan_id", "mask_id"), hulls, 80)
 
 
 @query("ra22_min_area_rect", f"""WITH {_HULL}, a AS (SELECT mask_id, x, y, atan2(ny - y, nx - x) AS a FROM edges), p AS (SELECT a.mask_id, a.x, a.y, a.a, min(e.x * cos(a.a) + e.y * sin(a.a)) AS u0, max(e.x * cos(a.a) + e.y * sin(a.a)) AS u1,
