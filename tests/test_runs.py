@@ -47,3 +47,9 @@ def test_trim_takes_no_more_than_its_share_in_order(spark):
     # All of the first ten in raster order over the side by over half a cell and its ramp are white.
     far = [(b, a) for b, a in zip(y.tolist(), x.tolist(), strict=True) if ((a + 0.5) / 5 - (b + 0.5) / 3.75) / 2**0.5 > 0.675]
     assert {k for k in zip(y.tolist(), x.tolist(), strict=True) if got[1, *k] != v[k]} == set(far[:10]) and all(got[1, *k] == 255 for k in far[:10])
+
+
+def test_stretch_reads_texts_as_runs(spark):
+    plan = planned(spark, "ra18_white_stretch")
+    # Texts to runs in both uses of one exchange, counts, pixels; before, rows of pixels were passed to tasks' code again.
+    assert plan.count("MapInArrow") == 4 and "cast(v" not in plan
