@@ -53,3 +53,8 @@ def test_stretch_reads_texts_as_runs(spark):
     plan = planned(spark, "ra18_white_stretch")
     # Texts to runs in both uses of one exchange, counts, pixels; before, rows of pixels were passed to tasks' code again.
     assert plan.count("MapInArrow") == 4 and "cast(v" not in plan
+
+
+def test_corners_are_rounded_in_runs(spark):
+    plan = planned(spark, "ra28_round_corners")
+    assert plan.count("MapInArrow") == 2 and "SQRT" not in plan.upper()
