@@ -58,3 +58,9 @@ def test_stretch_reads_texts_as_runs(spark):
 def test_corners_are_rounded_in_runs(spark):
     plan = planned(spark, "ra28_round_corners")
     assert plan.count("MapInArrow") == 2 and "SQRT" not in plan.upper()
+
+
+def test_footprints_are_counted_in_runs(spark):
+    plan = planned(spark, "tr13_valid_footprint")
+    # Aggregates get sums of tasks, a row a scan, and no pixels.
+    assert plan.count("MapInArrow") == 2 and "COS(" not in "".join(line for line in plan.upper().splitlines() if "AGGREGATE" in line)
