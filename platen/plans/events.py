@@ -201,7 +201,7 @@ def _(v):
     """Each document's text as a grey image, written as a file to the shared folder and read again by the image source."""
     folder = f"{checkpointed(v.spark)}/images-{uuid4().hex}"
     images.register(v.spark)
-    images.packed_pixels(v("pixels"), "scan_id", 80).write.format(images.NAME).mode("append").save(folder)
+    images.packed_pixels(v("pixel_runs"), "scan_id", 80).write.format(images.NAME).mode("append").save(folder)
     read = images.image_scan(v.spark, folder).withColumn("scan_id", F.regexp_extract("name", r"(\d+)\.png$", 1).cast("long"))
     p = images.as_pixels(read, "scan_id")
     return p.groupBy("scan_id").agg(F.count("*").alias("pixels"), (F.max("y") + 1).alias("height"), F.sum(F.col("r") * (F.col("y") * 80 + F.col("x") + 1)).alias("checksum"))

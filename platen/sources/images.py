@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from platen.operators import bands
+
 NAME = "platen_images"
 SCHEMA = "origin string, name string, length long, width int, height int, channels int, data binary"
 #: Bytes of files that a partition is given, unless the option partitionBytes says otherwise; a larger file is a partition of its own.
@@ -245,30 +247,30 @@ def as_pixels(images: DataFrame, *keys: str) -> DataFrame:
 
 
 def packed_pixels(pixels: DataFrame, key: str, width: int) -> DataFrame:
-    """(name, width, height, channels, data): grey images of whole rows from pixels (key, y, x, v), each for a file `key.png`. A task holds one image at a time."""
+    """(name, width, height, channels, data): grey images of whole rows from pixels or runs (key, a whole number, y, x, v), each for a file `key.png`. A task holds one image at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[pa.RecordBatch] = []
         now = None
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
-                y, v = np.concatenate(held, axis=1)
-                rows, at, n = np.unique(y, return_inverse=True, return_counts=True)
-                data = v[(n == width)[at]].astype(np.uint8).tobytes()
+                y, _, v, _ = bands.unpacked(pa.Table.from_batches(held))
+                n = np.bincount(y)
+                data = v[(n == width)[y]].astype(np.int64).astype(np.uint8).tobytes()
                 if data:
                     yield pa.RecordBatch.from_arrays([pa.array([f"{now}.png"]), pa.array([width], pa.int32()), pa.array([len(data) // width], pa.int32()), pa.array([1], pa.int32()), pa.array([data], pa.binary())], ["name", "width", "height", "channels", "data"])
 
         for b in batches:
-            own, y, v = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            own = b.column(0).to_numpy(zero_copy_only=False)
             starts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
             for a, z in zip(starts, starts[1:], strict=False):
                 if z > a:
                     if own[a] != now:
                         yield from done()
                         held, now = [], own[a]
-                    held.append(np.stack([y[a:z], v[a:z]]))
+                    held.append(b.slice(a, z - a))
         yield from done()
 
-    ordered = pixels.select(key, F.col("y").cast("int"), F.col("v").cast("int"), "x").repartition(key).sortWithinPartitions(key, "y", "x").drop("x")
+    ordered = bands.runs(pixels, (key,)).repartition(key).sortWithinPartitions(key, "y", "x")
     return ordered.mapInArrow(run, "name string, width int, height int, channels int, data binary")

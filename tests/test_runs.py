@@ -64,3 +64,15 @@ def test_footprints_are_counted_in_runs(spark):
     plan = planned(spark, "tr13_valid_footprint")
     # Aggregates get sums of tasks, a row a scan, and no pixels.
     assert plan.count("MapInArrow") == 2 and "COS(" not in "".join(line for line in plan.upper().splitlines() if "AGGREGATE" in line)
+
+
+def test_images_are_packed_from_runs(spark):
+    from platen.sources import images
+    from platen.sources.derived import Views
+
+    v = Views(spark, SF)
+    made = images.packed_pixels(v("pixel_runs"), "scan_id", 80)
+    assert plan_of(made).count("MapInArrow") == 2
+    rows = [(2, 0, x, x) for x in range(80)] + [(2, 1, x, 7) for x in range(79)] + [(1, 0, 0, 5)]
+    got = images.packed_pixels(spark.createDataFrame(rows, "scan_id long, y int, x int, v int"), "scan_id", 80).collect()
+    assert [(r.name, r.height, bytes(r.data)) for r in got] == [("2.png", 1, bytes(range(80)))]
