@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from platen.functions.expr import containment, iou, settled
 
+#: Groups of a scan up to which a candidate looks at all of them.
+FEW = 32
 MIN_SCORE, IOU, CONTAINED, MOST_GROUPS, SEED_IOU = 0.80, 0.45, 0.75, 16, 0.8
 
 
@@ -43,19 +45,25 @@ class Groups:
     def __init__(self, cells: int = 16):
         self.cells, self.firsts, self.sizes, self.at = cells, [], [], {}
 
+    def reach(self, cx: float, cy: float, w: float, h: float) -> tuple[int, ...]:
+        """The cells x0 to x1, y0 to y1 that a box reaches into."""
+        return tuple(int(min(max(e * self.cells // 1, 0), self.cells - 1)) for e in (cx - w / 2, cx + w / 2, cy - h / 2, cy + h / 2))
+
     def place(self, cx: float, cy: float, w: float, h: float, joins: Callable[[float, float], bool]) -> tuple[int, int]:
         """(group, rank in it). Only first members in the same cells are looked at: others share nothing with the candidate."""
-        last = self.cells - 1
-        x0, x1, y0, y1 = (int(min(max(e * self.cells // 1, 0), last)) for e in (cx - w / 2, cx + w / 2, cy - h / 2, cy + h / 2))
-        cells = [(x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)]
-        for g in sorted({g for c in cells for g in self.at.get(c, ())}):
+        x0, x1, y0, y1 = self.reach(cx, cy, w, h) if len(self.firsts) > FEW else (0, 0, 0, 0)
+        # A few groups are looked at one by one: to note all cells of each takes longer.
+        for g in range(len(self.firsts)) if len(self.firsts) <= FEW else sorted({g for x in range(x0, x1 + 1) for y in range(y0, y1 + 1) for g in self.at.get((x, y), ())}):
             if joins(*_shares(self.firsts[g], (cx, cy, w, h))):
                 self.sizes[g] += 1
                 return g, self.sizes[g]
         self.firsts.append((cx, cy, w, h))
         self.sizes.append(0)
-        for c in cells:
-            self.at.setdefault(c, []).append(len(self.firsts) - 1)
+        if len(self.firsts) > FEW:
+            for g in range(len(self.firsts)) if len(self.firsts) == FEW + 1 else (len(self.firsts) - 1,):
+                x0, x1, y0, y1 = self.reach(*self.firsts[g])
+                for c in ((x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)):
+                    self.at.setdefault(c, []).append(g)
         return len(self.firsts) - 1, 0
 
 
@@ -67,8 +75,8 @@ def _shares(p: tuple, i: tuple) -> tuple[float, float]:
     return inter / union if union > 0 else 0.0, inter / smaller if smaller > 0 else 0.0
 
 
-def greedy_groups(candidates: DataFrame, order: list[Column], joins: Callable[[float, float], bool]) -> DataFrame:
-    """(scan_id, cand_id, group_no, rank): in the given order, a candidate joins the first group that joins(overlap over union, overlap over the smaller) with its
+def greedy_groups(candidates: DataFrame, order: list[Column], joins: Callable[[float, float], bool], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(scan_id, cand_id, group_no, rank, keep): in the given order, a candidate joins the first group that joins(overlap over union, overlap over the smaller) with its
     first member, else it opens one. Ties end with cand_id. Boxes without overlap must not join; null boxes aren't allowed.
 
     Scans are brought together and sorted; a task passes over the rows and holds one scan's groups at a time, so time is linear in candidates that lie apart.
@@ -83,12 +91,13 @@ def greedy_groups(candidates: DataFrame, order: list[Column], joins: Callable[[f
                     scan, groups = s, Groups()
                 out.append(groups.place(*box, joins))
             made = list(zip(*out, strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([b.column("scan_id"), b.column("cand_id"), *(pa.array(c, pa.int32()) for c in made)], ["scan_id", "cand_id", "group_no", "rank"])
+            yield pa.RecordBatch.from_arrays([b.column("scan_id"), b.column("cand_id"), *(pa.array(c, pa.int32()) for c in made), *(b.column(f"k{k}") for k in range(len(keep)))], ["scan_id", "cand_id", "group_no", "rank", *keep])
 
     by = [o.alias(f"o{k}") for k, o in enumerate(order)]
-    rows = candidates.select(F.col("scan_id").cast("long").alias("scan_id"), F.col("cand_id").cast("long").alias("cand_id"), *(F.col(c).cast("double").alias(c) for c in ("cx", "cy", "w", "h")), *by)
+    rows = candidates.select(F.col("scan_id").cast("long").alias("scan_id"), F.col("cand_id").cast("long").alias("cand_id"), *(F.col(c).cast("double").alias(c) for c in ("cx", "cy", "w", "h")), *by, *(F.col(c).alias(f"k{k}") for k, c in enumerate(keep)))
+    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
     ordered = rows.repartition("scan_id").sortWithinPartitions("scan_id", *(f"o{k}" for k in range(len(by))), "cand_id", "cx", "cy", "w", "h")
-    return ordered.mapInArrow(run, "scan_id long, cand_id long, group_no int, rank int")
+    return ordered.mapInArrow(run, "scan_id long, cand_id long, group_no int, rank int" + "".join(f", {k} {kinds[k]}" for k in keep))
 
 
 def group_candidates(candidates: DataFrame, iou_over: float = IOU, contained_over: float = CONTAINED) -> DataFrame:
@@ -99,7 +108,7 @@ def group_candidates(candidates: DataFrame, iou_over: float = IOU, contained_ove
 
 def vote_groups(candidates: DataFrame) -> DataFrame:
     """One row per scan: the winner of the largest group (then the larger first member) of proposals that agree, by rectangularity, then score, then the first."""
-    groups = greedy_groups(candidates, [], lambda shared, _: shared >= SEED_IOU).join(candidates, ["scan_id", "cand_id"])
+    groups = greedy_groups(candidates, [], lambda shared, _: shared >= SEED_IOU, ("w", "h", "score", "rectangularity"))
     sized = groups.groupBy("scan_id", "group_no").agg(F.count("*").alias("members"), F.max_by(F.col("w") * F.col("h"), -F.col("rank")).alias("seed_area"), F.max_by("cand_id", F.struct("rectangularity", "score", -F.col("cand_id"))).alias("winner"))
     return sized.groupBy("scan_id").agg(F.max_by(F.struct("winner", "members"), F.struct("members", "seed_area", -F.col("group_no"))).alias("b")).select("scan_id", "b.winner", "b.members")
 
