@@ -45,3 +45,18 @@ def test_votes_keep_their_columns_without_a_join(spark):
     from platen.plans import catalog
 
     assert "Join" not in catalog.QUERIES["gr11_vote_groups"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_of_sides_are_not_rows(spark):
+    from pyspark.sql import functions as F
+
+    from platen.operators import edges
+    from platen.plans import catalog
+
+    assert "sequence(0, 299" not in catalog.QUERIES["ft1_side_samples"](spark, SF)._jdf.queryExecution().optimizedPlan().toString() and hasattr(edges, "side_extents")
+    q = spark.createDataFrame([(1, 0.0, 0.0, 40.0, 3.0, 38.0, 30.0, -2.0, 31.0)], "scan_id long, x0 double, y0 double, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double")
+    got = {r.side: r for r in edges.side_extents(q, 7).collect()}
+    for k in range(4):
+        side = q.select("scan_id", *(F.col(f"{c}{i}").alias(f"{c}{e}") for e, i in (("a", k), ("b", (k + 1) % 4)) for c in "xy"))
+        p = edges.side_samples(side, 7).toPandas()
+        assert got[k].n == len(p) == 7 and np.allclose([got[k][c] for c in ("x0", "x1", "y0", "y1", "mx", "my")], [p.x.min(), p.x.max(), p.y.min(), p.y.max(), p.x.mean(), p.y.mean()])
