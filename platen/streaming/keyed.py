@@ -152,12 +152,13 @@ def next_insertion(touches: DataFrame, ttl: timedelta = TTL) -> DataFrame:
     micros, hour = F.unix_micros("ts"), 3_600_000_000
     probes = touches.withColumn("at", micros + int(ttl.total_seconds() * 1e6)).withColumn("hour", F.floor(F.col("at") / hour))
     inserted = touches.where("inserted").select(micros.alias("at")).withColumn("hour", F.floor(F.col("at") / hour))
-    ahead = Window.partitionBy("hour").orderBy("at").rangeBetween(1, Window.unboundedFollowing)
+    # From the last to the first: a frame that grows is passed over once, one that shrinks is read again for each row.
+    ahead = Window.partitionBy("hour").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -1)
     both = probes.select("doc_id", "event_id", "ts", "inserted", "hour", "at", F.lit(None).cast("long").alias("seen")).unionByName(inserted.distinct().withColumn("seen", F.col("at")), allowMissingColumns=True)
     near = both.withColumn("own", F.min("seen").over(ahead)).where("seen IS NULL")
     firsts = inserted.groupBy("hour").agg(F.min("at").alias("first"))
     hours = firsts.select("hour", "first").unionByName(probes.select("hour").distinct(), allowMissingColumns=True).groupBy("hour").agg(F.min("first").alias("first"))
-    later = hours.select("hour", F.min("first").over(Window.orderBy("hour").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    later = hours.select("hour", F.min("first").over(Window.orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
     return near.join(later, "hour").select("doc_id", "event_id", "ts", "inserted", F.timestamp_micros(F.coalesce("own", "later")).alias("reaped"))
 
 
