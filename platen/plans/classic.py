@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from platen.functions.expr import tidy
@@ -20,8 +21,8 @@ def frames(v):
 
 
 def colours(v):
-    p = v("pixels").select("scan_id", "y", "x", F.col("v").alias("r"), F.when(F.col("x") % 40 < 25, F.col("v")).otherwise(F.col("v") * 7 % 256).alias("g"), F.col("v").alias("b"))
-    return p.join(frames(v).select("scan_id", "height"), "scan_id").where("y < height").drop("height")
+    """As runs; what is beyond a frame stays, as operators leave it out."""
+    return classic.coloured(v("pixel_runs"), lambda k, x: (k, np.where(x % 40 < 25, k, k * 7 % 256), k))
 
 
 def _taps(out: str, source: str, axis: str, weights: dict[int, int], *columns: str) -> str:
@@ -77,7 +78,7 @@ _T6 = "floor(({}) * 1e6 + 0.5) / 1e6"
 
 @query("ra7_classic_mask", f"WITH {_SLOPES}, {_SCORES}, {_MASK} SELECT scan_id, y, x FROM m8 WHERE v = 1")
 def _(v):
-    return classic.classic_mask(classic.slopes(colours(v), frames(v)), **SMALL)
+    return classic.whole_mask(colours(v), frames(v), **SMALL)
 
 
 @query("ra7_detect_classic", f"""WITH RECURSIVE {_SLOPES}, {_SCORES}, {_MASK}, {_PARTS}, {_SNAP} SELECT scan_id, {_T6.format('CASE WHEN small THEN x0 ELSE l2 / 80.0::double END')} AS x0, {_T6.format('CASE WHEN small THEN y0 ELSE t2 / h::double END')} AS y0,
