@@ -16,10 +16,10 @@ _TRAY = """tray AS (SELECT t.*, l.*, p.label, p.w_mm AS preset_a, p.h_mm AS pres
  FROM tray_items t JOIN layouts l ON l.layout_id = t.sheet_id % 5 LEFT JOIN sheets s ON s.sheet = l.sheet LEFT JOIN presets p ON p.preset = l.preset)"""
 
 
-def tray(v):
-    """Tray items with the layout of their sheet."""
+def tray(v, items="tray_items"):
+    """Tray items with the layout of their sheet; dealt_items are the same rows with sheets dealt to tasks by the count of rows, for what sorts or groups whole sheets."""
     layouts = layout.with_sheet(v("layouts"), v("sheets"), v("presets"))
-    return v("tray_items").withColumn("layout_id", (F.col("sheet_id") % 5).cast("int")).join(F.broadcast(layouts), "layout_id")
+    return v(items).withColumn("layout_id", (F.col("sheet_id") % 5).cast("int")).join(F.broadcast(layouts), "layout_id")
 
 
 @query("ly1_sheets", f"WITH {_TRAY} SELECT sheet, preset, count(*) AS items, max(sheet_w * sheet_h / (preset_a * preset_b)) AS times FROM tray GROUP BY 1, 2")
@@ -99,7 +99,7 @@ _NAT = f"""n0 AS (SELECT *, height_px::double / width_px AS aspect, coalesce(mm_
 
 @query("ly7_natural_sizes", f"WITH {_TRAY}, {_NAT} SELECT sheet_id, item_no, nat_w, nat_h, fill FROM nat")
 def _(v):
-    return layout.natural_sizes(tray(v)).select("sheet_id", "item_no", "nat_w", "nat_h", "fill")
+    return layout.natural_sizes(tray(v, "dealt_items")).select("sheet_id", "item_no", "nat_w", "nat_h", "fill")
 
 
 _ARRANGE = f"""r0 AS (SELECT *, greatest(margin_mm, 4) AS gap, sheet_w - 2 * margin_mm AS aw, sheet_h - 2 * margin_mm AS ah FROM nat WHERE sheet_w IS NOT NULL), r1 AS (SELECT *, CASE WHEN fill THEN 1 ELSE least(1, aw / nat_w, ah / nat_h) END AS cap FROM r0),
@@ -132,7 +132,7 @@ def _(v):
 
 @query("ly10_sheet_facts", f"WITH {_TRAY}, {_NAT} SELECT sheet_id, count(*) AS items, count(DISTINCT (nat_w, nat_h)) AS sizes, count(DISTINCT (nat_w, nat_h)) = 1 AS each FROM nat GROUP BY sheet_id")
 def _(v):
-    return layout.sheet_facts(layout.natural_sizes(tray(v)).withColumnsRenamed({"nat_w": "w", "nat_h": "h"}))
+    return layout.sheet_facts(layout.natural_sizes(tray(v, "dealt_items")).withColumnsRenamed({"nat_w": "w", "nat_h": "h"}))
 
 
 @query("ly11_describe_detection", """WITH d AS (SELECT scan_id, cand_id, kind_min = 3 AS card, whole, cand_id % 2 = 0 AS fitted, (kind_min + cand_id) % 5 AS n, (cand_id % 9 - 4) / 10.0::double AS skew FROM quads) SELECT scan_id, cand_id,
