@@ -99,20 +99,20 @@ def arrange(items: DataFrame) -> DataFrame:
     """Sheets whose items fit in one column or row (or fill it): arrangement, x, y, w, h of each item. Items have nat_w, nat_h, fill and their layout's sheet_w, sheet_h, margin_mm."""
     sheet = Window.partitionBy("sheet_id", "layout_id")
     before = sheet.orderBy("item_no").rowsBetween(Window.unboundedPreceding, -1)
-    # Sums run in the order of the items: a place half way between two tenths would else round either way.
+    # Sums run in the order of the items: a place half way between two tenths would else round either way. All windows have that order, and no generator stands between them, so one sort serves them.
     items_in_order = sheet.orderBy("item_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     gap = F.greatest(F.col("margin_mm"), F.lit(4.0))
     c = settled(items.where("sheet_w is not null"), gap=gap, avail_w=F.col("sheet_w") - 2 * F.col("margin_mm"), avail_h=F.col("sheet_h") - 2 * F.col("margin_mm"))
     cap = F.when(F.col("fill"), 1.0).otherwise(F.least(F.lit(1.0), F.col("avail_w") / F.col("nat_w"), F.col("avail_h") / F.col("nat_h")))
     c = settled(c, cap=cap)
     c = settled(c, cw=F.when(F.col("cap") < 1, round1(F.col("nat_w") * F.col("cap"))).otherwise(F.col("nat_w")), ch=F.when(F.col("cap") < 1, round1(F.col("nat_h") * F.col("cap"))).otherwise(F.col("nat_h")))
-    gaps = F.col("gap") * (F.count("*").over(sheet) - 1)
-    c = c.withColumns({"col_s": F.least(F.col("avail_w") / F.max("cw").over(sheet), F.col("avail_h") / (F.sum("ch").over(items_in_order) + gaps)), "row_s": F.least(F.col("avail_h") / F.max("ch").over(sheet), F.col("avail_w") / (F.sum("cw").over(items_in_order) + gaps))})
+    gaps = F.col("gap") * (F.count("*").over(items_in_order) - 1)
+    c = c.withColumns({"col_s": F.least(F.col("avail_w") / F.max("cw").over(items_in_order), F.col("avail_h") / (F.sum("ch").over(items_in_order) + gaps)), "row_s": F.least(F.col("avail_h") / F.max("ch").over(items_in_order), F.col("avail_w") / (F.sum("cw").over(items_in_order) + gaps))})
     column = F.when(F.col("fill"), F.col("col_s") >= F.col("row_s")).otherwise(F.col("col_s") >= 1)
     c = c.where(F.col("fill") | (F.col("col_s") >= 1) | (F.col("row_s") >= 1))
     by = F.when(F.col("fill"), F.greatest("col_s", "row_s")).otherwise(1.0)
-    c = settled(c, arrangement=F.when(column, "column").otherwise("row"), w=F.when(F.col("fill"), round1(F.col("cw") * by)).otherwise(F.col("cw")), h=F.when(F.col("fill"), round1(F.col("ch") * by)).otherwise(F.col("ch")))
-    along = lambda own, avail: F.col("margin_mm") + F.greatest(F.lit(0.0), (F.col(avail) - F.sum(own).over(items_in_order) - F.col("gap") * (F.count("*").over(sheet) - 1)) / 2) + F.coalesce(F.sum(F.col(own) + F.col("gap")).over(before), F.lit(0.0))
+    c = c.withColumns({"arrangement": F.when(column, "column").otherwise("row"), "w": F.when(F.col("fill"), round1(F.col("cw") * by)).otherwise(F.col("cw")), "h": F.when(F.col("fill"), round1(F.col("ch") * by)).otherwise(F.col("ch"))})
+    along = lambda own, avail: F.col("margin_mm") + F.greatest(F.lit(0.0), (F.col(avail) - F.sum(own).over(items_in_order) - F.col("gap") * (F.count("*").over(items_in_order) - 1)) / 2) + F.coalesce(F.sum(F.col(own) + F.col("gap")).over(before), F.lit(0.0))
     across = lambda own, avail: F.col("margin_mm") + F.greatest(F.lit(0.0), (F.col(avail) - F.col(own)) / 2)
     is_col = F.col("arrangement") == "column"
     c = c.withColumns({"ax": along("w", "avail_w"), "ay": along("h", "avail_h")})
@@ -165,10 +165,10 @@ def trim_gate(has_items, has_fit, asked) -> Column:
 
 
 def placements_pt(placements: DataFrame) -> DataFrame:
-    """Adds x_pt, y_pt, w_pt, h_pt with the origin at the lower left of a page page_h mm high, and the page's place in its file."""
+    """Adds x_pt, y_pt, w_pt, h_pt with the origin at the lower left of a page page_h mm high, and the page's place in its file, by layout and item: the order that arrange leaves its rows in."""
     pt = lambda c: c * 72.0 / 25.4
     p = placements.withColumns({"x_pt": pt(F.col("x")), "y_pt": pt(F.col("page_h") - F.col("y") - F.col("h")), "w_pt": pt(F.col("w")), "h_pt": pt(F.col("h"))})
-    return p.withColumn("page_no", F.row_number().over(Window.partitionBy("sheet_id").orderBy("item_no")))
+    return p.withColumn("page_no", F.row_number().over(Window.partitionBy("sheet_id").orderBy("layout_id", "item_no")))
 
 
 def export_name(name, mode) -> Column:

@@ -113,7 +113,7 @@ _ARRANGE = f"""r0 AS (SELECT *, greatest(margin_mm, 4) AS gap, sheet_w - 2 * mar
 @query("ly8_arrange", f"""WITH {_TRAY}, {_NAT}, {_ARRANGE} SELECT sheet_id, item_no, arrangement, w, h, {R1.format("CASE WHEN arrangement = 'column' THEN margin_mm + greatest(0, (aw - w) / 2) ELSE ax END")} AS x,
  {R1.format("CASE WHEN arrangement = 'column' THEN ay ELSE margin_mm + greatest(0, (ah - h) / 2) END")} AS y FROM r5""")
 def _(v):
-    return layout.arrange(layout.natural_sizes(tray(v))).drop("layout_id")
+    return layout.arrange(layout.natural_sizes(tray(v, "dealt_items"))).drop("layout_id")
 
 
 def shelf_items(v):
@@ -157,7 +157,7 @@ def _(v):
 @query("snk1_write_placements", f"""WITH {_TRAY}, {_NAT}, {_ARRANGE}, p AS (SELECT *, {R1.format("CASE WHEN arrangement = 'column' THEN margin_mm + greatest(0, (aw - w) / 2) ELSE ax END")} AS x, {R1.format("CASE WHEN arrangement = 'column' THEN ay ELSE margin_mm + greatest(0, (ah - h) / 2) END")} AS y FROM r5)
  SELECT sheet_id, item_no, {T6.format('x * 72 / 25.4::double')} AS x_pt, {T6.format('(297 - y - h) * 72 / 25.4::double')} AS y_pt, row_number() OVER (PARTITION BY sheet_id ORDER BY item_no)::int AS page_no FROM p""")
 def _(v):
-    p = layout.placements_pt(layout.arrange(layout.natural_sizes(tray(v))).withColumn("page_h", F.lit(297.0)))
+    p = layout.placements_pt(layout.arrange(layout.natural_sizes(tray(v, "dealt_items"))).withColumn("page_h", F.lit(297.0)))
     return p.select("sheet_id", "item_no", tidy("x_pt").alias("x_pt"), tidy("y_pt").alias("y_pt"), "page_no")
 
 
