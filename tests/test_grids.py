@@ -34,6 +34,15 @@ def same(a, b, keys=("scan_id", "y", "x")):
     assert len(a) == len(b) > 0 and all(np.allclose(a[c], b[c], equal_nan=True) for c in a.columns)
 
 
+RUNS = ["ra17_clahe"]
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_texts_stay_runs_up_to_the_result(spark, name):
+    # Texts to runs, and runs to the result; before, rows of pixels were passed from task to task between.
+    assert planned(spark, name).count("MapInArrow") == 2
+
+
 def lines(seed, h, w, slope):
     """Dark lines, of which every row has its share, on a light ground."""
     y, x = np.mgrid[0:h, 0:w]
@@ -86,3 +95,90 @@ def test_projections_of_parts_are_those_of_the_whole(cuts):
     for (t, _), c in shared.items():
         got[t + 50] += c * c
     assert np.allclose(got, want)
+
+
+def test_contrast_of_whole_scans_and_of_rows_of_tiles(scans, monkeypatch):
+    from platen.operators import bands, pixels
+
+    _, whole, cut = scans
+    made = pixels.clahe(whole, 16, tiles=4).cache()
+    monkeypatch.setattr(bands, "AT_ONCE", 1)
+    # Rows of tiles with those around them; cells that are no grid.
+    same(made, pixels.clahe(whole, 16, tiles=4))
+    same(made, pixels.clahe(cut, 16, tiles=4))
+
+
+@pytest.mark.parametrize("name", ["clahe", "median9", "box_mean", "gaussian_blur", "ink_points"])
+def test_small_scans_are_dealt_without_copies(scans, monkeypatch, name):
+    from platen.operators import bands, pixels
+
+    dealt, given = [], bands._in_portions
+    monkeypatch.setattr(bands, "_in_portions", lambda df, *a: dealt.append(df.count()) or given(df, *a))
+    # There is no band before the first, and a small scan's rows of tiles are one band.
+    getattr(pixels, name)(scans[1], *([16] if name in ("clahe", "ink_points") else []))
+    assert dealt == [scans[1].count()]
+
+
+@pytest.mark.parametrize("band", [7, 256])
+@pytest.mark.parametrize("name", ["median9", "box_mean", "gaussian_blur", "sobel"])
+def test_grids_give_what_cells_give(scans, monkeypatch, name, band):
+    from platen.operators import bands, pixels
+
+    monkeypatch.setattr(bands.neighbouring, "__defaults__", (*bands.neighbouring.__defaults__[:-1], band))
+    _, whole, cut = scans
+    same(getattr(pixels, name)(whole), getattr(pixels, name)(cut))
+
+
+def test_medians_by_levels_are_medians(scans):
+    from platen.operators import pixels
+
+    rows, whole, _ = scans
+    got = pixels.median9(whole).toPandas().set_index(["scan_id", "y", "x"])["median"].to_dict()
+    for k in (0, 1):
+        own = rows[rows.scan_id == k]
+        h = own.height.iloc[0]
+        line = [own[own.y == y].sort_values("x").v.to_numpy() for y in range(h)]
+        for y, x in [(0, 0), (5, 8), (h - 1, 3), (h - 2, 15), (h - 3, 9)]:
+            last = h - 1 if len(line[h - 1]) > x else h - 2
+            square = [line[min(max(b, 0), last)] for b in range(y - 4, y + 5)]
+            assert got[k, y, x] == np.median([p[min(max(a, 0), len(p) - 1)] for p in square for a in range(x - 4, x + 5)])
+
+
+def test_outlines_trim_grids_as_cells(spark, scans):
+    from platen.operators import pixels
+
+    outline = [(2.0, 1.0), (13.0, 3.0), (11.0, 30.0), (4.0, 20.0)]
+    o = spark.createDataFrame([(0, outline), (1, outline), (4, outline[:2])], "scan_id long, outline array<struct<x:double,y:double>>")
+    same(pixels.trim_to_outline(scans[1], o), pixels.trim_to_outline(scans[2], o))
+    kept = pixels.trim_to_outline(scans[1], o).where("scan_id > 1").toPandas().sort_values(["scan_id", "y", "x"])["v"].tolist()
+    assert kept == scans[0][scans[0].scan_id > 1].sort_values(["scan_id", "y", "x"])["v"].tolist()
+
+
+def test_lines_of_profiles_are_added_up_by_tasks(spark, scans):
+    from platen.operators import pixels
+
+    rows, whole, cut = scans
+    boxes = spark.createDataFrame([(k, 16, int(h), 1, 0, 15, int(h)) for k, h in rows.groupby("scan_id")["height"].first().items() if k != 1], "scan_id long, width int, height int, px0 int, py0 int, px1 int, py1 int")
+    made = pixels.gradient_profiles(whole, boxes).withColumn("axis", F.ascii("axis"))
+    same(made, pixels.gradient_profiles(cut, boxes).withColumn("axis", F.ascii("axis")), ("scan_id", "axis", "at"))
+    got = {(r.scan_id, chr(r.axis), r["at"]): r.profile for r in made.collect()}
+    p = rows[rows.scan_id == 4].pivot(index="y", columns="x", values="v").to_numpy()
+    assert all(got[4, "x", x] == np.abs(p[17:53, x + 1] - p[17:53, x - 1]).sum() for x in range(1, 15)) and all(got[4, "y", y] == np.abs(p[y + 1, 4:12] - p[y - 1, 4:12]).sum() for y in range(1, 69))
+    assert not any(k[0] == 1 for k in got)
+
+
+def test_sides_and_lines_meet_once(spark):
+    plan = planned(spark, "ra6_snap_edges")
+    # Boxes meet the rows and then the lines: profiles were ranked, sides found and both joined apart.
+    assert plan.count("Join") == 2 and plan.count("Exchange hashpartitioning") == 6
+
+
+def test_snapped_sides(spark):
+    from platen.operators import pixels
+
+    v = np.full((40, 60), 200)
+    v[10:31, 14:47] = 90
+    p = spark.createDataFrame([(1, int(y), int(x), int(v[y, x])) for y, x in np.ndindex(v.shape)], "scan_id long, y int, x int, v int")
+    box = spark.createDataFrame([(1, 60, 40, 16, 12, 44, 28), (2, 60, 40, 5, 6, 50, 30)], "scan_id long, width int, height int, px0 int, py0 int, px1 int, py1 int")
+    # The first of equals is the strongest line; a scan without pixels keeps its box.
+    assert sorted(map(tuple, pixels.snap_edges(p, box, 0.1, 0.5).collect())) == [(1, 13, 9, 46, 30), (2, 5, 6, 50, 30)]
