@@ -34,7 +34,7 @@ def same(a, b, keys=("scan_id", "y", "x")):
     assert len(a) == len(b) > 0 and all(np.allclose(a[c], b[c], equal_nan=True) for c in a.columns)
 
 
-RUNS = ["ra17_clahe", "ra6_snap_edges"]
+RUNS = ["ra17_clahe", "ra6_snap_edges", "tr5_rotate_fine"]
 
 
 @pytest.mark.parametrize("name", RUNS)
