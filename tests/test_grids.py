@@ -1,5 +1,6 @@
 """Cases of a review: rasters of texts stay runs up to the result, bands are worked out as grids, and tasks add up what no other task has."""
 
+from functools import partial
 from math import ceil, hypot
 
 import numpy as np
@@ -22,7 +23,7 @@ def scans(spark):
     from platen.operators import bands
 
     rng = np.random.default_rng(4)
-    images = {k: np.where(np.arange(w * h).reshape(h, w) < w * (h - 1) + short, rng.integers(0, 256, (h, w)), -1) for k, (h, w, short) in enumerate([(23, 16, 16), (41, 16, 5), (1, 16, 9), (2, 16, 1), (70, 16, 15)])}
+    images = {k: np.where(np.arange(w * h).reshape(h, w) < w * (h - 1) + short, rng.integers(0, 256, (h, w)), -1) for k, (h, w, short) in enumerate([(23, 16, 16), (41, 16, 5), (1, 16, 9), (2, 16, 1), (70, 16, 15), (30, 11, 7)])}
     rows = pd.DataFrame([(k, y, x, int(p[y, x]), p.shape[0]) for k, p in images.items() for y, x in np.ndindex(p.shape) if p[y, x] >= 0], columns=["scan_id", "y", "x", "v", "height"])
     df = spark.createDataFrame(rows)
     cut = bands.runs(df.where("x < 7").coalesce(1), keep=("height",)).unionByName(bands.runs(df.where("x >= 7").coalesce(1), keep=("height",)))
@@ -124,7 +125,7 @@ def test_small_scans_are_dealt_without_copies(scans, monkeypatch, name):
 def test_grids_give_what_cells_give(scans, monkeypatch, name, band):
     from platen.operators import bands, pixels
 
-    monkeypatch.setattr(bands.neighbouring, "__defaults__", (*bands.neighbouring.__defaults__[:-1], band))
+    monkeypatch.setattr(bands, "neighbouring", partial(bands.neighbouring, band=band))
     _, whole, cut = scans
     same(getattr(pixels, name)(whole), getattr(pixels, name)(cut))
 
@@ -182,3 +183,31 @@ def test_snapped_sides(spark):
     box = spark.createDataFrame([(1, 60, 40, 16, 12, 44, 28), (2, 60, 40, 5, 6, 50, 30)], "scan_id long, width int, height int, px0 int, py0 int, px1 int, py1 int")
     # The first of equals is the strongest line; a scan without pixels keeps its box.
     assert sorted(map(tuple, pixels.snap_edges(p, box, 0.1, 0.5).collect())) == [(1, 13, 9, 46, 30), (2, 5, 6, 50, 30)]
+
+
+def test_print_maps_shrink_to_runs(spark):
+    plan = planned(spark, "ra13_print_map")
+    # Texts to runs, to shrunk runs, to the map: no join with frames, no rows of pixels between.
+    assert plan.count("MapInArrow") == 3 and "Join" not in plan
+
+
+@pytest.mark.parametrize("joined", [True, False])
+def test_print_map_of_shrunk_scans(spark, scans, joined):
+    from platen.operators import bands, pixels
+
+    rows, whole, cut = scans
+    sizes = rows.groupby("scan_id").agg(width=("x", "max"), height=("height", "first")).reset_index()
+    frames = spark.createDataFrame(pd.DataFrame({"scan_id": sizes.scan_id, "width": sizes.width + 1, "height": sizes.height, "angle": [2.0, -3.0, 0.0, 1.0, -1.0, 0.0]}))
+    made = [pixels.print_map(p if joined else p.drop("height").join(frames, "scan_id"), frames if joined else None, longest=40, margin=1) for p in (whole, cut)]
+    same(*made)
+    # Scan 4 is shrunk to 40 rows by area averages, halves up.
+    small = bands.averaged(whole.where("scan_id = 4"), {"sy": F.lit(40 / 70), "sx": F.lit(9 / 16), "rows": F.lit(40), "cols": F.lit(9)}, 1e-9, (), True)
+    got = np.full((40, 9), -1.0)
+    for r in bands.each_pixel(small, lambda v, _: v, "double", ()).collect():
+        got[r.y, r.x] = r.v
+    p = rows[rows.scan_id == 4].pivot(index="y", columns="x", values="v").to_numpy(float)
+    for y, x in [(0, 0), (13, 4), (20, 8), (38, 2)]:
+        down = [max(0.0, min((b + 1) * 40 / 70, y + 1) - max(b * 40 / 70, y)) for b in range(70)]
+        across = [max(0.0, min((a + 1) * 9 / 16, x + 1) - max(a * 9 / 16, x)) for a in range(16)]
+        w = np.outer(down, across) * np.isfinite(p)
+        assert got[y, x] == np.floor((np.nan_to_num(p) * w).sum() / w.sum() + 0.5 + 1e-7)
