@@ -211,3 +211,20 @@ def test_print_map_of_shrunk_scans(spark, scans, joined):
         across = [max(0.0, min((a + 1) * 9 / 16, x + 1) - max(a * 9 / 16, x)) for a in range(16)]
         w = np.outer(down, across) * np.isfinite(p)
         assert got[y, x] == np.floor((np.nan_to_num(p) * w).sum() / w.sum() + 0.5 + 1e-7)
+
+
+def test_rasters_are_compared_as_runs(spark, scans):
+    from platen.operators import pixels
+
+    # Texts to runs thrice, which is done twice, counts, the stretched runs, and their differences; before, the stretched pixels were rows.
+    assert planned(spark, "ra25_changed_fraction").count("MapInArrow") == 6
+    rows, whole, cut = scans
+    after = rows.assign(v=np.where(rows.index % 3 == 0, rows.v + 0.5, rows.v))[rows.index % 5 > 0]
+    want = {k: (g.index % 3 == 0).mean() for k, g in after.groupby("scan_id")}
+    for before in (whole, cut):
+        got = {r.scan_id: r.changed for r in pixels.changed_fraction(before, spark.createDataFrame(after)).collect()}
+        assert got == {k: want[k] for k in got} and set(got) == set(want)
+    stretched = pixels.white_stretch(whole).toPandas().merge(rows, on=["scan_id", "y", "x"])
+    want = {k: (g.v_x != g.v_y).mean() for k, g in stretched.groupby("scan_id")}
+    for other in (whole, cut):
+        assert {r.scan_id: r.changed for r in pixels.changed_fraction(whole, pixels.white_stretch(other, packed=True)).collect()} == want
