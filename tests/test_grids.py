@@ -35,7 +35,7 @@ def same(a, b, keys=("scan_id", "y", "x")):
     assert len(a) == len(b) > 0 and all(np.allclose(a[c], b[c], equal_nan=True) for c in a.columns)
 
 
-RUNS = ["ra17_clahe", "ra6_snap_edges", "tr5_rotate_fine", "ra12_median9", "ra2_box_mean", "tr9_warp_quad", "ra24_trim_to_outline", "ra3_ink_points", "ra9_gaussian_blur"]
+RUNS = ["ra17_clahe", "ra5_gradient_profiles", "ra6_snap_edges", "tr5_rotate_fine", "ra12_median9", "ra2_box_mean", "tr9_warp_quad", "ra24_trim_to_outline", "ra3_ink_points", "ra9_gaussian_blur"]
 
 
 @pytest.mark.parametrize("name", RUNS)
